@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import avi, language, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,9 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": _over("documents", simhash.op1),
+        "op4_avi": _over("documents", avi.op4),
+        "op6_language": _over("documents", language.op6),
+        "op7_packing": _over("documents", packing.op7),
     }
 
 
