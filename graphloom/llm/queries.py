@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, language, packing, simhash
+from . import avi, html_blocks, language, packing, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,8 @@ def queries() -> dict[str, Query]:
         "op4_avi": _over("documents", avi.op4),
         "op6_language": _over("documents", language.op6),
         "op7_packing": _over("documents", packing.op7),
+        "op8_surrogates": _over("documents", pii.op8),
+        "op10_html_blocks": _over("pages", html_blocks.op10),
     }
 
 
