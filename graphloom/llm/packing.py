@@ -20,39 +20,75 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LONGEST, END = 2048, 1
-#: Words remembered per worker, in each of two generations; longer words are encoded anew.
-REMEMBERED, LONGEST_WORD = 400_000, 64
+_END = END.to_bytes(4, "little")
+#: Pieces remembered per worker, in each of two generations; texts that are looked up together.
+REMEMBERED, TOGETHER = 400_000, 256
+_l, _m = "a-zß-öø-ÿ", r"!-&(-/:-@\[-^`{-~"  # letters; ASCII marks without apostrophe and underscore
+_piece = re.compile(rf"[{_l}]+(?=[\s{_m}]|\Z)|[{_m}]+(?=[\s{_l}]|\Z)|\S+")
+_core = re.compile(rf"[{_l}]+")
 _gap = re.compile(r"[ \t\n\r]+")
+_odd = re.compile("[^\x00-\x1b\x20-\xff]")
 
 
-class WordIds(dict):
-    """Ids of a text, word by word.
+class Memory(dict):
+    """A dictionary that forgets what two generations have not asked for."""
 
-    White space is dropped by the tokenizer and no merge crosses it, so the ids
-    of a text are those of its words one after another.
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def lack(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that are not known; the others are kept."""
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        new, older = {k for k in keys if k not in self}, self.older
+        for k in new:
+            if k in older:
+                self[k] = older[k]
+        return {k for k in new if k not in self}
+
+
+class WordIds:
+    """Ids of texts, piece by piece.
+
+    White space is dropped by the tokenizer and no merge crosses it, nor the
+    border between letters and marks. So texts of Latin-1 characters are cut
+    there, other texts at white space only, and each piece is encoded once.
+    Pieces of letters are encoded many at once and told apart by the
+    vocabulary's word ends.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def of(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids, with the end id."""
-        words = _gap.split(text or "")
-        return b"".join(map(self.__getitem__, filter(None, words))) + END.to_bytes(4, "little")
+        self.ids = Memory()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, pieces: set[str]) -> None:
+        cores = [p for p in pieces if _core.fullmatch(p)]
+        if cores:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(cores):
+                raise ValueError("the vocabulary does not mark word ends")
+            data, at = ids.tobytes(), 0
+            for core, stop in zip(cores, stops.tolist(), strict=True):
+                self.ids[core], at = data[at:stop], stop
+        for piece in pieces.difference(cores):
+            self.ids[piece] = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, with the end id."""
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            cut = [_gap.split(t) if _odd.search(t) else _piece.findall(t.lower()) for t in (t or "" for t in texts[at : at + TOGETHER])]
+            self._learn(self.ids.lack(set().union(*cut)))
+            look = self.ids.__getitem__
+            out += [b"".join(map(look, pieces)) + _END for pieces in cut]
+        return out
 
 
 @lru_cache(2)
@@ -84,9 +120,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST)
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, start = words.of(text), 0
-                total = len(ids) // 4
+            coded = (x for at in range(0, batch.num_rows, TOGETHER) for x in words.of(batch.column(1).slice(at, TOGETHER).to_pylist()))
+            for doc, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
+                start, total = 0, len(ids) // 4
                 for n in lengths(total, longest):
                     for column, x in zip(rows, (doc, start, n, ids[4 * start : 4 * (start + n)], total, n.bit_length() - 1), strict=True):
                         column.append(x)
