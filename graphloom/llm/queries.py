@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, html_blocks, language, packing, pii, simhash
+from . import avi, embeddings, html_blocks, language, packing, pii, resharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,9 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": _over("documents", simhash.op1),
+        "op2_embeddings": _over("embeddings", embeddings.op2),
+        "op3_warc": _over("pages", warc.op3),
+        "op5_resharding": _over("documents", resharding.op5),
         "op4_avi": _over("documents", avi.op4),
         "op6_language": _over("documents", language.op6),
         "op7_packing": _over("documents", packing.op7),
