@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, embeddings, html_blocks, language, packing, pii, resharding, simhash, warc
+from . import avi, embeddings, html_blocks, language, mixing, packing, pii, resharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": _over("documents", simhash.op1),
@@ -25,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op6_language": _over("documents", language.op6),
         "op7_packing": _over("documents", packing.op7),
         "op8_surrogates": _over("documents", pii.op8),
+        "op9_mixing": _mixing,
         "op10_html_blocks": _over("pages", html_blocks.op10),
     }
 
