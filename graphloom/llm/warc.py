@@ -23,7 +23,7 @@ from .shared import materialize, scratch_path
 
 CRLF, DATE = "\r\n", "2024-01-01T00:00:00Z"
 #: Three records a capture; bounds a file's size, and so what a reading task holds.
-RECORDS_PER_FILE = 6000
+RECORDS_PER_FILE = 3000
 #: Smallest payload for which a revisit is written.
 LEAST_REVISIT = 0
 
@@ -148,19 +148,20 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: page_id, request, response, metadata.
 
-    Requests and metadata are joined to the record that they name in
-    WARC-Concurrent-To. Repeated captures (same page and payload) keep their
+    Requests and metadata meet the record that they name in WARC-Concurrent-To
+    in one shuffle. Repeated captures (same page and payload) keep their
     rows and share the other records. A capture without a request or metadata
-    record has null there.
+    record has null there; those without a response are none.
     """
-    main = records.where(F.col("type").isin("response", "revisit"))
-    shown = F.struct("record_id", "target_uri", "block")
-    side = records.where(F.col("type").isin("request", "metadata")).groupBy(F.col("concurrent_to").alias("record_id"))
-    side = side.agg(F.max(F.when(F.col("type") == "request", shown)).alias("request"), F.max(F.when(F.col("type") == "metadata", shown)).alias("metadata"))
-    page = F.regexp_extract(F.col("metadata.block"), r"page_id: (-?\d+)", 1)
+    kind, shown = F.col("type"), F.struct("record_id", "target_uri", "block")
+    answers = kind.isin("response", "revisit")
     response = F.struct("record_id", "type", "refers_to", "target_uri", "payload_bytes", "payload_digest", "payload")
-    joined = main.select("record_id", response.alias("response")).join(side, "record_id", "left")
-    return joined.select(F.nullif(page, F.lit("")).cast("long").alias("page_id"), "request", "response", "metadata")
+    joined = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("transaction")).agg(
+        F.max(F.when(kind == "request", shown)).alias("request"), F.max(F.when(answers, response)).alias("response"), F.max(F.when(kind == "metadata", shown)).alias("metadata"), F.count_if(answers).cast("int").alias("n")
+    )
+    page = F.nullif(F.regexp_extract("metadata.block", r"page_id: (-?\d+)", 1), F.lit("")).cast("long")
+    # equal ids are equal captures: partial sums hold one of them and their number
+    return joined.withColumn("response", F.explode(F.array_repeat("response", F.col("n")))).select(page.alias("page_id"), "request", "response", "metadata")
 
 
 def archive(pages: DataFrame, path: str | None = None, with_payload: bool = True) -> DataFrame:
