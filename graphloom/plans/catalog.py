@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, predicates
-from ..operators import attention, facts, graph, review
+from ..operators import attention, facts, graph, paths, ranking, review, structure, temporal
 from .derived import NOW, SQL, WINDOW_DAYS, Derived
 from .scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-ROOT = "method:7"
+ROOT = "package:3"
 
 
 def query(sql: str | None = None) -> Callable[[Callable[[Derived], DataFrame]], Callable[[Derived], DataFrame]]:
@@ -391,3 +391,339 @@ def attention_filter(g: Derived) -> DataFrame:
     ranked = attention.priorities(attention.dimensions(attention.factors(unit_facts(g)))).join(g.packages, "id")
     chosen = F.col("region").isin("investigate", "protect") & F.array_contains("owners", "team:1") & F.lower("label").contains("nation")
     return ranked.where(chosen).select("id", "region", "label")
+
+
+# Reviews: lines up to the fourth are the base, lines from the second on the head.
+
+BASE, HEAD = "line <= 4", "line >= 2"
+_SIDES = "".join(f"""{name}_edges AS (SELECT source || '|' || kind || '|' || target AS id, source, kind, target, arg_min(label, ord) AS label, max(boundary) AS boundary,
+  CASE WHEN max(boundary) IS NULL THEN kind = 'calls' ELSE max(boundary) <> 'async' END AS sync, count(*) AS observations
+  FROM obs WHERE source <> target AND (kind = 'owns' OR ord % 10 {cond}) GROUP BY source, kind, target),
+""" for name, cond in (("base", "<= 4"), ("head", ">= 2"))) + """head_nodes AS (SELECT id, kind, label, CASE WHEN id LIKE 'fn:%5' THEN 'package:0' ELSE pkg END AS pkg, file, exported, CASE WHEN id LIKE 'method:%3' THEN cyclomatic + 1 ELSE cyclomatic END AS cyclomatic, loc FROM nodes WHERE id NOT LIKE 'fn:%7'),
+node_delta AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'removed' WHEN a.id IS NULL THEN 'added' ELSE 'modified' END AS status,
+  CASE WHEN b.id IS NULL THEN 'entity-removed' WHEN a.id IS NULL THEN 'entity-added' ELSE concat_ws(',', CASE WHEN a.cyclomatic IS DISTINCT FROM b.cyclomatic THEN 'metadata-changed' END, CASE WHEN a.pkg IS DISTINCT FROM b.pkg THEN 'ownership-changed' END) END AS reasons
+  FROM nodes a FULL JOIN head_nodes b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.pkg IS DISTINCT FROM b.pkg OR a.cyclomatic IS DISTINCT FROM b.cyclomatic),
+edge_delta AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'removed' WHEN a.id IS NULL THEN 'added' ELSE 'modified' END AS status,
+  CASE WHEN b.id IS NULL THEN 'dependency-removed' WHEN a.id IS NULL THEN 'dependency-added' ELSE concat_ws(',', CASE WHEN a.observations <> b.observations THEN 'evidence-changed' END, CASE WHEN a.label IS DISTINCT FROM b.label THEN 'relationship-changed' END) END AS reasons
+  FROM base_edges a FULL JOIN head_edges b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.label IS DISTINCT FROM b.label OR a.observations <> b.observations),
+changed AS (SELECT id FROM node_delta UNION SELECT split_part(id, '|', 1) FROM edge_delta UNION SELECT split_part(id, '|', 3) FROM edge_delta),
+ends AS (SELECT source, target FROM base_edges UNION SELECT source, target FROM head_edges),
+visible AS (SELECT id FROM changed UNION SELECT target FROM ends WHERE source IN (SELECT id FROM changed) UNION SELECT source FROM ends WHERE target IN (SELECT id FROM changed))
+"""
+_NODE_FIELDS, _EDGE_FIELDS = ["kind", "label", "pkg", "file", "exported", "cyclomatic", "loc"], ["label", "boundary", "sync", "observations"]
+
+
+def _head_nodes(g: Derived) -> DataFrame:
+    kept = g.nodes.where("id not like 'fn:%7'")
+    return kept.withColumns({"pkg": F.expr("case when id like 'fn:%5' then 'package:0' else pkg end"), "cyclomatic": F.expr("case when id like 'method:%3' then cyclomatic + 1 else cyclomatic end")})
+
+
+def _deltas(g: Derived) -> tuple[DataFrame, DataFrame]:
+    node = review.diff(g.nodes, _head_nodes(g), "id", _NODE_FIELDS).withColumn("reasons", review.node_reasons())
+    edge = review.diff(g.side(BASE), g.side(HEAD), "id", _EDGE_FIELDS).withColumn("reasons", review.edge_reasons())
+    return node, edge
+
+
+@query(_SIDES + "SELECT id, status, reasons FROM node_delta")
+def snapshot_node_diff(g: Derived) -> DataFrame:
+    return _deltas(g)[0].select("id", "status", "reasons")
+
+
+@query(_SIDES + "SELECT id, status, reasons FROM edge_delta")
+def snapshot_edge_diff(g: Derived) -> DataFrame:
+    return _deltas(g)[1].select("id", "status", "reasons")
+
+
+@query(_SIDES + "SELECT " + ", ".join(f"(SELECT count(*) FROM {w[:-1]}_delta WHERE status = '{s}') AS {s}_{w}" for w in ("nodes", "edges") for s in ("added", "removed", "modified")))
+def review_summary(g: Derived) -> DataFrame:
+    return review.summary(*_deltas(g))
+
+
+@query(_SIDES + "SELECT id FROM visible")
+def review_visible(g: Derived) -> DataFrame:
+    return review.visible_nodes(review.changed_nodes(*_deltas(g)), g.side(BASE), g.side(HEAD))
+
+
+_REVIEW = _FACTS.rstrip() + ",\n" + _SIDES.rstrip() + """,
+touches AS (SELECT u.unit, d.status, d.id AS node, NULL::VARCHAR AS edge FROM node_delta d JOIN units u ON u.node = d.id
+  UNION ALL SELECT u.unit, d.status, u.node, d.id FROM edge_delta d JOIN units u ON u.node IN (split_part(d.id, '|', 1), split_part(d.id, '|', 3))),
+tcounts AS (SELECT unit AS id, count(DISTINCT node) AS nodes, count(DISTINCT edge) AS edges, min(node) AS focal, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM touches GROUP BY unit)
+"""
+
+
+@query(_REVIEW + """SELECT id, region, priority, nodes IS NOT NULL AS touched, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, focal, coalesce(statuses, '') AS statuses,
+  (CASE WHEN nodes IS NULL THEN priority ELSE least(100, priority + least(20, nodes * 2 + edges * 3)) END)::INT AS review_priority FROM ranked LEFT JOIN tcounts USING (id)""")
+def review_units(g: Derived) -> DataFrame:
+    node, edge = _deltas(g)
+    units = materialize(facts.unit_of(g.nodes))
+    ends = edge.select("id", "status", F.split("id", r"\|").alias("e")).select(F.col("id").alias("edge"), "status", F.explode(F.array(F.col("e")[0], F.col("e")[2])).alias("node"))
+    rows = node.select(F.col("id").alias("node"), "status", F.lit(None).cast("string").alias("edge")).unionByName(ends)
+    ranked = attention.priorities(attention.dimensions(attention.factors(unit_facts(g))))
+    return attention.review_units(ranked, rows.join(units, "node"))
+
+
+# Contracts: parts of even and of odd keys give two versions of each brand's shape.
+
+_SHAPES = """shapes AS (SELECT p_partkey % 2 AS side, 'table:' || p_brand AS contract, '/properties/' || p_type || '/type' AS path, 'integer:' || max(p_size) AS value FROM part WHERE p_partkey % 7 < 5 GROUP BY ALL),
+cbase AS (SELECT * FROM shapes WHERE side = 0 AND contract <> 'table:Brand#3'), chead AS (SELECT * FROM shapes WHERE side = 1 AND contract <> 'table:Brand#4'),
+fields AS (SELECT coalesce(a.contract, b.contract) AS contract, coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS kind, a.value AS before, b.value AS after
+  FROM (SELECT * FROM cbase WHERE contract IN (SELECT contract FROM chead)) a FULL JOIN (SELECT * FROM chead WHERE contract IN (SELECT contract FROM cbase)) b ON a.contract = b.contract AND a.path = b.path
+  WHERE a.value IS DISTINCT FROM b.value),
+compat AS (SELECT *, CASE kind WHEN 'added' THEN 'safe' ELSE 'break' END AS compat FROM fields)
+"""
+
+
+def _shapes(g: Derived) -> tuple[DataFrame, DataFrame]:
+    return g.contracts("p_partkey % 7 < 5 and p_partkey % 2 = 0").where("contract <> 'table:Brand#3'"), g.contracts("p_partkey % 7 < 5 and p_partkey % 2 = 1").where("contract <> 'table:Brand#4'")
+
+
+@query(_SHAPES + "SELECT contract, path, kind, before, after, compat FROM compat")
+def contract_diff_fields(g: Derived) -> DataFrame:
+    return review.contract_fields(*_shapes(g))
+
+
+@query(_SHAPES + """SELECT contract, 'modified' AS status, CASE max(CASE compat WHEN 'break' THEN 3 WHEN 'potential' THEN 2 ELSE 0 END) WHEN 3 THEN 'break' WHEN 2 THEN 'potential' ELSE 'safe' END AS compatibility, count(*) AS fields FROM compat GROUP BY contract
+UNION ALL SELECT DISTINCT contract, 'added', 'safe', 0 FROM chead WHERE contract NOT IN (SELECT contract FROM cbase) UNION ALL SELECT DISTINCT contract, 'removed', 'break', 0 FROM cbase WHERE contract NOT IN (SELECT contract FROM chead)""")
+def contract_compat(g: Derived) -> DataFrame:
+    return review.contract_changes(*_shapes(g))
+
+
+@query("SELECT event_id AS id, je.key AS path, 'number:' || (je.value::VARCHAR) AS value FROM events, json_each(props::JSON) je")
+def contract_flatten(g: Derived) -> DataFrame:
+    values = F.from_json("props", "map<string,string>")
+    return g.table("events").select(F.col("event_id").alias("id"), F.explode(values).alias("path", "value")).withColumn("value", F.concat(F.lit("number:"), "value"))
+
+
+# Timelines: each order is a review of a customer's repository; its lines are snapshots.
+
+
+@query("""deltas AS (SELECT event_id AS seq, 'user:' || user_id AS id, CASE WHEN event_type = 'error' THEN 'removed' ELSE 'modified' END AS status, event_type AS body FROM events)
+SELECT id, body FROM (SELECT id, arg_max(status, seq) AS status, arg_max(body, seq) AS body FROM (SELECT * FROM deltas UNION ALL SELECT -1, 'user:' || c_custkey, 'added', 'base' FROM customer) GROUP BY id) WHERE status <> 'removed'""")
+def delta_chain_replay(g: Derived) -> DataFrame:
+    user = F.concat(F.lit("user:"), F.col("user_id"))
+    deltas = g.table("events").select(F.col("event_id").alias("seq"), user.alias("id"), F.when(F.col("event_type") == "error", "removed").otherwise("modified").alias("status"), F.col("event_type").alias("body"))
+    return temporal.replay(g.table("customer").select(F.concat(F.lit("user:"), F.col("c_custkey")).alias("id"), F.lit("base").alias("body")), deltas)
+
+
+@query("""SELECT edge, (x).review AS review, (x).head AS snapshot FROM (SELECT 'method:' || l_suppkey AS edge, min({'created_at': o_orderdate, 'head': o_custkey, 'review': o_orderkey}) AS x
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_custkey % 3 <> 0 GROUP BY l_suppkey)""")
+def dependency_introduction(g: Derived) -> DataFrame:
+    reviews = g.table("orders").select(F.col("o_orderkey").alias("review"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("head"))
+    added = g.table("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("review"), F.concat(F.lit("method:"), F.col("l_suppkey")).alias("edge"))
+    return temporal.dependency_introduction(reviews, added, g.table("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("snapshot")))
+
+
+_EVIDENCE = """ev AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey % 5 + 98 END AS snapshot_id, CASE WHEN o_orderkey % 3 = 0 THEN 'c' || (o_orderkey % 2) END AS made, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate END AS valid_until FROM orders)
+"""
+
+
+@query(_EVIDENCE + """SELECT id, CASE WHEN snapshot_id > 100 THEN 'future' WHEN snapshot_id < 100 OR made <> 'c0' OR valid_until < TIMESTAMP '1997-01-01' THEN 'stale' WHEN snapshot_id IS NULL AND made IS NULL AND valid_until IS NULL THEN 'unscoped' ELSE 'valid' END AS validity FROM ev""")
+def evidence_validity(g: Derived) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = g.table("orders").select(k.alias("id"), F.when(k % 4 != 0, F.col("o_custkey") % 5 + 98).alias("snapshot_id"), F.when(k % 3 == 0, F.concat(F.lit("c"), k % 2)).alias("commit"), F.when(k % 5 == 0, F.col("o_orderdate")).alias("valid_until"))
+    return rows.select("id", temporal.evidence_validity(100, "c0", F.lit("1997-01-01").cast("timestamp")).alias("validity"))
+
+
+@query("SELECT count(*) AS count, sum(n_chars)::BIGINT AS total_bytes, round(avg(n_chars))::BIGINT AS average_bytes, CASE WHEN count(*) <= 20 AND round(avg(n_chars)) <= 26214400 THEN 'full-snapshots' ELSE 'checkpoint-deltas' END AS recommendation FROM documents")
+def storage_profile(g: Derived) -> DataFrame:
+    return temporal.storage_profile(g.table("documents").select(F.col("n_chars").alias("storage_bytes")))
+
+
+_RETENTION = """reviews AS (SELECT o_orderkey AS review, o_custkey % 20 AS repository, o_orderdate AS created_at, o_orderkey % 1000 AS base, o_orderkey % 1000 + 1 AS head FROM orders),
+kept AS (SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY repository ORDER BY created_at DESC, head DESC, review DESC) <= 3)
+"""
+
+
+def _reviews(g: Derived) -> DataFrame:
+    k = F.col("o_orderkey")
+    return g.table("orders").select(k.alias("review"), (F.col("o_custkey") % 20).alias("repository"), F.col("o_orderdate").alias("created_at"), (k % 1000).alias("base"), (k % 1000 + 1).alias("head"))
+
+
+@query(_RETENTION + "SELECT review, repository FROM kept")
+def compaction_keep(g: Derived) -> DataFrame:
+    return temporal.kept_reviews(_reviews(g), 3).select("review", "repository")
+
+
+@query(_RETENTION + "SELECT c_custkey AS snapshot FROM customer WHERE c_custkey % 100 = 0 OR c_custkey IN (SELECT base FROM kept UNION SELECT head FROM kept)")
+def compaction_snapshots(g: Derived) -> DataFrame:
+    k = F.col("c_custkey")
+    return temporal.compact(g.table("customer").select(k.alias("snapshot"), (k % 100 == 0).alias("is_current")), _reviews(g), 3).select("snapshot")
+
+
+@query("SELECT o_orderkey AS snapshot, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS previous FROM orders")
+def previous_snapshot(g: Derived) -> DataFrame:
+    return temporal.previous_snapshot(g.table("orders").select(F.col("o_orderkey").alias("snapshot"), F.col("o_custkey").alias("repository"), F.col("o_orderstatus").alias("kind")))
+
+
+@query("SELECT o_orderkey AS review, o_orderkey % 1000 AS base, o_orderkey % 1000 + 1 AS head, CASE WHEN o_orderkey % 1000 NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 'Snapshot ' || (o_orderkey % 1000) || ' is unavailable.' WHEN o_orderkey % 1000 + 1 NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 'Snapshot ' || (o_orderkey % 1000 + 1) || ' is unavailable.' END AS error FROM orders")
+def snapshot_pairs(g: Derived) -> DataFrame:
+    return temporal.snapshot_pairs(_reviews(g), g.table("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("snapshot")))
+
+
+@query("""old AS (SELECT event_id AS id, ts AS occurred_at, 'old' AS version FROM events WHERE event_id % 3 <> 0), fresh AS (SELECT event_id AS id, ts AS occurred_at, 'new' AS version FROM events WHERE event_id % 2 = 0)
+SELECT id, occurred_at, version FROM (SELECT * FROM fresh UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM fresh)) WHERE occurred_at >= TIMESTAMP '2024-01-10'""")
+def incremental_history(g: Derived) -> DataFrame:
+    rows = lambda where, version: g.table("events").where(where).select(F.col("event_id").alias("id"), F.col("ts").alias("occurred_at"), F.lit(version).alias("version"))
+    return temporal.merge_history(rows("event_id % 3 <> 0", "old"), rows("event_id % 2 = 0", "new"), F.lit("2024-01-10").cast("timestamp_ntz"))
+
+
+# Abstraction and structure
+
+
+def _serviced(g: Derived) -> DataFrame:
+    homes = g.packages.select(F.col("id").alias("home"), F.col("service").alias("home_service"))
+    return g.nodes.join(homes, F.coalesce("pkg", "id") == F.col("home"), "left").select("id", "kind", "pkg", F.col("home_service").alias("service"))
+
+
+_REPS = """reps AS (SELECT n.id AS node, coalesce(CASE WHEN n.kind NOT IN ('package', 'service') THEN n.pkg END, n.id) AS pkg_rep, coalesce(p.service, n.id) AS service_rep FROM nodes n LEFT JOIN packages p ON p.id = coalesce(n.pkg, n.id))
+"""
+
+
+def _fold_sql(rep: str) -> str:
+    return _REPS.rstrip() + f""",
+folded AS (SELECT e.*, a.rep AS s, b.rep AS t FROM edges e JOIN (SELECT node, {rep} AS rep FROM reps) a ON e.source = a.node JOIN (SELECT node, {rep} AS rep FROM reps) b ON e.target = b.node)
+SELECT s AS source, kind, t AS target, CASE WHEN count(*) > 1 THEN 'contains ' || count(*) || ' underlying relationships' ELSE min(label) END AS label, count(*) AS members, sum(observations)::BIGINT AS observations FROM folded WHERE s <> t GROUP BY s, kind, t"""
+
+
+@query(_fold_sql("pkg_rep"))
+def abstract_fold_package(g: Derived) -> DataFrame:
+    return structure.fold(g.edges, structure.representatives(_serviced(g), "package"))
+
+
+@query(_fold_sql("service_rep"))
+def abstract_fold_service(g: Derived) -> DataFrame:
+    return structure.fold(g.edges, structure.representatives(_serviced(g), "service"))
+
+
+@query(_fold_sql("CASE WHEN service_rep = 'service:1' THEN pkg_rep ELSE service_rep END"))
+def mixed_abstraction(g: Derived) -> DataFrame:
+    return structure.fold(g.edges, structure.mixed_representatives(_serviced(g), "service:1", "service", "package"))
+
+
+_METRICS = """pkg_calls AS (SELECT DISTINCT u, v FROM unit_edges), owners1 AS (SELECT id, owner FROM packages),
+sides AS (SELECT u AS id, v AS other, true AS out, u, v FROM pkg_calls UNION ALL SELECT v, u, false, u, v FROM pkg_calls),
+metrics AS (SELECT p.id, count(DISTINCT CASE WHEN NOT out THEN other END) AS fan_in, count(DISTINCT CASE WHEN out THEN other END) AS fan_out, count(DISTINCT other) AS coupling,
+  coalesce(count(*) FILTER (WHERE a.owner <> b.owner) * 1.0::DOUBLE / nullif(count(*) FILTER (WHERE a.owner IS NOT NULL AND b.owner IS NOT NULL), 0), 0) AS boundary_density
+  FROM packages p LEFT JOIN sides s ON s.id = p.id LEFT JOIN owners1 a ON a.id = s.u LEFT JOIN owners1 b ON b.id = s.v GROUP BY p.id)
+"""
+
+
+def _package_calls(g: Derived) -> DataFrame:
+    pairs = facts.unit_edges(g.edges, facts.unit_of(g.nodes)).select("u", "v").distinct()
+    return materialize(pairs.select(F.concat_ws("|", "u", F.lit("calls"), "v").alias("id"), F.col("u").alias("source"), F.lit("calls").alias("kind"), F.col("v").alias("target")))
+
+
+@query(_METRICS + "SELECT id, fan_in, fan_out, coupling, round(boundary_density, 6) AS boundary_density FROM metrics")
+def structural_metrics(g: Derived) -> DataFrame:
+    return structure.structural_metrics(_package_calls(g), g.packages).withColumn("boundary_density", F.round("boundary_density", 6))
+
+
+@query(_SCC + "SELECT component, node FROM scc")
+def structural_cycles(g: Derived) -> DataFrame:
+    return structure.structural_cycles(_package_calls(g), g.packages)
+
+
+@query(_METRICS.rstrip() + ",\n" + _LOCAL.rstrip() + ",\n" + _BETWEEN + """SELECT id, round(coupling * 1.0::DOUBLE / greatest(1, (SELECT max(coupling) FROM metrics)) * 0.35::DOUBLE + least(1.0::DOUBLE, coalesce(local_complexity, 0) / 10) * 0.25::DOUBLE
+  + CASE WHEN right(id, 1) = '3' THEN 0.2::DOUBLE ELSE 0 END + boundary_density * 0.1::DOUBLE + c.score * 0.1::DOUBLE, 6) AS score FROM metrics LEFT JOIN local USING (id) JOIN central c USING (id)""")
+def hotspots(g: Derived) -> DataFrame:
+    metrics = materialize(structure.structural_metrics(_package_calls(g), g.packages, 64))
+    scores = facts.complexity(g.edges, g.nodes).join(facts.unit_of(g.nodes).withColumnRenamed("node", "id"), "id").select("unit", "score")
+    local = attention.local_complexity(scores).select(F.col("unit").alias("id"), F.col("local_complexity").alias("score"))
+    return structure.hotspots(metrics, local, g.packages.where("id like '%3'").select("id")).withColumn("score", F.round("score", 6))
+
+
+_COUPLE = "".join(f"""{n}_sides AS (SELECT source AS id, target AS other FROM {n}_edges WHERE kind = 'calls' UNION SELECT target, source FROM {n}_edges WHERE kind = 'calls'),
+{n}_coupling AS (SELECT n.id, count(s.other) AS coupling FROM nodes n LEFT JOIN {n}_sides s USING (id) GROUP BY n.id),
+""" for n in ("base", "head"))
+
+
+@query(_SIDES.rstrip() + ",\n" + _COUPLE.rstrip().rstrip(",") + """
+SELECT 'dependency:' || id || ':' || status AS id, 'dependency' AS kind, CASE status WHEN 'added' THEN 'introduced' ELSE 'removed' END AS direction, CASE status WHEN 'added' THEN 90 ELSE 65 END AS score FROM edge_delta WHERE status <> 'modified'
+UNION ALL SELECT 'ownership:' || id, 'ownership', 'changed', 80 FROM node_delta WHERE contains(reasons, 'ownership-changed')
+UNION ALL SELECT 'coupling:' || a.id, 'coupling', CASE WHEN b.coupling > a.coupling THEN 'increased' ELSE 'decreased' END, CASE WHEN b.coupling > a.coupling THEN 68 ELSE 30 END FROM base_coupling a JOIN head_coupling b ON a.id = b.id WHERE a.coupling <> b.coupling""")
+def evolution_changes(g: Derived) -> DataFrame:
+    node, edge = _deltas(g)
+    reasons = node.select("id", F.explode(F.split("reasons", ",")).alias("reason"), F.lit(False).alias("rises"))
+    own = g.nodes.select("id", F.lit(None).cast("string").alias("owner"))
+    coupling = lambda where: structure.structural_metrics(g.side(where).where("kind = 'calls'"), own)
+    none = g.spark.createDataFrame([], "key string")
+    return structure.evolution(edge.select("id", "status"), reasons, coupling(BASE), coupling(HEAD), none, none)
+
+
+# Ranking and frontiers: the packages are roots, the symbols called from them candidates.
+
+_CANDIDATES = """degree AS (SELECT id, (SELECT count(*) FROM edges WHERE source = n.id) + (SELECT count(*) FROM edges WHERE target = n.id) AS degree FROM nodes n),
+cand AS (SELECT e.source AS root, e.target AS node, e.kind AS edge_kind, n.kind AS node_kind, n.label, n.pkg, 1 AS depth, a.owner AS own_from, b.owner AS own_to, d.degree, e.sync, e.observations AS evidence,
+  CASE WHEN n.id LIKE '%3' THEN 'modified' END AS node_pr, CASE WHEN e.target LIKE '%4' THEN 'added' END AS edge_pr, least(1, ln(1 + coalesce(t.rpm, 0)) / ln(10001)) AS runtime
+  FROM edges e JOIN nodes n ON e.target = n.id JOIN degree d ON d.id = n.id LEFT JOIN units u ON u.node = e.source LEFT JOIN packages a ON a.id = u.unit LEFT JOIN packages b ON b.id = n.pkg
+  LEFT JOIN (SELECT 'method:' || s_suppkey AS id, round(s_acctbal / 10, 3) AS rpm FROM supplier WHERE s_acctbal > 0) t ON t.id = n.id WHERE e.kind IN ('owns', 'calls', 'writes', 'reads', 'publishes')),
+scored_cand AS (SELECT *, 9 * CASE WHEN node_pr IS NOT NULL THEN 1.0 WHEN edge_pr IS NOT NULL THEN 0.9 ELSE 0 END::DOUBLE + 8 + 5 * runtime + 5 * CASE WHEN node_kind = 'topic' AND edge_kind = 'publishes' THEN 0.65 ELSE 0 END::DOUBLE
+  + 4 * CASE WHEN edge_kind IN ('writes', 'publishes') THEN 0.55 ELSE 0 END::DOUBLE + 3 * CASE WHEN own_from <> own_to THEN 1 ELSE 0 END + 3 * CASE WHEN node_kind IN ('table', 'topic') THEN 1 ELSE 0 END + least(1.0::DOUBLE, ln(1 + degree) / ln(20)) AS score FROM cand)
+"""
+
+
+def _candidates(g: Derived) -> DataFrame:
+    edges = g.edges.where(F.col("kind").isin("owns", "calls", "writes", "reads", "publishes"))
+    degree = g.edges.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    owners = g.packages.select("id", "owner")
+    rpm = g.telemetry.select(F.col("node_id").alias("node"), "rpm")
+    nodes = g.nodes.select(F.col("id").alias("node"), F.col("kind").alias("node_kind"), F.col("label").alias("node_label"), "pkg")
+    rows = edges.select(F.col("source").alias("root"), F.col("target").alias("node"), F.col("kind").alias("edge_kind"), "sync", F.col("observations").alias("evidence")).join(nodes, "node").join(degree, "node").join(rpm, "node", "left")
+    home = facts.unit_of(g.nodes).withColumnRenamed("node", "root").join(owners.select(F.col("id").alias("unit"), F.col("owner").alias("own_from")), "unit").select("root", "own_from")
+    rows = rows.join(home, "root", "left").join(owners.select(F.col("id").alias("pkg"), F.col("owner").alias("own_to")), "pkg", "left")
+    null = F.lit(None).cast("double")
+    runtime = F.when(F.col("rpm").isNotNull(), ranking.runtime_signal(F.col("rpm"), null, null, null, null))
+    return ranking.with_score(rows.withColumns({"label": F.col("node_label"), "depth": F.lit(1), "finding": F.lit(False), "runtime": runtime, "node_pr": F.when(F.col("node").endswith("3"), "modified"), "edge_pr": F.when(F.col("node").endswith("4"), "added")}))
+
+
+@query(_CANDIDATES + """SELECT root, node, edge_kind, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY round(score, 9) DESC, depth,
+  list_position(['calls', 'writes', 'publishes', 'consumes', 'reads', 'retries', 'tests', 'depends_on', 'transforms', 'owns'], edge_kind), CASE node_kind WHEN 'table' THEN 4 WHEN 'topic' THEN 5 WHEN 'function' THEN 7 WHEN 'method' THEN 7 WHEN 'package' THEN 9 ELSE 10 END, label, node) AS rank FROM scored_cand) WHERE rank <= 8""")
+def relevance_top8(g: Derived) -> DataFrame:
+    rows = _candidates(g).withColumn("score", F.round("score", 9))
+    return ranking.top(rows, 8).select("root", "node", "edge_kind", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(_CANDIDATES.rstrip() + """,
+groups AS (SELECT 'all' AS root, coalesce(pkg, 'ungrouped') AS value, count(*) AS members, max(score) AS best, max(score) + ln(1 + count(*)) * 0.25::DOUBLE AS score, sum(evidence) AS evidence FROM scored_cand GROUP BY 2),
+placed AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, value) AS rank FROM groups)
+SELECT root, CASE WHEN rank >= 6 THEN 'remainder' ELSE value END AS value, rank >= 6 AS remainder, sum(members)::BIGINT AS members, round(max(best) + ln(1 + sum(members)) * 0.25::DOUBLE, 6) AS score, sum(evidence)::BIGINT AS evidence FROM placed GROUP BY 1, 2, 3""")
+def frontier_groups(g: Derived) -> DataFrame:
+    rows = _candidates(g).withColumn("root", F.lit("all"))
+    return ranking.frontier_groups(rows, 6).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT id, CASE kind WHEN 'consumes' THEN 'event consumers' WHEN 'publishes' THEN 'event publishers' WHEN 'reads' THEN 'database readers' WHEN 'writes' THEN 'database writers' WHEN 'tests' THEN 'tests' WHEN 'calls' THEN 'callers' ELSE 'upstream dependencies' END AS upstream,
+  CASE kind WHEN 'consumes' THEN 'event consumers' WHEN 'publishes' THEN 'published events' WHEN 'reads' THEN 'data dependencies' WHEN 'writes' THEN 'data dependencies' WHEN 'tests' THEN 'tests' ELSE 'downstream dependencies' END AS downstream FROM edges""")
+def frontier_categories(g: Derived) -> DataFrame:
+    return g.edges.select("id", ranking.category(F.col("kind"), F.lit(True)).alias("upstream"), ranking.category(F.col("kind"), F.lit(False)).alias("downstream"))
+
+
+# Paths from services to brands: containment, calls and data flow.
+
+_WALKS = """arcs AS (SELECT source AS a, target AS b, id, CASE WHEN kind = 'owns' THEN 0 ELSE 1 END AS cost, CASE WHEN kind = 'owns' THEN 'down' END AS way FROM edges WHERE kind IN ('owns', 'writes')
+  UNION ALL SELECT target, source, id, CASE WHEN kind = 'owns' THEN 0 ELSE 1 END, CASE WHEN kind = 'owns' THEN 'up' END FROM edges WHERE kind IN ('owns', 'reads')),
+walks AS (SELECT 'service:0' AS node, ['service:0'] AS nodes, []::VARCHAR[] AS ids, 0 AS hops, NULL::VARCHAR AS last
+  UNION ALL SELECT b, list_append(nodes, b), list_append(ids, id), hops + cost, way FROM walks w JOIN arcs ON a = node WHERE len(ids) < 4 AND NOT list_contains(nodes, b) AND NOT coalesce(last = 'up' AND way = 'down', false) AND node NOT LIKE 'table:%')
+"""
+
+
+@query(_WALKS + "SELECT dst, hops, edges FROM (SELECT node AS dst, hops, array_to_string(ids, '>') AS edges, row_number() OVER (PARTITION BY node ORDER BY hops, len(ids), ids) AS rank FROM walks WHERE node LIKE 'table:%') WHERE rank = 1")
+def semantic_path_best(g: Derived) -> DataFrame:
+    pairs = g.nodes.where("kind = 'table'").select(F.lit("service:0").alias("src"), F.col("id").alias("dst"))
+    found = paths.paths(paths.steps(g.edges, paths.POLICIES["data-lineage"] | {"publishes": None, "consumes": None, "transforms": None}), pairs, 1, 4)
+    return found.where("rank = 1").select("dst", F.col("hops"), F.array_join("edges", ">").alias("edges"))
+
+
+# Data flow in SQL text
+
+STATEMENTS = ["select a from orders join lines on x = y", "INSERT INTO audit SELECT * FROM events", "update stock set n = 1", "delete from cart where id = ?", "select 1", "UPDATE t SET x = (select y from z)"]
+
+
+@query("""stmts AS (SELECT * FROM (VALUES """ + ", ".join(f"({k}, '{t}')" for k, t in enumerate(STATEMENTS)) + """) s(id, text)),
+hits AS (SELECT id, unnest(regexp_extract_all(text, '(?i)\\b(?:from|join|into|update)\\s+([a-z_][a-z0-9_.]*)', 1)) AS name, CASE WHEN upper(split_part(text, ' ', 1)) IN ('INSERT', 'UPDATE', 'DELETE', 'REPLACE') THEN 'writes' ELSE 'reads' END AS kind FROM stmts)
+SELECT DISTINCT id, name, kind FROM hits WHERE lower(name) <> 'set'""")
+def dataflow_tables_from_sql(g: Derived) -> DataFrame:
+    from ..operators import dataflow
+
+    rows = g.spark.createDataFrame(list(enumerate(STATEMENTS)), "id int, text string")
+    return dataflow.sql_tables(rows)
