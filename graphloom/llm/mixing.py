@@ -23,8 +23,8 @@ DOMAINS = ("good", "low", "toxic")
 #: Labelled documents that the classifier learns from, in the mean, and the words it keeps.
 SAMPLE, LEXICON = 8000, 100
 #: A word speaks for a domain if it is that many times as likely there.
-LIFT, LEVELS = 8.0, 4
-STEPS, CLOSE = 10, 1e-6
+LIFT, LEVELS, LEAST = 8.0, 4, 5
+STEPS, CLOSE = 16, 1e-6
 #: Shares of all tokens.
 TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 
@@ -39,7 +39,7 @@ def _words(text: Column) -> Column:
     size = F.greatest(F.length(text), F.lit(1))
     share = lambda chars: (size - F.length(F.translate(text, chars, ""))) / size
     signs = F.array(*[F.when(share(chars) > most, F.lit("\x01" + name)) for name, chars, most in (("marks", "&%$*#!", 0.06), ("capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.4), ("bars", "|", 0.04))])
-    return F.concat(F.split(F.lower(text), "[ \t\r\n]+"), F.array_compact(signs))
+    return F.concat(F.split(F.lower(text), "[ \t\r\n.,!?;:]+"), F.array_compact(signs))
 
 
 def token_count(text: Column) -> Column:
@@ -75,19 +75,19 @@ class Classifier:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> Classifier:
     """Words by how well they tell a domain; chances by counting what they tell.
 
-    Learns from about ``sample`` labelled documents, by a hash of doc_id, words
-    from one half and chances from the other; with fewer labels all are used.
-    Repeated labels of a document are united.
+    Learns from about ``sample`` labelled documents, by a hash of doc_id; with
+    fewer labels all are used. Repeated labels of a document are united. Words
+    count from LEAST documents on, lest chance finds speak for a domain.
     """
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     share = min(1.0, sample / max(1, known.count()))
     drawn = F.xxhash64("doc_id", F.lit("mix")).bitwiseAND((1 << 30) - 1)
-    chosen = known.where(drawn / float(1 << 30) < share).select("doc_id", domain(F.col("q"), F.col("t")).alias("domain"), (drawn % 2).alias("half"))  # bounded by ``sample``
+    chosen = known.where(drawn / float(1 << 30) < share).select("doc_id", domain(F.col("q"), F.col("t")).alias("domain"))  # bounded by ``sample``
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    texts = materialize(texts.select("domain", "half", "text"), "labelled")
-    held = texts.where("half = 0").select("domain", F.explode(F.concat(F.array_distinct(_words(F.col("text"))), F.array(F.lit("\x02all")))).alias("word"))
+    texts = materialize(texts.select("domain", "text"), "labelled")
+    held = texts.select("domain", F.explode(F.concat(F.array_distinct(_words(F.col("text"))), F.array(F.lit("\x02all")))).alias("word"))
     sums = [F.sum((F.col("domain") == k).cast("long")).alias(f"n{k}") for k in range(len(DOMAINS))]
-    counts = materialize(held.where("word <> ''").groupBy("word").agg(*sums).where("n0 + n1 + n2 > 2"), "words")
+    counts = materialize(held.where("word <> ''").groupBy("word").agg(*sums).where(f"n0 + n1 + n2 >= {LEAST} or word = '\x02all'"), "words")
     n = counts.where("word = '\x02all'").collect()
     n = [n[0][f"n{k}"] for k in range(len(DOMAINS))] if n else [0] * len(DOMAINS)
     total = float(sum(n))
@@ -102,7 +102,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
         words.append([r["word"] for r in best.collect()])
     size = LEVELS ** (len(DOMAINS) - 1)
     blank = Classifier(words, [[0.0] * len(DOMAINS)] * size)
-    cells = blank.levels(texts.where("half = 1"), "level").groupBy("level", "domain").count().collect()
+    cells = blank.levels(texts, "level").groupBy("level", "domain").count().collect()
     seen = [[0] * len(DOMAINS) for _ in range(size)]
     for r in cells:
         seen[r["level"]][r["domain"]] = r["count"]
