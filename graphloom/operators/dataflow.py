@@ -37,7 +37,7 @@ def classify_calls(calls: DataFrame) -> DataFrame:
     order SQL, message, cache, HTTP; the first that hits is the only one.
     """
     receiver, method = F.lower("receiver"), F.lower("method")
-    low = lambda f: F.filter("values", f)[0]
+    low = lambda f: F.get(F.filter("values", f), F.lit(0))
     statement = F.when(method.isin(SQL_METHODS), low(lambda v: F.size(table_names(v)) > 0))
     messaging = receiver.rlike(MESSAGE_RECEIVERS)
     sends = (method.isin("publish", "produce")) | messaging & method.isin("send", "sendmessage")
