@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, predicates
-from ..operators import attention, facts, graph, paths, ranking, review, structure, temporal
+from ..operators import attention, dataflow, facts, graph, paths, projection, ranking, review, structure, temporal
+from ..registry import ProjectionRequest
 from .derived import NOW, SQL, WINDOW_DAYS, Derived
 from .scratch import materialize
 
@@ -723,7 +724,13 @@ STATEMENTS = ["select a from orders join lines on x = y", "INSERT INTO audit SEL
 hits AS (SELECT id, unnest(regexp_extract_all(text, '(?i)\\b(?:from|join|into|update)\\s+([a-z_][a-z0-9_.]*)', 1)) AS name, CASE WHEN upper(split_part(text, ' ', 1)) IN ('INSERT', 'UPDATE', 'DELETE', 'REPLACE') THEN 'writes' ELSE 'reads' END AS kind FROM stmts)
 SELECT DISTINCT id, name, kind FROM hits WHERE lower(name) <> 'set'""")
 def dataflow_tables_from_sql(g: Derived) -> DataFrame:
-    from ..operators import dataflow
-
     rows = g.spark.createDataFrame(list(enumerate(STATEMENTS)), "id int, text string")
     return dataflow.sql_tables(rows)
+
+
+@query()
+def project_visible(g: Derived) -> DataFrame:
+    """The bounded view of a package's impact; its order-dependent choice is not for SQL."""
+    homes = g.packages.select(F.col("id").alias("home"), "service", "owner")
+    nodes = g.nodes.join(homes, F.coalesce("pkg", "id") == F.col("home"), "left").drop("home")
+    return projection.project(nodes, g.edges, ProjectionRequest(roots=(ROOT,), projection="impact"), telemetry=g.telemetry)
