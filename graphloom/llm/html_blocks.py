@@ -265,10 +265,11 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) ->
         found = blocks(html)
         if found and len(found) == len(labels):
             data.append((vectors(found), np.array(labels, np.float32)))
+    data.sort(key=lambda d: len(d[0]))  # pages of like length meet in a batch
     model, moments, step = Labeller(seed=seed), {}, 0
     for epoch in range(epochs):
-        for at in range(0, pages, BATCH):
-            chosen = [data[i] for i in r.integers(0, pages, BATCH)]
+        for first in r.permutation(np.arange(r.integers(0, BATCH), pages, BATCH)):
+            chosen = data[first : first + BATCH]
             x, mask = _padded([c[0] for c in chosen])
             y = np.zeros_like(mask)
             for k, (_, labels) in enumerate(chosen):
