@@ -2,34 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from graphloom.plans.scratch import materialize, scratch_path, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where unset (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="graphloom-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage, so a lost executor costs a reread and no recomputation,
-    and gives the planner the table's true size for its join choices.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "scratch_path", "shared_dir"]

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .shared import materialize
@@ -91,19 +92,42 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): near-duplicate classes of whole texts.
+    """(doc_id, fp, component_id, root): near-duplicate classes of whole texts.
 
     Null, empty and blank texts have fingerprint zero and link like others.
     Repeated rows keep their rows and share a class. component_id is the least
-    doc_id reachable; rows whose doc_id is null are grouped too and count only
-    when no member has one. An empty table gives an empty result.
+    doc_id reachable, null where no member has one; ``root`` names a class in
+    any case. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(near_links(distinct.select("fp")))
     classed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(classed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classed.join(least, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, unchanged: of each near-duplicate class the row with the least doc_id.
+
+    Of rows that repeat this doc_id one stays. A class without any doc_id keeps
+    one of its rows.
+    """
+    groups, names = simhash_groups(docs), [*docs.columns, "__fp"]
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    own = F.col("doc_id").cast("long")
+    named = docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    bare = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("__fp")).select("__fp")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.fromiter(map(fingerprint, batch.column(batch.num_columns - 1).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], names)
+
+    nameless = docs.where(own.isNull()).withColumn("__text", F.col("text").cast("binary"))
+    marked = nameless.mapInArrow(add, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    kept = marked.join(bare, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*[f"`{c}`" for c in docs.columns])
+    return named.union(kept)
 
 
 def op1(docs: DataFrame) -> DataFrame:
