@@ -75,9 +75,9 @@ def factors(facts: DataFrame) -> DataFrame:
         known = F.lit(False) if fact is None else F.lit(True) if needs is None else F.coalesce(F.col(needs), F.lit(False))
         rows.append(F.struct(F.lit(dim).alias("dimension"), F.lit(name).alias("factor"), F.lit(place).alias("place"), F.lit(weight).alias("weight"), F.lit(rule).alias("rule"), F.when(known, F.coalesce(raw, F.lit(0.0))).alias("raw"), known.alias("known")))
     long = facts.select("id", F.explode(F.array(*rows)).alias("f")).select("id", "f.*")
-    cohort = long.where("known").groupBy("factor").agg(F.expr("percentile_disc(0.95) within group (order by raw)").alias("p95"), F.count("*").alias("n"))
-    told = long.join(F.broadcast(cohort), "factor", "left")  # a row per factor
-    units = F.count("*").over(Window.partitionBy("factor"))
+    cohort = long.groupBy("factor").agg(F.expr("percentile_disc(0.95) within group (order by raw)").alias("p95"), F.count("*").alias("units"))  # unknown values are null and not ranked
+    told = long.join(F.broadcast(cohort), "factor")  # a row per factor
+    units = F.col("units")
     scaled = F.when(F.col("raw") <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.log1p("raw") / F.log1p(F.greatest(F.lit(1.0), F.col("p95")))))
     rule = F.col("rule")
     value = F.when(rule == "cohort", scaled).when(rule == "share", F.least(F.lit(1.0), F.col("raw") / F.greatest(F.lit(1), units - 1))).when(rule == "tenth", F.least(F.lit(1.0), F.col("raw") / 10)).otherwise(F.col("raw"))
