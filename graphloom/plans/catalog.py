@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, predicates
-from ..operators import attention, dataflow, facts, graph, paths, projection, ranking, review, structure, temporal
+from ..operators import attention, dataflow, facts, graph, overlays, paths, projection, ranking, review, structure, temporal
 from ..registry import ProjectionRequest
 from .derived import NOW, SQL, WINDOW_DAYS, Derived
 from .scratch import materialize
@@ -734,3 +734,146 @@ def project_visible(g: Derived) -> DataFrame:
     homes = g.packages.select(F.col("id").alias("home"), "service", "owner")
     nodes = g.nodes.join(homes, F.coalesce("pkg", "id") == F.col("home"), "left").drop("home")
     return projection.project(nodes, g.edges, ProjectionRequest(roots=(ROOT,), projection="impact"), telemetry=g.telemetry)
+
+
+# Overlays
+
+_PROOF = """claims AS (SELECT id, CASE WHEN kind = 'calls' THEN ['e1:' || id, 'gone'] WHEN kind = 'consumes' THEN []::VARCHAR[] END AS refs FROM edges),
+proof AS (SELECT 'e' || n || ':' || id AS id, id AS edge, CASE n WHEN 1 THEN 'proven' ELSE 'observed' END AS strength FROM edges, (VALUES (1), (2)) v(n) WHERE kind <> 'owns')
+"""
+
+
+def _claims(g: Derived) -> tuple[DataFrame, DataFrame]:
+    kind = F.col("kind")
+    claims = g.edges.select("id", F.when(kind == "calls", F.array(F.concat(F.lit("e1:"), "id"), F.lit("gone"))).when(kind == "consumes", F.array().cast("array<string>")).alias("refs"))
+    proof = g.edges.where("kind <> 'owns'").select(F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), F.col("id").alias("edge"))
+    return claims, proof.select(F.concat(F.lit("e"), "n", F.lit(":"), "edge").alias("id"), "edge", F.when(F.col("n") == 1, "proven").otherwise("observed").alias("strength"))
+
+
+@query(_PROOF + """SELECT c.id AS edge, p.id AS evidence, p.strength FROM claims c JOIN proof p ON list_contains(c.refs, p.id)
+UNION ALL SELECT c.id, coalesce(p.id, 'legacy:' || c.id), coalesce(p.strength, 'inferred') FROM claims c LEFT JOIN proof p ON p.edge = c.id WHERE c.refs IS NULL""")
+def edge_evidence(g: Derived) -> DataFrame:
+    return overlays.edge_evidence(*_claims(g))
+
+
+@query(_PROOF + "SELECT DISTINCT edge AS id FROM proof WHERE strength = 'proven' AND edge IN (SELECT id FROM edges WHERE kind IN ('calls', 'depends_on', 'owns', 'implements'))")
+def evidence_policy(g: Derived) -> DataFrame:
+    proof = _claims(g)[1].withColumns({"source": F.lit("CODE"), "valid_until": F.lit(None).cast("timestamp")})
+    kept = paths.eligible_evidence(proof, "proven", False, "2024-01-01")
+    return paths.eligible_edges(g.edges.where(F.col("kind").isin("calls", "depends_on", "owns", "implements")), kept).select("id")
+
+
+@query("SELECT n.id, (SELECT count(*) FROM edges WHERE target = n.id) AS fan_in, (SELECT count(*) FROM edges WHERE source = n.id) AS fan_out, (SELECT count(*) FROM edges WHERE source = n.id OR target = n.id) AS adjacent FROM nodes n")
+def adjacency_index(g: Derived) -> DataFrame:
+    return overlays.adjacency(g.nodes, g.edges)
+
+
+_VIOLATIONS = """violations AS (SELECT 'v:' || id AS id, CASE WHEN cyclomatic > 18 THEN 'cyclomatic' ELSE 'mystery' END AS rule_id, id AS primary_node, CASE WHEN cyclomatic = 20 THEN [id, pkg] ELSE []::VARCHAR[] END AS path FROM nodes WHERE cyclomatic > 17)
+"""
+
+
+def _violations(g: Derived) -> DataFrame:
+    rows, level = g.nodes.where("cyclomatic > 17"), F.col("cyclomatic")
+    return rows.select(F.concat(F.lit("v:"), "id").alias("id"), F.when(level > 18, "cyclomatic").otherwise("mystery").alias("rule_id"), F.col("id").alias("primary_node"), F.when(level == 20, F.array("id", "pkg")).otherwise(F.array().cast("array<string>")).alias("path"))
+
+
+@query(_VIOLATIONS + "SELECT id AS violation, unnest(CASE WHEN len(path) > 0 THEN path ELSE [primary_node] END) AS node FROM violations")
+def finding_nodes(g: Derived) -> DataFrame:
+    return overlays.finding_nodes(_violations(g))
+
+
+@query(_VIOLATIONS + "SELECT id, rule_id, CASE rule_id WHEN 'cyclomatic' THEN 'low' ELSE 'medium' END AS severity, CASE rule_id WHEN 'cyclomatic' THEN 'Branches' END AS rule_title FROM violations")
+def violations_with_rules(g: Derived) -> DataFrame:
+    rules = g.spark.createDataFrame([("cyclomatic", "low", "Branches")], "id string, severity string, title string")
+    return overlays.violations_with_rules(_violations(g), rules).select("id", "rule_id", "severity", "rule_title")
+
+
+@query(_VIOLATIONS + "SELECT id, kind FROM nodes WHERE id IN (SELECT unnest(CASE WHEN len(path) > 0 THEN path ELSE [primary_node] END) FROM violations)")
+def lint_nodes(g: Derived) -> DataFrame:
+    return overlays.mode_filter(g.nodes, "lint", overlays.finding_nodes(_violations(g))).select("id", "kind")
+
+
+@query(_VIOLATIONS.rstrip() + ",\n" + _REPS + "SELECT DISTINCT r.pkg_rep AS id FROM (SELECT unnest(CASE WHEN len(path) > 0 THEN path ELSE [primary_node] END) AS node FROM violations) v JOIN reps r ON r.node = v.node")
+def lint_roots(g: Derived) -> DataFrame:
+    return overlays.finding_nodes(_violations(g)).join(structure.representatives(_serviced(g), "package"), "node").select(F.col("rep").alias("id")).distinct()
+
+
+@query(_HOPS.rstrip() + ",\n" + _FANS + "SELECT n.id, n.kind, s.score, h.hop, round(s_acctbal / 10, 3) AS rpm FROM nodes n LEFT JOIN scored s ON s.id = n.id LEFT JOIN hops h ON h.node = n.id LEFT JOIN supplier ON n.id = 'method:' || s_suppkey AND s_acctbal > 0 WHERE n.pkg = 'package:3'")
+def mode_decorations(g: Derived) -> DataFrame:
+    shown = g.nodes.where("pkg = 'package:3'").select("id", "kind")
+    blank = g.spark.createDataFrame([], "id string, note string")
+    score, hops = facts.complexity(g.edges, g.nodes).select("id", "score"), _impact(g).select(F.col("node").alias("id"), "hop")
+    rpm = g.telemetry.select(F.col("node_id").alias("id"), "rpm")
+    return overlays.decorate(shown, blank, score, rpm, blank.withColumnRenamed("note", "change"), hops).select("id", "kind", "score", "hop", "rpm")
+
+
+@query(_SIDES.rstrip() + ",\n" + _REPS + "SELECT rep, CASE WHEN bool_or(status = 'added') THEN 'added' WHEN bool_or(status = 'removed') THEN 'removed' ELSE 'modified' END AS status FROM (SELECT r.pkg_rep AS rep, d.status FROM node_delta d JOIN reps r ON r.node = d.id) GROUP BY rep")
+def status_rollup(g: Derived) -> DataFrame:
+    members = structure.representatives(_serviced(g), "package").select("rep", F.col("node").alias("id"))
+    return overlays.status_of(members, _deltas(g)[0].select("id", "status"))
+
+
+@query(_SIDES + "SELECT id FROM changed")
+def review_changes_only(g: Derived) -> DataFrame:
+    node, edge = _deltas(g)
+    return overlays.changes_only(g.nodes, node, edge)
+
+
+@query(_SIDES + "SELECT id FROM base_edges")
+def review_base_side(g: Derived) -> DataFrame:
+    return overlays.side(g.side(HEAD), _deltas(g)[1], "base")
+
+
+@query(_SIDES.rstrip() + ",\n" + _REPS + "SELECT DISTINCT r.service_rep AS id FROM changed c JOIN reps r ON r.node = c.id")
+def archived_roots(g: Derived) -> DataFrame:
+    reps = structure.representatives(_serviced(g), "service").withColumnRenamed("node", "id")
+    return review.changed_nodes(*_deltas(g)).join(reps, "id").select(F.col("rep").alias("id")).distinct()
+
+
+@query(f"SELECT id, kind FROM edges WHERE source = '{ROOT}' OR target = '{ROOT}' ORDER BY id LIMIT 30")
+def relationships_in_scope(g: Derived) -> DataFrame:
+    return overlays.in_scope(g.edges, ROOT).select("id", "kind")
+
+
+@query(_PROOF + """SELECT 'edge' AS what, id FROM unit_edges WHERE v = 'package:3' UNION ALL SELECT 'evidence', p.id FROM proof p JOIN unit_edges u ON p.edge = u.id WHERE u.v = 'package:3'
+UNION ALL SELECT 'change', id FROM changes WHERE unit = 'package:3' AND event_type = 'signup'""")
+def evidence_bundle(g: Derived) -> DataFrame:
+    deps = facts.unit_edges(g.edges, facts.unit_of(g.nodes)).where("v = 'package:3'").select(F.lit("edge").alias("kind"), F.col("id").alias("ref"))
+    git = g.events.where("unit = 'package:3' and endswith(path, '.sql')").select(F.lit("git-change").alias("kind"), F.col("id").alias("ref"))
+    return overlays.evidence_bundle(deps.union(git), g.edges, _claims(g)[1], g.events)
+
+
+@query("SELECT id, family, family || '-out' AS source_port, family || '-in' AS target_port, CASE family WHEN 'control' THEN 0 WHEN 'data' THEN 1 WHEN 'async' THEN 2 ELSE 3 END AS lane FROM (SELECT id, CASE WHEN kind IN ('publishes', 'consumes') THEN 'async' WHEN kind IN ('reads', 'writes') THEN 'data' WHEN kind IN ('owns', 'tests') THEN 'ownership' ELSE 'control' END AS family FROM edges)")
+def edge_ports(g: Derived) -> DataFrame:
+    return overlays.edge_ports(g.edges)
+
+
+_SEGMENTS = """seg AS (SELECT id, source, target, (ord * 37) % 1000 * 1.0::DOUBLE AS ax, (ord * 91) % 777 * 1.0::DOUBLE AS ay, (ord * 53) % 1000 * 1.0::DOUBLE AS bx, (ord * 17) % 777 * 1.0::DOUBLE AS by
+  FROM (SELECT 'fn:' || o_custkey || '|' || l_suppkey || '|' || ord AS id, 'fn:' || o_custkey AS source, 'method:' || l_suppkey AS target, ord FROM lines))
+"""
+
+
+@query(_SEGMENTS + """SELECT p.id AS a, q.id AS b FROM seg p JOIN seg q ON p.id < q.id WHERE p.source <> q.source AND p.target <> q.target
+  AND ((p.by - p.ay) * (q.ax - p.bx) - (p.bx - p.ax) * (q.ay - p.by)) * ((p.by - p.ay) * (q.bx - p.bx) - (p.bx - p.ax) * (q.by - p.by)) < 0
+  AND ((q.by - q.ay) * (p.ax - q.bx) - (q.bx - q.ax) * (p.ay - q.by)) * ((q.by - q.ay) * (p.bx - q.bx) - (q.bx - q.ax) * (p.by - q.by)) < 0""")
+def edge_crossings(g: Derived) -> DataFrame:
+    ord_ = F.col("ord")
+    at = lambda k, m: (ord_ * k % m).cast("double")
+    ends = g.lines.select(F.concat(F.lit("fn:"), "o_custkey").alias("source"), F.concat(F.lit("method:"), "l_suppkey").alias("target"), F.concat(F.lit("fn:"), "o_custkey", F.lit("|"), "l_suppkey", F.lit("|"), "ord").alias("id"), at(37, 1000).alias("ax"), at(91, 777).alias("ay"), at(53, 1000).alias("bx"), at(17, 777).alias("by"))
+    return overlays.crossings(materialize(ends), 100.0)
+
+
+@query("SELECT DISTINCT 'team' AS what, unnest(owners) AS value FROM packages WHERE owners IS NOT NULL UNION ALL SELECT DISTINCT 'service', service FROM packages")
+def distinct_lists(g: Derived) -> DataFrame:
+    teams = g.packages.select(F.lit("team").alias("what"), F.explode("owners").alias("value")).distinct()
+    return teams.union(g.packages.select(F.lit("service"), "service").distinct())
+
+
+@query("""paths AS (SELECT DISTINCT 'N' || (user_id % 30) || '/' || CASE event_type WHEN 'signup' THEN 'schema/a.sql:' || (user_id % 9) WHEN 'error' THEN 'LICENSE' WHEN 'view' THEN 'vendor/a.pb.go:3' ELSE 'f.go:x' END AS path FROM events)
+SELECT path, CASE WHEN contains(path, ':') THEN regexp_extract(path, '^(.*):[^:]*$', 1) ELSE path END AS file, TRY_CAST(nullif(regexp_extract(path, ':([0-9]+)$', 1), '') AS INT) AS line, split_part(path, '/', 1) AS subsystem, contains(path, '/schema/') OR contains(path, '.sql') AS bearing, contains(path, '/vendor/') AS made, contains(path, 'LICENSE') AS plain FROM paths""")
+def file_predicates(g: Derived) -> DataFrame:
+    kind, user = F.col("event_type"), F.col("user_id")
+    name = F.when(kind == "signup", F.concat(F.lit("schema/a.sql:"), user % 9)).when(kind == "error", "LICENSE").when(kind == "view", "vendor/a.pb.go:3").otherwise("f.go:x")
+    rows = g.table("events").select(F.concat(F.lit("N"), user % 30, F.lit("/"), name).alias("path")).distinct()
+    file = predicates.source_file(F.col("path"))
+    return rows.select("path", file.alias("file"), predicates.source_line(F.col("path")).alias("line"), predicates.subsystem(F.col("path")).alias("subsystem"), predicates.architecture_bearing(file).alias("bearing"), predicates.is_generated(file).alias("made"), predicates.is_plain(file).alias("plain"))

@@ -44,21 +44,40 @@ class Store:
         rows = self._read("snapshots", MANIFEST)
         return rows if rows is not None else self.spark.createDataFrame([], MANIFEST)
 
-    def save(self, repository_id: str, kind: str, commit: str, **parts: DataFrame) -> int:
-        """Write a snapshot's parts, then its manifest row; returns its id."""
-        last = self.snapshots().agg(F.max("snapshot_id")).collect()[0][0]
-        number = (last or 0) + 1
+    def _write(self, repository_id: str, number: int, parts: dict[str, DataFrame]) -> int:
+        """Write the parts of a snapshot that no reader sees yet; returns their size as JSON."""
         total = 0
         for name in PARTS:
             if name in parts:
-                rows = parts[name]
                 target = f"{self.path}/{name}/repository_id={repository_id}/snapshot_id={number}"
-                rows.write.mode("overwrite").parquet(target)
+                parts[name].write.mode("overwrite").parquet(target)
                 written = self.spark.read.parquet(target)
-                total += written.select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).collect()[0][0] or 0 if written.columns else 0
-        self.append_manifest([(repository_id, number, kind, commit, total)])
+                total += written.select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).collect()[0][0] or 0
+        return total
+
+    def _next(self) -> int:
+        return (self.snapshots().agg(F.max("snapshot_id")).collect()[0][0] or 0) + 1
+
+    def save(self, repository_id: str, kind: str, commit: str, **parts: DataFrame) -> int:
+        """Write a snapshot's parts, then its manifest row; returns its id."""
+        number = self._next()
+        self.append_manifest([(repository_id, number, kind, commit, self._write(repository_id, number, parts))])
         return number
 
+    def save_pair(self, repository_id: str, review_id: str, commits: tuple[str, str], base: dict[str, DataFrame], head: dict[str, DataFrame], delta: DataFrame) -> tuple[int, int]:
+        """Write both snapshots of a review and its delta; they are there together or not at all."""
+        first = self._next()
+        sizes = [self._write(repository_id, first + k, parts) for k, parts in enumerate((base, head))]
+        delta.write.mode("overwrite").parquet(f"{self.path}/deltas/review_id={review_id}")
+        self.append_manifest([(repository_id, first + k, "review", commits[k], sizes[k]) for k in (0, 1)])
+        self._record(repository_id, review_id, first, first + 1)
+        return first, first + 1
+
+    def timeline(self, repository_id: str) -> tuple[DataFrame, DataFrame]:
+        """Snapshots and reviews of a repository, oldest first."""
+        rows = self.snapshots().where(F.col("repository_id") == repository_id).orderBy("snapshot_id")
+        return rows, self.reviews().where(F.col("repository") == repository_id).orderBy("created_at", "head", "review")
+
     def append_manifest(self, rows: list[tuple]) -> None:
         frame = self.spark.createDataFrame(rows, "repository_id string, snapshot_id bigint, kind string, commit string, storage_bytes bigint")
         frame.withColumn("created_at", F.current_timestamp()).select("repository_id", "snapshot_id", "kind", "commit", "created_at", "storage_bytes").write.mode("append").parquet(f"{self.path}/snapshots")
@@ -67,7 +86,8 @@ class Store:
         """A part of a snapshot that the manifest names; partitions prune the read."""
         if self.snapshots().where((F.col("repository_id") == repository_id) & (F.col("snapshot_id") == snapshot_id)).isEmpty():
             raise KeyError(f"snapshot {snapshot_id} is not available")
-        return self.spark.read.parquet(f"{self.path}/{name}/repository_id={repository_id}/snapshot_id={snapshot_id}")
+        rows = self.spark.read.parquet(f"{self.path}/{name}/repository_id={repository_id}/snapshot_id={snapshot_id}")
+        return rows.orderBy(*[c for c in ("kind", "label", "id") if c in rows.columns]) if name == "nodes" else rows
 
     def current(self, repository_id: str) -> int | None:
         """The latest indexed snapshot."""
@@ -77,6 +97,9 @@ class Store:
     def save_review(self, repository_id: str, review_id: str, base: int, head: int, delta: DataFrame) -> None:
         """Replace a review's delta (what, id, status, reasons) and record the review last."""
         delta.write.mode("overwrite").parquet(f"{self.path}/deltas/review_id={review_id}")
+        self._record(repository_id, review_id, base, head)
+
+    def _record(self, repository_id: str, review_id: str, base: int, head: int) -> None:
         row = self.spark.createDataFrame([(review_id, repository_id, base, head)], "review string, repository string, base bigint, head bigint")
         row.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/reviews")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom import investigation
 from graphloom.functions import ids, predicates
-from graphloom.operators import attention, facts, graph, paths, projection, ranking, review, structure, temporal
+from graphloom.operators import attention, facts, graph, overlays, paths, projection, ranking, review, structure, temporal
 from graphloom.registry import PROJECTIONS, ProjectionRequest
 
 EDGE = "id string, source string, target string, kind string, label string, boundary string, sync boolean, observations long"
@@ -282,6 +282,9 @@ def test_store_keeps_whole_snapshots(spark, tmp_path):
     assert store.compact(1) == [third] and {r.snapshot_id for r in store.snapshots().collect()} == {first, second, fourth}
     with pytest.raises(KeyError):
         store.load("nodes", "r", third)
+    pair = store.save_pair("r", "w", ("a", "b"), {"nodes": nodes}, {"nodes": nodes}, spark.createDataFrame([("node", "a", "added", "")], "what string, id string, status string, reasons string"))
+    snapshots, reviews = store.timeline("r")
+    assert {r.snapshot_id for r in snapshots.where("kind = 'review'").collect()} >= set(pair) and [r.review for r in reviews.collect()] == ["v", "w"] and store.current("r") == fourth
     store.remember("profile", {"snapshot": "1", "window": "90"}, nodes)
     assert store.recall("profile", {"snapshot": "1", "window": "90"}).count() == 1 and store.recall("profile", {"snapshot": "1", "window": "90"}, 0) is None
 
@@ -408,6 +411,41 @@ def test_views_obey_the_evidence_policy(spark):
     assert {r.id for r in rows if r.kind == "node"} == {"a", "b"}
 
 
+# Overlays
+
+
+def test_overlays(spark):
+    edges = spark.createDataFrame([("1", ["x", "gone"]), ("2", []), ("3", None), ("4", None)], "id string, refs array<string>")
+    evidence = spark.createDataFrame([("x", "1", "proven"), ("y", "2", "proven"), ("z", "3", "observed")], "id string, edge string, strength string")
+    assert {tuple(r) for r in overlays.edge_evidence(edges, evidence).collect()} == {("1", "x", "proven"), ("3", "z", "observed"), ("4", "legacy:4", "inferred")}
+    graph_ = edges_of(spark, [("a", "calls", "a"), ("a", "calls", "b")])
+    assert {tuple(r) for r in overlays.adjacency(nodes_of(spark, ["a", "b", "c"]), graph_).collect()} == {("a", 1, 2, 2), ("b", 1, 0, 1), ("c", 0, 0, 0)}
+    members = spark.createDataFrame([("r", "1"), ("r", "2"), ("s", "3")], "rep string, id string")
+    assert {tuple(r) for r in overlays.status_of(members, spark.createDataFrame([("1", "modified"), ("2", "removed")], "id string, status string")).collect()} == {("r", "removed")}
+    rows, delta = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("b", "added"), ("c", "removed")], "id string, status string")
+    assert {r.id for r in overlays.side(rows, delta, "base").collect()} == {"a", "c"} and {r.id for r in overlays.side(rows, delta, "head").collect()} == {"a", "b"}
+    legacy = overlays.upgrade_legacy(spark.createDataFrame([("a", "removed"), ("b", None), ("c", "added")], "id string, pr string"))
+    assert {(r.id, r.before, r.after) for r in legacy.collect()} == {("a", True, False), ("c", False, True)}
+
+
+def test_fingerprints_see_content_not_order(spark):
+    schema = "kind string, label string, pkg string, owners array<string>, tags array<string>, meta map<string,string>"
+    rows = spark.createDataFrame([("f", "a", None, ["x", "y"], None, None), ("f", "a", None, ["y", "x"], [], None), ("f", "a", None, ["y"], [], None)], schema)
+    prints = [r.fp for r in rows.select(overlays.node_fingerprint(*[F.col(c) for c in rows.columns]).alias("fp")).collect()]
+    assert prints[0] == prints[1] != prints[2]
+    whole = lambda *x: overlays.snapshot_fingerprint(spark.createDataFrame([(v,) for v in x], "fp string"))
+    assert whole(*prints) == whole(*reversed(prints)) != whole(*prints[:2])
+
+
+def test_crossings_and_ports(spark):
+    rows = [("1", "a", "b", 0, 0, 10, 10), ("2", "c", "d", 0, 10, 10, 0), ("3", "a", "e", 0, 10, 10, 0), ("4", "f", "g", 20, 0, 30, 1)]
+    segments = spark.createDataFrame([(i, s, t, *map(float, xy)) for i, s, t, *xy in rows], "id string, source string, target string, ax double, ay double, bx double, by double")
+    assert {tuple(r) for r in overlays.crossings(segments, 3.0).collect()} == {("1", "2")}
+    ports = {r.id: (r.family, r.lane) for r in overlays.edge_ports(spark.createDataFrame([("1", "calls", None), ("2", "calls", "persistence"), ("3", "publishes", None), ("4", "owns", None), ("5", "calls", "network")], "id string, kind string, boundary string")).collect()}
+    assert ports == {"1": ("control", 0), "2": ("data", 1), "3": ("async", 2), "4": ("ownership", 3), "5": ("control", 0)}
+    assert overlays.routing_decision(5, 8, 6, [0.9, 1, 1], 50) == "evaluate-router" and overlays.routing_decision(4, 8, 0, [1, 1, 1], 1) == "retain-layout"
+
+
 # Requests
 
 
