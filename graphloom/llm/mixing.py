@@ -34,17 +34,9 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(F.coalesce(toxic, F.lit(0)) == 1, 2).when(F.coalesce(quality, F.lit(1)) == 0, 1).otherwise(0)
 
 
-def _words(text: Column) -> Column:
-    """Words, and a sign each for texts of many marks, capitals or bars."""
-    size = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: (size - F.length(F.translate(text, chars, ""))) / size
-    signs = F.array(*[F.when(share(chars) > most, F.lit("\x01" + name)) for name, chars, most in (("marks", "&%$*#!", 0.06), ("capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.4), ("bars", "|", 0.04))])
-    return F.concat(F.split(F.lower(text), "[ \t\r\n.,!?;:]+"), F.array_compact(signs))
-
-
-def token_count(text: Column) -> Column:
-    """Runs of characters other than space, tab and line ends; null and empty texts have none."""
-    return F.coalesce(F.size(F.filter(F.split(text, "[ \t\r\n]+"), lambda w: w != "")), F.lit(0)).cast("long")
+def words_of(text: Column) -> Column:
+    """Lower-case runs of characters other than spaces, line ends and stops; blanks may stand at the ends."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \t\r\n.,?;:]+")
 
 
 class Classifier:
@@ -57,19 +49,19 @@ class Classifier:
     def __init__(self, words: list[list[str]], table: list[list[float]]):
         self.words, self.table = words, table
 
-    def levels(self, docs: DataFrame, name: str) -> DataFrame:
-        """``docs`` with the number of its row of the table."""
-        held = docs.withColumn("__words", _words(F.coalesce("text", F.lit(""))))
+    def levels(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with __level, its row of the table, and __tokens, its number of words."""
+        held = docs.withColumn("__words", words_of(F.col("text")))
         place = F.lit(0)
         for k, words in enumerate(self.words):
             found = F.size(F.array_intersect("__words", F.array(*[F.lit(w) for w in words]))) if words else F.lit(0)
             place = place + F.least(found, F.lit(LEVELS - 1)) * LEVELS**k
-        return held.withColumn(name, place).drop("__words")
+        tokens = F.size(F.array_remove("__words", "")).cast("long")
+        return held.withColumns({"__level": place, "__tokens": tokens}).drop("__words")
 
-    def posteriors(self, docs: DataFrame, name: str = "p") -> DataFrame:
-        """``docs`` with an array of the domains' posteriors by its text column."""
-        table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in self.table])
-        return self.levels(docs, "__level").withColumn(name, table[F.col("__level")]).drop("__level")
+    def posterior(self) -> Column:
+        """The domains' chances of a row with its __level."""
+        return F.array(*[F.array(*[F.lit(x) for x in row]) for row in self.table])[F.col("__level")]
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> Classifier:
@@ -85,7 +77,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
     chosen = known.where(drawn / float(1 << 30) < share).select("doc_id", domain(F.col("q"), F.col("t")).alias("domain"))  # bounded by ``sample``
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     texts = materialize(texts.select("domain", "text"), "labelled")
-    held = texts.select("domain", F.explode(F.concat(F.array_distinct(_words(F.col("text"))), F.array(F.lit("\x02all")))).alias("word"))
+    held = texts.select("domain", F.explode(F.concat(F.array_distinct(words_of(F.col("text"))), F.array(F.lit("\x02all")))).alias("word"))
     sums = [F.sum((F.col("domain") == k).cast("long")).alias(f"n{k}") for k in range(len(DOMAINS))]
     counts = materialize(held.where("word <> ''").groupBy("word").agg(*sums).where(f"n0 + n1 + n2 >= {LEAST} or word = '\x02all'"), "words")
     n = counts.where("word = '\x02all'").collect()
@@ -102,10 +94,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
         words.append([r["word"] for r in best.collect()])
     size = LEVELS ** (len(DOMAINS) - 1)
     blank = Classifier(words, [[0.0] * len(DOMAINS)] * size)
-    cells = blank.levels(texts, "level").groupBy("level", "domain").count().collect()
+    cells = blank.levels(texts).groupBy("__level", "domain").count().collect()
     seen = [[0] * len(DOMAINS) for _ in range(size)]
     for r in cells:
-        seen[r["level"]][r["domain"]] = r["count"]
+        seen[r["__level"]][r["domain"]] = r["count"]
     all_ = [sum(row[k] for row in seen) + 1 / len(DOMAINS) for k in range(len(DOMAINS))]
     prior = [x / sum(all_) for x in all_]
     return Classifier(words, [[(x + q) / (sum(row) + 1) for x, q in zip(row, prior, strict=True)] for row in seen])
@@ -161,8 +153,9 @@ def fit(table: DataFrame, targets: list[float], most: float | None = None) -> li
 
 def weighed(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """(doc_id, tokens, p0, p1, p2) of each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return classifier.posteriors(rows.withColumn("tokens", token_count(F.col("text")))).select("doc_id", "tokens", *[F.col("p")[k].alias(f"p{k}") for k in range(len(DOMAINS))])
+    rows = classifier.levels(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    told = rows.select("doc_id", F.col("__tokens").alias("tokens"), classifier.posterior().alias("p"))
+    return told.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p{k}") for k in range(len(DOMAINS))])
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float | None = None) -> DataFrame:
@@ -199,7 +192,7 @@ def resample(docs: DataFrame, labels: DataFrame, shares: dict[str, float]) -> Da
     p = [F.col(f"p{k}") for k in range(len(DOMAINS))]
     own = table.agg(*[F.sum(F.col("tokens") * x).alias(f"t{k}") for k, x in enumerate(p)]).collect()[0]
     steps = fit(table, [(own[f"t{k}"] or 0.0) * shares[d] for k, d in enumerate(DOMAINS)], 1.0)
-    held = classifier.posteriors(docs, "__p")
+    held = classifier.levels(docs).withColumn("__p", classifier.posterior())
     posterior = [F.col("__p")[k] for k in range(len(DOMAINS))]
     copies = F.floor(rate(posterior, steps, 1.0) + chance()).cast("int")
     # not a filter: pushed below, it would compute the posterior once for each use of it
