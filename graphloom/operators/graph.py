@@ -6,11 +6,14 @@ with an empty frontier or the given depth.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 
+#: Distinct edges that betweenness sends to the tasks.
+LOCAL_EDGES = 200_000
 IMPACT_BACK, IMPACT_FORTH = ["calls", "tests", "depends_on"], ["writes", "publishes", "owns"]
 
 
@@ -57,12 +60,15 @@ def test_reachability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def closure(pairs: DataFrame) -> DataFrame:
-    """(u, v): v is reached from u in one step or more."""
-    steps = materialize(pairs.select("u", "v").distinct())
-    frontier = seen = steps
+    """(u, v): v is reached from u in one step or more.
+
+    Each round joins the newest pairs with all known ones, so distances double
+    and the rounds are the logarithm of the longest distance.
+    """
+    frontier = seen = materialize(pairs.select("u", "v").distinct())
     while True:
-        step = steps.select(F.col("u").alias("v"), F.col("v").alias("w"))
-        fresh = frontier.join(step, "v").select("u", F.col("w").alias("v")).distinct().join(seen, ["u", "v"], "left_anti")
+        known = seen.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        fresh = frontier.join(known, "v").select("u", F.col("w").alias("v")).distinct().join(seen, ["u", "v"], "left_anti")
         frontier = materialize(fresh)
         if frontier.isEmpty():
             return seen
@@ -93,14 +99,18 @@ def dependency_depth(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def betweenness(pairs: DataFrame, nodes: DataFrame, most: int = 64, spaced: bool = True, multiple: bool = False) -> DataFrame:
     """(id, score): shortest-path betweenness from at most ``most`` sources, over its maximum.
 
-    Levels forth count shortest paths, levels back gather dependencies. With
-    ``spaced`` the sources lie evenly among the sorted ids, else they are the
-    first; with ``multiple`` parallel edges count as often as they occur.
+    With ``spaced`` the sources lie evenly among the sorted ids, else they are
+    the first; with ``multiple`` parallel edges count as often as they occur.
+    Up to LOCAL_EDGES distinct edges are sent to the tasks, each of which takes
+    some sources; larger graphs are walked level by level as tables: forth to
+    count shortest paths, back to gather dependencies.
     """
     weights = pairs.groupBy("u", "v").agg(F.count("*").alias("w") if multiple else F.lit(1).cast("long").alias("w"))
     steps = materialize(weights)
     sources = _spaced(nodes, most) if spaced else [r["id"] for r in nodes.select("id").orderBy("id").limit(most).collect()]
     spark = nodes.sparkSession
+    if steps.count() <= LOCAL_EDGES:
+        return _scaled(_raw_by_source(steps, sources), nodes)
     frontier = spark.createDataFrame([(s,) for s in sources], "s string").select("s", F.col("s").alias("node"), F.lit(1.0).alias("sigma"), F.lit(0).alias("dist"))
     levels = [materialize(frontier)]
     seen = levels[0]
@@ -122,13 +132,56 @@ def betweenness(pairs: DataFrame, nodes: DataFrame, most: int = 64, spaced: bool
     total = parts[0]
     for part in parts[1:]:
         total = total.union(part)
-    raw = total.where("s <> node").groupBy(F.col("node").alias("id")).agg(F.sum("delta").alias("raw"))
-    rows = nodes.select("id").join(raw, "id", "left").na.fill(0.0, ["raw"])
-    rows = materialize(rows)
+    return _scaled(total.where("s <> node").groupBy(F.col("node").alias("id")).agg(F.sum("delta").alias("raw")), nodes)
+
+
+def _scaled(raw: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Scores over their maximum, 0 for nodes without one."""
+    rows = materialize(nodes.select("id").join(raw, "id", "left").na.fill(0.0, ["raw"]))
     top = rows.agg(F.max("raw")).collect()[0][0] or 0.0
     return rows.select("id", (F.col("raw") / top if top > 0 else F.lit(0.0)).alias("score"))
 
 
+def _raw_by_source(steps: DataFrame, sources: list[str]) -> DataFrame:
+    """(id, raw): dependencies summed over sources, with the edges in each task's memory."""
+    ways: dict[str, list[tuple[str, float]]] = {}
+    for r in steps.collect():  # at most LOCAL_EDGES rows
+        ways.setdefault(r["u"], []).append((r["v"], float(r["w"])))
+    shared = steps.sparkSession.sparkContext.broadcast(ways)
+
+    def read(batches):
+        total: dict[str, float] = {}
+        for source in (s for batch in batches for s in batch["s"]):
+            for node, x in dependencies(shared.value, source).items():
+                total[node] = total.get(node, 0.0) + x
+        if total:
+            yield pd.DataFrame({"id": list(total), "raw": list(total.values())})
+
+    spread = steps.sparkSession.createDataFrame([(s,) for s in sources], "s string").repartition(max(1, min(16, len(sources))))
+    return spread.mapInPandas(read, "id string, raw double").groupBy("id").agg(F.sum("raw").alias("raw"))
+
+
+def dependencies(ways: dict[str, list[tuple[str, float]]], source: str) -> dict[str, float]:
+    """How much of the shortest paths from ``source`` passes each node."""
+    layers, sigma, dist = [[source]], {source: 1.0}, {source: 0}
+    while layers[-1]:
+        depth, after = len(layers), []
+        for node in layers[-1]:
+            for to, weight in ways.get(node, ()):
+                if dist.setdefault(to, depth) == depth:
+                    if to not in sigma:
+                        after.append(to)
+                    sigma[to] = sigma.get(to, 0.0) + sigma[node] * weight
+        layers.append(after)
+    found: dict[str, float] = {}
+    for depth in range(len(layers) - 1, 0, -1):
+        for node in layers[depth - 1]:
+            share = sum(sigma[node] * w / sigma[to] * (1 + found.get(to, 0.0)) for to, w in ways.get(node, ()) if dist[to] == depth)
+            found[node] = share
+    found.pop(source, None)
+    return found
+
+
 def _spaced(nodes: DataFrame, most: int) -> list[str]:
     """At most ``most`` ids, evenly spaced by rank; the first and the last are among them."""
     total = nodes.count()

@@ -42,8 +42,11 @@ def read_telemetry(spark: SparkSession, path: str, nodes: DataFrame) -> DataFram
     """
     items = spark.read.schema(_TELEMETRY).json(path, multiLine=True).withColumn("item", F.monotonically_increasing_id())
     known = nodes.select(F.col("id").alias("found"), F.col("label").alias("l"), predicates.source_file(F.col("file")).alias("f"))
-    by_id = F.col("nodeId").isNotNull() & (F.col("nodeId") != "")
-    met = items.join(known, F.when(by_id, F.col("nodeId") == F.col("found")).otherwise((F.col("label") == F.col("l")) & (F.col("file").isNull() | (F.col("file") == "") | (F.col("file") == F.col("f")))), "left")
+    by_id = F.coalesce("nodeId", F.lit("")) != ""
+    own = items.where(by_id).join(known, F.col("nodeId") == F.col("found"), "left")
+    anywhere = F.col("file").isNull() | (F.col("file") == "")
+    named = items.where(~by_id).join(known, (F.col("label") == F.col("l")) & (anywhere | (F.col("file") == F.col("f"))), "left")
+    met = own.union(named)
     told = met.groupBy(*items.columns).agg(F.count("found").alias("n"), F.min("found").alias("node"))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     metric = F.col("rpm").isNotNull() | F.col("qps").isNotNull() | F.greatest(*[F.coalesce(c, F.lit(0.0)) != 0 for c in ("p50", "p95", "p99", "errorRate")])

@@ -113,7 +113,7 @@ def plain_betweenness(nodes, pairs, sources, weights):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_kernels_on_random_graphs(spark, seed):
+def test_kernels_on_random_graphs(spark, monkeypatch, seed):
     r = random.Random(seed)
     nodes = [f"n{k:02d}" for k in range(12)]
     raw = [(r.choice(nodes), r.choice(nodes)) for _ in range(18)]
@@ -130,8 +130,16 @@ def test_kernels_on_random_graphs(spark, seed):
     for spaced, multiple, most in ((True, False, 64), (False, True, 5), (True, False, 4)):
         sources = nodes if most >= 12 else [nodes[i * 11 // (most - 1)] for i in range(most)] if spaced else nodes[:most]
         plain = plain_betweenness(nodes, sorted(set(raw)), sources, weights if multiple else defaultdict(lambda: 1))
-        got = {x.id: x.score for x in graph.betweenness(pairs, frame, most, spaced, multiple).collect()}
-        assert all(math.isclose(got[n], plain[n], abs_tol=1e-9) for n in nodes)
+        for local in (graph.LOCAL_EDGES, 0):
+            monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+            got = {x.id: x.score for x in graph.betweenness(pairs, frame, most, spaced, multiple).collect()}
+            assert all(math.isclose(got[n], plain[n], abs_tol=1e-9) for n in nodes)
+        monkeypatch.undo()
+
+
+def test_closure_of_a_long_chain(spark):
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(100)], "u long, v long")
+    assert graph.closure(pairs).count() == 100 * 101 // 2
 
 
 def test_impact_follows_its_kinds_only(spark):
