@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 ORDERS = (4, 3, 2, 1)
 #: Labelled documents that are learned from, per language, in the mean; words and n-grams that the model keeps.
 SAMPLE, WORDS, GRAMS = 500, 60_000, 60_000
-REMEMBERED, LONGEST_WORD, UNKNOWN = 300_000, 64, "und"
+REMEMBERED, LONGEST_WORD, UNKNOWN = 200_000, 64, "und"
 _word = re.compile(r"[^\W\d_]+")
 
 
@@ -63,7 +63,8 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], floor: np.ndarray):
         self.langs, self.words, self.grams, self.floor = langs, words, grams, floor
-        self.seen: dict[str, np.ndarray] = {}
+        self.rows: dict[str, int] = {}  # places in the table of words met so far
+        self.table, self.used = np.empty((1024, len(langs))), 0
 
     def __reduce__(self) -> tuple:
         return Model, (self.langs, self.words, self.grams, self.floor)
@@ -80,23 +81,26 @@ class Model:
             at += max(1, min(n, len(padded) - at) - 1) if found is not None else 1
         return total / max(parts, 1)
 
-    def word(self, word: str) -> np.ndarray:
+    def row(self, word: str) -> int:
+        """Place of a word that was not met before."""
         found = self.words.get(word)
-        if found is None:
-            found = self.backoff(word)
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[self.used] = self.backoff(word) if found is None else found
         if len(word) <= LONGEST_WORD:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[word] = found
-        return found
+            self.rows[word] = self.used
+        self.used += 1
+        return self.used - 1
 
     def classify(self, text: str | None) -> tuple[str, float]:
         counts = Counter(_word.findall((text or "").lower()))
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        seen, word = self.seen, self.word
-        rows = [x if (x := seen.get(w)) is not None else word(w) for w in counts]
-        total = np.fromiter(counts.values(), float, len(counts)) @ np.array(rows)
+        if self.used >= REMEMBERED:
+            self.rows, self.table, self.used = {}, self.table[:REMEMBERED], 0
+        known, row = self.rows.get, self.row
+        places = [k if (k := known(w)) is not None else row(w) for w in counts]
+        total = np.fromiter(counts.values(), float, len(counts)) @ self.table[places]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.minimum(0, total - total[best])).sum())
 
