@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize, slices
+
 ORDERS = (4, 3, 2, 1)
 #: Labelled documents that are learned from, per language, in the mean; words and n-grams that the model keeps.
 SAMPLE, WORDS, GRAMS = 500, 60_000, 60_000
@@ -48,7 +50,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = list(counts)
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "token", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for word in _word.findall(text.lower()):
                 if len(word) <= LONGEST_WORD:
@@ -122,6 +124,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE) -> Model:
     counts = sample.mapInArrow(_count, "lang string, token string, n long").groupBy("token", "lang").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
     wide = counts.groupBy("token").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)])
+    wide = materialize(wide, "counts")
     gram = F.col("token").startswith("#")
 
     def table(rows: DataFrame, most: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -145,7 +148,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = list(map(shared.value.classify, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([min(1.0, x[1]) for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -164,7 +167,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = names.index("text")
-        for batch in batches:
+        for batch in slices(batches):
             found = map(shared.value.classify, batch.column(place).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 KEY, ROUNDS = b"graphloom", 8
 
 # Alphabets, titles and given names.
@@ -213,7 +215,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY, text_col: str = "text", count_
     """
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             done = [(None, 0) if t is None else replace(t, key) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), *batch.columns[1:]], names)
 
@@ -231,7 +233,7 @@ def found_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "end", "type", "entity", "surrogate"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(d, a, b, kind, t[a:b], change(key, t[a:b])) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for a, b, kind, change in entities(t)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names)
 

@@ -1,7 +1,18 @@
-"""Scratch tables in the folder that all executors share."""
+"""Scratch tables in the folder that all executors share, and slices of record batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+
 from graphloom.plans.scratch import materialize, scratch_path, shared_dir
 
-__all__ = ["materialize", "scratch_path", "shared_dir"]
+__all__ = ["materialize", "scratch_path", "shared_dir", "slices"]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
-from .shared import materialize
+from .shared import materialize, slices
 
 BITS, DIMENSIONS, CHUNK = 64, 3, 1 << 16
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -54,7 +54,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         values = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
@@ -120,7 +120,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     bare = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("__fp")).select("__fp")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.fromiter(map(fingerprint, batch.column(batch.num_columns - 1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], names)
 
