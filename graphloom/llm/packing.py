@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 LONGEST, END = 2048, 1
 _END = END.to_bytes(4, "little")
 #: Pieces remembered per worker, in each of two generations; texts that are looked up together.
-REMEMBERED, TOGETHER = 400_000, 256
+REMEMBERED, TOGETHER = 500_000, 256
 _l, _m = "a-zß-öø-ÿ", r"!-&(-/:-@\[-^`{-~"  # letters; ASCII marks without apostrophe and underscore
 _piece = re.compile(rf"[{_l}]+(?=[\s{_m}]|\Z)|[{_m}]+(?=[\s{_l}]|\Z)|\S+")
 _core = re.compile(rf"[{_l}]+")
