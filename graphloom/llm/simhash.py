@@ -16,7 +16,7 @@ linear work.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -107,13 +107,15 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return prints.join(classed.join(least, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = simhash_groups, key: Callable[[bytes | None], int] = fingerprint) -> DataFrame:
     """Rows of ``docs``, unchanged: of each near-duplicate class the row with the least doc_id.
 
+    ``grouped`` tells the classes, ``key`` a text's fingerprint there.
+
     Of rows that repeat this doc_id one stays. A class without any doc_id keeps
     one of its rows.
     """
-    groups, names = simhash_groups(docs), [*docs.columns, "__fp"]
+    groups, names = grouped(docs), [*docs.columns, "__fp"]
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     own = F.col("doc_id").cast("long")
     named = docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi").dropDuplicates(["doc_id"])
@@ -121,7 +123,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values = np.fromiter(map(fingerprint, batch.column(batch.num_columns - 1).to_pylist()), np.uint64, batch.num_rows)
+            values = np.fromiter(map(key, batch.column(batch.num_columns - 1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], names)
 
     nameless = docs.where(own.isNull()).withColumn("__text", F.col("text").cast("binary"))
