@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .components import connected_components
 from .shared import materialize, slices
@@ -108,28 +108,40 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = simhash_groups, key: Callable[[bytes | None], int] = fingerprint) -> DataFrame:
-    """Rows of ``docs``, unchanged: of each near-duplicate class the row with the least doc_id.
+    """Rows of ``docs``, unchanged: one of each near-duplicate class, that with the least doc_id.
 
-    ``grouped`` tells the classes, ``key`` a text's fingerprint there.
-
-    Of rows that repeat this doc_id one stays. A class without any doc_id keeps
-    one of its rows.
+    ``grouped`` tells the classes, ``key`` a text's fingerprint there. Rows are
+    found again by doc_id and fingerprint, so that unlike texts that share a
+    doc_id stay apart. A class without any doc_id keeps one of its rows; of rows
+    that repeat both doc_id and fingerprint the one of least hash stays. Columns
+    may have any names; an empty table stays empty.
     """
-    groups, names = grouped(docs), [*docs.columns, "__fp"]
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    own = F.col("doc_id").cast("long")
-    named = docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    bare = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("__fp")).select("__fp")
+    at = len(docs.columns)
+    inner = [f"c{k}" for k in range(at)]  # so that no name of the caller's meets one of these
+    plain = docs.toDF(*inner)
+    place = {name: k for k, name in reversed(list(enumerate(docs.columns)))}
+    own, text = F.col(inner[place["doc_id"]]).cast("long"), F.col(inner[place["text"]])
+
+    groups = grouped(docs.select("doc_id", "text"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "fp")
+    first = groups.groupBy("root").agg(F.min(rank).alias("first"))
+    heads = groups.select("root", rank.alias("row")).groupBy("root", "row").agg(F.count("*").alias("times"))
+    chosen = first.select("root", F.col("first").alias("row")).join(heads, ["root", "row"]).select("row.*", "times")
+    chosen = materialize(chosen, "chosen")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values = np.fromiter(map(key, batch.column(batch.num_columns - 1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], names)
-
-    nameless = docs.where(own.isNull()).withColumn("__text", F.col("text").cast("binary"))
-    marked = nameless.mapInArrow(add, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
-    kept = marked.join(bare, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*[f"`{c}`" for c in docs.columns])
-    return named.union(kept)
+            values = np.fromiter(map(key, batch.column(at).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(values.view(np.int64)), *batch.columns[at + 1 :]], [*inner, "fp", "none", "id"])
+
+    schema = StructType([*plain.schema.fields, StructField("fp", LongType()), StructField("none", BooleanType()), StructField("id", LongType())])
+    marked = plain.select(*inner, text.cast("binary").alias("fp"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id")).mapInArrow(add, schema)
+    keys = ["none", "id", "fp"]
+    single = marked.join(chosen.where("times = 1").select(keys), keys, "left_semi").select(inner)
+    comparable = [c for c, field in zip(inner, docs.schema.fields, strict=True) if "map<" not in field.dataType.simpleString() and field.dataType.simpleString() != "variant"]
+    repeated = marked.join(chosen.where("times > 1").select(keys), keys, "left_semi")
+    repeated = repeated.groupBy(keys).agg(F.min_by(F.struct(*inner), F.xxhash64(*comparable)).alias("row")).select("row.*")
+    return single.union(repeated).toDF(*docs.columns)
 
 
 def op1(docs: DataFrame) -> DataFrame:
