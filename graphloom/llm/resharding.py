@@ -1,23 +1,27 @@
 """Resharding by minimum-cost flow.
 
-Old shards hold documents in blocks; new shards have capacities in bytes. Moving
-a byte to another shard costs one unit, leaving it costs none. The flow between
-old and new shards that fills the capacities at the least cost is solved over the
-shards alone; the documents of an old shard, in the order of its blocks, are then
-cut where the flow says. Documents that are large against a shard are placed one
-by one before, so that cuts stay fine. Only sums per block and those few large
-documents reach the driver: both are bounded by parameters, not by the input.
+Old shards hold documents in blocks, the partitions of their files; new shards
+have capacities in bytes. Moving a byte to another shard costs one unit, leaving
+it costs none. The flow between old and new shards that fills the capacities at
+the least cost is solved over the shards alone; the rows of an old shard, in the
+order of its files, are then cut where the flow says. A cut is found by sums over
+blocks, then over the partitions of one block, then along the rows of one
+partition, so a plan is a short list of row numbers and no key of the data, however
+frequent, gathers rows in a task. Documents that are large against a shard are
+placed one by one before, so that cuts stay fine; there are at most ``shards *
+large`` of them. Shards that gain or lose rows are then rewritten.
 """
 
 from __future__ import annotations
 
 import heapq
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import materialize, scratch_path
 
 NEW, OLD, BLOCKS, OVERHEAD = 24, 16, 256, 8
 #: A document is large if its size is over that share of a new shard's; there are at most NEW * LARGE of them.
@@ -96,82 +100,148 @@ def capacities(loads: list[int], total: int) -> list[int]:
     return room
 
 
-def measured(docs: DataFrame, old: Column) -> DataFrame:
-    """(doc_id, size, text_crc32, old, block): what the plan needs of each row."""
-    text = F.coalesce("text", F.lit(""))
-    doc = F.col("doc_id").cast("long")
-    block = F.pmod(F.xxhash64(doc, F.crc32(text.cast("binary"))), F.lit(BLOCKS)).cast("int")
-    return docs.select(doc.alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(old, F.lit(0)).alias("old"), block.alias("block"))
+class Plan(NamedTuple):
+    shards: int
+    #: (old, last row, new): rows of an old shard up to that one, after those of the entry before, lie in a new shard.
+    cuts: list[tuple[int, int, int]]
+    #: (row, new) of the large documents.
+    large: list[tuple[int, int]]
+    #: Shards that gain or lose rows.
+    affected: list[int]
 
 
-def reshard(docs: DataFrame, old: Column, shards: int = NEW, large: int = LARGE) -> DataFrame:
-    """(doc_id, size, text_crc32, old, shard, slot): the plan for each row of ``docs``.
+def laid_out(docs: DataFrame, old: Column, columns: list[str] | None = None) -> DataFrame:
+    """The present files: row (a number, rising within a partition), old, size and the columns of ``docs`` (or some) as c0, c1, ...
 
-    ``old`` is the present shard, an integer from 0; null counts as 0. Sizes are
-    UTF-8 bytes plus 8, a null text having none; new shards differ by little more
-    than a large document's bound. Repeated rows are placed each for itself, null
-    ids like others. An empty table gives an empty result.
+    Rows are told apart by their number alone, so null, repeated and clashing
+    values of any column do no harm. Sizes are UTF-8 bytes of ``text`` plus 8, a
+    null text having none.
     """
-    spark = docs.sparkSession
-    rows = materialize(measured(docs, old), "sizes")
-    blocks = rows.groupBy("old").agg(F.sum("size").alias("size")).collect()
-    total = sum(r["size"] for r in blocks)
-    olds = max((r["old"] for r in blocks), default=0) + 1
+    inner = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns or docs.columns)]
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(old, F.lit(0)).cast("int").alias("old"), size.alias("size"), *inner)
+    path = scratch_path(docs.sparkSession, "present")
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _within(cuts: list[tuple[int, int]], sums: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(cut, part, rest) of each (cut, bytes before it): the part of (part, bytes) where it falls, and the bytes before it there."""
+    out, at, k = [], 0, 0
+    for cut, before in sorted(cuts, key=lambda c: c[1]):
+        while k + 1 < len(sums) and at + sums[k][1] <= before:
+            at += sums[k][1]
+            k += 1
+        out.append((cut, sums[k][0], before - at))
+    return out
+
+
+def plan(held: DataFrame, shards: int = NEW, large: int = LARGE) -> Plan:
+    """The cheapest way from the present files ``held`` (see ``laid_out``) to ``shards`` shards of equal bytes."""
+    spark = held.sparkSession
+    pid = F.shiftright("row", 33)
+    told = held.agg(F.sum("size").alias("bytes"), F.max("old").alias("old"), F.max(pid).alias("pid")).collect()[0]
+    total, olds, parts = told["bytes"] or 0, (told["old"] or 0) + 1, (told["pid"] or 0) + 1
     bound = total / shards / large
-    heavy = rows.where(F.col("size") > bound).select("doc_id", "size", "text_crc32", "old").groupBy("doc_id", "size", "text_crc32", "old").count().orderBy("size", "doc_id", "text_crc32", "old").collect()
-    where, loads = place_large([(r["old"], r["size"] * r["count"]) for r in heavy], total / shards, shards)
-    sums = {(r["old"], r["block"]): r["size"] for r in rows.where(F.col("size") <= bound).groupBy("old", "block").agg(F.sum("size").alias("size")).collect()}
-    supply = [sum(x for (o, _), x in sums.items() if o == i) for i in range(olds)]
+    heavy = held.where(F.col("size") > bound).select("row", "old", "size").orderBy("row").collect()  # at most shards * large rows
+    where, loads = place_large([(r["old"], r["size"]) for r in heavy], total / shards, shards)
+    block = F.floor(pid * BLOCKS / parts).cast("int") if parts > BLOCKS else pid.cast("int")
+    small = held.where(F.col("size") <= bound).select("row", "old", "size", pid.alias("pid"), block.alias("block"))
+    sums: dict[int, list[tuple[int, int]]] = {i: [] for i in range(olds)}
+    for r in small.groupBy("old", "block").agg(F.sum("size").alias("bytes")).orderBy("old", "block").collect():  # at most olds * BLOCKS rows
+        sums[r["old"]].append((r["block"], r["bytes"]))
+    supply = [sum(x for _, x in sums[i]) for i in range(olds)]
     flow = min_cost_flow(supply, capacities(loads, sum(supply)), [[int(i != j) for j in range(shards)] for i in range(olds)])
 
-    starts, cuts = [], []
+    # (old, cut) to its new shard and place; the last cut of an old shard is open
+    to, places = {}, {}
     for i in range(olds):
-        at = 0
-        for b in range(BLOCKS):
-            if (i, b) in sums:
-                starts.append((i, b, at))
-                at += sums[i, b]
         at, order = 0, sorted((j for j in range(shards) if flow[i][j]), key=lambda j: (j != i, j))
         for k, j in enumerate(order):
             at += flow[i][j]
-            cuts.append((i, j, at if k + 1 < len(order) else 1 << 62))
-    heavy_at = spark.createDataFrame([(r["doc_id"], r["size"], r["text_crc32"], r["old"], j) for r, j in zip(heavy, where, strict=True)], "doc_id long, size long, text_crc32 long, old int, to int")
-    starts_at = spark.createDataFrame(starts, "old int, block int, start long")
-    cuts_at = spark.createDataFrame(cuts, "old int, to int, stop long").groupBy("old").agg(F.array_sort(F.collect_list(F.struct("stop", "to"))).alias("cuts"))
-
-    order = [F.xxhash64("doc_id", "text_crc32"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    ahead = F.sum("size").over(Window.partitionBy("old", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    small = rows.where(F.col("size") <= bound).withColumn("ahead", ahead).join(F.broadcast(starts_at), ["old", "block"]).join(F.broadcast(cuts_at), "old")
-    middle = F.col("start") + F.col("ahead") - F.col("size") / 2
-    small = small.withColumn("shard", F.filter("cuts", lambda c: middle < c["stop"])[0]["to"]).drop("ahead", "start", "cuts")
-    same = [rows[c].eqNullSafe(heavy_at[c]) for c in ("doc_id", "size", "text_crc32", "old")]
-    big = rows.where(F.col("size") > bound).join(F.broadcast(heavy_at), on=[x for x in same], how="inner")
-    big = big.select(rows["old"], F.lit(BLOCKS).alias("block"), rows["doc_id"], rows["size"], rows["text_crc32"], heavy_at["to"].alias("shard"))
-    placed = materialize(small.select(big.columns).union(big), "placed")
-
-    runs = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = runs.select("shard", "old", "block", before.alias("before"))  # a row per run, at most olds * (BLOCKS + 1) + olds * shards
-    within = F.row_number().over(Window.partitionBy("shard", "old", "block").orderBy(*order))
-    slotted = placed.withColumn("within", within).join(F.broadcast(offsets), ["shard", "old", "block"])
-    return slotted.select("doc_id", "size", "text_crc32", "old", "shard", (F.col("before") + F.col("within") - 1).alias("slot"))
-
-
-def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
-    """Rewrite, partitioned by shard, the shards that gain or lose rows; returns these.
-
-    Shards without any transfer keep their files and are not written.
+            to[i, k] = j
+            if k + 1 < len(order):
+                places.setdefault(i, []).append((k, at))
+    found = [(i, k, b, rest) for i, cuts in places.items() for k, b, rest in _within(cuts, sums[i])]
+    if parts > BLOCKS and found:
+        chosen = spark.createDataFrame(sorted({(i, b) for i, _, b, _ in found}), "old int, block int")
+        fine: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        rows = small.join(F.broadcast(chosen), ["old", "block"]).groupBy("old", "block", "pid").agg(F.sum("size").alias("bytes"))
+        for r in rows.orderBy("old", "block", "pid").collect():  # the partitions of the blocks with a cut
+            fine.setdefault((r["old"], r["block"]), []).append((r["pid"], r["bytes"]))
+        blocks: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for i, k, b, rest in found:
+            blocks.setdefault((i, b), []).append((k, rest))
+        found = [(i, k, p, rest) for (i, b), cuts in blocks.items() for k, p, rest in _within(cuts, fine[i, b])]
+    stops = {}
+    if found:
+        wanted = spark.createDataFrame([(i, k, p, float(rest)) for i, k, p, rest in found], "old int, cut int, pid long, rest double")
+        ahead = F.sum("size").over(Window.partitionBy("old", "pid").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        lines = small.join(F.broadcast(wanted.select("old", "pid").distinct()), ["old", "pid"]).withColumn("middle", ahead - F.col("size") / 2)
+        cut = lines.join(F.broadcast(wanted), ["old", "pid"]).groupBy("old", "cut", "pid").agg(F.max(F.when(F.col("middle") < F.col("rest"), F.col("row"))).alias("stop"))
+        stops = {(r["old"], r["cut"]): (r["pid"] << 33) - 1 if r["stop"] is None else r["stop"] for r in cut.collect()}
+    cuts = [(i, stops.get((i, k), (1 << 63) - 1), j) for (i, k), j in sorted(to.items())]
+    placed = list(zip([r["row"] for r in heavy], where, strict=True))
+    changed = {x for i, _, j in cuts if i != j for x in (i, j)} | {x for r, j in zip(heavy, where, strict=True) if r["old"] != j for x in (r["old"], j)}
+    return Plan(shards, cuts, placed, sorted(changed))
+
+
+def assigned(held: DataFrame, planned: Plan) -> DataFrame:
+    """``held`` with the new shard of each row. Both tables that are joined are bounded by the number of shards."""
+    spark = held.sparkSession
+    cuts: dict[int, list[tuple[int, int]]] = {}
+    for i, stop, j in planned.cuts:
+        cuts.setdefault(i, []).append((stop, j))
+    by_old = spark.createDataFrame([(i, x) for i, x in cuts.items()], "old int, cuts array<struct<stop: long, to: int>>")
+    large = spark.createDataFrame(planned.large, "row long, placed int")
+    told = held.join(F.broadcast(by_old), "old", "left").join(F.broadcast(large), "row", "left")
+    shard = F.coalesce("placed", F.filter("cuts", lambda c: F.col("row") <= c["stop"])[0]["to"])
+    return told.withColumn("shard", shard).select(*held.columns, "shard")
+
+
+def rewrite(held: DataFrame, planned: Plan, path: str) -> DataFrame:
+    """Rewrite the affected shards under the new folder ``path``; the rows of all shards as they lie then.
+
+    Shards that neither gain nor lose rows keep their present files and are read
+    from these. A shard's files are balanced by size. Nothing is overwritten: a
+    folder that exists is an error.
     """
-    moved = plan.where("old <> shard").select(F.explode(F.array("old", "shard")).alias("shard")).distinct()
-    affected = sorted(r["shard"] for r in moved.collect())
-    chosen = plan.where(F.col("shard").isin(affected)).select("doc_id", "text_crc32", "shard").distinct()
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = docs.withColumn("text_crc32", crc).join(chosen, ["doc_id", "text_crc32"]).drop("text_crc32")
-    rows.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.mode("overwrite").partitionBy("shard").parquet(path)
-    return affected
+    rows = assigned(held, planned)
+    moved = F.col("shard").isin(planned.affected) if planned.affected else F.lit(False)
+    rows.where(moved).hint("rebalance", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    told = held.sparkSession.read.schema(rows.schema).parquet(path).select(rows.columns)
+    return told.union(rows.where(~moved))
+
+
+def slotted(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, shard, ...) with the place of each in its shard, gapless from 0, by row."""
+    placed = rows.withColumn("pid", F.shiftright("row", 33))
+    runs = placed.groupBy("shard", "pid").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = runs.select("shard", "pid", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("shard", "pid").orderBy("row"))
+    told = placed.withColumn("within", within).join(offsets, ["shard", "pid"])
+    return told.withColumn("slot", (F.col("before") + F.col("within") - 1).cast("long")).select(*rows.columns, "slot")
+
+
+def reshard(docs: DataFrame, old: Column, shards: int = NEW, path: str | None = None) -> DataFrame:
+    """Rows of ``docs`` with shard and slot (both of those names, after the columns), read from the resharded files.
+
+    ``old`` is the present shard, an integer from 0; null counts as 0. New shards
+    differ by little more than a large document's bound; of repeated rows each is
+    placed for itself. Columns may have any names but those two. An empty table
+    gives an empty result.
+    """
+    held = laid_out(docs, old)
+    lying = slotted(rewrite(held, plan(held, shards), path or scratch_path(docs.sparkSession, "resharded")))
+    return lying.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], "shard", "slot")
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    """Documents that lie in 16 shards by source, resharded into 24 of equal bytes."""
-    plan = reshard(docs, F.pmod(F.xxhash64("source"), F.lit(OLD)).cast("int"))
-    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+    """Documents that lie in 16 shards by source, resharded into 24 of equal bytes; sizes and sums are of the texts read back."""
+    held = laid_out(docs, F.pmod(F.xxhash64("source"), F.lit(OLD)).cast("int"), ["doc_id", "text"])
+    lying = rewrite(held, plan(held), scratch_path(docs.sparkSession, "resharded"))
+    text = F.coalesce("c1", F.lit(""))
+    told = lying.select("row", "shard", F.col("c0").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    told = slotted(materialize(told, "lying"))
+    return told.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
