@@ -8,24 +8,33 @@ AVI with one MJPG stream and an idx1 index, by which frames are found.
 
 Shots: histograms of neighbouring frames are compared; a cut is a difference
 above mean plus ``SPREAD`` deviations of those around it.
+
+Frames of other writers are decoded, too, where they are baseline or lossless JPEG
+of one or more components; a row that can't be read has no features and no clips.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNIT, WIDTH, MOST_ROWS, FPS = 192, 192, 16, 25
+from .shared import map_batches
+
+from . import jpeg
+
+UNIT, WIDTH, ROWS, FPS = 192, 192, 16, 25
 BINS, AROUND, SPREAD, LEAST = 16, 8, 1.5, 0.08
-#: The format's limit on a 32-bit RIFF size, less the headers.
-MOST_BYTES = 3 << 30
+#: Text that holds the payload's length, which the last frame may exceed.
+LENGTH = b"payload bytes "
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -71,18 +80,17 @@ def _unpack(data: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def frame_rows(total: int) -> int:
-    """Rows of each frame: the largest divisor of all rows within the limit."""
-    return max(r for r in range(1, MOST_ROWS + 1) if total % r == 0)
-
-
 def encode(payload: bytes, width: int = WIDTH, fps: int = FPS) -> bytes:
-    """AVI file of a payload whose length is a positive multiple of 192."""
-    if not payload or len(payload) % UNIT or len(payload) > MOST_BYTES:
+    """AVI file of a payload whose length is a positive multiple of 192.
+
+    All frames have as many rows; the last is filled with spaces, and a comment
+    tells the payload's length. The file is an eighth longer than the payload, so
+    a payload near 2 GB passes what a cell of a table holds.
+    """
+    if not payload or len(payload) % UNIT:
         raise ValueError(f"payload of {len(payload)} bytes")
-    total = len(payload) // width
-    rows = frame_rows(total)
-    x = np.frombuffer(payload, np.uint8).reshape(-1, rows, width).astype(np.int16)
+    rows = ROWS
+    x = np.frombuffer(payload.ljust(-(-len(payload) // (rows * width)) * rows * width), np.uint8).reshape(-1, rows, width).astype(np.int16)
     d = np.empty_like(x)
     d[:, :, 1:] = x[:, :, 1:] - x[:, :, :-1]
     d[:, 1:, 0] = x[:, 1:, 0] - x[:, :-1, 0]
@@ -90,9 +98,9 @@ def encode(payload: bytes, width: int = WIDTH, fps: int = FPS) -> bytes:
     coded = _pack(_WORD[d.reshape(-1) + 255]).tobytes()
     size, head, chunks, index, at = rows * width * 9 // 8, _head(rows, width), [], [], 4
     for k in range(len(x)):
-        jpeg = head + coded[k * size : (k + 1) * size].replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
-        index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(jpeg)))
-        chunks.append(struct.pack("<4sI", b"00dc", len(jpeg)) + jpeg + b"\0" * (len(jpeg) % 2))
+        frame = head + coded[k * size : (k + 1) * size].replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
+        index.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(frame)))
+        chunks.append(struct.pack("<4sI", b"00dc", len(frame)) + frame + b"\0" * (len(frame) % 2))
         at += len(chunks[-1])
     main = struct.pack("<14I", 1_000_000 // fps, 0, 0, 0x10, len(x), 0, 1, 0, width, rows, 0, 0, 0, 0)
     stream = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"MJPG", 0, 0, 0, 0, 1, fps, 0, len(x), 0, 0xFFFFFFFF, 0, 0, 0, width, rows)
@@ -104,46 +112,62 @@ def encode(payload: bytes, width: int = WIDTH, fps: int = FPS) -> bytes:
     strl = chunk(b"LIST", b"strl" + chunk(b"strh", stream) + chunk(b"strf", bitmap))
     hdrl = chunk(b"LIST", b"hdrl" + chunk(b"avih", main) + strl)
     movi = chunk(b"LIST", b"movi" + b"".join(chunks))
-    return chunk(b"RIFF", b"AVI " + hdrl + movi + chunk(b"idx1", b"".join(index)))
+    info = chunk(b"LIST", b"INFO" + chunk(b"ICMT", LENGTH + b"%d\0" % len(payload)))
+    return chunk(b"RIFF", b"AVI " + hdrl + info + movi + chunk(b"idx1", b"".join(index)))
+
 
+class Movie(NamedTuple):
+    period: int  # microseconds a frame
+    frames: list[bytes]
+    length: int | None  # of the payload, if the file tells it
 
-def parse(media: bytes) -> tuple[int, list[bytes]]:
-    """Microseconds a frame and the frames, by the index of a RIFF AVI file."""
-    riff, _, kind = struct.unpack_from("<4sI4s", media)
-    if riff != b"RIFF" or kind != b"AVI ":
+
+def parse(media: bytes) -> Movie:
+    """A RIFF AVI file by its index; only chunks of the first video stream are frames."""
+    if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, index, period = 12, None, None, 1_000_000 // FPS
+    at, movi, index, period, length, stream, seen = 12, None, None, 1_000_000 // FPS, None, 0, 0
     while at + 8 <= len(media):
         name, size = struct.unpack_from("<4sI", media, at)
-        if name == b"LIST" and media[at + 8 : at + 12] == b"movi":
+        kind = media[at + 8 : at + 12]
+        if name == b"LIST" and kind == b"movi":
             movi = at + 8
-        elif name == b"LIST" and media[at + 8 : at + 12] == b"hdrl":
-            period = struct.unpack_from("<I", media, at + 20)[0]
+        elif name == b"LIST" and kind == b"hdrl":
+            period = struct.unpack_from("<I", media, at + 20)[0] or period
+            body = media[at + 8 : at + 8 + size]
+            kinds = [body[k + 8 : k + 12] for k in range(len(body)) if body.startswith(b"strh", k)]
+            stream = kinds.index(b"vids") if b"vids" in kinds else 0
+        elif name == b"LIST" and kind == b"INFO" and (found := re.search(LENGTH + rb"(\d+)", media[at : at + 8 + size])):
+            length = int(found[1])
         elif name == b"idx1":
-            index = np.frombuffer(media, "<u4", size // 4, at + 8).reshape(-1, 4)
+            index = [struct.unpack_from("<4sIII", media, k) for k in range(at + 8, min(at + 8 + size, len(media)) - 15, 16)]
         at += 8 + size + size % 2
+        seen += 1
     if movi is None or index is None:
         raise ValueError("no index")
-    return period, [media[movi + at + 8 : movi + at + 8 + size] for _, _, at, size in index.tolist()]
+    chosen = [(a, n) for name, _, a, n in index if name in (b"%02ddc" % stream, b"%02ddb" % stream)]
+    # places count from the list's name, or in some files from the start
+    base = movi if not chosen or media[movi + chosen[0][0] : movi + chosen[0][0] + 4] in (b"%02ddc" % stream, b"%02ddb" % stream) else 0
+    return Movie(period, [media[base + a + 8 : base + a + 8 + n] for a, n in chosen], length)
+
 
+def _coded(data: bytes) -> tuple[int, int, bytes] | None:
+    """Rows, width and unstuffed data of a frame as ``encode`` writes it; None for any other."""
+    if len(data) < len(_OWN) or data[:_AT] != _OWN[:_AT] or data[_AT + 4 : len(_OWN)] != _OWN[_AT + 4 :]:
+        return None
+    rows, width = struct.unpack_from(">HH", data, _AT)
+    return rows, width, data[len(_OWN) : -2].replace(b"\xff\x00", b"\xff")
 
-def _coded(jpeg: bytes) -> tuple[int, int, bytes]:
-    """Rows, width and unstuffed data of a frame as ``encode`` writes it."""
-    at, rows, width = 2, 0, 0
-    while True:
-        mark, size = struct.unpack_from(">xBH", jpeg, at)
-        if mark == 0xC3:
-            rows, width = struct.unpack_from(">HH", jpeg, at + 5)
-        elif mark == 0xC4 and jpeg[at + 4 : at + 2 + size] != _head(1, 1)[6 : 4 + size]:
-            raise ValueError("another Huffman table")
-        at += 2 + size
-        if mark == 0xDA:
-            return rows, width, jpeg[at:-2].replace(b"\xff\x00", b"\xff")
+
+_OWN = _head(0, 0)
+_AT = _OWN.index(b"\xff\xc3") + 5
 
 
 def decode(frames: list[bytes]) -> np.ndarray:
-    """Samples of equally sized frames: (frame, row, column) of unsigned bytes."""
+    """Samples of equally sized frames: (frame, row, column) of unsigned bytes, the first component of each."""
     parts = [_coded(f) for f in frames]
+    if any(p is None for p in parts):
+        return np.stack([jpeg.first_component(f) for f in frames])
     rows, width = parts[0][:2]
     d = _BACK[_unpack(np.frombuffer(b"".join(p[2] for p in parts), np.uint8))].reshape(-1, rows, width)
     first = np.cumsum(d[:, :, 0], axis=1, dtype=np.int16) + 128
@@ -151,6 +175,10 @@ def decode(frames: list[bytes]) -> np.ndarray:
     return np.concatenate([first[:, :, None], x + first[:, :, None]], axis=2).astype(np.uint8)
 
 
+def payload_of(movie: Movie, samples: np.ndarray) -> bytes:
+    return samples.tobytes()[: movie.length]
+
+
 def shots(samples: np.ndarray) -> list[int]:
     """First frames of the shots, beginning with 0."""
     n, pixels = len(samples), samples[0].size
@@ -178,22 +206,33 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
 
     kept = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    return kept.mapInArrow(write, f"{id_col} long, n_bytes long, media binary")
+    return map_batches(kept, write, f"{id_col} long, n_bytes long, media binary")
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def read_media(media: bytes) -> tuple:
-    period, frames = parse(media)
-    samples = decode(frames)
-    payload, cuts = samples.tobytes(), shots(samples)
-    feature = f"{samples.shape[2]}x{samples.shape[1]} frames={len(samples)} us={period} mean={samples.mean():.3f} shots={','.join(map(str, cuts))}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+#: What reading a damaged or foreign file may raise.
+UNREADABLE = (ValueError, IndexError, KeyError, struct.error, OverflowError, ZeroDivisionError)
+
+
+def read_media(media: bytes | None) -> tuple:
+    """What the stored bytes hold; nulls but for their length and sum where they can't be read."""
+    if media is None:
+        return (None,) * 6
+    stored = len(media), hashlib.sha256(media).hexdigest()
+    try:
+        movie = parse(media)
+        samples = decode(movie.frames)
+        payload, cuts = payload_of(movie, samples), shots(samples)
+    except UNREADABLE:
+        return None, None, None, *stored, None
+    feature = f"{samples.shape[2]}x{samples.shape[1]} frames={len(samples)} us={movie.period} mean={np.frombuffer(payload, np.uint8).mean():.3f} shots={','.join(map(str, cuts))}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, feature
 
 
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What the stored bytes hold: one row per media row."""
+    """What the stored bytes hold: one row per media row; see ``read_media`` for those that can't be read."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
@@ -202,31 +241,33 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             found = list(zip(*map(read_media, batch.column(2).to_pylist()), strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(found, types, strict=True))], [id_col, "n_bytes", *names])
 
-    return media.select(id_col, "n_bytes", "media").mapInArrow(read, f"{id_col} long, n_bytes long, {FEATURES}")
+    return map_batches(media.select(id_col, "n_bytes", "media"), read, f"{id_col} long, n_bytes long, {FEATURES}")
 
 
 def clips(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per shot: id, clip, first and past-last frame, start and end in microseconds."""
+    """One row per shot: id, clip, first and past-last frame, start and end in microseconds. Media that can't be read have none."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if data is None:
+                try:
+                    movie = parse(data or b"")
+                    cuts = [*shots(decode(movie.frames)), len(movie.frames)]
+                except UNREADABLE:
                     continue
-                period, frames = parse(data)
-                cuts = [*shots(decode(frames)), len(frames)]
-                rows += [(key, k, a, b, a * period, b * period) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                rows += [(key, k, a, b, a * movie.period, b * movie.period) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [id_col, "clip", "first_frame", "end_frame", "start_us", "end_us"])
 
-    return media.select(F.col(id_col).cast("long"), "media").mapInArrow(read, f"{id_col} long, clip long, first_frame long, end_frame long, start_us long, end_us long")
+    return map_batches(media.select(F.col(id_col).cast("long"), "media"), read, f"{id_col} long, clip long, first_frame long, end_frame long, start_us long, end_us long")
 
 
 def op4(docs: DataFrame) -> DataFrame:
     """Round trip of whole texts through the media column.
 
-    Null texts count as empty; repeated rows repeat; null ids are carried along;
-    an empty table gives an empty result.
+    Null texts count as empty; very long ones are read whole; repeated rows
+    repeat; null ids are carried along; other columns are not read; an empty
+    table gives an empty result.
     """
     return features(media_column(docs))
