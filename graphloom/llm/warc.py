@@ -6,7 +6,9 @@ WARC-Concurrent-To; by it they are joined into one nested row per capture.
 
 Archives are written by Spark's text writer with the record terminator as line
 separator, so any file system, its commit protocol and lost executors are
-Spark's business. They are read as whole files and cut by Content-Length.
+Spark's business. They are read as whole files and cut by Content-Length;
+captures are written by classes of size, so that a file stays within FILE_BYTES,
+or holds a single capture.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, scratch_path
+from .shared import map_batches, materialize, scratch_path
 
 CRLF, DATE = "\r\n", "2024-01-01T00:00:00Z"
-#: Three records a capture; bounds a file's size, and so what a reading task holds.
-RECORDS_PER_FILE = 3000
+#: Bounds a file's size, and so what a reading task holds; and the sizes up to which captures are written together.
+FILE_BYTES, CLASSES = 128 << 20, (1 << 15, 1 << 19, 1 << 23, 1 << 31)
+#: What the heads of a capture's three records take beside its payload and addresses.
+HEADS = 2048
 #: Smallest payload for which a revisit is written.
 LEAST_REVISIT = 0
 
@@ -52,8 +56,11 @@ def captures(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return told.select("page_id", "url", "html", base32(F.col("sha1")).alias("digest"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def _uri(page: Column, digest: Column, role: str) -> Column:
-    return F.concat(F.lit("<urn:capture:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(f":{role}>"))
+def _uri(page: Column, digest: Column, role: str, url: Column | None = None) -> Column:
+    """By page and payload; of captures the address tells them apart, too."""
+    parts = [F.lit("<urn:capture:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), digest]
+    own = [] if url is None else [F.lit(":"), F.lower(F.hex(F.xxhash64(url)))]
+    return F.concat(*parts, *own, F.lit(f":{role}>"))
 
 
 def _headers(*pairs: tuple[str, Column | str]) -> Column:
@@ -62,8 +69,8 @@ def _headers(*pairs: tuple[str, Column | str]) -> Column:
     return F.concat(F.lit(f"WARC/1.1{CRLF}"), *[F.coalesce(x, F.lit("")) for x in lines], F.lit(CRLF))
 
 
-def write(captured: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the three records of each capture into uncompressed WARC files under ``path``."""
+def write(captured: DataFrame, path: str) -> list[str]:
+    """Write the three records of each capture into uncompressed WARC files under ``path``; returns the folders."""
     page, url, digest, html = (F.col(c) for c in ("page_id", "url", "digest", "html"))
     target = F.regexp_replace(url, r"[\x00-\x20]", "%20")
     place = F.coalesce(F.nullif(F.regexp_replace(target, r"^[^/?#]*//[^/?#]*|#.*$", ""), F.lit("")), F.lit("/"))
@@ -72,10 +79,10 @@ def write(captured: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> N
     first = F.col("record_type") == "response"
     body = F.when(first, F.concat(answer, html)).otherwise(answer)
     notes = F.concat(F.lit("page_id: "), F.coalesce(page.cast("string"), F.lit("null")), F.lit(CRLF))
-    own = _uri(page, digest, "response")
+    own = _uri(page, digest, "response", url)
 
     def record(kind: Column | str, role: str, block: Column, content: str, *more: tuple[str, Column]) -> Column:
-        return F.concat(_headers(("WARC-Type", kind), ("WARC-Record-ID", _uri(page, digest, role)), ("WARC-Date", DATE), ("WARC-Target-URI", target), *more, ("Content-Type", content), ("Content-Length", F.octet_length(block).cast("string"))), block)
+        return F.concat(_headers(("WARC-Type", kind), ("WARC-Record-ID", _uri(page, digest, role, url)), ("WARC-Date", DATE), ("WARC-Target-URI", target), *more, ("Content-Type", content), ("Content-Length", F.octet_length(block).cast("string"))), block)
 
     refers = F.when(~first, _uri(F.col("refers_to"), digest, "response"))
     profile = F.when(~first, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
@@ -84,8 +91,19 @@ def write(captured: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> N
         record(F.col("record_type"), "response", body, "application/http; msgtype=response", ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), ("WARC-Refers-To", refers), ("WARC-Profile", profile)),
         record("metadata", "metadata", notes, "application/warc-fields", ("WARC-Concurrent-To", own)),
     )
-    lines = captured.select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+    # what a capture takes: its payload, and its address in three heads and the request
+    size = F.octet_length("html") + 6 * F.coalesce(F.octet_length("url"), F.lit(0)) + HEADS
+    longest = captured.agg(F.max(size)).collect()[0][0] or 0
+    folders, least = [], 0
+    for most in CLASSES:
+        if longest <= least and folders:
+            break
+        chosen = captured.where(size <= most) if not folders else captured.where((size > least) & (size <= most)) if most < CLASSES[-1] else captured.where(size > least)
+        lines = chosen.select(F.explode(records).alias("value"))
+        folders.append(f"{path}/to-{most}")
+        lines.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", 3 * max(1, FILE_BYTES // most)).text(folders[-1])
+        least = most
+    return folders
 
 
 FIELDS = [("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("block", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string())]
@@ -121,8 +139,8 @@ def parse(data: bytes, with_payload: bool) -> Iterator[tuple]:
         at = start + size + 4
 
 
-def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record of the archives under ``path``; see ``FIELDS``."""
+def read(spark: SparkSession, path: str | list[str], with_payload: bool = True) -> DataFrame:
+    """One row per record of the archives under ``path``, one folder or several; see ``FIELDS``."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,14 +160,14 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), FIELDS, strict=True)], [n for n, _ in FIELDS])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(records, ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in FIELDS))
+    return map_batches(files, records, ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in FIELDS))
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: page_id, request, response, metadata.
 
     Requests and metadata meet the record that they name in WARC-Concurrent-To
-    in one shuffle. Repeated captures (same page and payload) keep their
+    in one shuffle. Repeated captures (same page, address and payload) keep their
     rows and share the other records. A capture without a request or metadata
     record has null there; those without a response are none.
     """
@@ -168,15 +186,15 @@ def archive(pages: DataFrame, path: str | None = None, with_payload: bool = True
     """Write ``pages`` into archives, read these again and assemble the captures."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    write(captures(pages), path)
-    return assemble(read(spark, path, with_payload))
+    return assemble(read(spark, write(captures(pages), path), with_payload))
 
 
 def op3(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each row of ``pages``.
 
-    Null html is an empty payload; null ids and addresses, repeated rows and
-    clashing other columns (not read) do no harm; an empty table stays empty.
+    Null html is an empty payload; null ids and addresses, very long pages,
+    repeated rows and clashing other columns (not read) do no harm; an empty
+    table stays empty.
     """
     found = archive(pages, with_payload=False)
     refers = F.regexp_extract("response.refers_to", r"^<urn:capture:(-?\d+):", 1)
