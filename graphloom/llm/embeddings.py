@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import map_batches, materialize
 
 COSINE, PASSES, WINDOW, HASHES, SEED = 0.98, 8, 48, 60, 2
 BLOCK, CHUNK = 2048, 512
@@ -55,7 +55,7 @@ def usable(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vec, pa.binary())], ["vec_id", "label", "vec"])
 
     chosen = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
-    return chosen.mapInArrow(read, "vec_id long, label string, vec binary")
+    return map_batches(chosen, read, "vec_id long, label string, vec binary")
 
 
 def _keys(vectors: list[bytes]) -> np.ndarray:
@@ -107,7 +107,7 @@ def _neighbours(table: pa.Table) -> pa.Table:
 
 def window_links(distinct: DataFrame) -> DataFrame:
     """(a, b): pairs of ``rep`` that the passes verify, one spanning set per block."""
-    hashed = distinct.select("rep", "label", "vec").mapInArrow(_hashed, "pass int, rep long, label string, size int, key long, vec binary")
+    hashed = map_batches(distinct.select("rep", "label", "vec"), _hashed, "pass int, rep long, label string, size int, key long, vec binary")
     order = ["pass", "label", "size", "key", "rep"]
     ranged = hashed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     ranged = materialize(ranged, "passes")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_batches
+
 PATH, WORDS, MEASURES, HIDDEN = 192, 64, 9, 20
 TRAIN_PAGES, EPOCHS, BATCH, SEED = 2400, 16, 48, 20
 #: Blocks of a page that are vectors at one time; pages of more are read in parts with the state carried on.
@@ -527,7 +529,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
                 texts = main_texts([x or "" for x in part.column(2).to_pylist()], weights)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(read, "page_id long, url string, text string")
+    return map_batches(pages.select(F.col("page_id").cast("long"), "url", "html"), read, "page_id long, url string, text string")
 
 
 def op10(pages: DataFrame) -> DataFrame:

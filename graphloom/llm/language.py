@@ -17,13 +17,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, slices
+from .shared import map_batches, materialize, slices
 
 ORDERS = (4, 3, 2, 1)
-#: Labelled documents that are learned from, per language, in the mean; words and n-grams that the model keeps.
-SAMPLE, WORDS, GRAMS = 500, 60_000, 60_000
-REMEMBERED, LONGEST_WORD, UNKNOWN = 200_000, 64, "und"
-_word = re.compile(r"[^\W\d_]+")
+#: Labelled documents that are learned from, per language, in the mean; the model holds all their words that occur twice, and all their n-grams.
+SAMPLE = 500
+#: Words that a worker remembers with their scores, and the length of those; neither changes a result.
+REMEMBERED, SHORT, UNKNOWN = 200_000, 64, "und"
+_run = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    found = _run.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # re's word characters hold numerals such as ½, ², Ⅷ and ①, too
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def held_out() -> Column:
@@ -52,24 +62,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for word in _word.findall(text.lower()):
-                if len(word) <= LONGEST_WORD:
-                    words[lang, word] += 1
+            for word in words_of(text):
+                words[lang, word] += 1
         if len(words) > 50_000:
             yield told()
     yield told()
 
 
 class Model:
-    """Log frequencies; ``classify`` scores whole texts."""
+    """Log frequencies by language, a row of ``table`` for each known word and n-gram; ``classify`` scores whole texts."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], floor: np.ndarray):
-        self.langs, self.words, self.grams, self.floor = langs, words, grams, floor
+    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray, floor: np.ndarray):
+        self.langs, self.words, self.grams, self.logs, self.floor = langs, words, grams, table, floor
         self.rows: dict[str, int] = {}  # places in the table of words met so far
         self.table, self.used = np.empty((1024, len(langs))), 0
 
     def __reduce__(self) -> tuple:
-        return Model, (self.langs, self.words, self.grams, self.floor)
+        return Model, (self.langs, self.words, self.grams, self.logs, self.floor)
 
     def backoff(self, word: str) -> np.ndarray:
         padded, at, total, parts = f"\x02{word}\x03", 0, np.zeros(len(self.langs)), 0
@@ -78,7 +87,7 @@ class Model:
                 found = self.grams.get(padded[at : at + n])
                 if found is not None:
                     break
-            total = total + (self.floor if found is None else found)
+            total = total + (self.floor if found is None else self.logs[found])
             parts += 1
             at += max(1, min(n, len(padded) - at) - 1) if found is not None else 1
         return total / max(parts, 1)
@@ -88,14 +97,14 @@ class Model:
         found = self.words.get(word)
         if self.used == len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[self.used] = self.backoff(word) if found is None else found
-        if len(word) <= LONGEST_WORD:
+        self.table[self.used] = self.backoff(word) if found is None else self.logs[found]
+        if len(word) <= SHORT:
             self.rows[word] = self.used
         self.used += 1
         return self.used - 1
 
     def classify(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_word.findall((text or "").lower()))
+        counts = Counter(words_of(text or ""))
         if not counts or not self.langs:
             return UNKNOWN, 0.0
         if self.used >= REMEMBERED:
@@ -117,26 +126,25 @@ def learn(docs: DataFrame, per_language: int = SAMPLE) -> Model:
     labelled = docs.where(~held_out() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.where("text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], {}, {}, np.zeros(0))
+        return Model([], {}, {}, np.zeros((0, 0)), np.zeros(0))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
     drawn = (F.xxhash64("doc_id", F.lit("sample")).bitwiseAND((1 << 30) - 1) / float(1 << 30)) < share
     sample = labelled.where(drawn & F.col("text").isNotNull()).select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, token string, n long").groupBy("token", "lang").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample, _count, "lang string, token string, n long").groupBy("token", "lang").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
     wide = counts.groupBy("token").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)])
     wide = materialize(wide, "counts")
     gram = F.col("token").startswith("#")
 
-    def table(rows: DataFrame, most: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        got = rows.orderBy(F.desc("all"), "token").limit(most).toPandas()
+    def table(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+        got = rows.toPandas()  # bounded by the sample
         n = got[[f"n{i}" for i in range(len(langs))]].to_numpy(float).reshape(-1, len(langs))
         sums = np.maximum(n.sum(0), 1)
-        logs = np.log((n + 0.5) / (sums + 0.5 * max(1, len(n))))
-        return dict(zip(got["token"], logs, strict=True)), np.log(0.5 / (sums + 0.5 * max(1, len(n))))
+        return got["token"].tolist(), np.log((n + 0.5) / (sums + 0.5 * max(1, len(n)))), np.log(0.5 / (sums + 0.5 * max(1, len(n))))
 
-    words, _ = table(wide.where(~gram & (F.col("all") >= 2)), WORDS)
-    grams, floor = table(wide.where(gram).withColumn("token", F.substr("token", F.lit(2))), GRAMS)
-    return Model(langs, words, grams, floor)
+    words, scores, _ = table(wide.where(~gram & (F.col("all") >= 2)))
+    grams, more, floor = table(wide.where(gram).withColumn("token", F.substr("token", F.lit(2))))
+    return Model(langs, {w: k for k, w in enumerate(words)}, {g: len(words) + k for k, g in enumerate(grams)}, np.concatenate([scores, more]), floor)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -145,14 +153,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     The prediction reads the text alone. Null texts and texts without a letter
     are `und` with score 0. Repeated rows repeat; an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = list(map(shared.value.classify, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([min(1.0, x[1]) for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), predict, "doc_id long, lang_pred string, score double")
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -171,4 +179,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
             found = map(shared.value.classify, batch.column(place).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return map_batches(docs, sift, docs.schema)

@@ -17,6 +17,8 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from .shared import map_batches
 from tokenizers import Tokenizer
 
 LONGEST, END = 2048, 1
@@ -133,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST)
                     rows, held = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
 
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int")
+    pieces = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), cut, "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int")
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import map_batches, slices
 
 ROUNDS = 8
 
@@ -312,10 +312,14 @@ _name = rf"(?!(?:{_titles})(?!\w))[^\W\d_a-zà-ÿα-ωа-я][^\W\d_]+"
 _titled = re.compile(rf"(?<!\w)((?:{_titles})\.?[ \t]+{_name}(?:[ -]{_name}){{0,2}})")
 _listed = re.compile(rf"(?<!\w)((?:{'|'.join(n for names in GIVEN.values() for n in names)})(?:[ -]{_name}){{1,2}})(?!\w)")
 _telling = re.compile(r"[0-9@=:]|sk-|xox")
+_capital = re.compile(r"[A-ZÀ-ÞΆ-ΫЀ-Я]\w+")
+_telling_words = frozenset(TITLES) | {n for names in GIVEN.values() for n in names}
 
 
 def _persons(text: str) -> list[tuple[int, int, str, Callable[[bytes, str], str]]]:
     """Titled and listed names, and their words alone wherever else they stand."""
+    if _telling_words.isdisjoint(_capital.findall(text)):
+        return []
     found = [m.span(1) for p in (_titled, _listed) for m in p.finditer(text)]
     if not found:
         return []
@@ -377,7 +381,7 @@ def surrogates(docs: DataFrame, key: bytes, text_col: str = "text", count_col: s
 
     plain = docs.toDF(*inner)
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, docs.schema.fields, strict=True))
-    done = plain.mapInArrow(change, f"{schema}, n long")
+    done = map_batches(plain, change, f"{schema}, n long")
     return done.toDF(*docs.columns, count_col) if count_col else done.drop("n").toDF(*docs.columns)
 
 
@@ -391,7 +395,7 @@ def found_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataF
             rows = [(d, a, b, kind, t[a:b], change(key, t[a:b])) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for a, b, kind, change in entities(t)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text_col).alias("text")).mapInArrow(read, "doc_id long, start long, end long, type string, entity string, surrogate string")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col(text_col).alias("text")), read, "doc_id long, start long, end long, type string, entity string, surrogate string")
 
 
 def canonical(kind: str, value: str) -> str:
@@ -419,7 +423,11 @@ def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame
             rows = {(kind, said(kind, t[a:b]), said(kind, change(key, t[a:b]))) for t in batch.column(0).to_pylist() if t for a, b, kind, change in entities(t)}
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], ["type", "entity", "surrogate"])
 
-    told = docs.select(F.col(text_col).alias("text")).mapInArrow(read, "type string, entity string, surrogate string").distinct()
+    return several(map_batches(docs.select(F.col(text_col).alias("text")), read, "type string, entity string, surrogate string").distinct())
+
+
+def several(told: DataFrame) -> DataFrame:
+    """(type, value, n) of distinct (type, entity, surrogate): where one stands for several others."""
     shared = told.groupBy("type", F.col("surrogate").alias("value")).agg(F.count("*").alias("n"))
     split = told.groupBy("type", F.col("entity").alias("value")).agg(F.count("*").alias("n"))
     return shared.union(split).where("n > 1")

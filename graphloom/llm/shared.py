@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from graphloom.plans.scratch import materialize, scratch_path, shared_dir
 
-__all__ = ["materialize", "scratch_path", "shared_dir", "slices"]
+__all__ = ["map_batches", "materialize", "scratch_path", "shared_dir", "slices"]
+
+#: Rows of a record batch at most: texts pass between Spark and Python in batches, which executors hold beside the heap.
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def map_batches(df: DataFrame, change: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` in a session whose record batches have BATCH rows at most; a smaller setting stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH:
+        conf.set(BATCH_SETTING, str(BATCH))
+    return df.mapInArrow(change, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .components import connected_components
-from .shared import materialize, slices
+from .shared import map_batches, materialize, slices
 
 BITS, DIMENSIONS, CHUNK = 64, 3, 1 << 16
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -62,7 +62,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long): one row per row of ``docs``; other columns are not read."""
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return kept.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_batches(kept, _fingerprints, "doc_id long, fp long")
 
 
 def _signed(value: int) -> Column:
@@ -135,7 +135,7 @@ def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = sim
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(values.view(np.int64)), *batch.columns[at + 1 :]], [*inner, "fp", "none", "id"])
 
     schema = StructType([*plain.schema.fields, StructField("fp", LongType()), StructField("none", BooleanType()), StructField("id", LongType())])
-    marked = plain.select(*inner, text.cast("binary").alias("fp"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id")).mapInArrow(add, schema)
+    marked = map_batches(plain.select(*inner, text.cast("binary").alias("fp"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id")), add, schema)
     keys = ["none", "id", "fp"]
     single = marked.join(chosen.where("times = 1").select(keys), keys, "left_semi").select(inner)
     comparable = [c for c, field in zip(inner, docs.schema.fields, strict=True) if "map<" not in field.dataType.simpleString() and field.dataType.simpleString() != "variant"]
