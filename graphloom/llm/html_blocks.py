@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import map_batches
 
 PATH, WORDS, MEASURES, HIDDEN = 192, 64, 9, 20
-TRAIN_PAGES, EPOCHS, BATCH, SEED = 2400, 16, 48, 20
+TRAIN_PAGES, EPOCHS, BATCH, SEED = 2400, 14, 48, 20
 #: Blocks of a page that are vectors at one time; pages of more are read in parts with the state carried on.
 PART = 4096
 
@@ -418,8 +418,13 @@ def training_page(r: np.random.Generator) -> tuple[str, list[int]]:
     def main() -> str:
         start, stop = box(MAIN, ["div", "div", "div", "section", "td"])
         par = "p" if named else pick(["p", "p", "p", "div", "p" + random_name()])
+        if not named and r.random() < 0.3:  # no container
+            start = stop = ""
+        around = ("", "")
+        if not named and r.random() < 0.25:  # a box for each paragraph
+            around = (f"<div{random_name()}>", "</div>")
         short = 1 if named else 8
-        out = [f"<{(t := pick(['h1', 'h1', 'h2']))}>{main_text(prose(1, 12))}</{t}>"] if r.random() < 0.85 else []
+        out = [f"<{(t := pick(['h1', 'h1', 'h2']))}>{main_text(prose(1, 12))}</{t}>"] if r.random() < (0.85 if named else 0.7) else []
         for _ in range(r.integers(1, 14) if named else r.integers(2, 14)):
             kind = r.random()
             if kind < 0.1:
@@ -442,7 +447,7 @@ def training_page(r: np.random.Generator) -> tuple[str, list[int]]:
             elif kind < 0.55:
                 out.append(f"<{par}>{main_text(prose(1, 5))}</{par.split()[0]}>")
             else:
-                out.append(f"<{par}>{main_text(prose(short, 70))}</{par.split()[0]}>")
+                out.append(f"{around[0]}<{par}>{main_text(prose(short, 70))}</{par.split()[0]}>{around[1]}")
         return start + "".join(out) + stop
 
     def some(kinds: list[str], share: float) -> str:
