@@ -131,15 +131,15 @@ def runtime_traffic(g: Derived) -> DataFrame:
     return facts.runtime_traffic(g.telemetry, facts.unit_of(g.nodes), g.packages).withColumn("traffic", F.round("traffic", 6))
 
 
-@query("""blocks AS (SELECT 'f' || (l_partkey % 20) AS file, (l_orderkey * 7 + l_linenumber) % 400 AS start_line, CAST(l_quantity AS BIGINT) AS statements, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS hits FROM lineitem WHERE l_linenumber = 1),
-fns AS (SELECT 'fn:' || c_custkey AS id, 'f' || (c_custkey % 20) AS file, c_custkey % 380 AS first_line, c_custkey % 380 + 15 AS last_line FROM customer),
+@query("""blocks AS (SELECT 'f' || (l_partkey % 200) AS file, (l_orderkey * 7 + l_linenumber) % 400 AS start_line, CAST(l_quantity AS BIGINT) AS statements, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS hits FROM lineitem),
+fns AS (SELECT 'fn:' || c_custkey AS id, 'f' || (c_custkey % 200) AS file, c_custkey % 380 AS first_line, c_custkey % 380 + 15 AS last_line FROM customer),
 sums AS (SELECT id, sum(statements) AS statements, sum(CASE WHEN hits > 0 THEN statements ELSE 0 END) AS covered FROM fns JOIN blocks USING (file) WHERE start_line BETWEEN first_line AND last_line GROUP BY id)
 SELECT id, statements::BIGINT AS statements, covered::BIGINT AS covered, (covered * 100 // statements)::BIGINT AS percent, CASE WHEN covered = 0 THEN 'uncovered' WHEN covered = statements THEN 'covered' ELSE 'partial' END AS status FROM sums WHERE statements > 0""")
 def coverage_rollup(g: Derived) -> DataFrame:
-    part, line = F.col("l_partkey") % 20, (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 400
-    blocks = g.table("lineitem").where("l_linenumber = 1").select(F.concat(F.lit("f"), part).alias("file"), line.alias("start_line"), F.col("l_quantity").cast("long").alias("statements"), (F.col("l_returnflag") == "N").cast("int").alias("hits"))
+    part, line = F.col("l_partkey") % 200, (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 400
+    blocks = g.table("lineitem").select(F.concat(F.lit("f"), part).alias("file"), line.alias("start_line"), F.col("l_quantity").cast("long").alias("statements"), (F.col("l_returnflag") == "N").cast("int").alias("hits"))
     k = F.col("c_custkey")
-    functions = g.table("customer").select(F.concat(F.lit("fn:"), k).alias("id"), F.concat(F.lit("f"), k % 20).alias("file"), (k % 380).alias("first_line"), (k % 380 + 15).alias("last_line"))
+    functions = g.table("customer").select(F.concat(F.lit("fn:"), k).alias("id"), F.concat(F.lit("f"), k % 200).alias("file"), (k % 380).alias("first_line"), (k % 380 + 15).alias("last_line"))
     return facts.coverage_rollup(blocks, functions)
 
 
@@ -465,7 +465,7 @@ def review_units(g: Derived) -> DataFrame:
 
 # Contracts: parts of even and of odd keys give two versions of each brand's shape.
 
-_SHAPES = """shapes AS (SELECT p_partkey % 2 AS side, 'table:' || p_brand AS contract, '/properties/' || p_type || '/type' AS path, 'integer:' || max(p_size) AS value FROM part WHERE p_partkey % 7 < 5 GROUP BY ALL),
+_SHAPES = """shapes AS (SELECT p_partkey % 2 AS side, 'table:' || p_brand AS contract, '/properties/' || p_type || '/type' AS path, 'integer:' || max(p_size) AS value FROM part GROUP BY ALL),
 cbase AS (SELECT * FROM shapes WHERE side = 0 AND contract <> 'table:Brand#3'), chead AS (SELECT * FROM shapes WHERE side = 1 AND contract <> 'table:Brand#4'),
 fields AS (SELECT coalesce(a.contract, b.contract) AS contract, coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS kind, a.value AS before, b.value AS after
   FROM (SELECT * FROM cbase WHERE contract IN (SELECT contract FROM chead)) a FULL JOIN (SELECT * FROM chead WHERE contract IN (SELECT contract FROM cbase)) b ON a.contract = b.contract AND a.path = b.path
@@ -475,7 +475,7 @@ compat AS (SELECT *, CASE kind WHEN 'added' THEN 'safe' ELSE 'break' END AS comp
 
 
 def _shapes(g: Derived) -> tuple[DataFrame, DataFrame]:
-    return g.contracts("p_partkey % 7 < 5 and p_partkey % 2 = 0").where("contract <> 'table:Brand#3'"), g.contracts("p_partkey % 7 < 5 and p_partkey % 2 = 1").where("contract <> 'table:Brand#4'")
+    return g.contracts("p_partkey % 2 = 0").where("contract <> 'table:Brand#3'"), g.contracts("p_partkey % 2 = 1").where("contract <> 'table:Brand#4'")
 
 
 @query(_SHAPES + "SELECT contract, path, kind, before, after, compat FROM compat")
@@ -507,11 +507,11 @@ def delta_chain_replay(g: Derived) -> DataFrame:
 
 
 @query("""SELECT edge, (x).review AS review, (x).head AS snapshot FROM (SELECT 'method:' || l_suppkey AS edge, min({'created_at': o_orderdate, 'head': o_custkey, 'review': o_orderkey}) AS x
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_custkey % 3 <> 0 GROUP BY l_suppkey)""")
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY l_suppkey)""")
 def dependency_introduction(g: Derived) -> DataFrame:
     reviews = g.table("orders").select(F.col("o_orderkey").alias("review"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("head"))
-    added = g.table("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("review"), F.concat(F.lit("method:"), F.col("l_suppkey")).alias("edge"))
-    return temporal.dependency_introduction(reviews, added, g.table("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("snapshot")))
+    added = g.table("lineitem").select(F.col("l_orderkey").alias("review"), F.concat(F.lit("method:"), F.col("l_suppkey")).alias("edge"))
+    return temporal.dependency_introduction(reviews, added, g.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("snapshot")))
 
 
 _EVIDENCE = """ev AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey % 5 + 98 END AS snapshot_id, CASE WHEN o_orderkey % 3 = 0 THEN 'c' || (o_orderkey % 2) END AS made, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate END AS valid_until FROM orders)
@@ -699,19 +699,22 @@ def frontier_categories(g: Derived) -> DataFrame:
     return g.edges.select("id", ranking.category(F.col("kind"), F.lit(True)).alias("upstream"), ranking.category(F.col("kind"), F.lit(False)).alias("downstream"))
 
 
-# Paths from services to brands: containment, calls and data flow.
+# Paths from a service to brands over the data lineage. A level of the SQL keeps the best way to each node by each kind of step; no path has nine edges.
 
-_WALKS = """arcs AS (SELECT source AS a, target AS b, id, CASE WHEN kind = 'owns' THEN 0 ELSE 1 END AS cost, CASE WHEN kind = 'owns' THEN 'down' END AS way FROM edges WHERE kind IN ('owns', 'writes')
-  UNION ALL SELECT target, source, id, CASE WHEN kind = 'owns' THEN 0 ELSE 1 END, CASE WHEN kind = 'owns' THEN 'up' END FROM edges WHERE kind IN ('owns', 'reads')),
-walks AS (SELECT 'service:0' AS node, ['service:0'] AS nodes, []::VARCHAR[] AS ids, 0 AS hops, NULL::VARCHAR AS last
-  UNION ALL SELECT b, list_append(nodes, b), list_append(ids, id), hops + cost, way FROM walks w JOIN arcs ON a = node WHERE len(ids) < 4 AND NOT list_contains(nodes, b) AND NOT coalesce(last = 'up' AND way = 'down', false) AND node NOT LIKE 'table:%')
+_WALKS = """arcs AS (SELECT source AS a, target AS b, id, CASE WHEN kind = 'owns' THEN 0 ELSE 1 END AS cost, CASE WHEN kind = 'owns' THEN 'down' END AS way FROM edges WHERE kind IN ('owns', 'writes', 'transforms', 'publishes')
+  UNION ALL SELECT target, source, id, CASE WHEN kind = 'owns' THEN 0 ELSE 1 END, CASE WHEN kind = 'owns' THEN 'up' END FROM edges WHERE kind IN ('owns', 'reads', 'consumes')),
+ways AS (SELECT 'service:0' AS node, 0 AS hops, NULL::VARCHAR AS last, ''::VARCHAR AS edges, 0 AS n
+  UNION SELECT node, hops, last, edges, n FROM (
+    SELECT *, row_number() OVER (PARTITION BY node, last ORDER BY hops, edges) AS rank FROM (
+      SELECT b AS node, hops + cost AS hops, way AS last, CASE WHEN n = 0 THEN id ELSE edges || chr(1) || id END AS edges, n + 1 AS n
+      FROM ways w JOIN arcs ON a = node WHERE NOT coalesce(last = 'up' AND way = 'down', false) AND node NOT LIKE 'table:%' AND b <> 'service:0' AND n < 9)) WHERE rank = 1)
 """
 
 
-@query(_WALKS + "SELECT dst, hops, edges FROM (SELECT node AS dst, hops, array_to_string(ids, '>') AS edges, row_number() OVER (PARTITION BY node ORDER BY hops, len(ids), ids) AS rank FROM walks WHERE node LIKE 'table:%') WHERE rank = 1")
+@query(_WALKS + "SELECT dst, hops, replace(edges, chr(1), '>') AS edges FROM (SELECT node AS dst, hops, edges, row_number() OVER (PARTITION BY node ORDER BY hops, n, edges) AS rank FROM ways WHERE node LIKE 'table:%') WHERE rank = 1")
 def semantic_path_best(g: Derived) -> DataFrame:
     pairs = g.nodes.where("kind = 'table'").select(F.lit("service:0").alias("src"), F.col("id").alias("dst"))
-    found = paths.paths(paths.steps(g.edges, paths.POLICIES["data-lineage"] | {"publishes": None, "consumes": None, "transforms": None}), pairs, 1, 4)
+    found = paths.paths(paths.steps(g.edges, paths.POLICIES["data-lineage"]), pairs, 1)
     return found.where("rank = 1").select("dst", F.col("hops"), F.array_join("edges", ">").alias("edges"))
 
 
@@ -750,7 +753,7 @@ def _claims(g: Derived) -> tuple[DataFrame, DataFrame]:
     return claims, proof.select(F.concat(F.lit("e"), "n", F.lit(":"), "edge").alias("id"), "edge", F.when(F.col("n") == 1, "proven").otherwise("observed").alias("strength"))
 
 
-@query(_PROOF + """SELECT c.id AS edge, p.id AS evidence, p.strength FROM claims c JOIN proof p ON list_contains(c.refs, p.id)
+@query(_PROOF + """SELECT DISTINCT c.id AS edge, p.id AS evidence, p.strength FROM (SELECT id, unnest(refs) AS ref FROM claims WHERE refs IS NOT NULL) c JOIN proof p ON c.ref = p.id
 UNION ALL SELECT c.id, coalesce(p.id, 'legacy:' || c.id), coalesce(p.strength, 'inferred') FROM claims c LEFT JOIN proof p ON p.edge = c.id WHERE c.refs IS NULL""")
 def edge_evidence(g: Derived) -> DataFrame:
     return overlays.edge_evidence(*_claims(g))
@@ -848,19 +851,21 @@ def edge_ports(g: Derived) -> DataFrame:
     return overlays.edge_ports(g.edges)
 
 
-_SEGMENTS = """seg AS (SELECT id, source, target, (ord * 37) % 1000 * 1.0::DOUBLE AS ax, (ord * 91) % 777 * 1.0::DOUBLE AS ay, (ord * 53) % 1000 * 1.0::DOUBLE AS bx, (ord * 17) % 777 * 1.0::DOUBLE AS by
-  FROM (SELECT 'fn:' || o_custkey || '|' || l_suppkey || '|' || ord AS id, 'fn:' || o_custkey AS source, 'method:' || l_suppkey AS target, ord FROM lines))
+# A layout of the packages' dependencies: the ends of a line lie where their numbers say.
+
+_SEGMENTS = """ends AS (SELECT u, v, substr(u, 9)::BIGINT AS i, substr(v, 9)::BIGINT AS j FROM deps),
+seg AS (SELECT u || '>' || v AS id, u AS source, v AS target, (i * 37 % 100)::DOUBLE AS ax, (i * 91 % 77)::DOUBLE AS ay, (j * 37 % 100)::DOUBLE AS bx, (j * 91 % 77)::DOUBLE AS by FROM ends)
 """
 
 
-@query(_SEGMENTS + """SELECT p.id AS a, q.id AS b FROM seg p JOIN seg q ON p.id < q.id WHERE p.source <> q.source AND p.target <> q.target
+@query(_SEGMENTS + """SELECT p.id AS a, q.id AS b FROM seg p JOIN seg q ON p.id < q.id WHERE p.source <> q.source AND p.target <> q.target AND p.source <> q.target AND p.target <> q.source
   AND ((p.by - p.ay) * (q.ax - p.bx) - (p.bx - p.ax) * (q.ay - p.by)) * ((p.by - p.ay) * (q.bx - p.bx) - (p.bx - p.ax) * (q.by - p.by)) < 0
   AND ((q.by - q.ay) * (p.ax - q.bx) - (q.bx - q.ax) * (p.ay - q.by)) * ((q.by - q.ay) * (p.bx - q.bx) - (q.bx - q.ax) * (p.by - q.by)) < 0""")
 def edge_crossings(g: Derived) -> DataFrame:
-    ord_ = F.col("ord")
-    at = lambda k, m: (ord_ * k % m).cast("double")
-    ends = g.lines.select(F.concat(F.lit("fn:"), "o_custkey").alias("source"), F.concat(F.lit("method:"), "l_suppkey").alias("target"), F.concat(F.lit("fn:"), "o_custkey", F.lit("|"), "l_suppkey", F.lit("|"), "ord").alias("id"), at(37, 1000).alias("ax"), at(91, 777).alias("ay"), at(53, 1000).alias("bx"), at(17, 777).alias("by"))
-    return overlays.crossings(materialize(ends), 100.0)
+    number = lambda c: F.substring(c, 9, 9).cast("long")
+    at = lambda c, k, m: (number(c) * k % m).cast("double")
+    lines = _deps(g).select("u", "v").distinct().select(F.concat("u", F.lit(">"), "v").alias("id"), F.col("u").alias("source"), F.col("v").alias("target"), at("u", 37, 100).alias("ax"), at("u", 91, 77).alias("ay"), at("v", 37, 100).alias("bx"), at("v", 91, 77).alias("by"))
+    return overlays.crossings(materialize(lines), 10.0)
 
 
 @query("SELECT DISTINCT 'team' AS what, unnest(owners) AS value FROM packages WHERE owners IS NOT NULL UNION ALL SELECT DISTINCT 'service', service FROM packages")

@@ -1,9 +1,9 @@
 """A code graph derived from the driver's tables, as DataFrames and as SQL.
 
 Regions are services, nations packages, customers functions (each tenth a test),
-suppliers methods, part brands tables and order priorities topics. Order lines of
-quantity 50 and a discount of .095 or more make the calls and the data flow;
-events are the change history of nations. ``SQL`` has the same relations as
+suppliers methods, part brands tables and order priorities topics. Order lines
+make the calls and the data flow, every one of them; events are the change history
+of nations. ``SQL`` has the same relations as
 common table expressions for the oracle.
 """
 
@@ -28,8 +28,7 @@ class Derived:
 
     @cached_property
     def lines(self) -> DataFrame:
-        chosen = self.table("lineitem").where("l_quantity = 50 and l_discount >= 0.095")
-        chosen = chosen.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag")
+        chosen = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag")
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
         parts = self.table("part").select("p_partkey", "p_brand")
         joined = chosen.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
@@ -124,8 +123,7 @@ def _id(kind: str, value: Column) -> Column:
 SQL = """
 WITH RECURSIVE lines AS (
   SELECT l_orderkey, l_suppkey, l_returnflag, o_custkey, o_orderpriority, p_brand, l_orderkey * 10 + l_linenumber AS ord
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-  WHERE l_quantity = 50 AND l_discount >= 0.095),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 packages AS (
   SELECT 'package:' || n_nationkey AS id, n_name AS label, 'service:' || n_regionkey AS service,
     CASE WHEN n_nationkey % 7 <> 6 THEN 'team:' || (n_nationkey % 5) END AS owner,
