@@ -1,17 +1,21 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 In each pass the distinct vectors of a label are ordered lexicographically by
-their concatenated random hashes (signs of projections on random directions) and
-each is compared with a bounded window of its successors. Verified pairs are
-united across passes. As windows see only part of a large group, links are then
-counted exactly inside each component: its members are dealt into chunks, and
-every pair of chunks is compared as two blocks of bounded size; only counts
-leave a block.
+their concatenated random hashes (signs of projections of what is left without the
+label's mean) and each is compared with a bounded window of its successors. The
+number of passes follows the label's size and spread, so that a pair at the
+threshold meets in one of them with a chance of RECALL, however large the label.
+Verified pairs are united across passes. As windows see only part of a large
+group, links are then counted exactly inside each component: its members are dealt
+into chunks, and every pair of chunks is compared tile by tile; only counts leave
+a pair of chunks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,11 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import map_batches, materialize
 
-COSINE, PASSES, WINDOW, HASHES, SEED = 0.98, 8, 48, 60, 2
-BLOCK, CHUNK = 2048, 512
+COSINE, WINDOW, HASHES, SEED = 0.98, 48, 60, 2
+#: Chance that a pair at the threshold meets in some pass; least cosine without the mean that is reckoned with.
+RECALL, LEAST_COSINE = 0.99, 0.5
+#: Vectors of a block of windows; bytes of a chunk, which a task holds twice; chunks that a middling component is dealt into, of that many members at least; members of a tile.
+BLOCK, CHUNK_BYTES, CHUNKS, CHUNK, TILE = 2048, 16 << 20, 16, 128, 1024
 
 
 def _doubles(column: pa.Array) -> list[bytes | None]:
@@ -58,23 +65,65 @@ def usable(rows: DataFrame) -> DataFrame:
     return map_batches(chosen, read, "vec_id long, label string, vec binary")
 
 
-def _keys(vectors: list[bytes]) -> np.ndarray:
-    """(vector, pass): HASHES bits of each pass as an integer."""
-    x = _unit(vectors)
-    planes = np.random.default_rng([SEED, x.shape[1]]).normal(size=(x.shape[1], PASSES * HASHES))
-    bits = (x @ planes > 0).reshape(len(x), PASSES, HASHES)
-    return bits @ (1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64))
+def passes(n: int, common: float) -> int:
+    """Passes over a label of ``n`` vectors whose mean, of unit vectors, has the square length ``common``."""
+    if n <= WINDOW:
+        return 1
+    cosine = max(LEAST_COSINE, (COSINE - common) / max(1e-9, 1 - common))
+    same = 1 - math.acos(min(1.0, cosine)) / math.pi  # chance of an equal bit
+    met = same ** math.log2(n / WINDOW)  # of as many equal bits as leave a window of vectors
+    return max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - met)))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers and sums of unit vectors by label and size, in parts."""
+    held: dict[tuple[str, int], tuple[int, np.ndarray]] = {}
+
+    def told() -> pa.RecordBatch:
+        keys, values = list(held), list(held.values())
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1].tobytes() for v in values], pa.binary())]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, ["label", "size", "n", "total"])
+
+    for b in batches:
+        by: dict[tuple[str, int], list[bytes]] = {}
+        for label, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            by.setdefault((label, len(vec)), []).append(vec)
+        for key, vectors in by.items():
+            n, total = held.get(key, (0, 0.0))
+            held[key] = n + len(vectors), total + _unit(vectors).sum(0)
+        if len(held) > 500:
+            yield told()
+    yield told()
+
+
+def _means(table: pa.Table) -> pa.Table:
+    n = sum(table.column("n").to_pylist())
+    mean = sum(np.frombuffer(x) for x in table.column("total").to_pylist()) / n
+    return pa.table([table.column("label")[:1], table.column("size")[:1], pa.array([mean.tobytes()], pa.binary()), pa.array([passes(n, float(mean @ mean))], pa.int32())], ["label", "size", "mean", "passes"])
+
+
+@lru_cache(64)
+def _planes(dimensions: int, p: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dimensions, p]).normal(size=(dimensions, HASHES))
+
+
+_WEIGHTS = 1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each vector and pass of its label."""
     for b in batches:
-        vec = b.column(2).to_pylist()
-        for size in sorted({len(v) for v in vec}):
-            at = [k for k, v in enumerate(vec) if len(v) == size]
-            part, keys = b.take(pa.array(at, pa.int64())), _keys([vec[k] for k in at])
-            for p in range(PASSES):
-                head = [pa.array([p] * len(at), pa.int32()), *part.columns[:2], pa.array([size] * len(at), pa.int32()), pa.array(keys[:, p]), part.column(2)]
-                yield pa.RecordBatch.from_arrays(head, ["pass", "rep", "label", "size", "key", "vec"])
+        by: dict[tuple[int, bytes], list[int]] = {}
+        vec, mean, times = (b.column(k).to_pylist() for k in (3, 4, 5))
+        for k in range(b.num_rows):
+            by.setdefault((times[k], mean[k]), []).append(k)
+        for (n, middle), at in by.items():
+            x = _unit([vec[k] for k in at]) - np.frombuffer(middle)
+            part = b.take(pa.array(at, pa.int64()))
+            for p in range(n):
+                key = (x @ _planes(x.shape[1], p) > 0) @ _WEIGHTS
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), *part.columns[:3], pa.array(key), part.column(3)], ["pass", "rep", "label", "size", "key", "vec"])
 
 
 def _neighbours(table: pa.Table) -> pa.Table:
@@ -107,7 +156,10 @@ def _neighbours(table: pa.Table) -> pa.Table:
 
 def window_links(distinct: DataFrame) -> DataFrame:
     """(a, b): pairs of ``rep`` that the passes verify, one spanning set per block."""
-    hashed = map_batches(distinct.select("rep", "label", "vec"), _hashed, "pass int, rep long, label string, size int, key long, vec binary")
+    sums = map_batches(distinct.select("label", "vec"), _sums, "label string, size int, n long, total binary")
+    means = materialize(sums.groupBy("label", "size").applyInArrow(_means, "label string, size int, mean binary, passes int"), "means")
+    sized = distinct.select("rep", "label", F.octet_length("vec").alias("size"), "vec").join(means, ["label", "size"])
+    hashed = map_batches(sized.select("rep", "label", "size", "vec", "mean", "passes"), _hashed, "pass int, rep long, label string, size int, key long, vec binary")
     order = ["pass", "label", "size", "key", "rep"]
     ranged = hashed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     ranged = materialize(ranged, "passes")
@@ -137,26 +189,35 @@ def _counted(table: pa.Table) -> pa.Table:
     for (_, i, j), rows in groups.items():
         x, n = _unit([vec[k] for k in rows]), np.array([copies[k] for k in rows])
         side = np.array([chunk[k] for k in rows])
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        near = x[left] @ x[right].T >= COSINE
-        if i == j:
-            np.fill_diagonal(near, False)
-            told += zip([rep[rows[k]] for k in left], (near @ n[right]).tolist(), strict=True)
-        else:
-            told += zip([rep[rows[k]] for k in left], (near @ n[right]).tolist(), strict=True)
-            told += zip([rep[rows[k]] for k in right], (n[left] @ near).tolist(), strict=True)
+        left, right, links = np.flatnonzero(side == i), np.flatnonzero(side == j), np.zeros(len(rows), np.int64)
+        for a in range(0, len(left), TILE):
+            for b in range(0, len(right), TILE):
+                p, q = left[a : a + TILE], right[b : b + TILE]
+                near = x[p] @ x[q].T >= COSINE
+                if i == j:
+                    near &= p[:, None] != q
+                links[p] += near @ n[q]
+                if i != j:
+                    links[q] += n[p] @ near
+        told += zip([rep[k] for k in rows], links.tolist(), strict=True)
     return pa.table([pa.array(c, pa.int64()) for c in (zip(*told, strict=True) if told else ([], []))], ["rep", "links"])
 
 
 def component_links(members: DataFrame) -> DataFrame:
-    """(rep, links) by exact comparison within each ``root`` of (root, rep, n, vec)."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    """(rep, links) by exact comparison within each ``root`` of (root, rep, n, vec).
+
+    A member goes out once for each chunk of its component: CHUNKS times at
+    most, until a component passes CHUNKS * CHUNK_BYTES.
+    """
+    total = F.count("*")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum(F.octet_length("vec")) / CHUNK_BYTES), F.least(F.lit(CHUNKS), F.ceil(total / CHUNK))).cast("int").alias("chunks"))
     cut = members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    pairs = cut.select("root", "rep", "n", "vec", "chunk", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    buckets = max(1, -(-pairs.count() // (2 * CHUNK)))
-    bucket = F.pmod(F.xxhash64("root", "i", "j"), F.lit(buckets)).alias("bucket")
-    dealt = pairs.select(bucket, "root", "i", "j", "chunk", "rep", "n", "vec").groupBy("bucket")
+    pairs = cut.select("root", "rep", "n", "vec", "chunk", "chunks", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    # pairs of large components go alone, others together by the thousand of rows
+    few = max(1, -(-members.count() // (8 * CHUNK)))
+    bucket = F.when(F.col("chunks") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(few)))
+    dealt = pairs.select(bucket.alias("bucket"), "root", "i", "j", "chunk", "rep", "n", "vec").groupBy("bucket")
     return dealt.applyInArrow(_counted, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
