@@ -23,7 +23,7 @@ ORDERS = (4, 3, 2, 1)
 #: Labelled documents that are learned from, per language, in the mean; the model holds all their words that occur twice, and all their n-grams.
 SAMPLE = 500
 #: Words that a worker remembers with their scores, and the length of those; neither changes a result.
-REMEMBERED, SHORT, UNKNOWN = 200_000, 64, "und"
+REMEMBERED, SHORT, UNKNOWN = 100_000, 64, "und"
 _run = re.compile(r"[^\W\d_]+")
 
 

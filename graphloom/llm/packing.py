@@ -35,13 +35,13 @@ _odd = re.compile("[^\x00-\x1b\x20-\xff]")
 class Memory(dict):
     """A dictionary that forgets what two generations have not asked for."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         super().__init__()
-        self.older: dict[str, bytes] = {}
+        self.most, self.older = most, {}
 
     def lack(self, keys: set[str]) -> set[str]:
         """Those of ``keys`` that are not known; the others are kept."""
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         new, older = {k for k in keys if k not in self}, self.older
@@ -61,10 +61,10 @@ class WordIds:
     vocabulary's word ends.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.ids = Memory()
+        self.ids = Memory(remembered)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -93,10 +93,10 @@ class WordIds:
         return out
 
 
-@lru_cache(2)
-def word_ids(path: str) -> WordIds:
+@lru_cache(1)
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
     """One memory per worker, kept from task to task."""
-    return WordIds(path)
+    return WordIds(path, remembered)
 
 
 def lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -105,18 +105,20 @@ def lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset.
 
     A null text counts as empty: its single piece is the end id. Repeated rows
     give repeated pieces in sequences of their own; a null doc_id is carried
     along. An empty table gives an empty result. ``bucket`` is the logarithm of
-    the length; ``sequence_id`` is unique, ``offset`` is 0.
+    the length; ``sequence_id`` is unique, ``offset`` is 0. Other columns are not
+    read, very long texts are whole. ``remembered`` pieces are kept by a worker in
+    each of two generations; it bounds memory and changes no result.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        words = word_ids(path, remembered)
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "bucket"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
         for batch in batches:
@@ -139,5 +141,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
-def op7(docs: DataFrame) -> DataFrame:
-    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+def op7(docs: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    return pack(docs, remembered=remembered).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
