@@ -91,6 +91,18 @@ def apply(state: State, commands: list[dict], nodes: set[str]) -> State:
     return state
 
 
+# The phrase that has a plan, and the nodes it pins at most.
+RISKY_PATHS, PLANNED_PINS = "show only risky paths introduced by this pr", 3
+
+
+def plan(phrase: str, changed: list[str]) -> list[dict]:
+    """The commands that a phrase stands for; other phrases are refused."""
+    if re.sub(r"[.?!]+$", "", phrase.strip().lower()) != RISKY_PATHS:
+        raise CommandError(f"no commands stand for {phrase!r}")
+    first = [{"command": "set-projection", "projection": "what-changed-architecturally"}, {"command": "set-evidence", "level": "observed", "include_stale": False}, {"command": "set-depth", "upstream": 1, "downstream": 2}]
+    return [*first, *({"command": "pin", "node": n} for n in sorted(set(changed))[:PLANNED_PINS])]
+
+
 def relationships(state: State) -> list[str]:
     return sorted({*PROJECTIONS[state.projection], *state.include} - {*state.exclude})
 

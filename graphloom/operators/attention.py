@@ -137,6 +137,39 @@ def findings(ranked: DataFrame, long: DataFrame, labels: DataFrame, most: int =
     return told.join(labels.select("id", "label"), "id").select("id", "priority", "region", F.concat("label", text).alias("title"), "explanation")
 
 
+def evidence_refs(members: DataFrame, most: int = 50) -> DataFrame:
+    """(id, kind, ref): the first ``most`` distinct references of each unit and kind, by reference."""
+    order = Window.partitionBy("id", "kind").orderBy("ref")
+    return members.select("id", "kind", "ref").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
+
+
+def accessible(ranked: DataFrame, most: int = 200) -> DataFrame:
+    """The units of the list that stands beside the plot: all, or the first ``most`` by priority."""
+    return ranked.orderBy(F.desc("priority"), "id").limit(most)
+
+
+def paint_order(ranked: DataFrame) -> DataFrame:
+    """(id, radius) in the order of painting: large bubbles first, the area growing with velocity."""
+    radius = F.when(F.col("velocity").isNull(), 6.0).otherwise(F.sqrt((110 + 700 * F.col("velocity") / 100) / F.pi()))
+    return ranked.select("id", radius.alias("radius")).orderBy(F.desc("radius"), "id")
+
+
+# Signals that no source gives, and what is told about the history.
+OPTIONAL_SIGNALS = ["business criticality", "contract consumers", "critical flows", "runtime paths"]
+OWNERSHIP_SIGNAL = "team ownership"
+SHALLOW_WARNING = "Git history is shallow; change velocity may be understated."
+NO_HISTORY_WARNING = "Git history is unavailable; change velocity is unknown."
+
+
+def completeness(packages: DataFrame, history: bool, shallow: bool = False) -> DataFrame:
+    """One row: history_available, history_shallow, optional_signals, warnings. packages: owners."""
+    owned = F.coalesce(F.bool_or(F.size(F.coalesce("owners", F.array().cast("array<string>"))) > 0), F.lit(False))
+    texts = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    signals = F.when(owned, texts(OPTIONAL_SIGNALS)).otherwise(texts([*OPTIONAL_SIGNALS, OWNERSHIP_SIGNAL]))
+    warnings = [] if history and not shallow else [SHALLOW_WARNING] if history else [NO_HISTORY_WARNING]
+    return packages.agg(F.lit(history).alias("history_available"), F.lit(history and shallow).alias("history_shallow"), signals.alias("optional_signals"), texts(warnings).alias("warnings"))
+
+
 def review_units(ranked: DataFrame, touched: DataFrame) -> DataFrame:
     """Units in review order; touched: unit, status, node, edge rows of a delta."""
     counts = touched.where("unit is not null").groupBy(F.col("unit").alias("id")).agg(F.count_distinct("node").alias("nodes"), F.count_distinct("edge").alias("edges"), F.min("node").alias("focal"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))

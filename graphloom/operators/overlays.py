@@ -92,6 +92,13 @@ def changes_only(nodes: DataFrame, node_delta: DataFrame, edge_delta: DataFrame)
     return node_delta.select("id").union(ends.join(nodes.select("id"), "id", "left_semi")).distinct()
 
 
+def review_graph(policy: str, nodes: DataFrame, edges: DataFrame, node_delta: DataFrame, edge_delta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids of the nodes and edges that a review shows: its changes only, or (``impact``, ``blast-radius``) all of its graph."""
+    if policy != "changes-only":
+        return nodes.select("id"), edges.select("id")
+    return changes_only(nodes, node_delta, edge_delta), edge_delta.select("id")
+
+
 def side(rows: DataFrame, delta: DataFrame, which: str) -> DataFrame:
     """Ids of the base or head side from the rows of either and a delta (id, status)."""
     absent, restored = ("added", "removed") if which == "base" else ("removed", "added")

@@ -30,6 +30,29 @@ def edge_reasons() -> Column:
     return F.when(F.col("status") == "added", "dependency-added").when(F.col("status") == "removed", "dependency-removed").otherwise(F.array_join(F.array_sort(kinds), ","))
 
 
+def changed_ids(base: DataFrame, head: DataFrame, key: str, fields: list[str], both: bool = True) -> DataFrame:
+    """(id): keys whose ``fields`` differ between the sides; with ``both`` only those that are on both."""
+    rows = diff(base, head, key, fields)
+    return (rows.where("status = 'modified'") if both else rows).select(F.col(key).alias("id"))
+
+
+def analysis_reasons(base: dict[str, DataFrame], head: dict[str, DataFrame], contract_nodes: DataFrame) -> DataFrame:
+    """(id, reason) that the analyses of two snapshots give, for ``with_reasons``.
+
+    Tables by name: violations (id, node), telemetry (node_id, body), complexity
+    (node_id, body), coverage (node_id, body), a body being all that is compared,
+    and contracts (contract, path, value); contract_nodes: contract, node.
+    """
+    told = lambda rows, reason: rows.select("id", F.lit(reason).alias("reason"))
+    fresh = head["violations"].join(base["violations"].select("id"), "id", "left_anti").select(F.col("node").alias("id"))
+    solved = base["violations"].join(head["violations"].select("id"), "id", "left_anti").select(F.col("node").alias("id"))
+    contracts = contract_changes(base["contracts"], head["contracts"]).join(contract_nodes, "contract").select(F.col("node").alias("id"))
+    compared = lambda name, both: changed_ids(base[name], head[name], "node_id", ["body"], both)
+    out = told(fresh, "architecture-violation").union(told(solved, "architecture-violation-resolved")).union(told(contracts, "contract-changed"))
+    out = out.union(told(compared("telemetry", False), "runtime-changed")).union(told(compared("complexity", True), "complexity-changed"))
+    return out.union(told(compared("coverage", True), "test-protection-changed")).where("id is not null").distinct()
+
+
 def with_reasons(delta: DataFrame, reasons: DataFrame, known: DataFrame) -> DataFrame:
     """Node deltas with the reasons (id, reason) of analyses; known nodes without a delta become modified."""
     told = reasons.join(known.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("reason")).alias("more"))

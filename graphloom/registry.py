@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# Edge kinds of each projection; owns and implements are always transparent.
+# Projections and the edge kinds of each; owns and implements are always transparent.
 PROJECTIONS = {
     "dependencies": ["calls", "depends_on"],
-    "complexity": ["calls", "depends_on"],
-    "data-flow": ["calls", "reads", "writes", "transforms", "publishes", "consumes"],
+    "data flow": ["calls", "reads", "writes", "transforms", "publishes", "consumes"],
     "runtime": ["calls", "reads", "writes", "publishes", "consumes", "depends_on"],
-    "impact": ["calls", "reads", "writes", "publishes", "consumes", "depends_on"],
-    "lint": ["calls", "reads", "writes", "publishes", "consumes", "depends_on"],
-    "review": ["calls", "reads", "writes", "publishes", "consumes", "depends_on"],
+    "impact": ["calls", "depends_on", "reads", "writes", "publishes", "consumes"],
     "coverage": ["calls", "tests"],
+    "complexity": ["calls", "depends_on"],
     "contracts": ["calls", "depends_on", "publishes", "consumes"],
+    "lint": ["calls", "depends_on", "reads", "writes", "publishes", "consumes"],
+    "review": ["calls", "depends_on", "reads", "writes", "publishes", "consumes"],
     "what-can-break": ["calls", "depends_on", "implements", "retries", "writes", "publishes", "consumes"],
     "hot-path": ["calls", "publishes", "consumes"],
     "state-mutation": ["calls", "writes", "publishes"],

@@ -41,8 +41,11 @@ class Store:
         return rows.groupBy("repository_id").agg(F.max_by("name", "at").alias("name"))
 
     def snapshots(self) -> DataFrame:
+        """The manifest, but for what a compaction dropped."""
         rows = self._read("snapshots", MANIFEST)
-        return rows if rows is not None else self.spark.createDataFrame([], MANIFEST)
+        rows = rows if rows is not None else self.spark.createDataFrame([], MANIFEST)
+        gone = self._read("dropped", "snapshot_id bigint")
+        return rows if gone is None else rows.join(gone, "snapshot_id", "left_anti").select(rows.columns)
 
     def _write(self, repository_id: str, number: int, parts: dict[str, DataFrame]) -> int:
         """Write the parts of a snapshot that no reader sees yet; returns their size as JSON."""
@@ -65,12 +68,16 @@ class Store:
         return number
 
     def save_pair(self, repository_id: str, review_id: str, commits: tuple[str, str], base: dict[str, DataFrame], head: dict[str, DataFrame], delta: DataFrame) -> tuple[int, int]:
-        """Write both snapshots of a review and its delta; they are there together or not at all."""
+        """Write both snapshots of a review and its delta; they are there together or not at all.
+
+        The manifest's two rows come last, in one write; a review of snapshots
+        that the manifest does not name is not told.
+        """
         first = self._next()
         sizes = [self._write(repository_id, first + k, parts) for k, parts in enumerate((base, head))]
         delta.write.mode("overwrite").parquet(f"{self.path}/deltas/review_id={review_id}")
-        self.append_manifest([(repository_id, first + k, "review", commits[k], sizes[k]) for k in (0, 1)])
         self._record(repository_id, review_id, first, first + 1)
+        self.append_manifest([(repository_id, first + k, "review", commits[k], sizes[k]) for k in (0, 1)])
         return first, first + 1
 
     def timeline(self, repository_id: str) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +115,10 @@ class Store:
         rows = self._read("reviews", schema)
         rows = rows if rows is not None else self.spark.createDataFrame([], schema)
         newest = Window.partitionBy("review").orderBy(F.desc("created_at"))
-        return rows.withColumn("__rank", F.row_number().over(newest)).where("__rank = 1").drop("__rank")
+        there = self.snapshots().select("snapshot_id")
+        for side in ("base", "head"):
+            rows = rows.join(there.withColumnRenamed("snapshot_id", side), side, "left_semi")
+        return rows.withColumn("__rank", F.row_number().over(newest)).where("__rank = 1").select("review", "repository", "base", "head", "created_at")
 
     def latest_review(self, repository_id: str) -> DataFrame:
         rows = self.reviews().where(F.col("repository") == repository_id)
@@ -141,9 +151,8 @@ class Store:
         marked = rows.join(indexed, "snapshot_id", "left").select(F.col("snapshot_id").alias("snapshot"), F.coalesce("cur", F.lit(False)).alias("is_current"))
         kept = temporal.compact(marked, self.reviews(), keep)
         gone = [r["snapshot"] for r in marked.join(kept, "snapshot", "left_anti").select("snapshot").collect()]
-        left = rows.where(~F.col("snapshot_id").isin(gone)) if gone else rows
-        fresh = self.spark.createDataFrame(left.collect(), MANIFEST)  # a row per snapshot
-        fresh.write.mode("overwrite").parquet(f"{self.path}/snapshots")
+        if gone:  # told by one append: the manifest itself is never rewritten
+            self.spark.createDataFrame([(x,) for x in gone], "snapshot_id bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/dropped")
         return gone
 
 

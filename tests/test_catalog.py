@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from graphloom.plans import catalog
+from graphloom.plans import catalog, samples  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent

@@ -387,7 +387,7 @@ def test_views(spark):
     assert view(spark, ["root", "middle", "beyond"], line, roots=("root",), upstream=0, downstream=1)[0] == {"root", "middle"}
     wide = view(spark, ["root", "middle", "beyond"], line, roots=("root",), upstream=0, downstream=1, expansions={"downstream:middle:downstream dependencies": 1})
     assert wide[0] == {"root", "middle", "beyond"}
-    assert view(spark, ["consumer", ("topic", "topic")], [("consumer", "consumes", "topic")], roots=("topic",), projection="data-flow", upstream=0, downstream=1)[0] == {"consumer", "topic"}
+    assert view(spark, ["consumer", ("topic", "topic")], [("consumer", "consumes", "topic")], roots=("topic",), projection="data flow", upstream=0, downstream=1)[0] == {"consumer", "topic"}
     seen, by = view(spark, [(f"n{k:02d}", "package") for k in range(60)], [], roots=("missing",))
     assert len(seen) == 30 and [w.id for w in by["warning"]] == ["missing-root"]
     assert view(spark, ["root", "next", "reference"], [("root", "calls", "next")], roots=("root",), pins=("reference",), upstream=0, downstream=1, budget=3)[0] == {"root", "next", "reference"}
