@@ -3,7 +3,7 @@
 A document of n tokens is cut by the binary digits of n: as many pieces of the
 full length as fit, then one piece for each lower set bit, longest first. Each
 piece is a sequence of its own, so none crosses documents and none is padded;
-equal lengths form a bucket from which training batches are drawn.
+equal lengths form a bucket from which training batches are drawn (``batched``).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .resharding import slotted
 from .shared import map_batches
 from tokenizers import Tokenizer
 
@@ -141,5 +142,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST,
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
+def batched(packed: DataFrame, size: int) -> DataFrame:
+    """Rows of ``pack`` with ``batch``: within each bucket of equal lengths, sequences in their order by ``size``."""
+    rows = slotted(packed.withColumnsRenamed({"sequence_id": "row", "bucket": "shard"}))
+    return rows.withColumn("batch", F.floor(F.col("slot") / size)).drop("slot").withColumnsRenamed({"row": "sequence_id", "shard": "bucket"})
+
+
 def op7(docs: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
     return pack(docs, remembered=remembered).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

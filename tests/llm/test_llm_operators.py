@@ -159,6 +159,30 @@ def test_vectors_link_as_by_brute_force(spark):
     assert (found.kept == (found.vec_id == found.component_id)).all()
 
 
+def test_passes_grow_with_size_and_spread():
+    assert embeddings.passes(40, 0.0) == 1 and embeddings.passes(1000, 0.0) < embeddings.passes(10**6, 0.0) < embeddings.passes(10**9, 0.0) < 40
+    assert embeddings.passes(10**6, 0.5) > embeddings.passes(10**6, 0.0)
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.8])
+def test_pairs_of_a_large_label_are_found(spark, mean):
+    """Planted pairs just above the threshold in one label, around the origin and around a common direction."""
+    r, n, dim, pairs = np.random.default_rng(6), 12_000, 32, 200
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    common = unit(r.normal(size=dim))
+    x = unit(r.normal(size=(n, dim)) - 0)
+    x = unit(np.sqrt(mean) * common + np.sqrt(1 - mean) * unit(x - (x @ common)[:, None] * common))
+    for k in range(pairs):
+        d = r.normal(size=dim)
+        d = unit(d - (d @ x[2 * k]) * x[2 * k])
+        x[2 * k + 1] = 0.9805 * x[2 * k] + np.sqrt(1 - 0.9805**2) * d
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x.tolist()), "label": 1}))
+    found = embeddings.op2(frame).toPandas().set_index("vec_id")
+    near = np.argwhere(np.triu(x @ x.T >= 0.98, 1))
+    hit = (found.component_id.loc[near[:, 0]].to_numpy() == found.component_id.loc[near[:, 1]].to_numpy()).mean()
+    assert len(near) >= pairs and hit >= 0.95 and found.n_links.sum() >= 0.9 * 2 * len(near)
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [3.0, 0.0], 1), (4, [0.0, 0.0], 1), (5, None, 1), (6, [1.0, None], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1), (9, [1.0, 0.0], None), (10, [1.0, 0.0], 2), (2, [1.0, 0.0], 1), (11, [], 1), (12, [1.0, 0.0, 0.0], 1), (13, [1e-200, 0.0], 1)]
@@ -457,6 +481,13 @@ def test_packed_pieces_hold_each_id_once(spark, docs, odd):
     assert packing.op7(odd.limit(0)).count() == 0
 
 
+def test_batches_hold_equal_lengths(spark, docs):
+    found = packing.batched(packing.pack(docs), 16).toPandas()
+    whole = found.groupby(["bucket", "batch"])
+    assert (whole.length.nunique() == 1).all() and (whole.size() <= 16).all() and whole.size().groupby("bucket").apply(lambda n: (n < 16).sum() <= 1).all()
+    assert len(found) == packing.pack(docs).count()
+
+
 # 8
 
 
