@@ -61,3 +61,12 @@ def test_entry_stands_without_the_optional_parts(tmp_path):
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
     done = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=False)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_scratch_tables_can_be_removed(spark):
+    from graphloom.plans.scratch import clear_scratch, materialize, scratch_path
+
+    folder = Path(scratch_path(spark, "x").split("://")[-1].removeprefix("file:")).parent
+    assert materialize(spark.range(3)).count() == 3 and folder.exists()
+    clear_scratch(spark)
+    assert not folder.exists()
