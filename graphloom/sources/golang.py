@@ -2,7 +2,9 @@
 
 One row per declaration, import and call; names are resolved afterwards by
 joins. Types of variables come from receivers, parameters, var declarations and
-composite literals of the same function.
+composite literals of the same function. Where a type is that of a field, of an
+element that is ranged over or of a call's result, the row of a call has a chain of
+steps to it, which joins with the rows of fields and results follow.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ _closing = {"(": ")", "[": "]", "{": "}"}
 _escapes = re.compile(r"\\([abfnrtv\\'\"])")
 _plain = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
 
-KINDS = ["file", "row", "pkg", "name", "recv", "line", "end_line", "exported", "cyclomatic", "fingerprint", "alias", "target", "owner", "receiver", "method", "values", "args", "http", "route_type", "prefix", "echo"]
-SCHEMA = "file string, row string, pkg string, name string, recv string, line int, end_line int, exported boolean, cyclomatic int, fingerprint string, alias string, target string, owner string, receiver string, method string, values array<string>, args array<string>, http boolean, route_type string, prefix string, echo boolean"
+KINDS = ["file", "row", "pkg", "name", "recv", "line", "end_line", "exported", "cyclomatic", "fingerprint", "alias", "target", "owner", "receiver", "method", "values", "args", "http", "route_type", "prefix", "echo", "chain"]
+SCHEMA = "file string, row string, pkg string, name string, recv string, line int, end_line int, exported boolean, cyclomatic int, fingerprint string, alias string, target string, owner string, receiver string, method string, values array<string>, args array<string>, http boolean, route_type string, prefix string, echo boolean, chain array<string>"
 
 
 class Token(NamedTuple):
@@ -90,6 +92,26 @@ def type_name(tokens: list[Token]) -> str:
     return ""
 
 
+def deep_type(tokens: list[Token]) -> tuple[int, str]:
+    """How often the elements are to be taken, and ``pkg.T`` or ``T``; blank for other types."""
+    depth, k = 0, 0
+    while k < len(tokens):
+        text = tokens[k].text
+        if text == "...":
+            depth, k = depth + 1, k + 1
+        elif text == "[":
+            depth, k = depth + 1, matching(tokens, k) + 1
+        elif text == "map" and k + 1 < len(tokens):
+            depth, k = depth + 1, matching(tokens, k + 1) + 1
+        elif text == "chan":
+            depth, k = depth + 1, k + 1
+        elif text in ("*", "&", "<-"):
+            k += 1
+        else:
+            break
+    return depth, type_name(tokens[k:])
+
+
 def dotted(tokens: list[Token]) -> str:
     """``a.b.c`` if that is all there is."""
     text = "".join(t.text for t in tokens)
@@ -106,6 +128,7 @@ class File:
         self.pkg = ""
         self.rows: list[dict] = []
         self.results: dict[str, str] = {}
+        self.deep: dict[str, list[str]] = {}  # chains of the variables of a function
 
     def line(self, at: int) -> int:
         from bisect import bisect_left
@@ -130,6 +153,8 @@ class File:
             elif text == "func" and t[k].kind == "name":
                 k, function = self.read_function(k)
                 functions.append(function)
+            elif text == "type" and t[k].kind == "name":
+                k = self.read_types(k)
             elif text in _closing and t[k].kind == "op":
                 k = matching(t, k)
             k += 1
@@ -153,9 +178,65 @@ class File:
                 alias = t[j].text
         return stop - (0 if t[k + 1].text == "(" else 1)
 
+    def read_types(self, k: int) -> int:
+        """Fields of the structures that a declaration, or a group of them, names; returns its last place."""
+        t = self.tokens
+        group = t[k + 1].text == "("
+        j, last = k + 1 + group, matching(t, k + 1) if group else None
+        while j < (last if group else min(k + 2, len(t))):
+            name, at = t[j], j + 1
+            if at < len(t) and t[at].text == "[" and t[at + 1].kind == "name":  # type parameters
+                at = matching(t, at) + 1
+            if name.kind == "name" and at + 1 < len(t) and t[at].text == "struct" and t[at + 1].text == "{":
+                stop = matching(t, at + 1)
+                for a, b in self.lines_of(at + 2, stop):
+                    self.read_field(name.text, t[a:b])
+                if not group:
+                    return stop
+                j = stop
+            elif t[j].text in _closing and t[j].kind == "op":
+                j = matching(t, j)
+            j += 1
+        return last if group else k + 1
+
+    def lines_of(self, start: int, stop: int) -> list[tuple[int, int]]:
+        """Ranges between line ends and semicolons of the outermost level."""
+        t, out, at, k = self.tokens, [], start, start
+        while k < stop:
+            if k > at and (t[k].text == ";" or "\n" in self.source[t[k - 1].end : t[k].at]):
+                out.append((at, k))
+                at = k + (t[k].text == ";")
+            if t[k].text in _closing and t[k].kind == "op":
+                k = matching(t, k)
+            k += 1
+        return [r for r in [*out, (at, stop)] if r[0] < r[1]]
+
+    def read_field(self, owner: str, part: list[Token]) -> None:
+        part = part[:-1] if part[-1].kind == "str" else part
+        if not part:
+            return
+        words = [x.text for x in part]
+        if len(part) == 1 or words[0] == "*" or words[1] == ".":  # embedded
+            self.add("field", name=owner, alias=words[-1], target=self.typed(part), line=self.line(part[0].at))
+            return
+        k = 0
+        while k + 2 < len(part) and words[k + 1] == ",":
+            k += 2
+        for name in words[: k + 1 : 2]:
+            self.add("field", name=owner, alias=name, target=self.typed(part[k + 1 :]), line=self.line(part[0].at))
+
+    def typed(self, tokens: list[Token]) -> str:
+        """``import path|type|depth``, blank if it can't be told."""
+        depth, name = deep_type(tokens)
+        package, _, plain = name.rpartition(".")
+        if not name or (package and package not in self.imports):
+            return ""
+        return f"{self.imports.get(package, '')}|{plain}|{depth}"
+
     def parameters(self, start: int, stop: int) -> dict[str, str]:
         """Types of named parameters; ``a, b T`` gives both."""
         found, waiting = {}, []
+        self.deep = {}
         for a, b in split(self.tokens, start, stop):
             part = self.tokens[a:b]
             if len(part) == 1 and part[0].kind == "name":
@@ -163,6 +244,8 @@ class File:
             elif part[0].kind == "name" and part[1].text != ".":
                 for name in [*waiting, part[0].text]:
                     found[name] = type_name(part[1:])
+                    if not found[name] and self.typed(part[1:]):
+                        self.deep[name] = ["t|" + self.typed(part[1:])]
                 waiting = []
         return found
 
@@ -194,11 +277,17 @@ class File:
                 break  # a declaration without a body
             k += 1
         result = t[first_result:k]
+        deep = self.deep
+        told = [t[a:b] for a, b in split(t, first_result + 1, matching(t, first_result))] if result and result[0].text == "(" else [result] if result else []
+        named = any(len(p) > 1 and p[0].kind == "name" and (p[1].kind == "name" or p[1].text == "*" or [x.text for x in p[1:3]] == ["[", "]"]) for p in told)
         if result and result[0].text == "(":
             result = [x for a, b in split(t, first_result + 1, matching(t, first_result))[:1] for x in t[a:b]]
         body = k < len(t) and t[k].text == "{"
         end = matching(t, k) if body else k - 1
         label = f"{recv}.{name}" if recv else name
+        for i, part in enumerate(told):
+            if target := self.typed(part[1:] if named and len(part) > 1 else part):
+                self.add("result", name=label, alias=str(i), target=target, line=self.line(t[start].at))
         if not recv:
             self.results[name] = type_name(result)
         tokens = t[k : end + 1] if body else []
@@ -207,9 +296,9 @@ class File:
         cyclomatic = 1 + sum(w in ("if", "for", "select", "case", "&&", "||") for w in words) + typed
         text = self.source[t[start].at : t[end].end]
         self.add("func", name=label, recv=recv, line=self.line(t[start].at), end_line=self.line(t[end].at), exported=name[:1].isupper(), cyclomatic=cyclomatic, fingerprint=hashlib.sha1(text.encode()).hexdigest())
-        return end, (label, types, k, end if body else k)
+        return end, (label, types, k, end if body else k, deep)
 
-    def read_body(self, label: str, types: dict[str, str], start: int, stop: int) -> None:
+    def read_body(self, label: str, types: dict[str, str], start: int, stop: int, deep: dict[str, list[str]]) -> None:
         t, prefixes = self.tokens, {}
         chain: dict[int, str] = {}  # route prefixes of calls, by the place of their closing bracket
         for k in range(start + 1, stop):
@@ -219,6 +308,7 @@ class File:
                 types[t[k + 1].text] = type_name(t[k + 2 : k + 6])
             if t[k + 1].text == ":=":
                 types[t[k].text] = self.value_type(k + 2)
+                self.follow(k, stop, types, deep)
             if t[k + 1].text not in ("(", "[") or t[k].text in ("func", "if", "for", "switch", "return", "range", "case", "select", "go", "defer", "map", "chan"):
                 continue
             at = k + 1
@@ -251,7 +341,70 @@ class File:
                 path = next((i for i, (a, b) in enumerate(arguments) if b == a + 1 and t[a].kind == "str" and literal(t[a]).startswith("/")), None)
                 names = names[path + 1 : path + 2] if path is not None else []
             target = "" if chained else self.descriptor(f"{receiver}.{method}" if receiver else method, types)
-            self.add("call", owner=label, name=method, receiver=receiver, method=method, target=target, values=values, args=[n for n in names if n], http=self.imports.get(receiver) == "net/http", route_type=typed.split(".")[-1], prefix=before, echo=echo, line=self.line(t[k].at))
+            steps = []
+            if receiver and not chained and not target and root not in self.imports:
+                base = deep.get(root) or ([f"t|{self.imports.get(types[root].rpartition('.')[0], '')}|{types[root].rpartition('.')[2]}|0"] if types.get(root) else None)
+                steps = [*base, *(f"f|{x}" for x in receiver.split(".")[1:])] if base else []
+            self.add("call", owner=label, chain=steps, name=method, receiver=receiver, method=method, target=target, values=values, args=[n for n in names if n], http=self.imports.get(receiver) == "net/http", route_type=typed.split(".")[-1], prefix=before, echo=echo, line=self.line(t[k].at))
+
+    def follow(self, k: int, stop: int, types: dict[str, str], deep: dict[str, list[str]]) -> None:
+        """Chains of the variables that end at ``k``, before ``:=``."""
+        t, names = self.tokens, [k]
+        while names[0] >= 2 and t[names[0] - 1].text == "," and t[names[0] - 2].kind == "name":
+            names.insert(0, names[0] - 2)
+        ranged = t[k + 2].text == "range"
+        chain = self.chain_of(k + 2 + ranged, stop, types, deep)
+        for i, at in enumerate(names):
+            name = t[at].text
+            deep.pop(name, None)
+            if not chain or name == "_" or (types.get(name) and len(names) == 1):
+                continue
+            if ranged:
+                if i == 1:
+                    deep[name], types[name] = [*chain, "e"], ""
+            elif chain[-1].startswith(("c|", "p|")):
+                deep[name], types[name] = [*chain[:-1], chain[-1].rpartition("|")[0] + f"|{i}"], ""
+            elif len(names) == 1:
+                deep[name], types[name] = chain, ""
+
+    def chain_of(self, k: int, stop: int, types: dict[str, str], deep: dict[str, list[str]]) -> list[str]:
+        """Steps to the type of the expression at ``k``, as far as it is names, calls and indices; empty for others."""
+        t = self.tokens
+        while t[k].text in ("&", "*"):
+            k += 1
+        if t[k].kind != "name":
+            return []
+        root, chain = t[k].text, []
+        k += 1
+        if root in deep:
+            chain = list(deep[root])
+        elif types.get(root):
+            package, _, plain = types[root].rpartition(".")
+            chain = [f"t|{self.imports.get(package, '')}|{plain}|0"]
+        elif root in self.imports and root not in types and t[k].text == "." and t[k + 2].text == "(":
+            chain, k = [f"p|{self.imports[root]}|{t[k + 1].text}|0"], matching(t, k + 2) + 1
+        elif t[k].text == "(" and root not in types:
+            chain, k = [f"p||{root}|0"], matching(t, k) + 1
+        else:
+            return []
+        while k < stop and "\n" not in self.source[t[k - 1].end : t[k].at]:
+            if t[k].text == "." and t[k + 1].kind == "name":
+                if t[k + 2].text == "(":
+                    chain.append(f"c|{t[k + 1].text}|0")
+                    k = matching(t, k + 2) + 1
+                else:
+                    chain.append(f"f|{t[k + 1].text}")
+                    k += 2
+            elif t[k].text == "[":
+                end = matching(t, k)
+                if all(x.text != ":" for x in t[k:end]):  # a slice of it has its type
+                    chain.append("e")
+                k = end + 1
+            elif t[k].text in ("{", ";", ",", ")", "}"):
+                break
+            else:
+                return []
+        return chain
 
     def value_type(self, k: int) -> str:
         """Type of what a variable is set to: a composite literal or a call of a function of this file."""

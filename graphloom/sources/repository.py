@@ -136,6 +136,46 @@ class Index:
         fit = (F.col("__pkg") == symbols["pkg"]) & (F.col("__symbol") == symbols["symbol"]) & (~F.col("__local") | (told["pkg_name"] == symbols["pkg_name"]))
         return told.join(symbols, fit, "left").drop(symbols["pkg"]).drop(symbols["pkg_name"]).drop("symbol", "root_id", "__pkg", "__symbol", "__local")
 
+    def _homes(self, rows: DataFrame) -> DataFrame:
+        """Rows of declarations with ``own``, their package, and the package, type and depth of their target."""
+        home = self.packages().select("folder", F.col("id").alias("own"))
+        parts = F.split("target", r"\|")
+        told = rows.where("target <> ''").withColumn("folder", _folder(F.col("file"))).join(home, "folder")
+        return told.select("own", "name", "alias", self._package_of(parts[0], F.col("own")).alias("to_pkg"), parts[1].alias("to_type"), parts[2].cast("int").alias("to_depth"))
+
+    def _package_of(self, path: Column, own: Column) -> Column:
+        """Id of the package that an import path names; null for packages of elsewhere and of the root folder."""
+        inner = F.when(path == "", own)
+        return inner.when(path.startswith(self.module + "/"), ids.stable_id("package", F.substr(path, F.lit(len(self.module) + 2)))) if self.module else inner
+
+    def followed(self) -> DataFrame:
+        """(caller, caller_kind, found, method, location) of calls on fields, elements and results, by following their chains."""
+        members = self._homes(self.rows.where("row = 'field'")).withColumn("key", F.concat_ws("|", F.lit("f"), "name", "alias"))
+        results = self._homes(self.rows.where("row = 'result'"))
+        dot = F.when(F.col("name").contains("."), F.regexp_replace("name", r"\.", "|")).otherwise(F.concat(F.lit("|"), "name"))
+        members = members.unionByName(results.withColumn("key", F.concat_ws("|", F.lit("c"), dot, "alias")))
+        members = materialize(members.select("own", "key", "to_pkg", "to_type", "to_depth").dropDuplicates(["own", "key"]), "members")
+        rows = self.calls().where(F.size("chain") > 0)
+        base = F.split(F.col("chain")[0], r"\|")
+        plain = base[0] == "t"
+        rest = F.slice("chain", 2, 1_000_000)
+        first = rows.select(
+            "caller", "caller_kind", "method", F.concat_ws(":", "file", "line").alias("location"), self._package_of(base[1], F.col("caller_pkg")).alias("own"), F.when(plain, base[2]).otherwise("").alias("type"),
+            F.when(plain, base[3].cast("int")).otherwise(0).alias("depth"), F.when(plain, rest).otherwise(F.concat(F.array(F.concat_ws("|", F.lit("c"), base[2], base[3])), rest)).alias("steps"),
+        )
+        now = materialize(first.where("own is not null"), "chains")
+        for _ in range(now.agg(F.max(F.size("steps"))).collect()[0][0] or 0):
+            step = F.split(F.get("steps", F.lit(0)), r"\|")
+            key = F.when(F.col("depth") == 0, F.when(step[0] == "f", F.concat_ws("|", F.lit("f"), "type", step[1])).when(step[0] == "c", F.concat_ws("|", F.lit("c"), "type", step[1], step[2])))
+            told = now.withColumns({"key": F.when(F.size("steps") > 0, key), "e": F.coalesce((step[0] == "e") & (F.col("depth") > 0), F.lit(False)), "done": F.size("steps") == 0})
+            met = told.join(members, ["own", "key"], "left").where("done or e or to_type is not null")
+            turn = lambda old, new: F.when(F.col("done") | F.col("e"), F.col(old)).otherwise(F.col(new))
+            moved = met.select("caller", "caller_kind", "method", "location", turn("own", "to_pkg").alias("own"), turn("type", "to_type").alias("type"), F.when(F.col("e"), F.col("depth") - 1).otherwise(turn("depth", "to_depth")).alias("depth"), F.when(F.col("done"), F.col("steps")).otherwise(F.slice("steps", 2, 1_000_000)).alias("steps"))
+            now = materialize(moved.where("own is not null"), "chains")
+        symbols = self.symbols().select(F.col("pkg").alias("own"), F.col("label").alias("symbol"), F.col("id").alias("found"))
+        ended = now.where("depth = 0 and size(steps) = 0").withColumn("symbol", F.concat_ws(".", "type", "method"))
+        return ended.join(symbols, ["own", "symbol"]).select("caller", "caller_kind", "found", "method", "location")
+
     def call_edges(self) -> DataFrame:
         """(source, kind, target, label, location): calls that resolve; external packages' functions go to the package."""
         rows = self._resolved(self.calls().where("target <> ''"), "target")
@@ -144,7 +184,9 @@ class Index:
         outer = (path != "") & plain & (F.lit(not self.module) | ~((path == self.module) | path.startswith(self.module + "/")))
         target = F.coalesce("found", F.when(outer, ids.stable_id("package", path)))
         kind = F.when((F.col("caller_kind") == "test") & F.col("found").isNotNull(), "tests").otherwise("calls")
-        return rows.select(F.col("caller").alias("source"), kind.alias("kind"), target.alias("target"), F.col("method").alias("label"), F.concat_ws(":", "file", "line").alias("location")).where("target is not null")
+        direct = rows.select(F.col("caller").alias("source"), kind.alias("kind"), target.alias("target"), F.col("method").alias("label"), F.concat_ws(":", "file", "line").alias("location")).where("target is not null")
+        through = self.followed().select(F.col("caller").alias("source"), F.when(F.col("caller_kind") == "test", "tests").otherwise("calls").alias("kind"), F.col("found").alias("target"), F.col("method").alias("label"), "location")
+        return direct.union(through)
 
     def flows(self) -> DataFrame:
         """(id, kind, target_kind, target, label, boundary, location) of literal data flow."""

@@ -165,6 +165,66 @@ def test_routes_and_handlers(spark):
     assert {r.label: r.cyclomatic for r in made.symbols().collect()}["Register"] == 6
 
 
+FLEET = {
+    "lamp/lamp.go": "package lamp\ntype Lamp struct{ wick Wick }\ntype Wick struct{}\nfunc New() *Lamp { return nil }\nfunc (l *Lamp) Light() { l.wick.Burn() }\nfunc (w Wick) Burn() {}\n",
+    "fleet/boat.go": """package fleet
+
+import "keep.test/light/lamp"
+
+type Boat struct {
+	Name string `json:"name"`
+	lamp *lamp.Lamp
+	crew []*Sailor
+	Log, Spare Book
+	holds map[string][]Box
+}
+
+type (
+	Sailor struct{ Hat Hat }
+	Hat    struct{}
+	Book   struct{}
+	Box    struct{}
+)
+
+type List[T any] struct{ items []T }
+
+func (b *Boat) First() (*Sailor, error)              { return b.crew[0], nil }
+func (b *Boat) Go()                                  {}
+func (h Hat) Wear()                                  {}
+func (b Book) Write(s string)                        {}
+func (b Box) Open()                                  {}
+func Load(names ...string) (boat *Boat, err error) { return nil, nil }
+""",
+    "fleet/sail.go": """package fleet
+
+import "keep.test/light/lamp"
+
+func Range(boats []*Boat) {
+	for _, boat := range boats {
+		boat.Go()
+	}
+}
+func Field(b *Boat)   { b.lamp.Light() }
+func Result(b *Boat)  { s, err := b.First(); s.Hat.Wear(); err.Error() }
+func Function()       { b, _ := Load("a"); b.Go() }
+func Package()        { l := lamp.New(); l.Light() }
+func Nested(b *Boat)  { for _, x := range b.holds["a"] { x.Open() } }
+func Copied(b *Boat)  { m := b.Spare; m.Write("y") }
+func Unknown(b *Boat) { b.Name.Go(); other.lamp.Light(); b.crew[0].Hat.Wear() }
+""",
+}
+
+
+def test_calls_on_fields_elements_and_results_resolve(spark):
+    made = repository.Index(spark.createDataFrame(list(FLEET.items()), "path string, content string"), "service:light", "keep.test/light")
+    label = {r.id: r.label for r in made.symbols().collect()}
+    found = {(label[r.caller], label[r.found]) for r in made.followed().collect()}
+    want = {("Range", "Boat.Go"), ("Field", "Lamp.Light"), ("Result", "Hat.Wear"), ("Function", "Boat.Go"), ("Package", "Lamp.Light"), ("Nested", "Box.Open"), ("Copied", "Book.Write"), ("Lamp.Light", "Wick.Burn")}
+    assert found == want, found ^ want
+    edges = {(label.get(r.source), label.get(r.target)) for r in made.call_edges().collect()}
+    assert want <= edges and ("Package", "New") in edges
+
+
 def test_scanner_refuses_broken_files():
     for source in ("func x() {}", "package p\nfunc x() {", "package p\nvar a = `x"):
         with pytest.raises(golang.GoSyntaxError):
