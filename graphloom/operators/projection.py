@@ -1,15 +1,16 @@
 """Bounded views: a budgeted walk around roots.
 
-Spark filters the edges, scores every candidate step and keeps what lies within
-reach of the roots; the choice itself depends on its own order (upstream before
-downstream, nodes first in first out, categories by name), so it is made for
-each request over the kept neighbourhood, in one group of bounded size.
+Spark filters the edges and scores every candidate step; the choice itself depends
+on its own order (upstream before downstream, nodes first in first out, categories
+by name), so it is made on the driver, which asks for the steps of the nodes that
+the view shows, those in the queue at once: a budget of nodes, never a neighbourhood.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 from urllib.parse import quote
 
 import pandas as pd
@@ -18,12 +19,10 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 from ..registry import PROJECTIONS, TRANSPARENT, ProjectionRequest
-from . import graph, paths, ranking
+from . import paths, ranking
 
 STEP = ["at", "to", "edge", "kind", "upstream", "cost", "category", "score", "rank", "service", "pkg", "owner"]
 OUT = "kind string, id string, parent string, direction string, depth long, via string, hidden long, score double"
-#: Free steps (containment) may follow each costed one; so many hops are kept per unit of depth.
-HOPS = 3
 
 
 def steps(nodes: DataFrame, edges: DataFrame, request: ProjectionRequest, evidence: DataFrame | None = None, telemetry: DataFrame | None = None) -> DataFrame:
@@ -64,24 +63,33 @@ def _discount(depth: int) -> float:
 
 
 class Walk:
-    """The choice for one request over its neighbourhood."""
+    """The choice for one request; ``fetch`` gives the steps of some nodes."""
 
-    def __init__(self, rows: pd.DataFrame, request: ProjectionRequest, roots: list[str]):
-        self.request, self.roots = request, roots
+    def __init__(self, fetch: Callable[[list[str]], pd.DataFrame], request: ProjectionRequest, roots: list[str]):
+        self.request, self.roots, self.fetch = request, roots, fetch
         self.near: dict[tuple[str, bool], list] = defaultdict(list)
-        for row in rows.sort_values(["kind", "edge"]).itertuples(index=False):
-            self.near[row.at, row.upstream].append(row)
+        self.held: set[str] = set()
         self.seen: dict[str, tuple] = {r: (None, None, 0, None) for r in roots}
         self.edges: dict[str, str] = {}
         self.frontiers: dict[str, tuple] = {}
 
+    def hold(self, nodes: list[str]) -> None:
+        """Have the steps of these nodes."""
+        fresh = sorted(set(nodes) - self.held)
+        if fresh:
+            self.held.update(fresh)
+            for row in self.fetch(fresh).sort_values(["kind", "edge"]).itertuples(index=False):
+                self.near[row.at, row.upstream].append(row)
+
     def go(self, upstream: bool, depth: int | None, room: int) -> None:
         if depth == 0:
             return
         limit = math.inf if depth is None else depth
         best = dict.fromkeys(self.roots, 0)
         queue = [(r, 0) for r in self.roots]
-        for node, so_far in queue:
+        for place, (node, so_far) in enumerate(queue):
+            if node not in self.held:
+                self.hold([n for n, _ in queue[place:]])
             groups: dict[str, dict[str, tuple]] = defaultdict(dict)
             for row in self.near[node, upstream]:
                 after = so_far + row.cost
@@ -188,20 +196,14 @@ def project(nodes: DataFrame, edges: DataFrame, request: ProjectionRequest, evid
     if not roots:
         return overview(nodes, request.budget).select(F.lit("node").alias("kind"), "id", *[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in OUT.split(", ")[2:])]).union(warned)
     ways = materialize(steps(nodes, edges, request, evidence, telemetry), "steps")
-    most = None if None in (request.upstream, request.downstream) else (1 + max(request.upstream or 0, request.downstream or 0)) * HOPS
-    near = graph.bounded_search(ways.select("at", "to").distinct(), spark.createDataFrame([(r,) for r in roots], "id string"), most).select(F.col("node").alias("at")).distinct()
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        w = Walk(rows, request, roots)
-        w.go(True, request.upstream, min(request.budget, len(roots) + max(4, math.floor((request.budget - len(roots)) * 0.35))))
-        w.go(False, request.downstream, request.budget)
-        w.edges |= {e: "" for e in rows[rows["at"].isin(roots) & rows["to"].isin(roots)]["edge"]} | {e: "" for e in request.required_edges if e in set(rows["edge"])}
-        return pd.DataFrame(w.rows(), columns=[x.split()[0] for x in OUT.split(", ")])
-
-    kept = ways.join(near, "at", "left_semi").select(*STEP)
-    seed = spark.createDataFrame([(None,) * len(STEP)], kept.schema)  # so that a root without steps has a group too
-    chosen = kept.union(seed).withColumn("request", F.lit("one")).groupBy("request").applyInPandas(lambda rows: walk(rows.dropna(subset=["at"])), OUT)
-    return chosen.union(warned)
+    walk = Walk(lambda some: ways.where(F.col("at").isin(some)).toPandas(), request, roots)
+    walk.go(True, request.upstream, min(request.budget, len(roots) + max(4, math.floor((request.budget - len(roots)) * 0.35))))
+    walk.go(False, request.downstream, request.budget)
+    walk.hold(roots)
+    between = {row.edge for (at, _), rows in walk.near.items() if at in roots for row in rows if row.to in roots}
+    asked_for = ways.where(F.col("edge").isin(list(request.required_edges))).select("edge").distinct().collect() if request.required_edges else []
+    walk.edges |= dict.fromkeys(between | {r["edge"] for r in asked_for}, "")
+    return spark.createDataFrame(walk.rows(), OUT).union(warned)
 
 
 def overview(nodes: DataFrame, budget: int = 30) -> DataFrame:
