@@ -58,8 +58,23 @@ def owners_text(root: str) -> str:
 
 
 def head_commit(root: str) -> str:
-    done = subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
-    return done.stdout.strip()
+    """The commit that is checked out, by git or, without it, by the repository's own files; blank if unknown."""
+    try:
+        done = subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
+    except OSError:
+        done = None
+    return done.stdout.strip() if done is not None and done.returncode == 0 else _stored_head(Path(root, ".git"))
+
+
+def _stored_head(folder: Path) -> str:
+    """A detached head's commit, else that of its branch, which lies alone or among the packed ones."""
+    known = lambda name: (folder / name).read_text() if (folder / name).is_file() else ""
+    head = known("HEAD").strip()
+    if not head.startswith("ref: "):
+        return head
+    branch = head.removeprefix("ref: ")
+    packed = re.search(rf"^(\S+) {re.escape(branch)}$", known("packed-refs"), re.M)
+    return known(branch).strip() or (packed[1] if packed else "")
 
 
 def tree_of(root: str, ref: str) -> str:

@@ -310,3 +310,21 @@ def test_trees_of_commits_leave_the_working_tree_alone(tmp_path):
     (tmp_path / "a.go").write_text("package b\n")
     assert Path(repository.tree_of(str(tmp_path), "HEAD"), "a.go").read_text() == "package a\n" and (tmp_path / "a.go").read_text() == "package b\n"
     assert repository.tree_of(str(tmp_path), "WORKTREE") == str(tmp_path) and len(repository.head_commit(str(tmp_path))) == 40
+
+
+def test_head_is_known_without_git(tmp_path, monkeypatch):
+    def none(*a, **k):
+        raise OSError("no git here")
+
+    monkeypatch.setattr(repository.subprocess, "run", none)
+    folder = tmp_path / ".git"
+    assert repository.head_commit(str(tmp_path)) == ""
+    (folder / "refs" / "heads").mkdir(parents=True)
+    (folder / "HEAD").write_text("ref: refs/heads/dusk\n")
+    assert repository.head_commit(str(tmp_path)) == ""
+    (folder / "packed-refs").write_text("# pack-refs with: peeled\nbeef refs/heads/dawn\ncafe refs/heads/dusk\n")
+    assert repository.head_commit(str(tmp_path)) == "cafe"
+    (folder / "refs" / "heads" / "dusk").write_text("f00d\n")
+    assert repository.head_commit(str(tmp_path)) == "f00d"
+    (folder / "HEAD").write_text("face\n")
+    assert repository.head_commit(str(tmp_path)) == "face"
