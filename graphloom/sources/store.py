@@ -2,7 +2,9 @@
 
 Bodies are written first and the manifest row last, so a snapshot is there as a
 whole or not at all; readers take only ids that the manifest names. All tables
-lie under one folder of any file system that Spark writes.
+lie under one folder of any file system that Spark writes. Tables of earlier
+versions are read with the present columns, null where they had none; ``backfill``
+gives their snapshots the fingerprints that later ones have.
 """
 
 from __future__ import annotations
@@ -96,6 +98,31 @@ class Store:
         rows = self.spark.read.parquet(f"{self.path}/{name}/repository_id={repository_id}/snapshot_id={snapshot_id}")
         return rows.orderBy(*[c for c in ("kind", "label", "id") if c in rows.columns]) if name == "nodes" else rows
 
+    def fingerprint(self, repository_id: str, snapshot_id: int) -> str:
+        """SHA-256 over all parts of a snapshot, whatever the order of their rows."""
+        from ..operators import overlays
+
+        out = None
+        for name in PARTS:
+            rows = self._read(f"{name}/repository_id={repository_id}/snapshot_id={snapshot_id}")
+            if rows is not None:
+                told = rows.select(F.sha2(F.concat_ws("\n", F.lit(name), F.to_json(F.struct(*sorted(rows.columns)))).cast("binary"), 256).alias("fp"))
+                out = told if out is None else out.union(told)
+        return overlays.snapshot_fingerprint(out) if out is not None else ""
+
+    def fingerprints(self) -> DataFrame:
+        schema = "snapshot_id bigint, fingerprint string"
+        rows = self._read("fingerprints", schema)
+        return rows if rows is not None else self.spark.createDataFrame([], schema)
+
+    def backfill(self) -> list[int]:
+        """Fingerprints of the snapshots without one; returns their ids."""
+        missing = self.snapshots().join(self.fingerprints(), "snapshot_id", "left_anti").orderBy("snapshot_id").collect()  # a row per snapshot
+        told = [(r["snapshot_id"], self.fingerprint(r["repository_id"], r["snapshot_id"])) for r in missing]
+        if told:
+            self.spark.createDataFrame(told, "snapshot_id bigint, fingerprint string").coalesce(1).write.mode("append").parquet(f"{self.path}/fingerprints")
+        return [n for n, _ in told]
+
     def current(self, repository_id: str) -> int | None:
         """The latest indexed snapshot."""
         rows = self.snapshots().where((F.col("repository_id") == repository_id) & (F.col("kind") == "index"))

@@ -484,3 +484,18 @@ def test_registry_is_closed():
 
     assert all(set(kinds) <= set(schema.EDGE_KINDS) for kinds in PROJECTIONS.values()) and len(schema.NODE_KINDS) == 14 and len(schema.EDGE_KINDS) == 11
     assert len(list(itertools.chain(*[s.names for s in (schema.NODE, schema.EDGE, schema.EVIDENCE)]))) > 30
+
+
+def test_fingerprints_are_filled_in(spark, tmp_path):
+    from graphloom.sources.store import Store
+
+    kept = Store(spark, str(tmp_path / "store"))
+    nodes = lambda *ids: spark.createDataFrame([(x, "package", x) for x in ids], "id string, kind string, label string")
+    first, again, other = kept.save("r", "index", "c0", nodes=nodes("a", "b")), kept.save("r", "index", "c1", nodes=nodes("b", "a").repartition(2)), kept.save("r", "index", "c2", nodes=nodes("a"))
+    assert kept.backfill() == [first, again, other] and kept.backfill() == []
+    told = {r.snapshot_id: r.fingerprint for r in kept.fingerprints().collect()}
+    assert told[first] == told[again] != told[other] and all(len(x) == 64 for x in told.values())
+    # a manifest of an earlier version: no storage_bytes
+    kept.snapshots().drop("storage_bytes").write.parquet(str(tmp_path / "old" / "snapshots"))
+    old = Store(spark, str(tmp_path / "old"))
+    assert old.snapshots().count() == 3 and old.snapshots().where("storage_bytes is null").count() == 3 and old.current("r") == other
