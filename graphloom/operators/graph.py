@@ -24,9 +24,14 @@ def impact_steps(edges: DataFrame) -> DataFrame:
     return back.union(forth).distinct()
 
 
-def bounded_search(steps: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
-    """(root, node, hop): least number of steps from each root, the root included with 0."""
-    frontier = materialize(roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct().withColumn("hop", F.lit(0)))
+def bounded_search(steps: DataFrame, roots: DataFrame, depth: int | None = None, together: bool = False) -> DataFrame:
+    """(root, node, hop): least number of steps from each root, the root included with 0.
+
+    With ``together`` from any of the roots, ``root`` being null-free but without
+    a meaning: each node is there once.
+    """
+    root = F.lit("") if together else F.col("id")
+    frontier = materialize(roots.select(root.alias("root"), F.col("id").alias("node")).distinct().withColumn("hop", F.lit(0)))
     seen, level = frontier, 0
     while depth is None or level < depth:
         level += 1
@@ -59,6 +64,12 @@ def test_reachability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found.where("root <> node").select("node", F.col("root").alias("test"))
 
 
+def covered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): what some test reaches over calls and tests, tests left out; a row a node, whatever the number of tests."""
+    steps = materialize(edges.where("kind in ('calls', 'tests')").select(F.col("source").alias("at"), F.col("target").alias("to")).distinct())
+    return bounded_search(steps, nodes.where("kind = 'test'").select("id"), together=True).where("hop > 0").select("node")
+
+
 def closure(pairs: DataFrame) -> DataFrame:
     """(u, v): v is reached from u in one step or more.
 

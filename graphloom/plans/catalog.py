@@ -223,7 +223,7 @@ def test_reachability(g: Derived) -> DataFrame:
 
 @query(_TESTED + "SELECT id FROM nodes WHERE exported AND kind IN ('function', 'method') AND id NOT IN (SELECT node FROM tested WHERE node <> test)")
 def untested_exports(g: Derived) -> DataFrame:
-    covered = graph.test_reachability(g.nodes, g.edges).select(F.col("node").alias("id"))
+    covered = graph.covered(g.nodes, g.edges).select(F.col("node").alias("id"))
     return g.nodes.where("exported and kind in ('function', 'method')").join(covered, "id", "left_anti").select("id")
 
 

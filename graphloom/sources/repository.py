@@ -284,7 +284,7 @@ def violations(nodes: DataFrame, edges: DataFrame, owners: str) -> DataFrame:
     deps = edges.where("kind = 'depends_on'").join(local.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("u"), F.col("target").alias("v"))
     cycles = graph.components_of(graph.closure(deps)).groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("detail"))
     fans = facts.fans(edges, nodes)
-    covered = graph.test_reachability(nodes, edges).select(F.col("node").alias("id"))
+    covered = graph.covered(nodes, edges).select(F.col("node").alias("id"))
     symbols = nodes.where("kind in ('function', 'method')")
     rows = [
         cycles.select(F.lit("cycle").alias("rule"), F.col("component").alias("node"), "detail"),
