@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, embeddings, html_blocks, language, mixing, packing, pii, resharding, simhash, warc
+from . import avi, divergence, embeddings, html_blocks, language, mixing, packing, periodic, pii, resharding, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,9 @@ def queries() -> dict[str, Query]:
         "op8_surrogates": _over("documents", pii.op8),
         "op9_mixing": _mixing,
         "op10_html_blocks": _over("pages", html_blocks.op10),
+        "op11_token_counts": _over("documents", token_counts.op11),
+        "op12_periodic_runs": _over("documents", periodic.op12),
+        "op13_divergence": _over("documents", divergence.op13),
     }
 
 
@@ -44,6 +47,17 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
     "op3_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), least AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p JOIN least USING (h)""",
+    "op13_divergence": r"""WITH d AS (SELECT row_number() OVER () AS i, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 30), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d), n AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+c AS (SELECT lang, source, term, v, coalesce(c, 0) AS c FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source, term)),
+t AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS sn, sum(c) OVER (PARTITION BY lang) AS ln, sum(c) OVER (PARTITION BY lang, term) AS lc FROM c),
+s AS (SELECT lang, source, term, c, (1 + (1000000000::HUGEINT * (c + 5)) // (sn + 5 * v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (lc + 5)) // (ln + 5 * v))::BIGINT AS q FROM t),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE c > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 50""",
 }
 
 
