@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import edge_id
@@ -149,14 +149,35 @@ def package_owner_votes(owned_files: DataFrame) -> DataFrame:
     return ranked.select("pkg", owners[0].alias("owner"), owners.alias("owners"))
 
 
+#: Lines of a bin of the running sums of a file.
+BIN = 1024
+
+
 def coverage_rollup(blocks: DataFrame, functions: DataFrame) -> DataFrame:
     """Coverage of functions by the blocks that begin within their lines.
 
     blocks: file, start_line, statements, hits; functions: id, file, first_line,
-    last_line. Functions that no block meets are left out.
+    last_line. Functions that no block meets are left out, as are those that end before
+    they begin. The statements of a file are summed up to each line that a block or a
+    function names, by bins of lines; a function reads the sums before its first line and
+    at its last one, so blocks and functions never meet pair by pair.
     """
-    met = functions.join(blocks, "file").where("start_line between first_line and last_line")
-    sums = met.groupBy("id").agg(F.sum("statements").alias("statements"), F.sum(F.when(F.col("hits") > 0, F.col("statements")).otherwise(0)).alias("covered"))
+    hit = F.when(F.col("hits") > 0, F.col("statements")).otherwise(0)
+    starts = blocks.select("file", F.col("start_line").cast("long").alias("line"), F.col("statements").cast("long").alias("statements"), hit.cast("long").alias("covered"))
+    spans = functions.where("first_line <= last_line").select("id", "file", (F.col("first_line").cast("long") - 1).alias("before"), F.col("last_line").cast("long").alias("last"))
+    asked = spans.select("file", F.explode(F.array("before", "last")).alias("line")).distinct()
+    lines = starts.unionByName(asked.select("file", "line", F.lit(0).cast("long").alias("statements"), F.lit(0).cast("long").alias("covered")))
+    lines = lines.groupBy("file", "line").agg(F.sum("statements").alias("statements"), F.sum("covered").alias("covered")).withColumn("bin", F.expr(f"line div {BIN}"))
+    within = Window.partitionBy("file", "bin").orderBy("line")
+    earlier = Window.partitionBy("file").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = lines.groupBy("file", "bin").agg(F.sum("statements").alias("s"), F.sum("covered").alias("c"))
+    bins = bins.select("file", "bin", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in "sc"))
+    upto = lines.select("file", "line", "bin", F.sum("statements").over(within).alias("s"), F.sum("covered").over(within).alias("c")).join(bins, ["file", "bin"])
+    upto = upto.select("file", "line", (F.col("s") + F.col("s_before")).alias("s"), (F.col("c") + F.col("c_before")).alias("c"))
+    at = lambda line, tag: upto.select("file", F.col("line").alias(line), F.col("s").alias(f"s{tag}"), F.col("c").alias(f"c{tag}"))
+    sums = spans.join(at("before", 0), ["file", "before"]).join(at("last", 1), ["file", "last"])
+    # several functions of one id are one function
+    sums = sums.groupBy("id").agg(F.sum(F.col("s1") - F.col("s0")).alias("statements"), F.sum(F.col("c1") - F.col("c0")).alias("covered"))
     percent = F.floor(F.col("covered") * 100 / F.col("statements"))
     status = F.when(F.col("covered") == 0, "uncovered").when(F.col("covered") == F.col("statements"), "covered").otherwise("partial")
     return sums.where("statements > 0").select("id", "statements", "covered", percent.cast("long").alias("percent"), status.alias("status"))

@@ -57,13 +57,6 @@ def induced_edges(edges: DataFrame, visible: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("node", "source"), "source", "left_semi").join(ids.withColumnRenamed("node", "target"), "target", "left_semi").select(edges.columns)
 
 
-def test_reachability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, test): tests from which a node is reached over calls and tests; a test does not cover itself."""
-    steps = materialize(edges.where("kind in ('calls', 'tests')").select(F.col("source").alias("at"), F.col("target").alias("to")).distinct())
-    found = bounded_search(steps, nodes.where("kind = 'test'").select("id"))
-    return found.where("root <> node").select("node", F.col("root").alias("test"))
-
-
 def covered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): what some test reaches over calls and tests, tests left out; a row a node, whatever the number of tests."""
     steps = materialize(edges.where("kind in ('calls', 'tests')").select(F.col("source").alias("at"), F.col("target").alias("to")).distinct())

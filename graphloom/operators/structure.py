@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
-from . import graph
+from . import cycles, graph
 
 # Edge kinds of structural metrics.
 STRUCTURAL = ["calls", "depends_on", "implements", "reads", "writes", "publishes", "consumes", "retries"]
@@ -84,8 +84,19 @@ def structural_metrics(edges: DataFrame, nodes: DataFrame, sources: int | None =
 def structural_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(component, node): strongly connected components of two or more, and nodes with a loop."""
     pairs = structural_edges(edges, nodes).select(F.col("source").alias("u"), F.col("target").alias("v")).distinct()
-    reach = graph.closure(pairs)
-    big = graph.components_of(reach).select("component", "node")
+    return _cycles(pairs)
+
+
+def flow_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(component, node): cycles along the flow of data and control, in which reads and consumption run from the resource."""
+    turned = F.col("kind").isin("reads", "consumes")
+    kept = structural_edges(edges, nodes).select(F.when(turned, F.col("target")).otherwise(F.col("source")).alias("u"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("v"))
+    return _cycles(kept.distinct())
+
+
+def _cycles(pairs: DataFrame) -> DataFrame:
+    pairs = materialize(pairs)
+    big = materialize(cycles.strong_components(pairs).select("component", "node"))
     loops = pairs.where("u = v").select(F.col("u").alias("node")).join(big, "node", "left_anti")
     return big.union(loops.select(F.col("node").alias("component"), "node"))
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, predicates
-from ..operators import attention, dataflow, facts, graph, overlays, paths, projection, ranking, review, structure, temporal
+from ..operators import attention, covering, cycles, dataflow, facts, graph, overlays, paths, projection, ranking, review, structure, temporal
 from ..registry import ProjectionRequest
 from .derived import NOW, SQL, WINDOW_DAYS, Derived
 from .scratch import materialize
@@ -74,9 +74,9 @@ def complexity_score(g: Derived) -> DataFrame:
     return facts.complexity(g.edges, g.nodes)
 
 
-@query(_FANS + "SELECT id, fan_out FROM fans WHERE fan_out > 1")
+@query(_FANS + "SELECT id, fan_out FROM fans WHERE fan_out > 12")
 def high_fanout(g: Derived) -> DataFrame:
-    return facts.fans(g.edges, g.nodes).where("fan_out > 1").select("id", "fan_out")
+    return facts.fans(g.edges, g.nodes).where("fan_out > 12").select("id", "fan_out")
 
 
 @query("SELECT id, cyclomatic FROM nodes WHERE cyclomatic > 15")
@@ -218,7 +218,7 @@ _TESTED = """tested AS (SELECT target AS node, source AS test FROM edges WHERE k
 
 @query(_TESTED + "SELECT node, count(DISTINCT test) AS tests FROM tested WHERE node <> test GROUP BY node")
 def test_reachability(g: Derived) -> DataFrame:
-    return graph.test_reachability(g.nodes, g.edges).groupBy("node").agg(F.count_distinct("test").alias("tests"))
+    return covering.covering_counts(g.nodes, g.edges)
 
 
 @query(_TESTED + "SELECT id FROM nodes WHERE exported AND kind IN ('function', 'method') AND id NOT IN (SELECT node FROM tested WHERE node <> test)")
@@ -238,13 +238,13 @@ scc AS (SELECT node, least(node, min(other)) AS component, count(DISTINCT other)
 
 @query(_SCC + "SELECT component, max(size) AS size, string_agg(node, ',' ORDER BY node) AS members FROM scc GROUP BY component")
 def package_cycles(g: Derived) -> DataFrame:
-    found = graph.components_of(graph.closure(_deps(g)))
+    found = cycles.strong_components(_deps(g))
     return found.groupBy("component").agg(F.max("size").alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"))
 
 
 @query(_SCC + "SELECT id, id IN (SELECT node FROM scc) AS in_cycle FROM packages")
 def unit_cycle_membership(g: Derived) -> DataFrame:
-    found = graph.components_of(graph.closure(_deps(g))).select(F.col("node").alias("id"), F.lit(True).alias("in_cycle"))
+    found = cycles.strong_components(_deps(g)).select(F.col("node").alias("id"), F.lit(True).alias("in_cycle"))
     return g.packages.select("id").join(found, "id", "left").na.fill(False, ["in_cycle"])
 
 
@@ -619,9 +619,26 @@ def structural_metrics(g: Derived) -> DataFrame:
     return structure.structural_metrics(_package_calls(g), g.packages).withColumn("boundary_density", F.round("boundary_density", 6))
 
 
-@query(_SCC + "SELECT component, node FROM scc")
+def _ring_sql(arcs: str) -> str:
+    return f"""arcs AS ({arcs}),
+ways AS (SELECT u, v FROM arcs UNION SELECT w.u, a.v FROM ways w JOIN arcs a ON w.v = a.u),
+rings AS (SELECT a.u AS node, a.v AS other FROM ways a JOIN ways b ON a.u = b.v AND a.v = b.u)
+SELECT least(node, min(other)) AS component, node FROM rings GROUP BY node"""
+
+
+_KINDS = "('calls', 'depends_on', 'implements', 'reads', 'writes', 'publishes', 'consumes', 'retries')"
+
+
+@query(_ring_sql(f"SELECT source AS u, target AS v FROM edges WHERE kind IN {_KINDS} UNION SELECT u, v FROM deps"))
 def structural_cycles(g: Derived) -> DataFrame:
-    return structure.structural_cycles(_package_calls(g), g.packages)
+    """Over all symbols and kinds, with the dependencies of packages."""
+    rows = g.edges.select("id", "source", "kind", "target").unionByName(_package_calls(g))
+    return structure.structural_cycles(rows, g.nodes)
+
+
+@query(_ring_sql(f"SELECT CASE WHEN kind IN ('reads', 'consumes') THEN target ELSE source END AS u, CASE WHEN kind IN ('reads', 'consumes') THEN source ELSE target END AS v FROM edges WHERE kind IN {_KINDS} GROUP BY ALL"))
+def flow_cycles(g: Derived) -> DataFrame:
+    return structure.flow_cycles(g.edges, g.nodes)
 
 
 @query(_METRICS.rstrip() + ",\n" + _LOCAL.rstrip() + ",\n" + _BETWEEN + """SELECT id, round(coupling * 1.0::DOUBLE / greatest(1, (SELECT max(coupling) FROM metrics)) * 0.35::DOUBLE + least(1.0::DOUBLE, coalesce(local_complexity, 0) / 10) * 0.25::DOUBLE
@@ -718,6 +735,72 @@ def semantic_path_best(g: Derived) -> DataFrame:
     return found.where("rank = 1").select("dst", F.col("hops"), F.array_join("edges", ">").alias("edges"))
 
 
+# The three best paths from each service to each package, by each policy; an edge is the stronger the oftener it was observed.
+# A level of the SQL keeps the best ways to each node by each kind of step and each package they begin with, as only that package can be met again.
+
+_POLICIES = ", ".join(f"('{q}', '{kind}', {forth}, {back})" for q, table in paths.POLICIES.items() for kind, way in table.items() for forth, back in [(str(way in ("forward", "both")).lower(), str(way in ("reverse", "both")).lower())])
+_STRENGTH = "CASE WHEN observations > 2 THEN 'proven' WHEN observations = 2 THEN 'observed' ELSE 'inferred' END"
+_BEST = f"""policy AS (SELECT * FROM (VALUES {_POLICIES}) p(policy, kind, forth, back)),
+weighed AS (SELECT *, CASE WHEN observations > 2 THEN 0 WHEN observations = 2 THEN 1 ELSE 2 END AS penalty, CASE WHEN kind = 'owns' THEN 0 ELSE 1 END AS cost FROM edges),
+arcs AS (SELECT policy, source AS a, target AS b, id, cost, penalty, CASE WHEN kind = 'owns' THEN 'down' END AS way FROM weighed JOIN policy USING (kind) WHERE forth
+  UNION ALL SELECT policy, target, source, id, cost, penalty, CASE WHEN kind = 'owns' THEN 'up' END FROM weighed JOIN policy USING (kind) WHERE back),
+ways AS (SELECT policy, 'service:' || r_regionkey AS src, 'service:' || r_regionkey AS node, 0 AS hops, 0 AS penalty, false AS up, []::VARCHAR[] AS edges, ['service:' || r_regionkey] AS nodes, 0 AS n FROM region, (SELECT DISTINCT policy FROM policy)
+  UNION SELECT policy, src, node, hops, penalty, up, edges, nodes, n FROM (
+    SELECT *, row_number() OVER (PARTITION BY policy, src, node, up, nodes[2] ORDER BY hops, penalty, edges) AS rank FROM (
+      SELECT w.policy, src, b AS node, hops + cost AS hops, w.penalty + x.penalty AS penalty, coalesce(way = 'up', false) AS up, list_append(edges, id) AS edges, list_append(nodes, b) AS nodes, n + 1 AS n
+      FROM ways w JOIN arcs x ON w.policy = x.policy AND x.a = w.node WHERE NOT (up AND coalesce(way = 'down', false)) AND NOT list_contains(nodes, b) AND n < 7)) WHERE rank <= 4)
+"""
+
+
+@query(_BEST + """SELECT policy, src, node AS dst, rank, hops, penalty, array_to_string(edges, '>') AS edges FROM (
+  SELECT *, row_number() OVER (PARTITION BY policy, src, node ORDER BY hops, penalty, n, edges) AS rank FROM ways WHERE node LIKE 'package:%') WHERE rank <= 3""")
+def semantic_paths(g: Derived) -> DataFrame:
+    edges = materialize(g.edges)
+    proof = edges.select(F.concat(F.lit("e:"), "id").alias("id"), F.col("id").alias("edge"), F.lit("CODE").alias("source"), F.expr(_STRENGTH).alias("strength"), F.lit(None).cast("timestamp").alias("valid_until"))
+    weighed = materialize(paths.eligible_edges(edges, paths.eligible_evidence(proof)))
+    tag = lambda name, *columns: [F.concat(F.lit(name + "|"), c).alias(c) for c in columns]
+    ends = g.table("region").select(_service("r_regionkey").alias("src")).crossJoin(F.broadcast(g.packages.select(F.col("id").alias("dst"))))
+    ways, pairs = None, None  # all policies in one search, each over nodes of its own
+    for name, policy in paths.POLICIES.items():
+        way = paths.steps(weighed, policy).select(*tag(name, "at", "to"), "edge", "cost", "penalty", "way")
+        pair = ends.select(*tag(name, "src", "dst"))
+        ways, pairs = (way, pair) if ways is None else (ways.unionByName(way), pairs.unionByName(pair))
+    found = paths.paths(ways, pairs, 3)
+    bare = lambda c: F.split_part(F.col(c), F.lit("|"), F.lit(2)).alias(c)
+    return found.select(F.split_part("src", F.lit("|"), F.lit(1)).alias("policy"), bare("src"), bare("dst"), F.col("rank").cast("long").alias("rank"), "hops", "penalty", F.array_join("edges", ">").alias("edges"))
+
+
+def _service(key: str) -> Column:
+    return F.concat(F.lit("service:"), F.col(key).cast("string"))
+
+
+# Outcomes of path queries: each customer asks for a topic, which may be none, or for itself; some edges were seen at run time.
+
+TOPICS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "none"]
+_ASKED = f"""asked AS (SELECT 'fn:' || c_custkey AS src, CASE WHEN c_custkey % 40 = 0 THEN 'fn:' || c_custkey ELSE 'topic:' || ({TOPICS})[c_custkey % 6 + 1] END AS dst FROM customer),
+arcs AS (SELECT source AS a, target AS b, kind, observations > 1 AS live, CASE WHEN kind = 'owns' THEN 'down' END AS way FROM edges WHERE kind IN ('owns', 'calls', 'publishes')
+  UNION ALL SELECT target, source, kind, observations > 1, CASE WHEN kind = 'owns' THEN 'up' END FROM edges WHERE kind IN ('owns', 'consumes')),
+walks AS (SELECT src, src AS node, false AS up, strict FROM asked, (VALUES (true), (false)) s(strict)
+  UNION SELECT src, b, coalesce(way = 'up', false), strict FROM walks JOIN arcs ON a = node WHERE (live OR NOT strict) AND NOT (up AND coalesce(way = 'down', false))),
+met AS (SELECT DISTINCT src, node, strict FROM walks)
+"""
+
+
+@query(_ASKED + """SELECT query, a.src, a.dst, CASE WHEN a.src NOT IN (SELECT id FROM nodes) OR a.dst NOT IN (SELECT id FROM nodes) THEN 'missing-endpoint' WHEN a.src = a.dst THEN 'same-endpoint'
+  WHEN query = 'semantic-dependency' THEN CASE WHEN w.src IS NULL THEN 'disconnected' ELSE 'found' END
+  WHEN s.src IS NOT NULL THEN 'found' WHEN w.src IS NOT NULL THEN 'runtime-evidence-gap' ELSE 'disconnected' END AS outcome
+FROM asked a CROSS JOIN (VALUES ('semantic-dependency'), ('runtime-observed')) q(query) LEFT JOIN met w ON w.src = a.src AND w.node = a.dst AND NOT w.strict LEFT JOIN met s ON s.src = a.src AND s.node = a.dst AND s.strict""")
+def path_outcomes(g: Derived) -> DataFrame:
+    edges, key = materialize(g.edges), F.col("c_custkey")
+    topic = F.concat(F.lit("topic:"), F.get(F.array(*map(F.lit, TOPICS)), (key % 6).cast("int")))
+    src = F.concat(F.lit("fn:"), key.cast("string"))
+    asked = materialize(g.table("customer").select(src.alias("src"), F.when(key % 40 == 0, src).otherwise(topic).alias("dst")))
+    source = F.when(F.col("observations") > 1, "RUNTIME").otherwise("CODE")
+    proof = edges.select(F.concat(F.lit("e:"), "id").alias("id"), F.col("id").alias("edge"), source.alias("source"), F.lit("proven").alias("strength"), F.lit(None).cast("timestamp").alias("valid_until"))
+    told = [paths.classify(edges, proof, g.nodes, asked, name).select(F.lit(name).alias("query"), "src", "dst", "outcome") for name in ("semantic-dependency", "runtime-observed")]
+    return told[0].union(told[1])
+
+
 # Data flow in SQL text
 
 STATEMENTS = ["select a from orders join lines on x = y", "INSERT INTO audit SELECT * FROM events", "update stock set n = 1", "delete from cart where id = ?", "select 1", "UPDATE t SET x = (select y from z)"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import investigation
-from ..operators import attention, dataflow, facts, graph, overlays, paths, projection, review
+from ..operators import attention, dataflow, facts, graph, overlays, projection, review
 from ..sources import repository, store, text
 from . import catalog
 from .catalog import query
@@ -91,27 +91,6 @@ def betweenness_multiple(g: Derived) -> DataFrame:
     return graph.betweenness(catalog._deps(g), g.packages, spaced=False, multiple=True).withColumn("score", F.round("score", 6))
 
 
-# Outcomes of path queries
-
-ENDS = [("book", "function"), ("rooms", "package"), ("booked", "topic"), ("bill", "function"), ("ledger", "table"), ("audit", "function"), ("alone", "external")]
-WAYS = [("book", "publishes", "booked"), ("bill", "consumes", "booked"), ("rooms", "owns", "book"), ("bill", "writes", "ledger"), ("audit", "reads", "ledger"), ("book", "calls", "audit")]
-ASKED = [("semantic-dependency", "book", "bill", "found"), ("semantic-dependency", "book", "alone", "disconnected"), ("semantic-dependency", "book", "gone", "missing-endpoint"), ("semantic-dependency", "book", "book", "same-endpoint"), ("runtime-observed", "book", "audit", "runtime-evidence-gap"), ("runtime-observed", "book", "bill", "found"), ("data-lineage", "bill", "audit", "found"), ("failure-propagation", "audit", "book", "found")]
-
-
-@query(_values(ASKED, "query, src, dst, outcome"))
-def path_outcomes(g: Derived) -> DataFrame:
-    nodes = g.spark.createDataFrame(ENDS, "id string, kind string")
-    edges = g.spark.createDataFrame([(f"{s}|{k}|{t}", s, k, t) for s, k, t in WAYS], "id string, source string, kind string, target string")
-    observed = F.when(F.col("kind").isin("publishes", "consumes"), "RUNTIME").otherwise("CODE")
-    evidence = edges.select(F.concat(F.lit("e:"), "id").alias("id"), F.col("id").alias("edge"), observed.alias("source"), F.lit("proven").alias("strength"), F.lit(None).cast("timestamp").alias("valid_until"))
-    out = None
-    for name in dict.fromkeys(q for q, *_ in ASKED):
-        pairs = g.spark.createDataFrame([(s, d) for q, s, d, _ in ASKED if q == name], "src string, dst string")
-        told = paths.classify(edges, evidence, nodes, pairs, name).select(F.lit(name).alias("query"), "src", "dst", "outcome")
-        out = told if out is None else out.union(told)
-    return out
-
-
 # Rules of a repository
 
 

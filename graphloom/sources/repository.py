@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, predicates
-from ..operators import dataflow, facts, graph
+from ..operators import cycles, dataflow, facts, graph
 from ..plans.scratch import materialize
 from . import golang, text
 
@@ -282,12 +282,12 @@ def violations(nodes: DataFrame, edges: DataFrame, owners: str) -> DataFrame:
     """(rule, node, detail): package cycles, fan-out, untested exports, cyclomatic complexity, missing owners file."""
     local = nodes.where("kind = 'package' and not external").select("id")
     deps = edges.where("kind = 'depends_on'").join(local.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("u"), F.col("target").alias("v"))
-    cycles = graph.components_of(graph.closure(deps)).groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("detail"))
+    rings = cycles.strong_components(deps).groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("node")), ",").alias("detail"))
     fans = facts.fans(edges, nodes)
     covered = graph.covered(nodes, edges).select(F.col("node").alias("id"))
     symbols = nodes.where("kind in ('function', 'method')")
     rows = [
-        cycles.select(F.lit("cycle").alias("rule"), F.col("component").alias("node"), "detail"),
+        rings.select(F.lit("cycle").alias("rule"), F.col("component").alias("node"), "detail"),
         fans.where(f"fan_out > {FAN_OUT}").select(F.lit("fan-out"), "id", F.col("fan_out").cast("string")),
         symbols.where("exported").join(covered, "id", "left_anti").select(F.lit("untested-export"), "id", F.lit("")),
         symbols.where(f"cyclomatic > {CYCLOMATIC}").select(F.lit("cyclomatic"), "id", F.col("cyclomatic").cast("string")),
