@@ -22,13 +22,14 @@ import datetime
 import hashlib
 import ipaddress
 import re
+import secrets
 import warnings
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import map_batches, slices
@@ -154,16 +155,24 @@ def email(key: bytes, found: str) -> str:
     return f"{respell(key, f'email@{domain.lower()}', local, _spelled)}@{domain}"
 
 
+# Calling codes of one and of two digits; all others have three.
+CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
 def phone(key: bytes, found: str) -> str:
-    """Country code and a fictional exchange stay; the other digits are permuted, whatever stands between them."""
-    head = re.match(r"\+\d{1,3}(?=[\s(.-])|", found)[0]
-    body = re.sub(r"\D", "", found[len(head) :])
+    """Country code and a fictional exchange stay; the other digits are permuted, whatever stands between them.
+
+    Where the code ends is read off the digits, so all spellings of a number have one surrogate.
+    """
+    digits = re.sub(r"\D", "", found)
+    head = next((digits[:k] for k in (1, 2) if digits[:k] in CODES), digits[:3]) if found.startswith("+") else ""
+    body, label = digits[len(head) :], f"+{head}" if head else ""
     if len(body) == 10 and body[3:6] == "555":
-        new = respell(key, f"phone{head}555", body[:3] + body[6:], _digit)
+        new = respell(key, f"phone{label}555", body[:3] + body[6:], _digit)
         new = new[:3] + "555" + new[3:]
     else:
-        new = _walk(lambda x: respell(key, f"phone{head}", x, _digit), body, lambda x: len(x) != 10 or x[3:6] != "555")
-    return head + _refill(found[len(head) :], r"\d", new)
+        new = _walk(lambda x: respell(key, f"phone{label}", x, _digit), body, lambda x: len(x) != 10 or x[3:6] != "555")
+    return _refill(found, r"\d", head + new)
 
 
 def _card(found: str) -> bool:
@@ -350,16 +359,30 @@ def entities(text: str) -> list[tuple[int, int, str, Callable[[bytes, str], str]
     return taken
 
 
-def replace(text: str, key: bytes) -> tuple[str, int]:
+Drawn = dict[str, int]
+
+
+def said(key: bytes, kind: str, value: str) -> str:
+    """What stands for an entity or a surrogate in tables: a keyed hash of its one spelling."""
+    return hashlib.blake2b(f"{kind}|{canonical(kind, value)}".encode("utf-8", "replace"), key=key[:64], digest_size=16).hexdigest()
+
+
+def surrogate(key: bytes, kind: str, change: Callable[[bytes, str], str], found: str, drawn: Drawn | None = None) -> str:
+    """The surrogate of an entity; ``drawn`` says how often some were drawn again."""
+    times = drawn.get(said(key, kind, found), 0) if drawn else 0
+    return change(key + b"|%d" % times if times else key, found)
+
+
+def replace(text: str, key: bytes, drawn: Drawn | None = None) -> tuple[str, int]:
     """The text with surrogates, and how many there are."""
     parts, at, n = [], 0, 0
-    for start, end, _, change in entities(text):
-        parts += [text[at:start], change(key, text[start:end])]
+    for start, end, kind, change in entities(text):
+        parts += [text[at:start], surrogate(key, kind, change, text[start:end], drawn)]
         at, n = end, n + 1
     return "".join([*parts, text[at:]]), n
 
 
-def surrogates(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def surrogates(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None, drawn: Drawn | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with surrogates in the text column.
 
     Null and empty texts stay as they are, texts without entities too. Whole
@@ -375,7 +398,7 @@ def surrogates(docs: DataFrame, key: bytes, text_col: str = "text", count_col: s
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            done = [(None, 0) if t is None else replace(t, key) for t in batch.column(at).to_pylist()]
+            done = [(None, 0) if t is None else replace(t, key, drawn) for t in batch.column(at).to_pylist()]
             columns = [*batch.columns[:at], pa.array([x[0] for x in done], pa.string()), *batch.columns[at + 1 :]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in done], pa.int64())], [*inner, "n"])
 
@@ -399,10 +422,12 @@ def found_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataF
 
 
 def canonical(kind: str, value: str) -> str:
-    """One spelling of an entity, whatever its letter case and what stands between its digits."""
+    """One spelling of an entity, whatever its letter case (but for secrets) and what stands between its digits."""
+    if kind == "secret":  # of which letter case is a part
+        return value
     value = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     if kind in ("phone", "card", "iban", "number"):
-        return re.sub(r"[\s().-]", "", value)
+        return re.sub(r"[^0-9a-z+]", "", value)
     if kind == "ip":
         return str(ipaddress.ip_address(value))
     if kind == "date":
@@ -410,20 +435,24 @@ def canonical(kind: str, value: str) -> str:
     return " ".join(value.split())
 
 
+def _told(docs: DataFrame, key: bytes, text_col: str, drawn: Drawn | None = None) -> DataFrame:
+    """(type, entity, surrogate) of a corpus, as hashes, each once."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = {(kind, said(key, kind, t[a:b]), said(key, kind, surrogate(key, kind, change, t[a:b], drawn))) for t in batch.column(0).to_pylist() if t for a, b, kind, change in entities(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], ["type", "entity", "surrogate"])
+
+    return map_batches(docs.select(F.col(text_col).alias("text")), read, "type string, entity string, surrogate string").distinct()
+
+
 def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """Surrogates of several entities and entities of several surrogates: (type, value, n). Empty if all is well.
 
     Of an entity only its hash and that of its surrogate go on, each pair once a
     partition.
     """
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said = lambda kind, value: hashlib.blake2b(canonical(kind, value).encode("utf-8", "replace"), key=key[:64], digest_size=16).hexdigest()
-        for batch in slices(batches):
-            rows = {(kind, said(kind, t[a:b]), said(kind, change(key, t[a:b]))) for t in batch.column(0).to_pylist() if t for a, b, kind, change in entities(t)}
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], ["type", "entity", "surrogate"])
-
-    return several(map_batches(docs.select(F.col(text_col).alias("text")), read, "type string, entity string, surrogate string").distinct())
+    return several(_told(docs, key, text_col))
 
 
 def several(told: DataFrame) -> DataFrame:
@@ -433,23 +462,51 @@ def several(told: DataFrame) -> DataFrame:
     return shared.union(split).where("n > 1")
 
 
+#: Entities that may be drawn again, which all tasks are told, and how often. Permutations do not collide; beyond this a detector's rule is broken.
+MOST_DRAWN, DRAWS = 100_000, 8
+
+
+def drawn_again(docs: DataFrame, key: bytes, text_col: str = "text") -> Drawn:
+    """How often which entities (as hashes) are drawn again, until no two of a type share a surrogate.
+
+    Of those that share one, the least hash keeps it. Spellings of an entity that still
+    differ in their surrogates stay so, with a warning: they are distinct from all others.
+    """
+    drawn: Drawn = {}
+    for _ in range(DRAWS):
+        told = _told(docs, key, text_col, drawn)
+        bad = several(told)
+        shared = told.join(bad.select("type", F.col("value").alias("surrogate")), ["type", "surrogate"], "left_semi")
+        first = Window.partitionBy("type", "surrogate").orderBy("entity")
+        again = shared.withColumn("place", F.row_number().over(first)).where("place > 1").select("entity").distinct()
+        losers = [r["entity"] for r in again.limit(MOST_DRAWN + 1).collect()]
+        if len(losers) + len(drawn) > MOST_DRAWN:
+            break
+        if not losers:
+            split = told.groupBy("type", "entity").agg(F.count("*").alias("n")).where("n > 1").count()
+            if split:
+                warnings.warn(f"{split} entities have a surrogate for each of their spellings", stacklevel=2)
+            return drawn
+        drawn |= {e: drawn.get(e, 0) + 1 for e in losers}
+    raise ValueError(f"surrogates of more than {MOST_DRAWN} entities, or after {DRAWS} draws, are not distinct")
+
+
 def checked(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """``surrogates``, after a check that entities stay distinct and keep their references in all of ``docs``."""
-    bad = collisions(docs, key, text_col).limit(3).collect()
-    if bad:
-        raise ValueError(f"surrogates collide: {[(r['type'], r['n']) for r in bad]}")
-    return surrogates(docs, key, text_col, count_col)
+    """``surrogates``, after a check that entities stay distinct in all of ``docs``; those that meet are drawn again."""
+    return surrogates(docs, key, text_col, count_col, drawn_again(docs, key, text_col))
 
 
-KEY_SETTING, SHOWN_KEY = "spark.graphloom.surrogates.key", b"shown in the source, for trials only"
+KEY_SETTING = "spark.graphloom.surrogates.key"
+_own_keys: dict[str, bytes] = {}
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The secret key that the session names. Without one the registered queries run with a key that is no secret, and say so."""
+    """The secret key that the session names; else one drawn for this application, which nobody can use again."""
     named = spark.conf.get(KEY_SETTING, "")
-    if not named:
-        warnings.warn(f"{KEY_SETTING} is not set: who reads the source can undo these surrogates", stacklevel=2)
-    return named.encode() or SHOWN_KEY
+    if named:
+        return named.encode()
+    warnings.warn(f"{KEY_SETTING} is not set: surrogates are the same within this application only", stacklevel=2)
+    return _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def base32(hexadecimal: Column) -> Column:
 
 
 def captures(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, url, html, digest, record_type, refers_to) for each row of ``pages``.
+    """(page_id, url, html, digest, record_type, refers_to, refers_url) for each row of ``pages``.
 
     Of rows with equal payloads of at least ``least`` bytes, those with the
     smallest page_id are responses and the others revisit it; a group whose ids
@@ -49,11 +49,11 @@ def captures(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     digest = F.sha1(F.col("html").cast("binary"))
     size = F.octet_length("html")
-    groups = rows.where(size >= least).groupBy(digest.alias("sha1")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    groups = materialize(groups.where("n > 1 and first is not null").select("sha1", "first"), "payloads")
+    groups = rows.where(size >= least).groupBy(digest.alias("sha1")).agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("least"), F.count("*").alias("n"))
+    groups = materialize(groups.where("n > 1 and least is not null").select("sha1", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url")), "payloads")
     told = rows.withColumn("sha1", digest).join(groups, "sha1", "left")
     again = (size >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return told.select("page_id", "url", "html", base32(F.col("sha1")).alias("digest"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    return told.select("page_id", "url", "html", base32(F.col("sha1")).alias("digest"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
 
 def _uri(page: Column, digest: Column, role: str, url: Column | None = None) -> Column:
@@ -84,7 +84,7 @@ def write(captured: DataFrame, path: str) -> list[str]:
     def record(kind: Column | str, role: str, block: Column, content: str, *more: tuple[str, Column]) -> Column:
         return F.concat(_headers(("WARC-Type", kind), ("WARC-Record-ID", _uri(page, digest, role, url)), ("WARC-Date", DATE), ("WARC-Target-URI", target), *more, ("Content-Type", content), ("Content-Length", F.octet_length(block).cast("string"))), block)
 
-    refers = F.when(~first, _uri(F.col("refers_to"), digest, "response"))
+    refers = F.when(~first, _uri(F.col("refers_to"), digest, "response", F.col("refers_url")))
     profile = F.when(~first, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     records = F.array(
         record("request", "request", F.coalesce(ask, F.lit(f"GET / HTTP/1.1{CRLF * 2}")), "application/http; msgtype=request", ("WARC-Concurrent-To", own)),

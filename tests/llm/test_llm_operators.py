@@ -581,15 +581,81 @@ def test_surrogates_over_documents(spark, docs, odd, clashing):
         pii.surrogates(odd, b"")
 
 
-def test_surrogates_that_collide_are_refused(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "call 078-05-1120 or 078-05-1121"), (2, "Mr Smith")], "doc_id long, text string")
-    assert pii.checked(docs, KEY).count() == 2
-    monkeypatch.setattr(pii, "DETECTORS", [(k, need, p, t, (lambda key, found: "000-00-0000")) for k, need, p, t, _ in pii.DETECTORS])
+def test_surrogates_that_collide_are_drawn_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "call 078-05-1120 or 078-05-1121"), (2, "Mr Smith"), (3, "078-05-1122 and again 078-05-1120")], "doc_id long, text string")
+    assert pii.drawn_again(docs, KEY) == {} and pii.checked(docs, KEY).count() == 3
+
+    def clumsy(key, found):  # all alike at first, and told apart by any other key
+        return "000-00-0000" if key == KEY else pii.number(key, found)
+
+    broken = [(k, need, p, t, clumsy if k == "number" else c) for k, need, p, t, c in pii.DETECTORS]
+    text = " ".join(r.text for r in docs.collect())
+    monkeypatch.setattr(pii, "DETECTORS", broken)
+    kinds = {text[a:b]: kind for a, b, kind, _ in pii.entities(text)}
+    numbers = sorted(pii.said(KEY, "number", v) for v, k in kinds.items() if k == "number")
+    drawn = {e: 1 for e in numbers[1:]}
+    new = re.findall(r"\d{3}-\d{2}-\d{4}", pii.replace(text, KEY, drawn)[0])
+    assert len(new) == 4 and len(set(new)) == 3 and new[0] == new[3]
     told = list(zip(*[iter(["number", "a", "z", "number", "b", "z", "person", "c", "y"])] * 3, strict=True))
     shared = spark.createDataFrame(told, "type string, entity string, surrogate string")
     assert [(r.type, r.n) for r in pii.several(shared).collect()] == [("number", 2)]
 
 
+SPELLINGS = [
+    ("phone", ["+1 212 555 1234", "+12125551234", "+1 (212) 555-1234", "+1-212-555-1234"]), ("phone", ["+49 30 1234567", "+4930 1234567", "+49 (30) 123-4567"]), ("phone", ["+351 210 123 4567", "+351210 1234567"]), ("phone", ["(212) 555-1234", "212-555-1234"]),
+    ("card", ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"]), ("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]), ("ip", ["2001:db8::1", "2001:0db8:0:0:0:0:0:1", "2001:DB8::1"]),
+    ("email", ["Ann.Lee@mill.org", "ann.lee@mill.org"]), ("person", ["Mr Smith", "Mr  Smith"]), ("secret", ["token=ABCdef1234"]), ("secret", ["token=abcdef1234"]), ("secret", ["token=ABCDEF1234"]), ("secret", ["token=abcdeF1234"]),
+]
+
+
+def test_spellings_of_an_entity_have_one_surrogate(spark):
+    """And different entities have different ones; secrets that differ in letter case are different."""
+    rows = [(k, f"write to {x} today") for k, x in enumerate(x for _, spelt in SPELLINGS for x in spelt)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.collisions(docs, KEY).collect() == [] and pii.drawn_again(docs, KEY) == {}
+    told = []
+    for kind, spelt in SPELLINGS:
+        new = set()
+        for x in spelt:
+            (a, b, found, change), *rest = pii.entities(f"write to {x} today")
+            assert (found, rest) == (kind, [])
+            entity = f"write to {x} today"[a:b]
+            out = change(KEY, entity)
+            assert pii.canonical(kind, out) != pii.canonical(kind, entity)
+            new.add((kind, pii.canonical(kind, out)))
+        assert len(new) == 1, (kind, spelt, new)
+        told += new
+    assert len(set(told)) == len(SPELLINGS)
+    assert pii.op8(docs).where("n_replaced = 1").count() == len(rows)
+
+
+def test_phones_of_a_country_are_permuted():
+    for code in ("+1 212 555 ", "+49 30 12", "+351 21 1"):
+        new = [pii.phone(KEY, f"{code}{k:04}") for k in range(3000)]
+        assert len(set(new)) == 3000 and all(x.startswith(code.split()[0] + " ") for x in new)
+
+
+def test_keys_are_the_sessions_own(spark):
+    own = pii.session_key(spark)
+    assert len(own) == 32 and pii.session_key(spark) == own
+    spark.conf.set(pii.KEY_SETTING, "named")
+    assert pii.session_key(spark) == b"named"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_revisits_refer_to_records(spark, tmp_path):
+    """Every Refers-To is the id of a response: null and repeated addresses, null and repeated page ids, empty payloads."""
+    rows = [(5, "http://a/x", "same"), (3, None, "same"), (3, "http://b", "same"), (9, "http://a/x", "same"), (None, "http://c", "same"), (4, None, None), (2, None, ""), (7, "http://d", "other"), (7, "http://d", "other"), (8, None, "other"), (None, None, "alone"), (None, "u", "alone")]
+    captured = warc.captures(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    folders = warc.write(captured, str(tmp_path / "warc"))
+    records = [r for f in folders for p in sorted(Path(f).glob("part-*")) for r in warc.parse(p.read_bytes(), True)]
+    names = [n for n, _ in warc.FIELDS]
+    told = [dict(zip(names, r, strict=True)) for r in records]
+    ids = {r["record_id"] for r in told if r["type"] == "response"}
+    revisits = [r for r in told if r["type"] == "revisit"]
+    assert len(revisits) == 5 and all(r["refers_to"] in ids for r in revisits)
+
+
 # 9
 
 

@@ -32,7 +32,7 @@ def test_stages_take_effect_and_keep_the_columns(spark, tmp_path):
     assert states[2].where("doc_id is null").count() == 2 and states[2].exceptAll(rows).count() == 0
     assert len(first) < len({" ".join(t.lower().split()) for t in texts.values()})  # near copies go, too
 
-    assert key(states[3]) == sorted((r.doc_id or -1, pii.replace(r.text, pii.SHOWN_KEY)[0]) for r in states[2].collect())
+    assert key(states[3]) == sorted((r.doc_id or -1, pii.replace(r.text, pii.session_key(spark))[0]) for r in states[2].collect())
     assert states[3].where(F.char_length("text") != F.col("n_chars")).count() == 0
 
     assert not set(key(states[4])) - set(key(states[3]))
