@@ -155,28 +155,58 @@ def _written_array(g: Derived, items: DataFrame) -> str:
     return path
 
 
-# Snapshots
+# Snapshots: the nations of a region are the nodes of its repository.
+
+_STORE = """regions AS (SELECT r_regionkey AS k, 'inn' || r_regionkey AS repository FROM region), there AS (SELECT 'inn' || n_regionkey AS repository, 'package:' || n_nationkey AS id, n_nationkey % 2 = 0 AS even FROM nation),
+ids AS (SELECT k * 4 + 1 AS a, k * 4 + 2 AS b, k * 4 + 3 AS h, k * 4 + 4 AS d, repository FROM regions)
+"""
 
 
-@query(_values([("current", 4, "inn"), ("previous", 1, "inn"), ("review", 2, "r1"), ("review", 3, "r1"), ("kept", 2, ""), ("kept", 3, ""), ("kept", 4, ""), ("node", 5, "a"), ("node", 5, "b"), ("memo", 7, "a")], "what, snapshot, name"))
+@query(_STORE + """SELECT 'current' AS what, d AS snapshot, repository AS name FROM ids UNION ALL SELECT 'review', b, repository || ':r' FROM ids UNION ALL SELECT 'review', h, repository || ':r' FROM ids
+UNION ALL SELECT 'kept', unnest([b, h, d]), repository FROM ids UNION ALL SELECT 'node', d, id FROM there JOIN ids USING (repository) UNION ALL SELECT 'next', (SELECT max(d) + 1 FROM ids), 'inn0'
+UNION ALL SELECT 'delta', b, id FROM there JOIN ids USING (repository) WHERE NOT even""")
 def snapshot_store(g: Derived) -> DataFrame:
-    """A store after an index, a review, another index and a compaction."""
-    kept = store.Store(g.spark, scratch_path(g.spark, "store"))
-    kept.register("inn", "The Inn")
-    nodes = lambda *ids: g.spark.createDataFrame([(x, "package", x) for x in ids], "id string, kind string, label string")
-    first = kept.save("inn", "index", "c0", nodes=nodes("a"))
-    delta = g.spark.createDataFrame([("node", "b", "added", "entity-added")], "what string, id string, status string, reasons string")
-    kept.save_pair("inn", "r1", ("c1", "c2"), {"nodes": nodes("a")}, {"nodes": nodes("a", "b")}, delta)
-    last = kept.save("inn", "index", "c3", nodes=nodes("a", "b"))
-    kept.remember("profiles", {"snapshot": str(last), "model": "m1"}, g.spark.createDataFrame([("a", 7)], "id string, score int"))
+    """For each region an index, a review of two snapshots and another index, then a compaction and a snapshot after it."""
+    kept, ids = store.Store(g.spark, scratch_path(g.spark, "store")), []
+    rows = materialize(g.table("nation").select(F.concat(F.lit("inn"), "n_regionkey").alias("repository"), F.concat(F.lit("package:"), "n_nationkey").alias("id"), F.lit("package").alias("kind"), F.col("n_name").alias("label"), (F.col("n_nationkey") % 2 == 0).alias("even")))
+    names = [r["r"] for r in g.table("region").select(F.concat(F.lit("inn"), "r_regionkey").alias("r")).orderBy("r").collect()]  # a repository each
+    for name in names:
+        nodes = rows.where(F.col("repository") == name).select("id", "kind", "label", "even")
+        kept.register(name, "The Inn")
+        first = kept.save(name, "index", "c0", nodes=nodes.where("even"))
+        delta = nodes.where("not even").select(F.lit("node").alias("what"), "id", F.lit("added").alias("status"), F.lit("entity-added").alias("reasons"))
+        pair = kept.save_pair(name, f"{name}:r", ("c1", "c2"), {"nodes": nodes.where("even")}, {"nodes": nodes}, delta)
+        ids.append((name, first, *pair, kept.save(name, "index", "c3", onto=first, nodes=nodes)))
     kept.compact(1)
-    review_ = kept.latest_review("inn").select(F.explode(F.array("base", "head")).alias("snapshot"), F.col("review").alias("name"))
-    one = lambda rows, what: rows.select(F.lit(what).alias("what"), F.col("snapshot").cast("int").alias("snapshot"), "name")
-    stated = g.spark.createDataFrame([("current", kept.current("inn"), "inn"), ("previous", first, "inn")], "what string, snapshot int, name string")
-    left = kept.snapshots().select(F.col("snapshot_id").alias("snapshot"), F.lit("").alias("name"))
-    seen = kept.load("nodes", "inn", last).select(F.lit(last + 1).alias("snapshot"), F.col("id").alias("name"))
-    memo = kept.recall("profiles", {"snapshot": str(last), "model": "m1"}).select(F.col("score").alias("snapshot"), F.col("id").alias("name"))
-    return stated.union(one(review_, "review")).union(one(left, "kept")).union(one(seen, "node")).union(one(memo, "memo"))
+    told = [("current", kept.current(name), name) for name in names]
+    told += [("review", r[side], r["review"]) for r in kept.reviews().collect() for side in ("base", "head")]
+    dropped = {first for _, first, *_ in ids}
+    told += [("kept", r["snapshot_id"], r["repository_id"]) for r in kept.snapshots().collect() if r["snapshot_id"] not in dropped]
+    told.append(("next", kept.save(names[0], "index", "c4", nodes=rows.select("id", "kind", "label")), names[0]))
+    out = g.spark.createDataFrame(told, "what string, snapshot long, name string")
+    for name, _, base, _, last in ids:
+        out = out.union(kept.load("nodes", name, last).select(F.lit("node"), F.lit(last), "id")).union(kept.delta(f"{name}:r").select(F.lit("delta"), F.lit(base), "id"))
+    return out
+
+
+CUTS = ["2024-01-05", "2024-01-10", "2024-01-15", "2024-01-20", "2024-01-25", "2024-01-31"]
+_CHAIN = f"""cuts AS (SELECT unnest(range(1, {len(CUTS) + 1})) AS snapshot, unnest({CUTS})::TIMESTAMP AS cut),
+held AS (SELECT snapshot, 'user:' || user_id AS id, arg_max(event_type, event_id) AS kind, sum(value) AS total FROM events JOIN cuts ON ts < cut GROUP BY ALL)
+"""
+
+
+@query(_CHAIN + "SELECT 'row' AS what, snapshot, id, kind FROM held WHERE kind <> 'error' UNION ALL SELECT 'snapshot', snapshot, 'users', 'cut ' || left(cut::VARCHAR, 10) FROM cuts")
+def snapshot_chain(g: Derived) -> DataFrame:
+    """What users did last, day by day: the first snapshot is whole, each other one the difference from that before it."""
+    kept = store.Store(g.spark, scratch_path(g.spark, "chain"))
+    events, number, out = g.table("events"), None, None
+    for cut in CUTS:
+        seen = events.where(F.col("ts") < F.lit(cut).cast("timestamp_ntz")).groupBy(F.concat(F.lit("user:"), "user_id").alias("id")).agg(F.max_by("event_type", "event_id").alias("kind"))
+        number = kept.save("users", "index", f"cut {cut}", onto=number, nodes=seen.where("kind <> 'error'"))
+        rows = kept.load("nodes", "users", number).select(F.lit("row").alias("what"), F.lit(number).cast("long").alias("snapshot"), "id", "kind")
+        out = rows if out is None else out.union(rows)
+    line = kept.timeline("users")[0]
+    return out.union(line.select(F.lit("snapshot"), "snapshot_id", "repository_id", "commit"))
 
 
 # Attention beside the scores
