@@ -7,7 +7,7 @@ with an empty frontier or the given depth.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
@@ -92,6 +92,36 @@ def transitive_dependents(reach: DataFrame, packages: DataFrame) -> DataFrame:
     return packages.select("id").join(counts, "id", "left").na.fill(0, ["transitive"])
 
 
+def reach_evidence(edges: DataFrame, units: DataFrame, most: int = 50) -> DataFrame:
+    """(id, place, edge): the first ``most`` edges that show what depends on each unit, in the order of a search.
+
+    edges: id, u, v, as of ``facts.unit_edges``. A search takes units level by level, those
+    that lead to the same level by the order of what they were found from, then by id, and of
+    each unit its incoming edges by id. A unit without incoming edges shows none and leads
+    nowhere, and one with any shows one at least: so of a level no more units are kept than
+    edges are wanted yet, and searches that have them all end.
+    """
+    arcs = materialize(edges.select("id", "u", "v").where("u <> v").distinct(), "arcs")
+    shown = arcs.groupBy(F.col("v").alias("node")).agg(F.count_distinct("id").alias("n"))
+    steps = materialize(arcs.select(F.col("v").alias("at"), F.col("u").alias("to")).distinct().join(shown.withColumnRenamed("node", "to"), "to", "left"), "steps")
+    front = materialize(units.select("id").join(shown, units["id"] == shown["node"]).select("id", "node", F.lit(0).alias("level"), F.lit(1).alias("rank"), "n"), "front")
+    seen = front
+    while True:
+        told = seen.groupBy("id").agg(F.sum("n").alias("told")).where(F.col("told") < most)
+        met = front.join(told, "id").join(steps.withColumnRenamed("n", "m"), front["node"] == F.col("at")).where("to <> id and m is not null")
+        found = met.groupBy("id", F.col("to").alias("node")).agg(F.min("rank").alias("by"), F.first("m").alias("n"), F.first("level").alias("level"), F.first("told").alias("told"))
+        fresh = found.join(seen.select("id", "node"), ["id", "node"], "left_anti")
+        ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("by", "node")))
+        front = materialize(ranked.where(F.col("rank") <= most).where(f"rank <= {most} - told").select("id", "node", (F.col("level") + 1).alias("level"), "rank", "n"), "front")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    of_unit = Window.partitionBy("v").orderBy("id")
+    first = arcs.select("v", "id").distinct().withColumn("own", F.row_number().over(of_unit)).where(F.col("own") <= most).select(F.col("v").alias("node"), F.col("id").alias("edge"))
+    order = Window.partitionBy("id").orderBy("level", "rank", "edge")
+    return seen.join(first, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("id", "place", "edge")
+
+
 def dependency_depth(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Least hops from a node without incoming edges; null where none leads."""
     steps = materialize(pairs.select(F.col("u").alias("at"), F.col("v").alias("to")).distinct())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, predicates
-from ..operators import attention, covering, cycles, dataflow, facts, graph, overlays, paths, projection, ranking, review, structure, temporal
+from ..operators import attention, commits, covering, cycles, dataflow, facts, graph, overlays, paths, projection, ranking, review, structure, temporal
 from ..registry import ProjectionRequest
 from .derived import NOW, SQL, WINDOW_DAYS, Derived
 from .scratch import materialize
@@ -253,6 +253,17 @@ def transitive_dependents(g: Derived) -> DataFrame:
     return graph.transitive_dependents(graph.closure(_deps(g)), g.packages)
 
 
+@query("""incoming AS (SELECT v, count(*) AS n FROM unit_edges GROUP BY v),
+walks AS (SELECT id AS s, id AS t, 0 AS hop FROM packages UNION SELECT w.s, d.u, w.hop + 1 FROM walks w JOIN deps d ON w.t = d.v WHERE w.hop < 25),
+dist AS (SELECT s, t, min(hop) AS d FROM walks GROUP BY s, t),
+found AS (SELECT id AS s, id AS t, 0 AS level, 1::BIGINT AS rank FROM packages
+  UNION ALL SELECT s, t, level, rank FROM (SELECT s, t, level, row_number() OVER (PARTITION BY s ORDER BY whence, t) AS rank FROM (
+    SELECT f.s, d.u AS t, f.level + 1 AS level, min(f.rank) AS whence FROM found f JOIN deps d ON d.v = f.t JOIN dist x ON x.s = f.s AND x.t = d.u AND x.d = f.level + 1 GROUP BY ALL)))
+SELECT s AS id, place, edge FROM (SELECT s, e.id AS edge, row_number() OVER (PARTITION BY s ORDER BY level, rank, e.id) AS place FROM found JOIN unit_edges e ON e.v = t) WHERE place <= 50""")
+def reach_evidence(g: Derived) -> DataFrame:
+    return graph.reach_evidence(_deps(g), g.packages).select("id", F.col("place").cast("long").alias("place"), "edge")
+
+
 _BETWEEN = """walks AS (SELECT id AS s, id AS t, 0 AS hop FROM packages UNION SELECT w.s, d.v, w.hop + 1 FROM walks w JOIN deps d ON w.t = d.u WHERE w.hop < 25),
 dist AS (SELECT s, t, min(hop) AS d FROM walks GROUP BY s, t),
 spaths AS (SELECT id AS s, id AS t, 0 AS hop FROM packages
@@ -568,6 +579,56 @@ def incremental_history(g: Derived) -> DataFrame:
     return temporal.merge_history(rows("event_id % 3 <> 0", "old"), rows("event_id % 2 = 0", "new"), F.lit("2024-01-10").cast("timestamp_ntz"))
 
 
+# Events are commits: a trunk, two branches of one commit each from every trunk commit, of which every fourth trunk commit merges one, and a line of its own.
+
+_COMMITS = """cs AS (SELECT event_id AS c, ts, CASE WHEN event_id < 4 AND event_id % 4 IN (0, 3) THEN []::BIGINT[] WHEN event_id % 16 = 0 THEN [event_id - 4, event_id - 2]
+  WHEN event_id % 4 IN (1, 2) THEN [event_id - event_id % 4] ELSE [event_id - 4] END AS parents FROM events),
+ends AS (SELECT max(c) FILTER (WHERE c % 16 = 0) AS ref, max(c) FILTER (WHERE c % 4 = 0 AND c < (SELECT max(c) // 2 FROM cs)) AS before, max(c) FILTER (WHERE c % 4 = 3 AND c < (SELECT max(c) // 2 FROM cs)) AS aside FROM cs),
+links AS (SELECT c, unnest(parents) AS p FROM cs),
+old AS (SELECT before AS c FROM ends UNION SELECT p FROM old JOIN links USING (c)), new AS (SELECT ref AS c FROM ends UNION SELECT p FROM new JOIN links USING (c)), apart AS (SELECT aside AS c FROM ends UNION SELECT p FROM apart JOIN links USING (c))
+"""
+
+
+def _commits(g: Derived) -> tuple[DataFrame, dict[str, str]]:
+    k = F.col("event_id")
+    none = F.array().cast("array<bigint>")
+    parents = F.when((k < 4) & (k % 4).isin(0, 3), none).when(k % 16 == 0, F.array(k - 4, k - 2)).when((k % 4).isin(1, 2), F.array(k - k % 4)).otherwise(F.array(k - 4))
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    rows = g.table("events").select(k.alias("id"), name(k).alias("commit"), F.transform(parents, name).alias("parents"), F.col("ts").alias("committed_at"), F.col("ts").alias("occurred_at"))
+    last = g.table("events").agg(F.max("event_id")).collect()[0][0]
+    pick = lambda upto, step, rest: f"c{upto - (upto - rest) % step}"
+    return rows, {"ref": pick(last, 16, 0), "before": pick(last // 2 - 1, 4, 0), "aside": pick(last // 2 - 1, 4, 3)}
+
+
+@query(_COMMITS + """SELECT 'between' AS what, 'c' || c AS commit FROM new WHERE c NOT IN (SELECT c FROM old) UNION ALL SELECT 'aside', 'c' || c FROM new WHERE c NOT IN (SELECT c FROM apart)
+UNION ALL SELECT 'ancestor', 'c' || before FROM ends WHERE before IN (SELECT c FROM new) UNION ALL SELECT 'ancestor', 'c' || aside FROM ends WHERE aside IN (SELECT c FROM new)""")
+def commits_between(g: Derived) -> DataFrame:
+    rows, refs = _commits(g)
+    made = commits.index(rows)
+    told = [("ancestor", refs[x]) for x in ("before", "aside") if commits.is_ancestor(made, refs[x], refs["ref"])]
+    rest = [commits.between(made, refs[x], refs["ref"]).select(F.lit(what).alias("what"), "commit") for what, x in (("between", "before"), ("aside", "aside"))]
+    return rest[0].union(rest[1]).union(g.spark.createDataFrame(told, "what string, commit string"))
+
+
+@query(_COMMITS + """, plain AS (SELECT c, ts FROM cs WHERE len(parents) < 2 AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY)
+SELECT 'onward' AS what, true AS incremental, c AS id, CASE WHEN c IN (SELECT c FROM old) THEN 'kept' ELSE 'read' END AS version FROM plain WHERE c IN (SELECT c FROM new)
+UNION ALL SELECT unnest(['aside', 'window', 'head']), false, c, 'read' FROM plain WHERE c IN (SELECT c FROM new)""")
+def history_update(g: Derived) -> DataFrame:
+    """On from an ancestor only what is new is read; from another line, with another window or from HEAD all is."""
+    rows, refs = _commits(g)
+    made, now = commits.index(rows), F.lit("2024-01-31").cast("timestamp_ntz")
+    events = rows.withColumn("version", F.lit("read"))
+    out = None
+    for what, before, days in (("onward", refs["before"], 20), ("aside", refs["aside"], 20), ("window", refs["before"], 30), ("head", "HEAD", 20)):
+        kept = None
+        if before != "HEAD":
+            kept = commits.read_history(made, events, before, now - F.make_dt_interval(F.lit(days))).withColumn("version", F.lit("kept"))
+        found, short = commits.update_history(made, events, kept, before, days, refs["ref"], 20, now)
+        told = found.select(F.lit(what).alias("what"), F.lit(short).alias("incremental"), "id", "version")
+        out = told if out is None else out.union(told)
+    return out
+
+
 # Abstraction and structure
 
 
@@ -824,8 +885,8 @@ def project_visible(g: Derived) -> DataFrame:
 
 # Overlays
 
-_PROOF = """claims AS (SELECT id, CASE WHEN kind = 'calls' THEN ['e1:' || id, 'gone'] WHEN kind = 'consumes' THEN []::VARCHAR[] END AS refs FROM edges),
-proof AS (SELECT 'e' || n || ':' || id AS id, id AS edge, CASE n WHEN 1 THEN 'proven' ELSE 'observed' END AS strength FROM edges, (VALUES (1), (2)) v(n) WHERE kind <> 'owns')
+_PROOF = """claims AS MATERIALIZED (SELECT id, CASE WHEN kind = 'calls' THEN ['e1:' || id, 'gone'] WHEN kind = 'consumes' THEN []::VARCHAR[] END AS refs FROM edges),
+proof AS MATERIALIZED (SELECT 'e' || n || ':' || id AS id, id AS edge, CASE n WHEN 1 THEN 'proven' ELSE 'observed' END AS strength FROM edges, (VALUES (1), (2)) v(n) WHERE kind <> 'owns')
 """
 
 
