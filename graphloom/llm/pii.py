@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import map_batches, slices
+from .shared import map_batches, materialize, slices
 
 ROUNDS = 8
 
@@ -474,7 +474,7 @@ def drawn_again(docs: DataFrame, key: bytes, text_col: str = "text") -> Drawn:
     """
     drawn: Drawn = {}
     for _ in range(DRAWS):
-        told = _told(docs, key, text_col, drawn)
+        told = materialize(_told(docs, key, text_col, drawn), "entities")  # hashes only; else texts are read for each question
         bad = several(told)
         shared = told.join(bad.select("type", F.col("value").alias("surrogate")), ["type", "surrogate"], "left_semi")
         first = Window.partitionBy("type", "surrogate").orderBy("entity")
