@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, predicates
-from ..operators import attention, commits, covering, cycles, dataflow, facts, graph, overlays, paths, projection, ranking, review, structure, temporal
+from ..operators import attention, commits, covering, cycles, dataflow, facts, graph, overlays, owners, paths, projection, ranking, review, structure, temporal
 from ..registry import ProjectionRequest
+from ..sources import flatten
+from ..streaming import velocity as stream_velocity
 from .derived import NOW, SQL, WINDOW_DAYS, Derived
-from .scratch import materialize
+from .scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -155,6 +158,23 @@ def codeowners_last_match(g: Derived) -> DataFrame:
     return facts.last_owner_match(g.nodes.where("file is not null").select(F.col("file").alias("path")).distinct(), rules)
 
 
+# Each nation has an owners file, a line for each of its suppliers, and the files of its customers.
+
+_GLOBS = {0: "'*.go'", 1: "'/f' || (s_suppkey % 4) || '/'", 2: "'d' || (s_suppkey % 5)", 3: "'f1/*.go'", 4: "'f' || (s_suppkey % 4) || '/**/x' || (s_suppkey % 7) || '.sql'", 5: "'/f2/d' || (s_suppkey % 5) || '/x?.go'", 6: "'*'", 7: "'!f1'", 8: "'x3.go'", 9: "'**/d1/*'"}
+_REGEX = {0: "'^(?:.*/)?[^/]*\\.go$'", 1: "'^f' || (s_suppkey % 4) || '/.*$'", 2: "'^(?:.*/)?d' || (s_suppkey % 5) || '(?:/.*)?$'", 3: "'^f1/[^/]*\\.go$'", 4: "'^f' || (s_suppkey % 4) || '/(?:.*/)?x' || (s_suppkey % 7) || '\\.sql(?:/.*)?$'", 5: "'^f2/d' || (s_suppkey % 5) || '/x[^/]\\.go$'", 6: "'^(?:.*/)?[^/]*$'", 8: "'^(?:.*/)?x3\\.go(?:/.*)?$'", 9: "'^(?:.*/)?d1/[^/]*$'"}
+_CASES = lambda table: "CASE s_suppkey % 10 " + " ".join(f"WHEN {k} THEN {v}" for k, v in table.items()) + " END"
+_FILE = "'f' || (c_custkey % 4) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '/d' || (c_custkey % 5) END || '/x' || (c_custkey % 7) || CASE WHEN c_custkey % 2 = 0 THEN '.go' ELSE '.sql' END"
+
+
+@query(f"""files AS (SELECT DISTINCT c_nationkey AS repository, {_FILE} AS path FROM customer),
+rules AS (SELECT s_nationkey AS repository, s_suppkey AS rule_no, {_CASES(_REGEX)} AS pattern, '@' || s_suppkey AS owners FROM supplier)
+SELECT f.repository, path, arg_max(owners, rule_no) AS owners FROM files f JOIN rules r ON f.repository = r.repository AND regexp_matches(path, pattern) GROUP BY ALL""")
+def codeowners_many(g: Derived) -> DataFrame:
+    files = g.table("customer").select(F.col("c_nationkey").alias("repository"), F.expr(_FILE).alias("path"))
+    rules = g.table("supplier").select(F.col("s_nationkey").alias("repository"), F.col("s_suppkey").alias("rule_no"), F.expr(_CASES(_GLOBS)).alias("glob"), F.concat(F.lit("@"), "s_suppkey").alias("owners"))
+    return owners.owners_of(files, rules)
+
+
 @query("""paths AS (SELECT DISTINCT 'n' || (user_id % 30) || '/f' || CASE event_type WHEN 'signup' THEN '.sql' WHEN 'error' THEN '.md' ELSE '.go' END AS path FROM events),
 folders AS (SELECT file AS folder, id AS unit FROM nodes WHERE kind = 'package' UNION ALL SELECT '', 'package:0')
 SELECT path, arg_max(unit, length(folder)) AS unit FROM paths JOIN folders ON folder <> '' AND (path = folder OR starts_with(path, folder || '/')) OR folder = '' AND NOT contains(path, '/') GROUP BY path""")
@@ -302,6 +322,16 @@ def velocity(g: Derived) -> DataFrame:
     return found.select("unit", *[F.round(c, 6).alias(c) for c in ("churn", "change_sets", "topology")], "weeks", "authors")
 
 
+@query(_VELOCITY + "SELECT id AS unit, round(churn, 6) AS churn, round(change_sets, 6) AS change_sets, round(topology, 6) AS topology, weeks, authors FROM velocity")
+def velocity_stream(g: Derived) -> DataFrame:
+    """As ``velocity``, from a stream over the events; its states expire with the window."""
+    schema = g.table("events").schema
+    stream = g.on(g.spark.readStream.schema(schema).parquet(f"{g.dir}/event[s].parquet"))  # a glob may name a file or a folder
+    path = scratch_path(g.spark, "velocity")
+    found = stream_velocity.once(stream_velocity.velocity(stream, WINDOW_DAYS, datetime.date.fromisoformat(NOW[:10]), "40 days"), f"{path}/rows", f"{path}/state")
+    return found.select("unit", *[F.round(c, 6).alias(c) for c in ("churn", "change_sets", "topology")], "weeks", "authors")
+
+
 _LOCAL = _FANS.rstrip() + """,
 local AS (SELECT u.unit AS id, quantile_disc(score, 0.9)::DOUBLE AS local_complexity FROM scored s JOIN units u ON u.node = s.id GROUP BY u.unit)
 """
@@ -500,10 +530,16 @@ def contract_compat(g: Derived) -> DataFrame:
     return review.contract_changes(*_shapes(g))
 
 
-@query("SELECT event_id AS id, je.key AS path, 'number:' || (je.value::VARCHAR) AS value FROM events, json_each(props::JSON) je")
+_NUMBER = r"regexp_replace(value::VARCHAR, '\.0$', '')"
+
+
+@query(f"""kept AS (SELECT event_id AS id, event_type, user_id, {_NUMBER} AS n, regexp_extract(props, ': *([0-9]+)', 1) AS k FROM events)
+SELECT id, '/a~1b/k' AS path, 'number:' || k AS value FROM kept UNION ALL SELECT id, '/list/0', 'number:' || n FROM kept UNION ALL SELECT id, '/list/1', 'null' FROM kept
+UNION ALL SELECT id, '/list/2/m~0n/0', 'string:' || event_type FROM kept UNION ALL SELECT id, '/list/2/u', 'number:' || user_id FROM kept UNION ALL SELECT id, '/t', 'bool:' || (user_id % 2 = 0)::VARCHAR FROM kept""")
 def contract_flatten(g: Derived) -> DataFrame:
-    values = F.from_json("props", "map<string,string>")
-    return g.table("events").select(F.col("event_id").alias("id"), F.explode(values).alias("path", "value")).withColumn("value", F.concat(F.lit("number:"), "value"))
+    """Leaves of nested documents around the properties of each event."""
+    text = F.format_string('{"a/b": %s, "list": [%s, null, {"m~n": ["%s"], "u": %d, "e": {}}], "t": %s, "none": []}', "props", F.col("value").cast("string"), "event_type", "user_id", (F.col("user_id") % 2 == 0).cast("string"))
+    return flatten.flatten_json(g.table("events").select(F.col("event_id").alias("id"), text.alias("content")))
 
 
 # Timelines: each order is a review of a customer's repository; its lines are snapshots.

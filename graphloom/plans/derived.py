@@ -101,10 +101,15 @@ class Derived:
     @cached_property
     def events(self) -> DataFrame:
         """Change events by nation: one file each."""
+        return self.on(self.table("events"))
+
+    @staticmethod
+    def on(events: DataFrame) -> DataFrame:
+        """The change events of a table or a stream of events."""
         kind = F.col("event_type")
         suffix = F.when(kind == "signup", ".sql").when(kind == "error", ".md").when(kind == "view", ".pb.go").otherwise(".go")
         unit = F.col("user_id") % 25
-        return self.table("events").select(F.concat(F.lit("git:"), F.col("event_id")).alias("id"), F.col("ts").alias("occurred_at"), F.col("user_id").cast("string").alias("author"), _id("package", unit).alias("unit"), F.concat(F.lit("n"), unit, F.lit("/f"), suffix).alias("path"), F.floor("value").cast("long").alias("lines"))
+        return events.select(F.concat(F.lit("git:"), F.col("event_id")).alias("id"), F.col("ts").alias("occurred_at"), F.col("user_id").cast("string").alias("author"), _id("package", unit).alias("unit"), F.concat(F.lit("n"), unit, F.lit("/f"), suffix).alias("path"), F.floor("value").cast("long").alias("lines"))
 
     @cached_property
     def telemetry(self) -> DataFrame:

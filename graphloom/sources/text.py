@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, predicates
+from .flatten import flatten_json
 
 
 def without_root(path: Column, root: str, module: str) -> Column:
@@ -139,13 +139,20 @@ def contract_type(name: str) -> str | None:
     return None
 
 
+def contract_kind(name: Column) -> Column:
+    """As ``contract_type``, of a column."""
+    low = F.lower(name)
+    text = low.rlike(r"\.(yaml|yml|json)$")
+    return F.when(low.endswith(".proto"), "grpc").when(text & low.contains("asyncapi"), "kafka").when(text & low.rlike("openapi|swagger"), "openapi")
+
+
 def _number(x: float) -> str:
-    """Shortest decimal form, with an exponent as for %g."""
+    """Shortest decimal form, with an exponent as for %g: below 1e-4 and from 1e6 on."""
     text = repr(float(x))
     mantissa, _, exponent = text.partition("e")
     digits = mantissa.lstrip("-").replace(".", "").strip("0") or "0"
     power = int(exponent or 0) + (len(mantissa.lstrip("-").split(".")[0]) - 1 if not mantissa.lstrip("-").startswith("0.") else -(len(mantissa.lstrip("-")[2:]) - len(mantissa.lstrip("-")[2:].lstrip("0")) + 1))
-    if x and not -4 <= power < 21:
+    if x and not -4 <= power < 6:
         sign = "-" if x < 0 else ""
         return f"{sign}{digits[0]}{'.' + digits[1:] if len(digits) > 1 else ''}e{'-' if power < 0 else '+'}{abs(power):02d}"
     whole = format(x, "f") if exponent else text
@@ -166,8 +173,6 @@ def flatten(value: object, path: str = "") -> Iterator[tuple[str, str]]:
 def contract_shape(name: str, content: str) -> list[tuple[str, str]]:
     if name.lower().endswith(".proto"):
         document: object = [x for x in (line.split("//", 1)[0].strip() for line in content.split("\n")) if x]
-    elif name.lower().endswith(".json"):
-        document = json.loads(content, parse_int=float)
     else:
         import yaml
 
@@ -176,18 +181,20 @@ def contract_shape(name: str, content: str) -> list[tuple[str, str]]:
 
 
 def contract_fields(files: DataFrame) -> DataFrame:
-    """(contract, name, type, path, value) of the leaves of contract files, from (path, content); broken files are errors."""
+    """(contract, name, type, path, value) of the leaves of contract files, from (path, content); broken files are errors.
+
+    JSON is read as variants; YAML and protocol files by a small reader in Python.
+    """
+    kind = contract_kind(F.regexp_extract("path", "[^/]*$", 0))
+    told = files.select(F.col("path").alias("name"), kind.alias("type"), "content").where("type is not null")
+    json_ = F.lower("name").endswith(".json")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kind = contract_type(path.rsplit("/", 1)[-1])
-                if kind:
-                    rows += [(path, kind, p, v) for p, v in contract_shape(path, content)]
+            rows = [(name, type_, p, v) for name, type_, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for p, v in contract_shape(name, content)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], ["name", "type", "path", "value"])
 
-    leaves = files.select("path", "content").mapInArrow(read, "name string, type string, path string, value string")
+    leaves = told.where(~json_).mapInArrow(read, "name string, type string, path string, value string").unionByName(flatten_json(told.where(json_)))
     return leaves.select(ids.stable_id("contract", F.col("name")).alias("contract"), "name", "type", "path", "value")
 
 

@@ -285,7 +285,7 @@ def test_contract_shapes():
     shape = dict(text.contract_shape("a.yaml", "a: {b/c: [1, 2.5, true, null], d~: x}\n"))
     assert shape == {"/a/b~1c/0": "number:1", "/a/b~1c/1": "number:2.5", "/a/b~1c/2": "bool:true", "/a/b~1c/3": "null", "/a/d~0": "string:x"}
     assert dict(text.contract_shape("x.proto", "syntax; // note\n\n message A {}\n")) == {"/0": "string:syntax;", "/1": "string:message A {}"}
-    assert [text._number(x) for x in (1.0, 0.1, 1e21, 1e20, 1e-5, 123456.75)] == ["1", "0.1", "1e+21", "100000000000000000000", "1e-05", "123456.75"]
+    assert [text._number(x) for x in (1.0, 0.1, 1e21, 1e20, 1e-5, 123456.75, 1e6, 1234567.5, -2e6)] == ["1", "0.1", "1e+21", "1e+20", "1e-05", "123456.75", "1e+06", "1.2345675e+06", "-2e+06"]
     assert [text.contract_type(n) for n in ("openapi.yaml", "a.swagger.json", "asyncapi.yml", "x.proto", "x.json")] == ["openapi", "openapi", "kafka", "grpc", None]
 
 
