@@ -43,7 +43,7 @@ def files_of(spark: SparkSession, location: str) -> DataFrame:
     path = F.regexp_replace(F.substring_index("path", location.rstrip("/").rsplit("/", 1)[-1] + "/", -1), "^/+", "")
     kept = rows.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"))
     skipped = "|".join(sorted(IGNORED))
-    return kept.where(F.col("path").rlike(r"\.(?:go|proto|ya?ml|json)$") & ~F.concat(F.lit("/"), "path").rlike(rf"/(?:\.[^/]*|{skipped})/"))
+    return kept.where((F.col("path").endswith(".go") | text.contract_kind(F.regexp_extract("path", "[^/]*$", 0)).isNotNull()) & ~F.concat(F.lit("/"), "path").rlike(rf"/(?:\.[^/]*|{skipped})/"))
 
 
 def module_name(root: str) -> str:

@@ -10,56 +10,58 @@ from pyspark.sql import functions as F
 from graphloom.operators import attention, dataflow, facts
 from graphloom.sources import golang, repository, text
 
-# A lighthouse: the lamp is lit from the watch room, tide and moon lean on one another.
-LAMP = """package lamp
+# A print shop: jobs wait in a queue, three workshops need one another, and the clerk chooses by many conditions.
+QUEUE = """package queue
 
-import (
-	"database/sql"
-	"net/http"
-)
-
-type Horn interface{ Publish(signal string) }
+import "net/http"
 
-func Ignite(log *sql.DB, horn Horn) int {
-	Trim()
-	log.Query("SELECT hour FROM burnings")
-	log.Exec("UPDATE lenses SET hours = hours + 1")
-	horn.Publish("lamp.lit")
-	http.Get("https://weather.keep.test/fog?at=dusk")
-	labels.Set("seen-by", "https://nobody.keep.test")
-	return 1
+// Next would "select id from nowhere", says this comment.
+func Next(store Store) string {
+	row := store.QueryRow("select id from waiting join printers using (printer_id)")
+	if row == nil {
+		return Idle()
+	}
+	return Title(row)
 }
-"""
-WICK = """package lamp
 
-func Trim() {}
+func Idle() string { return "delete from nowhere" }
+
+func Title(row any) string {
+	pageCache.MGet("job:7")
+	sheets.MGet("job:8")
+	return Idle() + Idle()
+}
 
-func Polish() {
-	Trim()
-	Trim()
-	Trim()
+func Finish(consumer Consumer, store Store) {
+	consumer.Subscribe("plates.worn")
+	consumer.Subscribe("")
+	store.NamedExec("delete from waiting where id = :id")
+	http.NewRequest("PUT", "http://ops@floor.print.test:8080/bell", nil)
+	postman.Head("http://nowhere.print.test")
 }
 """
+CLERK = "package clerk\n\nfunc Choose(n int) int {\n" + "".join(f"\tif n == {k} {{\n\t\treturn {k * k}\n\t}}\n" for k in range(16)) + "\treturn n\n}\n\nfunc hidden() { Choose(3) }\n"
+WORKSHOPS = {"ink": ("Mix", "paper", "Feed"), "paper": ("Feed", "plate", "Etch"), "plate": ("Etch", "ink", "Mix")}
 TREE = {
-    "docs/CODEOWNERS": "* @keepers\nlamp/*.go @wick-crew @keepers\n/charts/ @chart-room\n",
-    "go.mod": "module keep.test/light\n\ngo 1.22\n",
-    "lamp/lamp.go": LAMP,
-    "lamp/wick.go": WICK,
-    "lamp/lamp_test.go": 'package lamp\n\nimport "testing"\n\nfunc TestIgnite(t *testing.T) {\n\tIgnite(nil, nil)\n}\n',
-    "watch/night.go": 'package main\n\nimport beam "keep.test/light/lamp"\n\nfunc main() {\n\tbeam.Ignite(nil, nil)\n}\n',
-    "tide/ebb.go": 'package tide\n\nimport "keep.test/light/moon"\n\nfunc Ebb() { moon.Rise() }\n',
-    "moon/rise.go": 'package moon\n\nimport "keep.test/light/tide"\n\nfunc Rise() { tide.Ebb() }\n',
-    "charts/asyncapi.yml": "asyncapi: 2.6.0\nchannels: {fog: {}}\n",
-    "weather/fog.go": "package weather\n\ntype Fog struct{ Depth int }\n",
-    "keeper.go": "package light\n\ntype Keeper struct{}\n",
-    "profile.txt": "mode: count\nkeep.test/light/lamp/wick.go:3.15,3.16 2 0\nkeep.test/light/lamp/wick.go:5.15,9.2 3 4\n",
-    "build/left.go": "package (",
+    "CODEOWNERS": "* @house\n/internal/ @floor\nclerk @desk @house\n*.proto @wire\n",
+    "go.mod": "module print.test/press\n\ngo 1.23\n",
+    "internal/queue/queue.go": QUEUE,
+    "internal/clerk/clerk.go": CLERK,
+    "e2e/night_test.go": 'package e2e\n\nimport (\n\t"testing"\n\n\tq "print.test/press/internal/queue"\n)\n\nfunc TestNight(t *testing.T) {\n\tif q.Next(nil) == "" {\n\t\tt.Fatal()\n\t}\n\tq.Next(nil)\n}\n',
+    "cmd/press/press.go": 'package main\n\nimport "print.test/press/internal/clerk"\n\nfunc main() { println(clerk.Choose(2)) }\n',
+    **{f"shop/{name}/{name}.go": f'package {name}\n\nimport "print.test/press/shop/{other}"\n\nfunc {own}() {{ {other}.{theirs}() }}\n' for name, (own, other, theirs) in WORKSHOPS.items()},
+    "api/v1/jobs.proto": 'syntax = "proto3";\nmessage Job { string id = 1; } // one\n',
+    "api/swagger.json": '{"swagger": "2.0", "paths": {}}',
+    "api/notes.json": "{}",
+    "cover.out": "mode: set\nprint.test/press/internal/queue/queue.go:6.31,8.16 2 1\nprint.test/press/internal/queue/queue.go:8.16,10.3 1 0\nprint.test/press/internal/queue/queue.go:14.22,14.53 1 1\nprint.test/press/internal/queue/queue.go:22.45,28.2 5 0\n",
+    "vendor/gone/gone.go": "package (",
+    ".cache/gone.go": "package (",
 }
 
 
 @pytest.fixture(scope="module")
 def root(tmp_path_factory):
-    top = tmp_path_factory.mktemp("light")
+    top = tmp_path_factory.mktemp("press")
     for path, body in TREE.items():
         (top / path).parent.mkdir(parents=True, exist_ok=True)
         (top / path).write_text(body)
@@ -68,12 +70,12 @@ def root(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def index(spark, root):
-    made = repository.Index(repository.files(spark, root), "service:light", repository.module_name(root), repository.owners_text(root))
+    made = repository.Index(repository.files(spark, root), "service:press", repository.module_name(root), repository.owners_text(root))
     return made.nodes().cache(), made.edges().cache(), made
 
 
 def test_walk_skips_ignored_folders(root):
-    assert repository.walk(root) == sorted(p for p in TREE if p.endswith((".go", ".yml")) and not p.startswith("build"))
+    assert repository.walk(root) == sorted(p for p in TREE if p.endswith((".go", ".proto", "swagger.json")) and "gone" not in p)
 
 
 def test_files_are_also_read_in_parallel(spark, root):
@@ -84,37 +86,41 @@ def test_index_of_a_repository(index):
     nodes, edges, _ = index
     label = {r.id: (r.kind, r.label) for r in nodes.collect()}
     assert len(label) == nodes.count()
-    rows = edges.collect()
-    by_kind = {}
+    rows, told = edges.collect(), {}
     for r in rows:
-        by_kind.setdefault(r.kind, set()).add((label[r.source][1], label[r.target], r.boundary))
-    assert by_kind["tests"] == {("TestIgnite", ("function", "Ignite"), None)}
-    assert by_kind["reads"] == {("Ignite", ("table", "burnings"), "persistence")}
-    assert by_kind["writes"] == {("Ignite", ("table", "lenses"), "persistence")}
-    assert by_kind["publishes"] == {("Ignite", ("topic", "lamp.lit"), "async")}
-    calls = {(a, b[1]) for a, b, _ in by_kind["calls"]}
-    assert calls == {("main", "Ignite"), ("Ignite", "Trim"), ("Polish", "Trim"), ("Ebb", "Rise"), ("Rise", "Ebb"), ("Ignite", "weather.keep.test"), ("Ignite", "net/http")}
-    assert {b for _, _, b in by_kind["calls"]} == {None, "network"}
-    assert {(a, b[1]) for a, b, _ in by_kind["depends_on"]} >= {("watch", "lamp"), ("tide", "moon"), ("moon", "tide")}
-    assert {("charts", ("contract", "asyncapi.yml"), None), ("service:light", ("package", "weather"), None)} <= by_kind["owns"]
-    assert next(r.observations for r in rows if label[r.source][1] == "Polish" and r.kind == "calls") == 3
-    owners = {r.file: r.owners for r in nodes.where("kind = 'package' and not external").collect()}
-    assert owners["charts"] == ["@chart-room"] and owners["weather"] == ["@keepers"] and owners["lamp"][0] == "@keepers" or "@wick-crew" in owners["lamp"]
+        told.setdefault(r.kind, set()).add((label[r.source][1], *label[r.target], r.boundary))
+    assert told["reads"] == {("Next", "table", "waiting", "persistence"), ("Next", "table", "printers", "persistence"), ("Title", "cache", "job:7", "persistence")}
+    assert told["writes"] == {("Finish", "table", "waiting", "persistence")}
+    assert told["consumes"] == {("Finish", "topic", "plates.worn", "async")} and "publishes" not in told
+    assert told["tests"] == {("TestNight", "function", "Next", None)}
+    within = {(a, b) for a, kind, b, _ in told["calls"] if kind == "function"}
+    assert within == {("Next", "Idle"), ("Next", "Title"), ("Title", "Idle"), ("hidden", "Choose"), ("main", "Choose"), ("Mix", "Feed"), ("Feed", "Etch"), ("Etch", "Mix")}
+    assert ("Finish", "external", "floor.print.test:8080", "network") in told["calls"] and not any("nowhere" in b for found in told.values() for _, _, b, _ in found)
+    needs = {(a, b) for a, _, b, _ in told["depends_on"]}
+    assert {(f"shop/{name}", f"shop/{other}") for name, (_, other, _) in WORKSHOPS.items()} | {("e2e", "internal/queue"), ("cmd/press", "internal/clerk")} <= needs
+    assert {b for a, kind, b, _ in told["owns"] if kind == "contract"} == {"jobs.proto", "swagger.json"} and ("internal/queue", "function", "Title", None) in told["owns"]
+    seen = {(label[r.source][1], label[r.target][1]): r.observations for r in rows if r.kind in ("calls", "tests")}
+    assert seen["Title", "Idle"] == 2 and seen["TestNight", "Next"] == 2 and seen["Next", "Idle"] == 1
+    owners = {r.label: r.owners for r in nodes.where("kind = 'package' and not external").collect()}
+    assert owners["internal/queue"] == ["@floor"] and owners["internal/clerk"] == ["@desk", "@house"] and owners["shop/ink"] == ["@house"]
 
 
 def test_rules_of_a_repository(index):
     nodes, edges, _ = index
     label = {r.id: r.label for r in nodes.collect()}
-    found = {(r.rule, label.get(r.node, "")) for r in repository.violations(nodes, edges, "there").collect()}
-    assert {n for r, n in found if r == "cycle"} <= {"tide", "moon"} and {n for r, n in found if r == "untested-export"} == {"Polish", "Ebb", "Rise"}
-    assert ("no-owners-file", "service:light") in {(r.rule, label[r.node]) for r in repository.violations(nodes, edges, "").collect()}
+    found = {(r.rule, label.get(r.node, ""), r.detail) for r in repository.violations(nodes, edges, "there").collect()}
+    rules = {rule: {n for r, n, _ in found if r == rule} for rule, _, _ in found}
+    assert rules == {"cycle": {min((i, n) for i, n in label.items() if n.startswith("shop/"))[1]}, "untested-export": {"Finish", "Choose", "Mix", "Feed", "Etch"}, "cyclomatic": {"Choose"}}
+    assert [d.count(",") for r, _, d in found if r == "cycle"] == [2] and ("cyclomatic", "Choose", "17") in found
+    assert ("no-owners-file", "service:press") in {(r.rule, label[r.node]) for r in repository.violations(nodes, edges, "").collect()}
 
 
 def test_coverage_of_a_repository(spark, root, index):
-    blocks = text.read_coverage(spark, f"{root}/profile.txt", root, "keep.test/light")
-    functions = index[2].symbols().select("id", "file", F.col("line").alias("first_line"), F.col("end_line").alias("last_line"))
-    told = {(r.status, r.percent) for r in facts.coverage_rollup(blocks.select("file", "start_line", "statements", "hits"), functions).collect()}
-    assert told == {("covered", 100), ("uncovered", 0)}
+    blocks = text.read_coverage(spark, f"{root}/cover.out", root, "print.test/press")
+    symbols = index[2].symbols().select("id", "file", "label", F.col("line").alias("first_line"), F.col("end_line").alias("last_line"))
+    names = {r.id: r.label for r in symbols.collect()}
+    told = {names[r.id]: (r.status, r.percent) for r in facts.coverage_rollup(blocks.select("file", "start_line", "statements", "hits"), symbols.drop("label")).collect()}
+    assert told == {"Next": ("partial", 66), "Idle": ("covered", 100), "Finish": ("uncovered", 0)}
     bad = Path(root, "worse.txt")
     bad.write_text("mode: count\nno profile at all\n")
     with pytest.raises(Exception, match="invalid coverage"):
@@ -129,7 +135,7 @@ def test_telemetry_tells_zero_from_absent(spark, tmp_path, index):
         path.write_text(json.dumps(items))
         return text.read_telemetry(spark, str(path), nodes).collect()
 
-    one = {"label": "Ignite", "file": "lamp/lamp.go", "window": "1h", "source": "logbook"}
+    one = {"label": "Finish", "file": "internal/queue/queue.go", "window": "1h", "source": "logbook"}
     assert read([one | {"rpm": 0}])[0].trafficObserved and not read([one | {"p99": 184}])[0].trafficObserved
     for broken, what in (({"label": "Nobody"}, "no node"), ({"window": ""}, "required"), ({}, "metric")):
         with pytest.raises(Exception, match=what):
