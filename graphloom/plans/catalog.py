@@ -900,15 +900,17 @@ def path_outcomes(g: Derived) -> DataFrame:
 
 # Data flow in SQL text
 
-STATEMENTS = ["select a from orders join lines on x = y", "INSERT INTO audit SELECT * FROM events", "update stock set n = 1", "delete from cart where id = ?", "select 1", "UPDATE t SET x = (select y from z)"]
+_TEXT = """CASE p_partkey % 6 WHEN 0 THEN concat('select a from ', t, ' join sizes.s', p_size, ' on x = y') WHEN 1 THEN concat('INSERT INTO audit', p_size, ' SELECT * FROM ', t)
+  WHEN 2 THEN concat('update ', t, ' set n = 1') WHEN 3 THEN concat('delete from ', t, ' where id = ?') WHEN 4 THEN 'select 1' ELSE concat('UPDATE ', t, ' SET x = (select y from s', p_size, ')') END"""
 
 
-@query("""stmts AS (SELECT * FROM (VALUES """ + ", ".join(f"({k}, '{t}')" for k, t in enumerate(STATEMENTS)) + """) s(id, text)),
+@query(f"""stmts AS (SELECT p_partkey AS id, {_TEXT} AS text FROM (SELECT *, replace(lower(p_brand), '#', '_') AS t FROM part)),
 hits AS (SELECT id, unnest(regexp_extract_all(text, '(?i)\\b(?:from|join|into|update)\\s+([a-z_][a-z0-9_.]*)', 1)) AS name, CASE WHEN upper(split_part(text, ' ', 1)) IN ('INSERT', 'UPDATE', 'DELETE', 'REPLACE') THEN 'writes' ELSE 'reads' END AS kind FROM stmts)
 SELECT DISTINCT id, name, kind FROM hits WHERE lower(name) <> 'set'""")
 def dataflow_tables_from_sql(g: Derived) -> DataFrame:
-    rows = g.spark.createDataFrame(list(enumerate(STATEMENTS)), "id int, text string")
-    return dataflow.sql_tables(rows)
+    """A statement for each part, about tables named by its brand and size."""
+    rows = g.table("part").withColumn("t", F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")))
+    return dataflow.sql_tables(rows.select(F.col("p_partkey").alias("id"), F.expr(_TEXT).alias("text")))
 
 
 @query()

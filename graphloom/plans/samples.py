@@ -38,9 +38,14 @@ CLASSES = [
 ]
 
 
-@query(_values(CLASSES, "id, kind, target_kind, target, label, boundary"))
+@query(f"""classes AS ({_values(CLASSES, "id, kind, target_kind, target, label, boundary")})
+SELECT s_suppkey AS id, kind, target_kind, replace(target, 'room', 'room' || s_nationkey) AS target, label, boundary FROM supplier JOIN classes ON s_suppkey % {len(CALLS)} + 1 = classes.id""")
 def dataflow_calls(g: Derived) -> DataFrame:
-    return dataflow.classify_calls(g.spark.createDataFrame(CALLS, "id int, receiver string, method string, values array<string>, http boolean"))
+    """Each supplier makes one of the calls, with names of its nation."""
+    made = F.broadcast(g.spark.createDataFrame(CALLS, "call int, receiver string, method string, values array<string>, http boolean"))
+    rows = g.table("supplier").join(made, F.col("s_suppkey") % len(CALLS) + 1 == F.col("call"))
+    own = F.concat(F.lit("room"), F.col("s_nationkey").cast("string"))
+    return dataflow.classify_calls(rows.select(F.col("s_suppkey").alias("id"), "receiver", "method", F.transform("values", lambda v: F.replace(v, F.lit("room"), own)).alias("values"), "http"))
 
 
 # Units of endpoints; ends and roots
@@ -284,8 +289,11 @@ def review_policies(g: Derived) -> DataFrame:
     return out
 
 
-@query(_values([(0, "set-projection", "what-changed-architecturally"), (1, "set-evidence", "observed"), (2, "set-depth", "1"), (3, "pin", "a"), (4, "pin", "b"), (5, "pin", "c")], "place, command, value"))
+@query("""SELECT 0 AS place, 'set-projection' AS command, 'what-changed-architecturally' AS value UNION ALL SELECT 1, 'set-evidence', 'observed' UNION ALL SELECT 2, 'set-depth', '1'
+UNION ALL SELECT (row_number() OVER (ORDER BY n_name) + 2)::INT, 'pin', n_name FROM nation QUALIFY row_number() OVER (ORDER BY n_name) <= 3""")
 def planned_commands(g: Derived) -> DataFrame:
-    commands = investigation.plan("Show only risky paths introduced by this PR?", ["c", "b", "d", "a", "b"])
+    """The nations are what changed; of them the first are pinned."""
+    changed = [r["n_name"] for r in g.table("nation").select("n_name").collect()]
+    commands = investigation.plan("Show only risky paths introduced by this PR?", changed)
     first = lambda c: next(str(v) for k, v in c.items() if k != "command")
     return g.spark.createDataFrame([(k, c["command"], first(c)) for k, c in enumerate(commands)], "place int, command string, value string")
