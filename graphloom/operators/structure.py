@@ -111,7 +111,7 @@ def hotspots(metrics: DataFrame, complexity: DataFrame, changed: DataFrame) -> D
 
 
 def evolution(edge_delta: DataFrame, reasons: DataFrame, base: DataFrame, head: DataFrame, base_cycles: DataFrame, head_cycles: DataFrame) -> DataFrame:
-    """(id, kind, direction, score) of architecture changes, each id once.
+    """(id, kind, direction, score) of architecture changes, each id once: the last of the kinds in their order.
 
     edge_delta: id, status. reasons: id, reason, rises (whether a complexity or
     protection change is for the worse). base and head: id, coupling, of the same
@@ -132,7 +132,9 @@ def evolution(edge_delta: DataFrame, reasons: DataFrame, base: DataFrame, head:
     coupling = change(both, F.concat(F.lit("coupling:"), "id"), "coupling", F.when(up, "increased").otherwise("decreased"), F.when(up, 68).otherwise(30))
     fresh = change(head_cycles.join(base_cycles, "key", "left_anti"), F.concat(F.lit("cycle:"), "key", F.lit(":introduced")), "cycle", F.lit("introduced"), F.lit(100))
     gone = change(base_cycles.join(head_cycles, "key", "left_anti"), F.concat(F.lit("cycle:"), "key", F.lit(":removed")), "cycle", F.lit("removed"), F.lit(40))
-    out = dependency
-    for part in (owner, complex_, test, coupling, fresh, gone):
-        out = out.union(part)
-    return out.dropDuplicates(["id"]).orderBy(F.desc("score"), "id")
+    out = None
+    for place, part in enumerate((dependency, owner, complex_, test, coupling, fresh, gone)):
+        part = part.withColumn("place", F.lit(place))
+        out = part if out is None else out.union(part)
+    last = out.groupBy("id").agg(F.max_by(F.struct("kind", "direction", "score"), F.struct("place", "score", "direction")).alias("x"))
+    return last.select("id", "x.kind", "x.direction", "x.score").orderBy(F.desc("score"), "id")
