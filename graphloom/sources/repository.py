@@ -7,6 +7,8 @@ import re
 import subprocess
 import tarfile
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,17 +79,25 @@ def _stored_head(folder: Path) -> str:
     return known(branch).strip() or (packed[1] if packed else "")
 
 
-def tree_of(root: str, ref: str) -> str:
-    """A folder with the files of a commit; the working tree itself for WORKTREE."""
+@contextmanager
+def tree_of(root: str, ref: str) -> Iterator[str]:
+    """A folder of the driver with the files of a commit, removed on leaving; the working tree itself for WORKTREE."""
     if ref == "WORKTREE":
-        return root
-    target = tempfile.mkdtemp(prefix="graphloom-tree-")
-    with tempfile.TemporaryFile() as archive:
-        subprocess.run(["git", "-C", root, "archive", "--format=tar", ref], stdout=archive, check=True)
-        archive.seek(0)
-        with tarfile.open(fileobj=archive) as tar:
-            tar.extractall(target, filter="data")
-    return target
+        yield root
+        return
+    with tempfile.TemporaryDirectory(prefix="graphloom-tree-") as target:
+        with tempfile.TemporaryFile() as archive:
+            subprocess.run(["git", "-C", root, "archive", "--format=tar", ref], stdout=archive, check=True)
+            archive.seek(0)
+            with tarfile.open(fileobj=archive) as tar:
+                tar.extractall(target, filter="data")
+        yield target
+
+
+def files_at(spark: SparkSession, root: str, ref: str) -> DataFrame:
+    """(path, content) of ``walk`` at a commit, as a table in the shared folder that executors read."""
+    with tree_of(root, ref) as tree:
+        return materialize(files(spark, tree), "tree")
 
 
 def _folder(path: Column) -> Column:

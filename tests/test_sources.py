@@ -307,15 +307,18 @@ def test_calls_have_one_class(spark):
     }
 
 
-def test_trees_of_commits_leave_the_working_tree_alone(tmp_path):
+def test_trees_of_commits_leave_the_working_tree_alone(spark, tmp_path):
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
     git("init", "-q")
     (tmp_path / "a.go").write_text("package a\n")
     git("add", ".")
     git("commit", "-qm", "one")
     (tmp_path / "a.go").write_text("package b\n")
-    assert Path(repository.tree_of(str(tmp_path), "HEAD"), "a.go").read_text() == "package a\n" and (tmp_path / "a.go").read_text() == "package b\n"
-    assert repository.tree_of(str(tmp_path), "WORKTREE") == str(tmp_path) and len(repository.head_commit(str(tmp_path))) == 40
+    with repository.tree_of(str(tmp_path), "HEAD") as tree:
+        assert Path(tree, "a.go").read_text() == "package a\n" and (tmp_path / "a.go").read_text() == "package b\n"
+    assert not Path(tree).exists() and [tuple(r) for r in repository.files_at(spark, str(tmp_path), "HEAD").collect()] == [("a.go", "package a\n")]
+    with repository.tree_of(str(tmp_path), "WORKTREE") as tree:
+        assert tree == str(tmp_path) and len(repository.head_commit(str(tmp_path))) == 40
 
 
 def test_head_is_known_without_git(tmp_path, monkeypatch):
