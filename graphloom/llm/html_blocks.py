@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import map_batches
 
 PATH, WORDS, MEASURES, HIDDEN = 192, 64, 9, 20
-TRAIN_PAGES, EPOCHS, BATCH, SEED = 2400, 14, 48, 20
+TRAIN_PAGES, EPOCHS, BATCH, SEED = 4800, 12, 48, 20
 #: Blocks of a page that are vectors at one time; pages of more are read in parts with the state carried on.
 PART = 4096
 
@@ -281,7 +281,22 @@ OTHER = {
     "notice": ["div class='cookie-notice'", "div class='notice'", "div class='popup'", "noscript"],
     "comment": ["div class='comments'", "section id='comments'", "section class='comments'", "div class='comment'"],
 }
+#: Words that names of a kind are made of, beside NEUTRAL ones, which stand in names of all kinds.
+NAMES = {
+    "main": "content article post entry story text body prose main page recipe document",
+    "menu": "menu nav navbar navigation breadcrumb breadcrumbs topnav pagination pager tabs",
+    "head": "header masthead top topbar banner branding logo",
+    "foot": "footer foot copyright colophon bottom legal imprint credits",
+    "side": "sidebar side widget related share social promo popular recommended tags secondary",
+    "form": "form login newsletter search subscribe signup register",
+    "ad": "ad ads advert advertisement sponsored sponsor adsense",
+    "notice": "cookie cookies notice consent gdpr popup modal alert overlay",
+    "comment": "comments comment replies discussion responses respond reactions",
+    "meta": "meta byline posted date author timestamp published",
+}
+NEUTRAL = "site page area wrap wrapper box block inner list section container primary row col item group app ui js the".split()
 SAID = {
+    "meta": "Posted on by Written in Published Updated Filed under Author January March June 2019 2021 2024 min read Von am Publié le por",
     "menu": "Home About Contact News Login Register Search Menu Shop Blog FAQ Help Sitemap Archive Categories Products Services Sports Politics Startseite Über Kontakt Anmelden Suche Accueil Actualités Connexion Recherche Inicio Noticias Contacto Buscar",
     "head": "Daily Online Journal Weekly News Magazine The Times Blog of Portal Network Site",
     "foot": "© Copyright 2019 2021 2024 All rights reserved Privacy Policy Terms of Use Imprint Impressum Datenschutz Alle Rechte vorbehalten Tous droits réservés Mentions légales Todos los derechos reservados Aviso legal Contact",
@@ -292,6 +307,7 @@ SAID = {
     "comment": "Reply Comments Comment said posted ago hours Leave a reply Report Antworten Kommentar Répondre Commentaires Responder Comentarios",
 }
 _said = {kind: words.split() for kind, words in SAID.items()}
+_names = {kind: words.split() for kind, words in NAMES.items()}
 
 
 def training_page(r: np.random.Generator) -> tuple[str, list[int]]:
@@ -353,13 +369,49 @@ def training_page(r: np.random.Generator) -> tuple[str, list[int]]:
             return f" class='css-{word()}{r.integers(99)}{word()}'"
         return f" {pick(['class', 'class', 'id'])}='{word()}{pick(['-', '_', ' '])}{word()}'"
 
-    def box(names: list[str], tags: list[str]) -> tuple[str, str]:
-        name = pick(names) if named and r.random() < 0.95 else pick(tags) + random_name()
+    def telling(kind: str, tags: list[str]) -> str:
+        words = [pick(_names[kind])]
+        if r.random() < 0.6:
+            words.insert(int(r.integers(2)), pick(NEUTRAL))
+        return f"{pick(tags)} {pick(['class', 'class', 'id'])}='{pick(['-', '_', ' ']).join(words)}'"
+
+    def box(kind: str, names: list[str], tags: list[str]) -> tuple[str, str]:
+        name = pick(names) if r.random() < 0.5 else telling(kind, ["div", "div", "section"])
+        name = name if named and r.random() < 0.95 else pick(tags) + random_name()
         tag = name.split()[0]
         return (f"<table><tr><{name}>", f"</{tag}></tr></table>") if tag == "td" else (f"<{name}>", f"</{tag}>")
 
+    def inner(tag: str, kind: str) -> str:
+        return telling(kind, [tag]) if named and r.random() < 0.7 else tag + random_name()
+
+    def thread(level: int) -> str:
+        """Comments as a list, with answers as lists within."""
+        item, body = pick(["article", "div", "div"]), []
+        for _ in range(r.integers(1, 4)):
+            who = f"{word().capitalize()} {pick(['', word().capitalize()])} {pick(['says:', 'said', 'schrieb', 'a dit', ''])} {pick(['', f'{r.integers(1, 31)} {word()} 2020 at {r.integers(1, 24)}:{r.integers(10, 60)}'])}"
+            labels.append(0)
+            top = f"<{(t := pick(['footer', 'header', 'div', 'div']))} {pick(['class=meta', 'class=author', ''])}>{who}</{t}>"
+            text = "".join(f"<p>{labels.append(0) or prose(2, 40)}</p>" for _ in range(r.integers(1, 4)))
+            text = f"<{inner('div', 'main')}>{text}</div>" if r.random() < 0.5 else text
+            back = f"<div>{link(said('comment', 1, 1))}</div>" if r.random() < 0.6 else ""
+            answers = thread(level + 1) if level < 2 and r.random() < 0.3 else ""
+            body.append(f"<li><{inner(item, 'comment')}>{top}{text}{back}</{item}>{answers}</li>")
+        return f"<{inner('ol', 'comment')}>{''.join(body)}</ol>"
+
+    def bare(lo: int, hi: int) -> str:
+        return pick([f"{r.integers(1, 900)} ", "", ""]) + prose(lo, hi).rstrip(".,")
+
+    def rows() -> str:
+        """A table or a list of terms, of short texts, within the article."""
+        if r.random() < 0.35:
+            many = range(r.integers(2, 7))
+            return "<dl>" + "".join(f"<dt>{main_text(bare(1, 4))}</dt><dd>{main_text(prose(2, 25))}</dd>" for _ in many) + "</dl>"
+        wide, head = int(r.integers(2, 5)), r.random() < 0.5
+        line = lambda tag: "<tr>" + "".join(f"<{tag}>{main_text(bare(1, 4))}</{tag}>" for _ in range(wide)) + "</tr>"
+        return "<table>" + (line("th") if head else "") + "".join(line("td") for _ in range(r.integers(2, 8))) + "</table>"
+
     def other(kind: str) -> str:
-        start, stop = box(OTHER[kind], ["div", "div", "div", "section", "td"])
+        start, stop = box(kind, OTHER[kind], ["div", "div", "div", "section", "td"])
         if kind == "menu":
             if r.random() < 0.6 or start.startswith("<ul"):
                 items = "".join(f"<li>{link(said(kind, 1, 3))}</li>" for _ in range(r.integers(2, 9)))
@@ -404,6 +456,8 @@ def training_page(r: np.random.Generator) -> tuple[str, list[int]]:
             text = (labels.append(0) or prose(3, 30)) if named and r.random() < 0.4 else said(kind, 4, 18)
             return start + f"<p>{text}</p>" + (f"<button>{said(kind, 1, 2)}</button>" if r.random() < 0.5 else "") + stop
         out = [f"<{(t := pick(['h3', 'h4', 'p', 'div']))}>{pick(['', str(r.integers(40)) + ' '])}{said(kind, 1, 2)}</{t}>"] if not named or r.random() < 0.7 else []
+        if r.random() < 0.4:
+            return start + "".join(out) + thread(0) + stop
         for _ in range(r.integers(1, 6)):
             who = f"{word().capitalize()}{pick(['', ' ' + word().capitalize(), ' ' + str(r.integers(1, 31)) + ' ' + word()])}"
             if not named or r.random() < 0.6:
@@ -416,7 +470,7 @@ def training_page(r: np.random.Generator) -> tuple[str, list[int]]:
         return start + "".join(out) + stop
 
     def main() -> str:
-        start, stop = box(MAIN, ["div", "div", "div", "section", "td"])
+        start, stop = box("main", MAIN, ["div", "div", "div", "section", "td"])
         par = "p" if named else pick(["p", "p", "p", "div", "p" + random_name()])
         if not named and r.random() < 0.3:  # no container
             start = stop = ""
@@ -425,6 +479,15 @@ def training_page(r: np.random.Generator) -> tuple[str, list[int]]:
             around = (f"<div{random_name()}>", "</div>")
         short = 1 if named else 8
         out = [f"<{(t := pick(['h1', 'h1', 'h2']))}>{main_text(prose(1, 12))}</{t}>"] if r.random() < (0.85 if named else 0.7) else []
+        if named and r.random() < 0.12:  # a few words are the whole article
+            return start + "".join(out) + "".join(f"<p>{main_text(bare(1, 6) if r.random() < 0.7 else prose(1, 6))}" for _ in range(r.integers(1, 4))) + stop
+        if out and named and r.random() < 0.25:
+            out[0] = f"<header class='{pick(_names['main'])}-header'>{out[0]}</header>"
+        if named and r.random() < 0.3:
+            out.append(f"<{telling('meta', ['div'])}>{said('meta', 2, 7)}</div>")
+        if r.random() < 0.15:  # breaks instead of paragraphs: one block
+            text = "<br><br>".join(prose(5, 60) for _ in range(r.integers(2, 9)))
+            return start + "".join(out) + main_text(text) + stop
         for _ in range(r.integers(1, 14) if named else r.integers(2, 14)):
             kind = r.random()
             if kind < 0.1:
@@ -446,8 +509,18 @@ def training_page(r: np.random.Generator) -> tuple[str, list[int]]:
                 out.append(again * times)
             elif kind < 0.55:
                 out.append(f"<{par}>{main_text(prose(1, 5))}</{par.split()[0]}>")
+            elif kind < 0.59:
+                out.append(rows())
+            elif kind < 0.62:
+                out.append(f"<pre><code>{main_text(chr(10).join(bare(1, 6) for _ in range(r.integers(1, 6))))}</code></pre>")
+            elif kind < 0.64:
+                out.append(f"<figure><img src='{word()}'><figcaption>{main_text(prose(3, 16))}</figcaption></figure>")
+            elif kind < 0.68 and named:  # words set apart by marks
+                out.append(f"<p>{main_text(prose(2, 40).replace(' ', pick([' | ', ' | ', ' · ', ' / ', ' - '])))}</p>")
             else:
                 out.append(f"{around[0]}<{par}>{main_text(prose(short, 70))}</{par.split()[0]}>{around[1]}")
+        if named and r.random() < 0.15:
+            out.append(f"<footer>{said('meta', 2, 6)}</footer>")
         return start + "".join(out) + stop
 
     def some(kinds: list[str], share: float) -> str:
@@ -455,9 +528,16 @@ def training_page(r: np.random.Generator) -> tuple[str, list[int]]:
 
     before = ["notice", "head", "menu", "form", "ad", "side"]
     after = ["ad", "side", "comment", "form", "foot", "notice"]
-    if named and r.random() < 0.5:
+    if named and r.random() < 0.1:
+        before = after = []
+    elif named and r.random() < 0.5:
         before, after = ([pick(list(OTHER)) for _ in range(r.integers(0, 5))] for _ in range(2))
-    body = some(before, 0.55) + (main() if r.random() < 0.93 else "") + some(after, 0.55)
+    body = some(before, 0.55)
+    text = main() if r.random() < 0.93 else ""
+    if named and text and r.random() < 0.25:  # comments beside the article, in a box of both
+        name = pick(["main", "main id='main'", "div id='content'", "div class='content-area'"])
+        text = f"<{name}>{text}{other('comment')}</{name.split()[0]}>"
+    body += text + some(after, 0.55)
     for _ in range(r.integers(0, 3)):
         name = "div" + (random_name() if r.random() < 0.6 else f" class='{pick(['page', 'wrapper', 'container', 'row', 'col', 'site', 'inner', 'grid'])}'")
         body = f"<{name}>{body}</div>"
