@@ -170,6 +170,14 @@ def completeness(packages: DataFrame, history: bool, shallow: bool = False) -> D
     return packages.agg(F.lit(history).alias("history_available"), F.lit(history and shallow).alias("history_shallow"), signals.alias("optional_signals"), texts(warnings).alias("warnings"))
 
 
+def overlay(base: DataFrame, head: DataFrame) -> DataFrame:
+    """Ranked units of the head, and those of the base that the head doesn't have: units that a change removes are listed too.
+
+    Both have an id a row; columns are those of the base, by name.
+    """
+    return base.join(head.select("id"), "id", "left_anti").unionByName(head.select(base.columns)).select(base.columns)
+
+
 def review_units(ranked: DataFrame, touched: DataFrame) -> DataFrame:
     """Units in review order; touched: unit, status, node, edge rows of a delta."""
     counts = touched.where("unit is not null").groupBy(F.col("unit").alias("id")).agg(F.count_distinct("node").alias("nodes"), F.count_distinct("edge").alias("edges"), F.min("node").alias("focal"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))

@@ -74,6 +74,48 @@ def traffic_class(rpm: Column) -> Column:
     return F.when(rpm >= 1000, "high").when(rpm >= 100, "medium").when(rpm > 0, "low")
 
 
+def dimensions() -> dict[str, Column]:
+    """What groups are made by, over a candidate row: service, pkg, owner, edge_kind, node, node_kind, load; null where it has none."""
+    relation, load = F.col("edge_kind"), F.col("load")
+    topic = F.when(F.col("node_kind") == "topic", F.col("node")).when(relation.isin("publishes", "consumes"), relation)
+    traffic = F.when(load >= 1000, "high").when(load >= 100, "medium").when(load.isNotNull(), "low")
+    return {"service": F.col("service"), "package": F.col("pkg"), "team": F.col("owner"), "relation": relation, "topic": topic, "access": F.when(relation.isin("reads", "writes"), relation), "traffic": traffic}
+
+
+def grouped_frontiers(candidates: DataFrame, order_by: list[str], most: int = 6, by: str = "root") -> DataFrame:
+    """(by, dimension, value, members, score, within_depth, relations, evidence): the groups of each frontier.
+
+    A frontier is grouped by the first dimension of ``order_by`` that any of its
+    candidates has, by relation if none; candidates without it are "ungrouped".
+    Beyond ``most`` groups (2 at least) the last ones are the remainder, of all
+    candidates whose node is in one of them. ``relations`` has the candidates of
+    each relation, ``evidence`` the number of distinct ``evidence_ids``: evidence
+    that members share counts once. A null score or depth flag is 0 or true; null
+    and empty lists have no evidence. Only counts and the best scores of groups
+    are exchanged; the distinct evidence is counted over its own rows.
+    """
+    most, of = max(2, most), dimensions()
+    kept = [by, "node", "edge_kind", "score", "within_depth", "evidence_ids"]
+    rows = candidates.select(*kept, *[of[d].alias(f"by_{d}") for d in dict.fromkeys([*order_by, "relation"])])
+    chosen = rows.groupBy(by).agg(F.coalesce(*[F.when(F.count(f"by_{d}") > 0, F.lit(d)) for d in order_by], F.lit("relation")).alias("dimension"))
+    value = F.coalesce(*[F.when(F.col("dimension") == d, F.col(f"by_{d}")) for d in dict.fromkeys([*order_by, "relation"])], F.lit("ungrouped"))
+    rows = rows.join(chosen, by).select(*kept, "dimension", value.alias("value"))
+    weight = lambda best, n: F.greatest(F.lit(0.0), F.coalesce(best, F.lit(0.0))) + F.log(1.0 + n) * 0.25
+    groups = rows.groupBy(by, "value").agg(weight(F.max("score"), F.count("*")).alias("weight"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("weight", 9)), "value"))
+    groups = groups.select(by, "value", place.alias("place"), F.count("*").over(Window.partitionBy(by)).alias("groups"))
+    placed = rows.join(groups.select(by, "value", ((F.col("groups") > most) & (F.col("place") >= most)).alias("rest")), [by, "value"])
+    left = placed.where("rest").select(by, "node").distinct()
+    folded = placed.join(left, [by, "node"], "left_semi").withColumns({"dimension": F.lit("remainder"), "value": F.lit("remainder")})
+    members = placed.where("not rest").unionByName(folded)
+    key = [by, "dimension", "value"]
+    kinds = members.groupBy(*key, "edge_kind").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min(F.coalesce("within_depth", F.lit(True))).alias("within"))
+    mix = F.array_join(F.array_sort(F.collect_list(F.concat("edge_kind", F.lit(" "), "n"))), ", ")
+    told = kinds.groupBy(*key).agg(F.sum("n").alias("members"), weight(F.max("best"), F.sum("n")).alias("score"), F.min("within").alias("within_depth"), mix.alias("relations"))
+    proof = members.select(*key, F.explode("evidence_ids").alias("e")).distinct().groupBy(*key).agg(F.count("e").alias("evidence"))
+    return told.join(proof, key, "left").withColumn("evidence", F.coalesce("evidence", F.lit(0)).cast("long"))
+
+
 def frontier_groups(candidates: DataFrame, most: int = 6, dimension: str = "pkg", by: str = "root") -> DataFrame:
     """(by, value, members, score, evidence): groups of candidates, the last ones folded into a remainder.
 

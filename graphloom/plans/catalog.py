@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import registry
 from ..functions import ids, predicates
 from ..operators import attention, commits, covering, cycles, dataflow, facts, graph, overlays, owners, paths, projection, ranking, review, structure, temporal
 from ..registry import ProjectionRequest
@@ -486,6 +487,14 @@ def review_visible(g: Derived) -> DataFrame:
     return review.visible_nodes(review.changed_nodes(*_deltas(g)), g.side(BASE), g.side(HEAD))
 
 
+def _touches(g: Derived) -> DataFrame:
+    node, edge = _deltas(g)
+    units = materialize(facts.unit_of(g.nodes))
+    ends = edge.select("id", "status", F.split("id", r"\|").alias("e")).select(F.col("id").alias("edge"), "status", F.explode(F.array(F.col("e")[0], F.col("e")[2])).alias("node"))
+    rows = node.select(F.col("id").alias("node"), "status", F.lit(None).cast("string").alias("edge")).unionByName(ends)
+    return rows.join(units, "node")
+
+
 _REVIEW = _FACTS.rstrip() + ",\n" + _SIDES.rstrip() + """,
 touches AS (SELECT u.unit, d.status, d.id AS node, NULL::VARCHAR AS edge FROM node_delta d JOIN units u ON u.node = d.id
   UNION ALL SELECT u.unit, d.status, u.node, d.id FROM edge_delta d JOIN units u ON u.node IN (split_part(d.id, '|', 1), split_part(d.id, '|', 3))),
@@ -496,12 +505,21 @@ tcounts AS (SELECT unit AS id, count(DISTINCT node) AS nodes, count(DISTINCT edg
 @query(_REVIEW + """SELECT id, region, priority, nodes IS NOT NULL AS touched, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, focal, coalesce(statuses, '') AS statuses,
   (CASE WHEN nodes IS NULL THEN priority ELSE least(100, priority + least(20, nodes * 2 + edges * 3)) END)::INT AS review_priority FROM ranked LEFT JOIN tcounts USING (id)""")
 def review_units(g: Derived) -> DataFrame:
-    node, edge = _deltas(g)
-    units = materialize(facts.unit_of(g.nodes))
-    ends = edge.select("id", "status", F.split("id", r"\|").alias("e")).select(F.col("id").alias("edge"), "status", F.explode(F.array(F.col("e")[0], F.col("e")[2])).alias("node"))
-    rows = node.select(F.col("id").alias("node"), "status", F.lit(None).cast("string").alias("edge")).unionByName(ends)
     ranked = attention.priorities(attention.dimensions(attention.factors(unit_facts(g))))
-    return attention.review_units(ranked, rows.join(units, "node"))
+    return attention.review_units(ranked, _touches(g))
+
+
+# Packages that end in 7 are gone in the head, those that end in 3 new there; a base without history has no velocity in its priority.
+
+@query(_REVIEW.rstrip() + """,
+base_units AS (SELECT id, region, impact AS priority FROM ranked WHERE id NOT LIKE '%3'), head_units AS (SELECT id, region, priority FROM ranked WHERE id NOT LIKE '%7'),
+overlaid AS (SELECT * FROM head_units UNION ALL SELECT * FROM base_units WHERE id NOT IN (SELECT id FROM head_units))
+SELECT id, region, priority, nodes IS NOT NULL AS touched, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, focal, coalesce(statuses, '') AS statuses,
+  (CASE WHEN nodes IS NULL THEN priority ELSE least(100, priority + least(20, nodes * 2 + edges * 3)) END)::INT AS review_priority FROM overlaid LEFT JOIN tcounts USING (id)""")
+def review_overlay(g: Derived) -> DataFrame:
+    ranked = materialize(attention.priorities(attention.dimensions(attention.factors(unit_facts(g)))))
+    base = ranked.where("id not like '%3'").withColumn("priority", F.col("impact"))
+    return attention.review_units(attention.overlay(base, ranked.where("id not like '%7'")), _touches(g))
 
 
 # Contracts: parts of even and of odd keys give two versions of each brand's shape.
@@ -783,7 +801,7 @@ def _candidates(g: Derived) -> DataFrame:
     owners = g.packages.select("id", "owner")
     rpm = g.telemetry.select(F.col("node_id").alias("node"), "rpm")
     nodes = g.nodes.select(F.col("id").alias("node"), F.col("kind").alias("node_kind"), F.col("label").alias("node_label"), "pkg")
-    rows = edges.select(F.col("source").alias("root"), F.col("target").alias("node"), F.col("kind").alias("edge_kind"), "sync", F.col("observations").alias("evidence")).join(nodes, "node").join(degree, "node").join(rpm, "node", "left")
+    rows = edges.select(F.col("source").alias("root"), F.col("target").alias("node"), F.col("kind").alias("edge_kind"), "sync", F.col("observations").alias("evidence"), F.col("label").alias("seen")).join(nodes, "node").join(degree, "node").join(rpm, "node", "left")
     home = facts.unit_of(g.nodes).withColumnRenamed("node", "root").join(owners.select(F.col("id").alias("unit"), F.col("owner").alias("own_from")), "unit").select("root", "own_from")
     rows = rows.join(home, "root", "left").join(owners.select(F.col("id").alias("pkg"), F.col("owner").alias("own_to")), "pkg", "left")
     null = F.lit(None).cast("double")
@@ -807,6 +825,40 @@ def frontier_groups(g: Derived) -> DataFrame:
     return ranking.frontier_groups(rows, 6).withColumn("score", F.round("score", 6))
 
 
+_QUESTIONS = ["hot-path", "state-mutation", "transaction-boundaries", "cross-team-dependencies", "what-can-break", "dependencies"]
+_VALUES = {"service": "service", "package": "pkg", "team": "own_to", "relation": "edge_kind", "access": "CASE WHEN edge_kind IN ('reads', 'writes') THEN edge_kind END", "traffic": "CASE WHEN rpm >= 1000 THEN 'high' WHEN rpm >= 100 THEN 'medium' WHEN rpm IS NOT NULL THEN 'low' END"}
+
+
+def _grouping(question: str) -> list[str]:
+    return registry.GROUPINGS.get(question, registry.GROUPING)
+
+
+@query(_CANDIDATES.rstrip() + """,
+more_cand AS (SELECT c.root, c.node, c.edge_kind, c.score, c.pkg, c.own_to, e.label AS seen, p.service, t.rpm FROM scored_cand c JOIN edges e ON e.source = c.root AND e.target = c.node AND e.kind = c.edge_kind
+  LEFT JOIN packages p ON p.id = c.pkg LEFT JOIN (SELECT 'method:' || s_suppkey AS id, round(s_acctbal / 10, 3) AS rpm FROM supplier WHERE s_acctbal > 0) t ON t.id = c.node),
+asked AS (""" + " UNION ALL ".join(
+    f"SELECT '{q} ' || root AS root, node, edge_kind, score, seen, " + ", ".join(f"({_VALUES[d]})::VARCHAR AS v{k}" for k, d in enumerate([*_grouping(q), "relation"][:4])) + ", " + ", ".join(f"'{d}' AS d{k}" for k, d in enumerate([*_grouping(q), "relation"][:4])) + " FROM more_cand WHERE edge_kind IN (" + ", ".join(f"'{k}'" for k in registry.PROJECTIONS[q]) + ")"
+    for q in _QUESTIONS) + """),
+picks AS (SELECT root, CASE WHEN count(v0) > 0 THEN 0 WHEN count(v1) > 0 THEN 1 WHEN count(v2) > 0 THEN 2 ELSE 3 END AS k FROM asked GROUP BY root),
+valued AS (SELECT root, node, edge_kind, score, seen, CASE k WHEN 0 THEN d0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS dimension, coalesce(CASE k WHEN 0 THEN v0 WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE v3 END, 'ungrouped') AS value FROM asked JOIN picks USING (root)),
+ranks AS (SELECT root, value, row_number() OVER (PARTITION BY root ORDER BY round(greatest(0, max(score)) + ln(1 + count(*)) * 0.25::DOUBLE, 9) DESC, value) AS place, count(*) OVER (PARTITION BY root) AS groups FROM valued GROUP BY root, value),
+rested AS (SELECT v.*, groups > 3 AND place >= 3 AS rest FROM valued v JOIN ranks USING (root, value)),
+grouped AS (SELECT root, node, edge_kind, score, seen, dimension, value FROM rested WHERE NOT rest
+  UNION ALL SELECT root, node, edge_kind, score, seen, 'remainder', 'remainder' FROM rested WHERE (root, node) IN (SELECT (root, node) FROM rested WHERE rest)),
+mixed AS (SELECT root, dimension, value, string_agg(edge_kind || ' ' || n, ', ' ORDER BY edge_kind || ' ' || n) AS relations FROM (SELECT root, dimension, value, edge_kind, count(*) AS n FROM grouped GROUP BY ALL) GROUP BY ALL)
+SELECT root, dimension, value, count(*) AS members, round(greatest(0, max(score)) + ln(1 + count(*)) * 0.25::DOUBLE, 6) AS score, true AS within_depth, any_value(relations) AS relations, count(DISTINCT seen) AS evidence
+  FROM grouped JOIN mixed USING (root, dimension, value) GROUP BY root, dimension, value""")
+def frontiers_by_question(g: Derived) -> DataFrame:
+    """The called, written, read and published of each symbol, grouped as each question asks; of four groups or more the third and later are folded."""
+    rows = materialize(_candidates(g).join(g.packages.select(F.col("id").alias("pkg"), "service"), "pkg", "left").select("root", "node", "edge_kind", "node_kind", "score", "pkg", "service", F.col("own_to").alias("owner"), F.col("rpm").alias("load"), F.lit(True).alias("within_depth"), F.array("seen").alias("evidence_ids")))
+    out = None
+    for question in _QUESTIONS:
+        of = rows.where(F.col("edge_kind").isin(registry.PROJECTIONS[question])).withColumn("root", F.concat(F.lit(question + " "), "root"))
+        found = ranking.grouped_frontiers(of, _grouping(question), 3)
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query("""SELECT id, CASE kind WHEN 'consumes' THEN 'event consumers' WHEN 'publishes' THEN 'event publishers' WHEN 'reads' THEN 'database readers' WHEN 'writes' THEN 'database writers' WHEN 'tests' THEN 'tests' WHEN 'calls' THEN 'callers' ELSE 'upstream dependencies' END AS upstream,
   CASE kind WHEN 'consumes' THEN 'event consumers' WHEN 'publishes' THEN 'published events' WHEN 'reads' THEN 'data dependencies' WHEN 'writes' THEN 'data dependencies' WHEN 'tests' THEN 'tests' ELSE 'downstream dependencies' END AS downstream FROM edges""")
 def frontier_categories(g: Derived) -> DataFrame:

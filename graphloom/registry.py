@@ -23,6 +23,15 @@ PROJECTIONS = {
     "cross-team-dependencies": ["calls", "publishes", "consumes", "implements"],
     "what-changed-architecturally": ["calls", "depends_on", "reads", "writes", "publishes", "consumes", "implements"],
 }
+# What the frontiers of a projection are grouped by; the first that any member has counts.
+GROUPINGS = {
+    "hot-path": ["traffic", "service", "package", "relation"],
+    "state-mutation": ["access", "service", "package", "relation"],
+    "transaction-boundaries": ["access", "service", "package", "relation"],
+    "cross-team-dependencies": ["team", "service", "package", "relation"],
+    "what-can-break": ["service", "team", "package", "relation"],
+}
+GROUPING = ["service", "package", "relation"]
 TRANSPARENT = ["owns", "implements"]
 NEEDS = {"hot-path": "runtime", "cross-team-dependencies": "ownership", "what-changed-architecturally": "changes"}
 

@@ -499,3 +499,28 @@ def test_fingerprints_are_filled_in(spark, tmp_path):
     kept.snapshots().drop("storage_bytes").write.parquet(str(tmp_path / "old" / "snapshots"))
     old = Store(spark, str(tmp_path / "old"))
     assert old.snapshots().count() == 3 and old.snapshots().where("storage_bytes is null").count() == 3 and old.current("r") == other
+
+
+def test_frontiers_are_grouped_by_the_first_dimension_that_any_has(spark):
+    schema = "root string, node string, edge_kind string, node_kind string, score double, pkg string, service string, owner string, load double, within_depth boolean, evidence_ids array<string>"
+    one = [("r", f"n{k}", "writes" if k % 3 else "calls", "function", 1.0, f"p{k % 4}", None, None, None, k != 5, ["shared", f"e{k}"]) for k in range(8)]
+    two = [("s", "a", "calls", "function", 0.5, None, None, None, 1400.0, None, None), ("s", "b", "calls", "topic", None, None, None, None, 0.0, True, [])]
+    rows = spark.createDataFrame(one + two, schema)
+    told = {(r.root, r.dimension, r.value): (r.members, r.within_depth, r.relations, r.evidence) for r in ranking.grouped_frontiers(rows, ["service", "package", "relation"], 3).collect()}
+    assert told == {
+        ("r", "package", "p0"): (2, True, "calls 1, writes 1", 3),
+        ("r", "package", "p1"): (2, False, "writes 2", 3),
+        ("r", "remainder", "remainder"): (4, True, "calls 2, writes 2", 5),
+        ("s", "relation", "calls"): (2, True, "calls 2", 0),
+    }
+    values = lambda order: {(r.root, r.dimension, r.value): r.members for r in ranking.grouped_frontiers(rows, order, 6).collect()}
+    assert values(["traffic", "relation"]) == {("s", "traffic", "high"): 1, ("s", "traffic", "low"): 1, ("r", "relation", "calls"): 3, ("r", "relation", "writes"): 5}
+    assert values(["access"])[("r", "access", "ungrouped")] == 3 and values(["topic"])[("s", "topic", "b")] == 1
+    assert values(["team"]) == values([]) and not ranking.grouped_frontiers(rows.limit(0), ["team"]).count()
+
+
+def test_units_that_a_change_removes_are_reviewed(spark):
+    ranked = lambda *rows: spark.createDataFrame(rows, "id string, priority int, region string")
+    both = attention.overlay(ranked(("gone", 30, "protect"), ("kept", 10, "protect")), ranked(("kept", 60, "investigate"), ("new", 5, "low-attention")))
+    touched = spark.createDataFrame([("gone", "removed", "n1", None)], "unit string, status string, node string, edge string")
+    assert [(r.id, r.region, r.review_priority, r.statuses) for r in attention.review_units(both, touched).collect()] == [("gone", "protect", 32, "removed"), ("kept", "investigate", 60, ""), ("new", "low-attention", 5, "")]
