@@ -91,23 +91,24 @@ def grouped_frontiers(candidates: DataFrame, order_by: list[str], most: int = 6,
     candidates whose node is in one of them. ``relations`` has the candidates of
     each relation, ``evidence`` the number of distinct ``evidence_ids``: evidence
     that members share counts once. A null score or depth flag is 0 or true; null
-    and empty lists have no evidence. Only counts and the best scores of groups
-    are exchanged; the distinct evidence is counted over its own rows.
+    and empty lists have no evidence. Candidates are exchanged once, by ``by``, and
+    what their groups tell is read beside them in sorts that spill.
     """
     most, of = max(2, most), dimensions()
-    kept = [by, "node", "edge_kind", "score", "within_depth", "evidence_ids"]
-    rows = candidates.select(*kept, *[of[d].alias(f"by_{d}") for d in dict.fromkeys([*order_by, "relation"])])
-    chosen = rows.groupBy(by).agg(F.coalesce(*[F.when(F.count(f"by_{d}") > 0, F.lit(d)) for d in order_by], F.lit("relation")).alias("dimension"))
-    value = F.coalesce(*[F.when(F.col("dimension") == d, F.col(f"by_{d}")) for d in dict.fromkeys([*order_by, "relation"])], F.lit("ungrouped"))
-    rows = rows.join(chosen, by).select(*kept, "dimension", value.alias("value"))
+    names = list(dict.fromkeys([*order_by, "relation"]))
+    rows = candidates.select(by, "node", "edge_kind", "score", "within_depth", "evidence_ids", *[of[d].alias(f"by_{d}") for d in names])
+    whole = Window.partitionBy(by)
+    rows = rows.withColumn("dimension", F.coalesce(*[F.when(F.count(f"by_{d}").over(whole) > 0, F.lit(d)) for d in order_by], F.lit("relation")))
+    rows = rows.withColumn("value", F.coalesce(*[F.when(F.col("dimension") == d, F.col(f"by_{d}")) for d in names], F.lit("ungrouped"))).drop(*[f"by_{d}" for d in names])
     weight = lambda best, n: F.greatest(F.lit(0.0), F.coalesce(best, F.lit(0.0))) + F.log(1.0 + n) * 0.25
-    groups = rows.groupBy(by, "value").agg(weight(F.max("score"), F.count("*")).alias("weight"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("weight", 9)), "value"))
-    groups = groups.select(by, "value", place.alias("place"), F.count("*").over(Window.partitionBy(by)).alias("groups"))
-    placed = rows.join(groups.select(by, "value", ((F.col("groups") > most) & (F.col("place") >= most)).alias("rest")), [by, "value"])
-    left = placed.where("rest").select(by, "node").distinct()
-    folded = placed.join(left, [by, "node"], "left_semi").withColumns({"dimension": F.lit("remainder"), "value": F.lit("remainder")})
-    members = placed.where("not rest").unionByName(folded)
+    group = Window.partitionBy(by, "value")
+    rows = rows.withColumn("weight", F.round(weight(F.max("score").over(group), F.count("*").over(group)), 9))
+    rows = rows.withColumn("place", F.dense_rank().over(whole.orderBy(F.desc("weight"), "value")))
+    rows = rows.withColumn("rest", (F.max("place").over(whole) > most) & (F.col("place") >= most))
+    rows = rows.withColumn("folded", F.max("rest").over(Window.partitionBy(by, "node")))
+    own = F.when(~F.col("rest"), F.struct("dimension", "value"))
+    last = F.when(F.col("folded"), F.struct(F.lit("remainder").alias("dimension"), F.lit("remainder").alias("value")))
+    members = rows.select(by, "edge_kind", "score", "within_depth", "evidence_ids", F.explode(F.array_compact(F.array(own, last))).alias("g")).select(by, "g.dimension", "g.value", "edge_kind", "score", "within_depth", "evidence_ids")
     key = [by, "dimension", "value"]
     kinds = members.groupBy(*key, "edge_kind").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min(F.coalesce("within_depth", F.lit(True))).alias("within"))
     mix = F.array_join(F.array_sort(F.collect_list(F.concat("edge_kind", F.lit(" "), "n"))), ", ")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from graphloom.operators import attention, facts
+from graphloom.operators import attention, facts, ranking
 from graphloom.plans import catalog
 from graphloom.plans.derived import Derived
 
@@ -41,3 +41,10 @@ def test_pairs_of_units_tell_what_their_edges_tell(spark):
     edges = spark.createDataFrame([(f"{s}|calls|{t}", s, "calls", t) for s, t in ("ac", "bc", "ab", "ca", "cd")], "id string, source string, kind string, target string")
     got, want = (Counter(map(tuple, facts.cross_team(f(edges, units), packages).collect())) for f in (facts.unit_pairs, facts.unit_edges))
     assert got == want
+
+
+def test_frontiers_exchange_their_candidates_once(spark):
+    rows = spark.createDataFrame([("r", n, "calls", "function", 1.0, n, None, None, None, True, ["e"]) for n in "abcd"], "root string, node string, edge_kind string, node_kind string, score double, pkg string, service string, owner string, load double, within_depth boolean, evidence_ids array<string>")
+    found = ranking.grouped_frontiers(rows, ["package"], 3)
+    assert {(r.value, r.members, r.evidence) for r in found.collect()} == {("a", 1, 1), ("b", 1, 1), ("remainder", 2, 1)}
+    assert _joins(found) == 1  # of counts with counts; before, candidates met their groups in three more
