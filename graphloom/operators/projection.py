@@ -25,24 +25,28 @@ STEP = ["at", "to", "edge", "kind", "upstream", "cost", "category", "score", "ra
 OUT = "kind string, id string, parent string, direction string, depth long, via string, hidden long, score double"
 
 
-def steps(nodes: DataFrame, edges: DataFrame, request: ProjectionRequest, evidence: DataFrame | None = None, telemetry: DataFrame | None = None) -> DataFrame:
-    """Scored steps in both directions over eligible edges; see STEP.
+def steps(nodes: DataFrame, edges: DataFrame, request: ProjectionRequest, evidence: DataFrame | None = None, telemetry: DataFrame | None = None, at: list[str] | None = None, degree: DataFrame | None = None) -> DataFrame:
+    """Scored steps in both directions over eligible edges, with ``at`` only those at these nodes; see STEP.
 
     nodes: id, kind, label, pkg, service, owner and, if there, pr. Consumption is
     walked against its direction. Containment that touches a service or package
-    is free.
+    is free. ``degree``: to, degree, if it is known.
     """
     kinds = [*PROJECTIONS[request.projection], *TRANSPARENT]
     kept = edges.where(F.col("kind").isin(kinds))
+    if at is not None:
+        kept = kept.where(F.col("source").isin(at) | F.col("target").isin(at))
     if evidence is not None:
         kept = kept.join(paths.eligible_evidence(evidence, request.evidence_level, request.include_stale, "2100-01-01").select(F.col("edge").alias("id")).distinct(), "id", "left_semi")
     turned = F.col("kind") == "consumes"
     seen = kept.select("id", "kind", "sync", F.when(turned, F.col("target")).otherwise(F.col("source")).alias("s"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("t"), *([F.col("pr").alias("edge_pr")] if "pr" in edges.columns else [F.lit(None).cast("string").alias("edge_pr")]))
     both = seen.select(F.col("id").alias("edge"), F.col("kind").alias("edge_kind"), "sync", "edge_pr", F.explode(F.array(F.struct(F.col("s").alias("at"), F.col("t").alias("to"), F.lit(False).alias("upstream")), F.struct(F.col("t").alias("at"), F.col("s").alias("to"), F.lit(True).alias("upstream")))).alias("x")).select("edge", "edge_kind", "sync", "edge_pr", "x.*")
+    if at is not None:
+        both = materialize(both.where(F.col("at").isin(at)), "near")  # its size is known to the joins that follow
     pr = F.col("pr") if "pr" in nodes.columns else F.lit(None).cast("string")
     ends = nodes.select(F.col("id").alias("to"), F.col("kind").alias("node_kind"), "label", "service", "pkg", F.col("owner").alias("own_to"), pr.alias("node_pr"))
     here = nodes.select(F.col("id").alias("at"), F.col("kind").alias("at_kind"), F.col("owner").alias("own_from"))
-    degree = edges.select(F.explode(F.array("source", "target")).alias("to")).groupBy("to").agg(F.count("*").alias("degree"))
+    degree = degrees(edges) if degree is None else degree
     rows = both.where("at <> to").join(ends, "to").join(here, "at").join(degree, "to", "left")
     null = F.lit(None).cast("double")
     if telemetry is not None:
@@ -57,6 +61,10 @@ def steps(nodes: DataFrame, edges: DataFrame, request: ProjectionRequest, eviden
     return scored.select("at", "to", "edge", F.col("edge_kind").alias("kind"), "upstream", F.when(free, 0).otherwise(1).alias("cost"), ranking.category(F.col("edge_kind"), F.col("upstream")).alias("category"), "score", rank.alias("rank"), "service", "pkg", F.col("own_to").alias("owner"))
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("source", "target")).alias("to")).groupBy("to").agg(F.count("*").alias("degree"))
+
+
 def _discount(depth: int) -> float:
     """What the directness signal loses at a depth, against depth 1."""
     return 0.0 if depth <= 1 else ranking.WEIGHTS["direct"] * (1 - 1 / max(2, depth))
@@ -195,13 +203,15 @@ def project(nodes: DataFrame, edges: DataFrame, request: ProjectionRequest, evid
     warned = spark.createDataFrame(warnings, "id string").select(F.lit("warning").alias("kind"), "id", *[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in OUT.split(", ")[2:])])
     if not roots:
         return overview(nodes, request.budget).select(F.lit("node").alias("kind"), "id", *[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in OUT.split(", ")[2:])]).union(warned)
-    ways = materialize(steps(nodes, edges, request, evidence, telemetry), "steps")
-    walk = Walk(lambda some: ways.where(F.col("at").isin(some)).toPandas(), request, roots)
+    nodes, degree = materialize(nodes, "nodes"), materialize(degrees(edges), "degrees")
+    # steps are scored at the nodes that are asked for, never at all
+    walk = Walk(lambda some: steps(nodes, edges, request, evidence, telemetry, some, degree).toPandas(), request, roots)
     walk.go(True, request.upstream, min(request.budget, len(roots) + max(4, math.floor((request.budget - len(roots)) * 0.35))))
     walk.go(False, request.downstream, request.budget)
     walk.hold(roots)
     between = {row.edge for (at, _), rows in walk.near.items() if at in roots for row in rows if row.to in roots}
-    asked_for = ways.where(F.col("edge").isin(list(request.required_edges))).select("edge").distinct().collect() if request.required_edges else []
+    wanted = edges.where(F.col("id").isin(list(request.required_edges)))
+    asked_for = steps(nodes, wanted, request, evidence, telemetry, degree=degree).select("edge").distinct().collect() if request.required_edges else []
     walk.edges |= dict.fromkeys(between | {r["edge"] for r in asked_for}, "")
     return spark.createDataFrame(walk.rows(), OUT).union(warned)
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
-from graphloom.operators import attention, facts, ranking
+from graphloom.operators import attention, facts, projection, ranking
 from graphloom.plans import catalog
 from graphloom.plans.derived import Derived
+from graphloom.registry import ProjectionRequest
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,12 @@ def test_frontiers_exchange_their_candidates_once(spark):
     found = ranking.grouped_frontiers(rows, ["package"], 3)
     assert {(r.value, r.members, r.evidence) for r in found.collect()} == {("a", 1, 1), ("b", 1, 1), ("remainder", 2, 1)}
     assert _joins(found) == 1  # of counts with counts; before, candidates met their groups in three more
+
+
+def test_a_view_scores_only_steps_at_nodes_it_asks_for(spark, monkeypatch):
+    nodes = spark.createDataFrame([(n, "function", n, None, None, None) for n in "abcde"], "id string, kind string, label string, pkg string, service string, owner string")
+    edges = spark.createDataFrame([(f"{s}|calls|{t}", s, "calls", t, True) for s, t in ("ab", "bc", "de")], "id string, source string, kind string, target string, sync boolean")
+    asked, plain = [], projection.steps
+    monkeypatch.setattr(projection, "steps", lambda *a, **k: asked.append(a[5]) or plain(*a, **k))
+    found = projection.project(nodes, edges, ProjectionRequest(roots=("a",), projection="impact")).collect()
+    assert {r.id for r in found if r.kind == "node"} >= {"a", "b"} and asked and not {"d", "e"} & {n for some in asked for n in some}
