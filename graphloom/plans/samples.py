@@ -107,8 +107,9 @@ found AS (SELECT 'cycle' AS rule, component AS node, string_agg(node, ',' ORDER
   UNION ALL SELECT 'no-owners-file', id, '' FROM nodes WHERE kind = 'service')
 SELECT rule, node, detail FROM found""")
 def rule_violations(g: Derived) -> DataFrame:
-    deps = catalog._deps(g).select(F.concat("u", F.lit("|depends_on|"), "v").alias("id"), F.col("u").alias("source"), F.lit("depends_on").alias("kind"), F.col("v").alias("target")).distinct()
-    edges = materialize(g.edges.where("kind <> 'depends_on'").select("id", "source", "kind", "target").union(deps))
+    calls = materialize(g.calls.where("kind in ('calls', 'tests')").select("source", "kind", "target"))  # no rule reads other kinds or ids
+    deps = facts.unit_pairs(calls, facts.unit_of(g.nodes)).select(F.col("u").alias("source"), F.lit("depends_on").alias("kind"), F.col("v").alias("target"))
+    edges = calls.union(materialize(deps))
     return repository.violations(g.nodes.withColumn("external", F.lit(False)), edges, "")
 
 

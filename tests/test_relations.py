@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 from graphloom.operators import attention, facts, projection, ranking
-from graphloom.plans import catalog
+from graphloom.plans import catalog, samples
 from graphloom.plans.derived import Derived
 from graphloom.registry import ProjectionRequest
 
@@ -58,3 +58,10 @@ def test_a_view_scores_only_steps_at_nodes_it_asks_for(spark, monkeypatch):
     monkeypatch.setattr(projection, "steps", lambda *a, **k: asked.append(a[5]) or plain(*a, **k))
     found = projection.project(nodes, edges, ProjectionRequest(roots=("a",), projection="impact")).collect()
     assert {r.id for r in found if r.kind == "node"} >= {"a", "b"} and asked and not {"d", "e"} & {n for some in asked for n in some}
+
+
+def test_rules_are_given_the_edges_they_read(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(samples.repository, "violations", lambda nodes, edges, owners: given.append(edges) or nodes)
+    samples.rule_violations(Derived(spark, SF))
+    assert "id" not in given[0].columns and {r.kind for r in given[0].select("kind").distinct().collect()} <= {"calls", "tests", "depends_on"}
