@@ -1,5 +1,9 @@
 """Near-duplicate texts by exact Jaccard similarity of five-word shingles.
 
+The SimHash operator (``simhash.near_links``, over fingerprints of these shingles) finds
+the first pairs; as 64 bits can't tell all pairs of such a similarity, an exact join finds
+the rest, and each pair of either is verified by its texts.
+
 Two sets of n and m shingles whose similarity is 0.8 or more share at least
 ceil(0.8 n) of them, so in any one order of all shingles their first
 n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 have a shingle in common. Only these
@@ -13,7 +17,8 @@ are members of one another's bucket. The members of a run are first compared wit
 its hub, the first one, and the pairs found are tied into components. A bucket that
 still holds many components is one of texts that share a passage the sample missed:
 their shingles are then sampled, put last, too, and the texts dealt out anew. Pairs
-of the others across the few components of a bucket follow at the end, so that groups
+of the others across the few components of a bucket follow at the end, within the task that
+reads the bucket; only pairs that may be similar become rows. So groups
 of near copies and common passages cost linear work and no pair goes untested. Sketches of parities, a bit or more
 for each shingle, tell a least number of shingles that only one of two texts
 holds; pairs that differ in too many are dropped before their texts are read.
@@ -30,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected_components
 from .shared import map_batches, materialize, slices
 
@@ -144,9 +150,9 @@ def frequent_shingles(texts: DataFrame, least: float = SHARE, wanted: np.ndarray
 
     drawn = texts.sample(share, seed=1) if wanted is None else texts
     counts = map_batches(drawn, sets, "s long").groupBy("s").count().where(F.col("count") >= OFTEN)
-    rows = counts.orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
-    hot = sum(r["count"] >= HOT * share * total for r in rows)
-    return Frequent(np.array([r["s"] for r in rows], np.int64).view(np.uint64), hot)
+    rows = counts.orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow()
+    hot = int((rows.column("count").to_numpy() >= HOT * share * total).sum())
+    return Frequent(rows.column("s").to_numpy().view(np.uint64), hot)
 
 
 def _marks(keys: DataFrame) -> np.ndarray:
@@ -283,52 +289,65 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _compared(table: pa.Table) -> pa.Table:
-    """(a, b): hosts and guests of each block of a bucket whose sizes and sketches leave a similarity of 0.8 possible."""
-    key = list(zip(*(table.column(c).to_pylist() for c in ("big", "i", "j")), strict=True))
-    host, fp, n = (table.column(c).to_numpy() for c in ("host", "fp", "n"))
-    k = [np.asarray(x, np.int64).view(np.uint64) for x in table.column("k").to_pylist()]
-    blocks: dict[tuple, tuple[list[int], list[int]]] = {}
-    for at, of in enumerate(key):
-        blocks.setdefault(of, ([], []))[0 if host[at] else 1].append(at)
-    out: list[tuple[int, int]] = []
-    for hosts, guests in blocks.values():
-        by: dict[int, list[int]] = {}
-        for at in hosts:
-            by.setdefault(len(k[at]), []).append(at)
-        held = {words: (np.array(rows), np.stack([k[at] for at in rows])) for words, rows in by.items()}
-        for g in guests:
-            own = len(k[g])
-            for words in (own // 2, own, 2 * own):
-                if words not in held:
-                    continue
-                rows, sketches = held[words]
-                least = min(words, own)
-                fold = lambda x, size: x if x.shape[-1] == size else x[..., :size] ^ x[..., size:]
-                fit = np.flatnonzero((5 * n[rows] >= 4 * n[g]) & (5 * n[g] >= 4 * n[rows]))
-                differ = np.bitwise_count(fold(sketches[fit], least) ^ fold(k[g], least)).sum(1, dtype=np.int64)
-                out += [(min(fp[g], x), max(fp[g], x)) for x in fp[rows[fit[9 * differ <= n[rows[fit]] + n[g]]]].tolist()]
-    return pa.table([pa.array([int(p[c]) for p in out], pa.int64()) for c in (0, 1)], ["a", "b"])
-
-
-def _across(across: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b): pairs of texts of the paired components (ra, rb) that may be similar, from (root, fp, n, k).
-
-    The larger component is host to all texts of the smaller ones that it is
-    paired with. Hosts and guests are dealt into chunks and compared block by
-    block; only what may be similar leaves a block.
+    """(a, b): guests and hosts of each block, of different components, whose sizes and sketches leave a similarity of 0.8 possible."""
+    columns = {c: table.column(c).to_numpy() for c in ("s", "i", "j", "host", "guest", "fp", "root", "n")}
+    lists = table.column("k").combine_chunks()
+    flat, starts = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    words = np.diff(starts)
+    order = np.lexsort((columns["j"], columns["i"], columns["s"]))
+    s, i, j, host, guest, fp, root, n = (x[order] for x in columns.values())
+    starts, words = starts[:-1][order], words[order]
+    first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(s) else np.zeros(0, np.int64)
+    ends = np.append(first, len(s))
+    out: list[np.ndarray] = []
+    for rows in (np.arange(x, y) for x, y in zip(ends[:-1], ends[1:], strict=True)):
+        ours, theirs = rows[guest[rows]], rows[host[rows]]
+        g, h = (x.ravel() for x in np.meshgrid(ours, theirs, indexing="ij"))
+        fit = (root[g] != root[h]) & (5 * n[g] >= 4 * n[h]) & (5 * n[h] >= 4 * n[g])
+        g, h = g[fit], h[fit]
+        for one, two in {*zip(words[g].tolist(), words[h].tolist(), strict=True)}:
+            if max(one, two) > 2 * min(one, two):
+                continue
+            least, at = min(one, two), np.flatnonzero((words[g] == one) & (words[h] == two))
+            for part in np.array_split(at, 1 + len(at) * max(one, two) // (1 << 21)):
+                x, y = (flat[starts[side[part], None] + np.arange(size)] for side, size in ((g, one), (h, two)))
+                x, y = (z if size == least else z[:, :least] ^ z[:, least:] for z, size in ((x, one), (y, two)))
+                near = part[9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n[g[part]] + n[h[part]]]
+                out.append(np.sort(np.stack([fp[g[near]], fp[h[near]]], 1), axis=1))
+    pairs = np.unique(np.concatenate([*out, np.zeros((0, 2), np.int64)]), axis=0)
+    return pa.table([pa.array(pairs[:, c]) for c in (0, 1)], ["a", "b"])
+
+
+def _across(told: DataFrame, several: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): pairs of texts of different components that meet in a bucket (s, fp, root) and may be similar.
+
+    A bucket's largest component, ``big``, is host only; the others are guests, too. A bucket is compared within one
+    task, block by block if it is large: only what may be similar leaves a block, so no table of pairs is made.
     """
-    count = parts.groupBy("root").agg(F.count("*").alias("m"))
-    told = across.join(count.select(F.col("root").alias("ra"), F.col("m").alias("ma")), "ra").join(count.select(F.col("root").alias("rb"), F.col("m").alias("mb")), "rb")
-    larger = F.col("ma") >= F.col("mb")
-    visits = materialize(told.select(F.when(larger, F.col("ra")).otherwise(F.col("rb")).alias("big"), F.when(larger, F.col("rb")).otherwise(F.col("ra")).alias("small"), F.greatest("ma", "mb").alias("m"), F.least("ma", "mb").alias("few")), "visits")
-    cells = visits.groupBy("big").agg(F.ceil(F.max("m") / CHUNK).cast("int").alias("nh"), F.ceil(F.sum("few") / CHUNK).cast("int").alias("ng"))
-    hosts = parts.join(cells, parts["root"] == cells["big"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("nh")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ng") - 1)))
-    guests = parts.join(visits.select("big", "small"), F.col("root") == F.col("small")).join(cells, "big").withColumn("j", F.pmod(F.xxhash64("fp"), F.col("ng")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)))
-    # blocks of a cell that is split go alone, others together by the thousand of rows
-    total = max(1, -(-parts.count() // (4 * CHUNK)))
-    bucket = F.when(F.col("nh") * F.col("ng") > 1, F.xxhash64("big", "i", "j")).otherwise(F.pmod(F.xxhash64("big"), F.lit(total)))
-    one = lambda rows, host: rows.select(bucket.alias("bucket"), "big", "i", "j", F.lit(host).alias("host"), "fp", "n", "k")
-    return one(hosts, True).union(one(guests, False)).groupBy("bucket").applyInArrow(_compared, "a long, b long")
+    at = lambda size: F.pmod(F.xxhash64("fp"), size).cast("int")
+    one = lambda i, j, host, guest: F.struct(i.alias("i"), j.alias("j"), host.alias("host"), guest.alias("guest"))
+    yes, no, zero, other = F.lit(True), F.lit(False), F.lit(0), F.col("root") != F.col("big")
+    nh, ng = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("m", "q"))
+    hosts = F.transform(F.sequence(zero, ng - 1), lambda j: one(at(nh), j, yes, no))
+    guests = F.transform(F.sequence(zero, nh - 1), lambda i: one(i, at(ng), no, yes))
+    cells = F.when(F.col("m") <= CHUNK, F.array(one(zero, zero, yes, other))).otherwise(F.concat(hosts, F.when(other, guests).otherwise(F.slice(guests, 1, 0))))
+    rows = told.join(several, "s").join(sizes.select("fp", "k"), "fp")
+    # blocks of a large bucket go alone, small buckets together by the thousand of rows
+    total = max(1, -(-(several.agg(F.sum("m")).first()[0] or 0) // (4 * CHUNK)))
+    rows = rows.select("s", F.explode(cells).alias("x"), "fp", "root", "n", "k", "m").select("s", "x.*", "fp", "root", "n", "k", "m")
+    bucket = F.when(F.col("m") > CHUNK, F.xxhash64("s", "i", "j")).otherwise(F.pmod(F.xxhash64("s"), F.lit(total)))
+    return rows.withColumn("bucket", bucket).drop("m").groupBy("bucket").applyInArrow(_compared, "a long, b long").distinct()
+
+
+def _near_prints(distinct: DataFrame) -> DataFrame:
+    """(a, b): texts (fp, bits) that the SimHash operator links: those of one fingerprint to the first of them, the first ones by the operator's links."""
+    first = materialize(distinct.groupBy("bits").agg(F.min("fp").alias("a"), F.count("*").alias("m")), "first")
+    same = distinct.join(first.where("m > 1").select("bits", "a"), "bits").select("a", F.col("fp").alias("b"))
+    links = simhash.near_links(first.select(F.col("bits").alias("fp")))
+    for c in ("a", "b"):
+        links = links.withColumnRenamed(c, "bits").join(first.select("bits", F.col("a").alias("to")), "bits").drop("bits").withColumnRenamed("to", c)
+    both = same.union(links.select("a", "b")).where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def shingle_groups(docs: DataFrame) -> DataFrame:
@@ -346,10 +365,12 @@ def shingle_groups(docs: DataFrame) -> DataFrame:
             rows = batch.column(1).to_pylist()
             sets = [shingle_set(t) for t in rows]
             values = np.fromiter(map(identity, rows), np.uint64, len(rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(sketch, sets)), pa.list_(pa.int64()))], ["doc_id", "fp", "n", "k"])
+            bits = np.array(list(map(simhash.majority, sets)), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(sketch, sets)), pa.list_(pa.int64())), pa.array(bits.view(np.int64))], ["doc_id", "fp", "n", "k", "bits"])
 
-    prints = materialize(map_batches(texts, measure, "doc_id long, fp long, n int, k array<long>"), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    prints = materialize(map_batches(texts, measure, "doc_id long, fp long, n int, k array<long>, bits long"), "prints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("bits").alias("bits")), "distinct")
+    near = materialize(_near_prints(distinct), "near")
     frequent, links, turn = frequent_shingles(texts.select("text")), None, 0
     while True:
         turn += 1
@@ -359,7 +380,8 @@ def shingle_groups(docs: DataFrame) -> DataFrame:
         heads = members.where("salted").select("s", "hub").distinct()
         spans = heads.join(heads.groupBy("s").agg(F.min("hub").alias("a")), "s").select("a", F.col("hub").alias("b"))
         stars = members.select(F.col("hub").alias("a"), F.col("fp").alias("b")).union(spans).where("a <> b")
-        stars = materialize(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+        stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        stars = materialize((stars.union(near) if links is None else stars).distinct(), "stars")
         new = stars if links is None else stars.join(links, ["a", "b"], "left_anti")
         likely = materialize(_sized(new, sizes).where(_may_be_similar()).select("a", "b"), "likely")
         links = _similar(likely, texts) if links is None else materialize(links.union(_similar(likely, texts)), "links")
@@ -373,8 +395,8 @@ def shingle_groups(docs: DataFrame) -> DataFrame:
         roots = connected_components(links).withColumnRenamed("node", "fp")
         told = open_.join(roots, "fp", "left").select("s", "fp", F.coalesce("root", "fp").alias("root")).join(sizes.select("fp", "n"), "fp")
         told = materialize(told.distinct(), "open")
-        heads = told.select("s", "root").distinct()
-        several = materialize(heads.groupBy("s").agg(F.count("*").alias("parts")).where("parts > 1"), "several")
+        parts = told.groupBy("s", "root").agg(F.count("*").alias("c")).groupBy("s").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("big"), F.sum("c").alias("m"), (F.sum("c") - F.max("c")).alias("q"))
+        several = materialize(parts.where("parts > 1"), "several")
         crowded = several.where(F.col("parts") > CROWD).select("s")
         if turn == ROUNDS or crowded.isEmpty():
             break
@@ -385,10 +407,7 @@ def shingle_groups(docs: DataFrame) -> DataFrame:
             break
         frequent = extended
 
-    heads = materialize(heads.join(several.select("s"), "s", "left_semi"), "heads")
-    across = heads.withColumnRenamed("root", "ra").join(heads.withColumnRenamed("root", "rb"), "s").where("ra < rb").select("ra", "rb").distinct()
-    parts = told.join(several, "s", "left_semi").select("root", "fp").distinct().join(sizes, "fp")
-    rest = _across(across, materialize(parts, "parts")).join(stars, ["a", "b"], "left_anti")
+    rest = _across(told, several, sizes).join(stars, ["a", "b"], "left_anti")
     links = links.union(_similar(materialize(rest, "rest"), texts))
 
     roots = connected_components(links)

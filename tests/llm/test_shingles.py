@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 import corpus_pipeline
 from graphloom.llm import shingles
 
@@ -82,3 +84,42 @@ def test_crowded_buckets_are_dealt_out_anew(spark, monkeypatch):
     assert len(rounds) > 1
     sizes = [r.groupBy("s").count().agg({"count": "max"}).collect()[0][0] or 0 for r in (rounds[0], rounds[-1])]
     assert sizes[0] >= 50 and sizes[1] <= 4
+
+
+def test_buckets_are_compared_in_their_tasks(spark):
+    """Many components, one of them large, share a hot line: no join makes pairs of components, all blocks are compared, near pairs are found."""
+    rows = [(k, " ".join([*(f"c{i}" for i in range(60)), f"x{k}"])) for k in range(900)]  # one large component
+    for k in range(900, 1500):
+        own = [f"t{k // 2}w{i}" for i in range(40)]
+        rows.append((k, " ".join([*own[:-1], f"end{k}"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {d: shingles.identity(t.encode()) - (1 << 64 if shingles.identity(t.encode()) >> 63 else 0) for d, t in rows}
+    sets = {d: shingles.shingle_set(t.encode()) for d, t in rows}
+    root = {d: prints[0] if d < 900 else prints[d] for d, _ in rows}
+    told = spark.createDataFrame([(1, prints[d], root[d], len(sets[d])) for d, _ in rows], "s long, fp long, root long, n int")
+    several = spark.createDataFrame([(1, 601, prints[0], 1500, 600)], "s long, parts long, big long, m long, q long")
+    sizes = spark.createDataFrame([(prints[d], shingles.sketch(sets[d]).tolist()) for d, _ in rows], "fp long, k array<long>")
+    across = shingles._across(told, several, sizes)
+    got = {(r.a, r.b) for r in across.collect()}
+    want = {tuple(sorted((prints[k], prints[k + 1]))) for k in range(900, 1500, 2)}
+    assert got == want
+    classes = {r.doc_id: r.component_id for r in shingles.shingle_groups(docs).collect()}
+    assert classes == {d: 0 if d < 900 else d - d % 2 for d, _ in rows}
+
+
+def test_near_copies_go_through_the_simhash_operator(spark, monkeypatch):
+    """Its links are the first candidates; the exact join finds near copies of more than two bits."""
+    calls, near_links = [], shingles.simhash.near_links
+
+    def counted(distinct):
+        calls.append(distinct.count())
+        return near_links(distinct)
+
+    monkeypatch.setattr(shingles.simhash, "near_links", counted)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join([*words[:200], "other", *words[201:]])), (4, "no text like any other one"), (5, None)]
+    got = {r.doc_id: r.component_id for r in shingles.shingle_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5} and calls and calls[0] >= 3
+    hashes = shingles.shingle_set(" ".join(words).encode())
+    bits = [(hashes >> np.uint64(k)) & np.uint64(1) for k in range(64)]
+    assert shingles.simhash.majority(hashes) == sum(1 << k for k, b in enumerate(bits) if 2 * b.sum() > len(hashes)) and shingles.simhash.majority(hashes[:0]) == 0
