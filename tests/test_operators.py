@@ -524,3 +524,20 @@ def test_units_that_a_change_removes_are_reviewed(spark):
     both = attention.overlay(ranked(("gone", 30, "protect"), ("kept", 10, "protect")), ranked(("kept", 60, "investigate"), ("new", 5, "low-attention")))
     touched = spark.createDataFrame([("gone", "removed", "n1", None)], "unit string, status string, node string, edge string")
     assert [(r.id, r.region, r.review_priority, r.statuses) for r in attention.review_units(both, touched).collect()] == [("gone", "protect", 32, "removed"), ("kept", "investigate", 60, ""), ("new", "low-attention", 5, "")]
+
+
+def test_bare_edges_are_the_edges_by_their_ends(spark, tmp_path):
+    """Unit facts read ends only: no label or count goes through an exchange, null keys make no edge."""
+    from graphloom.plans.derived import Derived
+
+    g = Derived(spark, "/root/testdata/sf0.001")
+    columns = ["source", "kind", "target", "boundary"]
+    want = sorted(map(tuple, g.edges.select(columns).collect()), key=str)
+    assert sorted(map(tuple, g.bare_edges.select(columns).collect()), key=str) == want and len(want) > 0
+    odd = tmp_path / "odd"
+    for name in ("region", "nation", "customer", "supplier", "part"):
+        g.table(name).write.parquet(f"{odd}/{name}.parquet")
+    g.table("orders").withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey"))).withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority"))).write.parquet(f"{odd}/orders.parquet")
+    g.table("lineitem").withColumn("l_suppkey", F.when(F.col("l_orderkey") % 5 > 0, F.col("l_suppkey"))).withColumn("l_returnflag", F.when(F.col("l_orderkey") % 2 > 0, F.col("l_returnflag"))).write.parquet(f"{odd}/lineitem.parquet")
+    g = Derived(spark, str(odd))
+    assert sorted(map(tuple, g.bare_edges.select(columns).collect()), key=str) == sorted(map(tuple, g.edges.select(columns).collect()), key=str)
