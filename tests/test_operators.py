@@ -541,3 +541,24 @@ def test_bare_edges_are_the_edges_by_their_ends(spark, tmp_path):
     g.table("lineitem").withColumn("l_suppkey", F.when(F.col("l_orderkey") % 5 > 0, F.col("l_suppkey"))).withColumn("l_returnflag", F.when(F.col("l_orderkey") % 2 > 0, F.col("l_returnflag"))).write.parquet(f"{odd}/lineitem.parquet")
     g = Derived(spark, str(odd))
     assert sorted(map(tuple, g.bare_edges.select(columns).collect()), key=str) == sorted(map(tuple, g.edges.select(columns).collect()), key=str)
+
+
+def test_connected_pairs_are_those_with_a_path(spark, monkeypatch):
+    """Random ways up, down and plain: the same pairs as the search for routes, which is asked for the few open ones only."""
+    draw = random.Random(11)
+    asked, search = [], paths.paths
+
+    def counted(ways, pairs, most=3):
+        asked.append(pairs.count())
+        return search(ways, pairs, most)
+
+    nodes = [f"n{k}" for k in range(9)]
+    rows = [(f"{t}{a}", f"{t}{b}", f"{t}{k}", 1, 0, draw.choice(["up", "down", None])) for t in ("x|", "y|", "z|") for k in range(13) for a, b in [draw.sample(nodes, 2)]]
+    # only by way of p twice: up to p, over q, and down from p
+    rows += [("a", "p", "e1", 0, 0, "up"), ("p", "q", "e2", 1, 0, None), ("q", "p", "e3", 1, 0, None), ("p", "b", "e4", 0, 0, "down")]
+    ways = spark.createDataFrame(rows, "at string, to string, edge string, cost int, penalty int, way string")
+    pairs = spark.createDataFrame([(f"{t}{a}", f"{t}{b}") for t in ("x|", "y|", "z|") for a in nodes for b in nodes] + [("a", "b"), ("a", "q"), ("a", None)], "src string, dst string")
+    want = sorted((r.src, r.dst) for r in search(ways, pairs, 1).collect())
+    monkeypatch.setattr(paths, "paths", counted)
+    assert sorted((r.src, r.dst) for r in paths.connected(ways, pairs).collect()) == want
+    assert ("a", "q") in want and ("a", "b") not in want and 1 <= sum(asked) < len(want) / 2
