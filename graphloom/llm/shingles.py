@@ -18,8 +18,9 @@ its hub, the first one, and the pairs found are tied into components. A bucket t
 still holds many components is one of texts that share a passage the sample missed:
 their shingles are then sampled, put last, too, and the texts dealt out anew. Pairs
 of the others across the few components of a bucket follow at the end, within the task that
-reads the bucket; only pairs that may be similar become rows. So groups
-of near copies and common passages cost linear work and no pair goes untested. Sketches of parities, a bit or more
+reads the bucket; only pairs that may be similar become rows. So common
+passages cost linear work and no pair goes untested; near copies that are not near their hub
+still make pairs with the square of their group. Sketches of parities, a bit or more
 for each shingle, tell a least number of shingles that only one of two texts
 holds; pairs that differ in too many are dropped before their texts are read.
 """
