@@ -158,3 +158,19 @@ def test_dense_graphs_have_few_labels(spark, monkeypatch):
     edges = [(f"{a}>{b}", a, "calls", b) for a, b in itertools.permutations(core, 2)] + [("t1", "c9", "calls", "x1"), ("t2", "x1", "calls", "x2"), ("t3", "x2", "calls", "x3")]
     got = paths.paths(paths.steps(spark.createDataFrame(edges, EDGE), paths.POLICIES["semantic-dependency"]), spark.createDataFrame([("c0", "x3")], "src string, dst string"), 4).collect()
     assert sorted(r.hops for r in got) == [4, 5, 5, 5] and sum(sizes) < 1000
+
+
+def test_only_near_states_are_settled(spark, monkeypatch):
+    """Nodes that lie beyond the wanted routes, or lead to their ends without need, have no rows."""
+    sizes, write = [], paths.materialize
+
+    def noted(df, label="step"):
+        out = write(df, label)
+        sizes.append(out.count() if label == "togo" else 0)
+        return out
+
+    monkeypatch.setattr(paths, "materialize", noted)
+    edges = [("a1", "s", "calls", "d1"), ("a2", "s", "calls", "d2")] + [(f"u{k}", f"x{k}", "calls", "s") for k in range(200)] + [(f"v{k}", "d1", "calls", f"y{k}") for k in range(200)]
+    got = paths.paths(paths.steps(spark.createDataFrame(edges, EDGE), paths.POLICIES["semantic-dependency"]), spark.createDataFrame([("s", "d1"), ("s", "d2")], "src string, dst string"), 1).collect()
+    assert sorted((r.dst, r.edges) for r in got) == [("d1", ["a1"]), ("d2", ["a2"])]
+    assert 0 < max(sizes) <= 410  # 200 nodes one call away wait in both states, and none of the 200 callers is met
