@@ -160,6 +160,21 @@ def test_dense_graphs_have_few_labels(spark, monkeypatch):
     assert sorted(r.hops for r in got) == [4, 5, 5, 5] and sum(sizes) < 1000
 
 
+def test_paths_from_one_start_are_those_of_an_exhaustive_search(spark):
+    """With fewer starts than ends the mirrored graph is searched; packages hold most nodes, so best routes back pass them again."""
+    rng = random.Random(5)
+    fns = [f"f{k}" for k in range(6)]
+    owns = [("s", "owns", f"p{k}") for k in range(3)] + [(f"p{k % 3}", "owns", f) for k, f in enumerate(fns)]
+    calls = sorted({(rng.choice(fns), rng.choice(["calls", "publishes", "consumes"]), rng.choice(fns)) for _ in range(11)})
+    edges = [(f"e{k:02}", *e) for k, e in enumerate(owns + calls)]
+    asked = [("s", f"p{k}") for k in range(3)] + [("s", f) for f in fns[:2]]
+    got = defaultdict(list)
+    for r in paths.paths(paths.steps(spark.createDataFrame(edges, EDGE), paths.POLICIES["failure-propagation"]), spark.createDataFrame(asked, "src string, dst string"), 3).orderBy("rank").collect():
+        got[r.src, r.dst].append((r.hops, r.edges, r.nodes))
+    for src, dst in asked:
+        assert got[src, dst] == every_path(edges, paths.POLICIES["failure-propagation"], src, dst, 3), (src, dst)
+
+
 def test_only_near_states_are_settled(spark, monkeypatch):
     """Nodes that lie beyond the wanted routes, or lead to their ends without need, have no rows."""
     sizes, write = [], paths.materialize
