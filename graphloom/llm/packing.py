@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .resharding import slotted
-from .shared import map_batches
+from .shared import held, map_batches
 from tokenizers import Tokenizer
 
 LONGEST, END = 2048, 1
@@ -94,10 +93,9 @@ class WordIds:
         return out
 
 
-@lru_cache(1)
 def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
-    """One memory per worker, kept from task to task."""
-    return WordIds(path, remembered)
+    """One memory per worker, kept from task to task of packing."""
+    return held(WordIds, path, remembered)
 
 
 def lengths(n: int, longest: int = LONGEST) -> list[int]:

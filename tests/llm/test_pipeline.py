@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
 import corpus_pipeline
 from test_shingles import _least
-from graphloom.llm import language, mixing, packing, pii
+from graphloom.llm import language, mixing, packing, pii, shared
 
 SF = "/root/testdata/sf0.01"
 
@@ -67,3 +69,29 @@ def test_stages_keep_columns_of_any_name(spark):
         assert out.count() <= frame.count() and stage(spark, frame.limit(0), SF).count() == 0
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, SF).collect()]
     assert sorted(kept, key=str) == sorted([(1, None), rows[2], rows[3], rows[5]], key=str)
+
+
+def test_record_batches_are_bounded_by_bytes(spark):
+    """A thousand long texts don't pass between Spark and Python at once, and none is lost."""
+    long = spark.range(0, 1000, 1, 1).selectExpr("id", "repeat('word ', 4000) as text")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "rows"]) for b in batches)
+    found = shared.map_batches(long, sizes, "bytes long, rows long").collect()
+    assert sum(r.rows for r in found) == 1000
+    assert max(r.bytes for r in found) < 2 * shared.BYTES
+    spark.conf.set(shared.BYTES_SETTING, "512k")  # a smaller setting stays
+    assert max(r.bytes for r in shared.map_batches(long, sizes, "bytes long, rows long").collect()) < 1 << 20
+    spark.conf.set(shared.BYTES_SETTING, "64m")
+    shared.map_batches(long, sizes, "bytes long, rows long")
+    assert spark.conf.get(shared.BYTES_SETTING) == str(shared.BYTES)
+
+
+def test_a_worker_drops_what_another_operator_remembers(spark):
+    """Packing's pieces and tokenizer don't stay in the workers while another operator's tasks run there."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(4)
+    look = lambda batches: (pa.RecordBatch.from_arrays([pa.array([",".join(shared._held)])], ["held"]) for _ in batches)
+    look.__module__ = packing.__name__
+    packing.op7(docs).count()
+    packing.op7(docs).write.format("noop").mode("overwrite").save()
+    assert "graphloom.llm.packing" in {r.held for r in shared.map_batches(docs, look, "held string").collect()}
+    look.__module__ = language.__name__
+    assert {r.held for r in shared.map_batches(docs, look, "held string").collect()} == {""}
