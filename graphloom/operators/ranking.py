@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.scratch import materialize
+
+#: Candidates that a task groups at once, and those of one frontier that it holds for this; larger frontiers are grouped in sorts that spill.
+AT_ONCE, LARGEST = 50_000, 200_000
+
 # Weights of signals, priorities of kinds, kinds that matter to an architecture.
 WEIGHTS = {"change": 9, "direct": 8, "runtime": 5, "contract": 5, "failure": 4, "ownership": 3, "architecture": 3, "structural": 1}
 RELATIONS = ["calls", "writes", "publishes", "consumes", "reads", "retries", "tests", "depends_on", "transforms", "owns", "implements"]
@@ -43,10 +53,10 @@ def signals() -> dict[str, Column]:
 def with_score(candidates: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """Candidates with ``score`` and the two leading signals as ``reason``."""
     w = weights or WEIGHTS
-    parts = F.array(*[F.struct((-(x * w[k])).alias("loss"), F.lit(k).alias("signal")) for k, x in signals().items() if w.get(k)])
-    led = F.filter(F.array_sort(parts), lambda p: p["loss"] < 0)
+    told = {k: x * w[k] for k, x in signals().items() if w.get(k)}
+    led = F.filter(F.array_sort(F.array(*[F.struct((-x).alias("loss"), F.lit(k).alias("signal")) for k, x in told.items()])), lambda p: p["loss"] < 0)
     names = F.array_join(F.slice(F.transform(led, lambda p: p["signal"]), 1, 2), " + ")
-    score = F.aggregate(led, F.lit(0.0), lambda a, p: a - p["loss"])
+    score = sum((F.greatest(x, F.lit(0.0)) for x in told.values()), F.lit(0.0))  # a plain sum: candidates are many
     return candidates.withColumns({"score": score, "reason": F.when(F.size(led) > 0, F.concat(F.lit("Ranked by "), names, F.lit("."))).otherwise(F.concat(F.lit("Reachable at semantic depth "), F.col("depth"), F.lit(".")))})
 
 
@@ -117,6 +127,139 @@ def grouped_frontiers(candidates: DataFrame, order_by: list[str], most: int = 6,
     return told.join(proof, key, "left").withColumn("evidence", F.coalesce("evidence", F.lit(0)).cast("long"))
 
 
+def frontiers_by_question(candidates: DataFrame, asked: dict[str, tuple[list[str], list[str]]], most: int = 6, by: str = "root") -> DataFrame:
+    """(question, by, dimension, value, members, score, within_depth, relations, evidence): ``grouped_frontiers`` of each question, over the candidates of its edge kinds.
+
+    asked: edge kinds and dimensions of each question. Candidates are exchanged and sorted once, by
+    ``by``, and tasks group whole frontiers for all questions. Frontiers of more than ``LARGEST``
+    candidates are only named there, and grouped as one question at a time.
+    """
+    most, of = max(2, most), dimensions()
+    names = list(dict.fromkeys([d for _, order_by in asked.values() for d in order_by] + ["relation"]))
+    kinds = list(dict.fromkeys(k for of_question, _ in asked.values() for k in of_question))
+    rows = candidates.where(F.col("edge_kind").isin(kinds))
+    told = rows.select(F.col(by).alias("by"), "node", "edge_kind", F.col("score").cast("double").alias("score"), "within_depth", "evidence_ids", *[of[d].alias(f"by_{d}") for d in names])
+    # by a hash of its own: an exchange that a join below has made already may be taken back while the plan runs
+    told = told.repartition(F.xxhash64("by")).sortWithinPartitions("by")
+    schema = f"question string, by {candidates.schema[by].dataType.simpleString()}, dimension string, value string, members long, score double, within_depth boolean, relations array<string>, evidence long"
+    at_once, largest = AT_ONCE, LARGEST
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, whole in _whole_frontiers(batches, at_once, largest):
+            if whole:
+                yield from _grouped(table, asked, most)
+            else:
+                nothing = [pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.string()), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), table["by"].slice(0, 1).combine_chunks(), *nothing], _TOLD)
+
+    told = materialize(told.mapInArrow(read, schema), "told")
+    large = told.where("question is null").select(F.col("by").alias(by)).distinct()
+    found = told.where("question is not null").withColumn("relations", F.array_join(F.array_sort("relations"), ", ")).withColumnRenamed("by", by)
+    if not large.isEmpty():
+        rest = materialize(rows.join(F.broadcast(large), rows[by].eqNullSafe(large[by]), "left_semi"), "large")
+        for question, (of_question, order_by) in asked.items():
+            wide = grouped_frontiers(rest.where(F.col("edge_kind").isin(of_question)), order_by, most, by)
+            found = found.unionByName(wide.withColumn("question", F.lit(question)))
+    return found
+
+
+_TOLD = ["question", "by", "dimension", "value", "members", "score", "within_depth", "relations", "evidence"]
+
+
+def _coded(values: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """A code for each value, null being one of them, and the values by code."""
+    found = values.combine_chunks().dictionary_encode(null_encoding="encode")
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def _whole_frontiers(batches: Iterator[pa.RecordBatch], at_once: int, largest: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of whole frontiers, from rows sorted by ``by``; of a frontier larger than ``largest`` a row that names it."""
+    held, size, passed = [], 0, None
+    for batch in batches:
+        if passed is not None:  # the rest of a large frontier
+            code, _ = _coded(pa.chunked_array([passed, batch["by"]]))
+            batch = batch.slice(int(np.argmax(np.append(code[1:] != code[0], True))))
+        if not batch.num_rows:
+            continue
+        passed, size = None, size + batch.num_rows
+        held.append(batch)
+        if size < at_once:
+            continue
+        table = pa.Table.from_batches(held)
+        code, _ = _coded(table["by"])
+        others = np.flatnonzero(code != code[-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut:
+            yield table.slice(0, cut), True
+        held, size = table.slice(cut).to_batches(), size - cut
+        if size > largest:
+            yield table.slice(cut, 1), False
+            passed, held, size = table["by"].slice(cut, 1).combine_chunks(), [], 0
+    if held:
+        yield pa.Table.from_batches(held), True
+
+
+def _grouped(table: pa.Table, asked: dict[str, tuple[list[str], list[str]]], most: int) -> Iterator[pa.RecordBatch]:
+    """The groups of whole frontiers, a batch for each question, as ``grouped_frontiers`` tells them."""
+    root, roots = _coded(table["by"])
+    node, nodes = _coded(table["node"])
+    kind, kinds = _coded(table["edge_kind"])
+    lists = table["evidence_ids"].combine_chunks()
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    proof, proofs = _coded(pa.chunked_array([lists.flatten()]))
+    begins, known = np.cumsum(sizes) - sizes, np.array(proofs.is_valid(), dtype=bool)
+    score = table["score"].combine_chunks().fill_null(-np.inf).to_numpy()
+    within = table["within_depth"].combine_chunks().fill_null(True).to_numpy(zero_copy_only=False)
+    told = {c.removeprefix("by_"): _coded(table[c]) for c in table.column_names if c.startswith("by_")}
+    words = sorted({w for _, values in told.values() for w in values.to_pylist() if w is not None} | {"ungrouped"})
+    places, v = {w: i for i, w in enumerate(words)}, len(words)
+    told = {d: np.array([places.get(w, -1) for w in values.to_pylist()], dtype=np.int64)[code] for d, (code, values) in told.items()}
+    words, none = pa.array([*words, "remainder"]), places["ungrouped"]
+
+    def best(at: np.ndarray, of: np.ndarray, n: np.ndarray) -> np.ndarray:
+        found = np.full(len(n), -np.inf)
+        np.maximum.at(found, of, score[at])
+        return np.maximum(0.0, found) + np.log(1.0 + n) * 0.25
+
+    for question, (of_question, order_by) in asked.items():
+        rows = np.flatnonzero(np.isin(kind, [i for i, k in enumerate(kinds.to_pylist()) if k in of_question]))
+        if not len(rows):
+            continue
+        r, names = root[rows], list(dict.fromkeys([*order_by, "relation"]))
+        chosen = np.full(len(roots), names.index("relation"))
+        for d in reversed(order_by):
+            chosen[r[told[d][rows] >= 0]] = names.index(d)
+        value = np.choose(chosen[r], [told[d][rows] for d in names])
+        value[value < 0] = none
+        group, g, n = np.unique(r * v + value, return_inverse=True, return_counts=True)
+        weight, of_root = np.round(best(rows, g, n), 9), group // v
+        order = np.lexsort((group, np.where(np.isnan(weight), -np.inf, -weight), of_root))
+        many = np.bincount(of_root, minlength=len(roots))
+        place = np.empty(len(group), dtype=np.int64)
+        place[order] = np.arange(len(group)) - (np.cumsum(many) - many)[of_root[order]] + 1
+        rest = ((many[of_root] > most) & (place >= most))[g]
+        pair, p = np.unique(r * len(nodes) + node[rows], return_inverse=True)
+        folded = np.zeros(len(pair), dtype=bool)
+        folded[p[rest]] = True
+        own, last = np.flatnonzero(~rest), np.flatnonzero(folded[p])
+        at = rows[np.concatenate([own, last])]
+        final, f, n = np.unique(np.concatenate([r[own] * (v + 1) + value[own], r[last] * (v + 1) + v]), return_inverse=True, return_counts=True)
+        inside = np.ones(len(final), dtype=bool)
+        np.logical_and.at(inside, f, within[at])
+        mixed, m = np.unique(f * len(kinds) + kind[at], return_counts=True)
+        texts = pa.compute.binary_join_element_wise(kinds.take(pa.array(mixed % len(kinds))), pa.array(m).cast(pa.string()), " ")
+        ends = np.searchsorted(mixed // len(kinds), np.arange(len(final) + 1)).astype(np.int32)
+        each = np.repeat(np.arange(len(at)), sizes[at])
+        e = proof[begins[at][each] + np.arange(len(each)) - (np.cumsum(sizes[at]) - sizes[at])[each]] if len(each) else each
+        seen = np.unique(f[each] * len(proofs) + e)
+        seen = seen[known[seen % len(proofs)]] if len(seen) else seen
+        evidence = np.bincount(seen // max(1, len(proofs)), minlength=len(final))
+        of_root, of_value = final // (v + 1), final % (v + 1)
+        dimension = pa.array([*names, "remainder"]).take(pa.array(np.where(of_value == v, len(names), chosen[of_root])))
+        columns = [pa.array([question] * len(final)), roots.take(pa.array(of_root)), dimension, words.take(pa.array(of_value)), pa.array(n), pa.array(best(at, f, n)), pa.array(inside), pa.ListArray.from_arrays(pa.array(ends), texts), pa.array(evidence)]
+        yield pa.RecordBatch.from_arrays(columns, _TOLD)
+
+
 def frontier_groups(candidates: DataFrame, most: int = 6, dimension: str = "pkg", by: str = "root") -> DataFrame:
     """(by, value, members, score, evidence): groups of candidates, the last ones folded into a remainder.
 

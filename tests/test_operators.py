@@ -3,7 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -519,6 +519,36 @@ def test_frontiers_are_grouped_by_the_first_dimension_that_any_has(spark):
     assert values(["team"]) == values([]) and not ranking.grouped_frontiers(rows.limit(0), ["team"]).count()
 
 
+@pytest.mark.parametrize("largest", [200_000, 40])
+def test_frontiers_of_all_questions_are_those_of_each(spark, monkeypatch, largest):
+    from graphloom.plans.catalog import _QUESTIONS, _grouping
+
+    monkeypatch.setattr(ranking, "AT_ONCE", 30)
+    monkeypatch.setattr(ranking, "LARGEST", largest)
+    maps, rng = [], random.Random(7)
+    monkeypatch.setattr(ranking, "materialize", lambda df, label="step", real=ranking.materialize: maps.append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")) or real(df, label))
+    some = lambda *xs: rng.choice([None, *xs])
+    rows = [
+        (rng.choice("abcd") if k % 3 else "a", f"n{rng.randrange(40)}", rng.choice(["calls", "reads", "writes", "publishes", "owns"]), some("topic", "table"), some(0.5, 2.25, -3.0), some("s1", "s2", "ungrouped", "\u00e9"), some("p1", "p2", "p3", "p4"), some("t1"), some(5.0, 200.0, 3000.0), some(True, False), some([], ["e1"], ["e1", "e2", None], ["e3"]))
+        for k in range(300)
+    ]
+    made = spark.createDataFrame(rows, "root string, node string, edge_kind string, node_kind string, score double, service string, pkg string, owner string, load double, within_depth boolean, evidence_ids array<string>").repartition(5)
+    asked = {q: (PROJECTIONS[q], _grouping(q)) for q in _QUESTIONS} | {"topics": (["calls", "publishes"], ["topic"])}
+    key = lambda r: (r.root, r.dimension, r.value, r.members, round(r.score, 9), r.within_depth, r.relations, r.evidence)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "16")
+    try:
+        found = ranking.frontiers_by_question(made, asked, 3).collect()
+    finally:
+        spark.conf.unset(batch)
+    told = Counter((r.question, *key(r)) for r in found)
+    assert maps[0] == 1 and len(maps) == (2 if largest == 40 else 1)
+    for question, (kinds, order) in asked.items():
+        single = ranking.grouped_frontiers(made.where(made.edge_kind.isin(kinds)), order, 3).collect()
+        assert single and Counter(key(r) for r in single) == Counter({k[1:]: n for k, n in told.items() if k[0] == question})
+    assert not ranking.frontiers_by_question(made.limit(0), asked, 3).count()
+
+
 def test_units_that_a_change_removes_are_reviewed(spark):
     ranked = lambda *rows: spark.createDataFrame(rows, "id string, priority int, region string")
     both = attention.overlay(ranked(("gone", 30, "protect"), ("kept", 10, "protect")), ranked(("kept", 60, "investigate"), ("new", 5, "low-attention")))
